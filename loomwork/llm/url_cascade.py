@@ -102,6 +102,12 @@ class BloomCascade:
         return out
 
 
+def _longest(cascade: BloomCascade, verdict: str) -> Column:
+    """The longest of a row's ``__keys`` that the cascade holds, as (n, key, verdict); null if it holds none."""
+    held = F.filter("__keys", lambda k: cascade.contains(k))
+    return F.array_max(F.transform(held, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), F.lit(verdict).alias("verdict"))))
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
@@ -130,10 +136,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     universe = materialise(keyed.select(F.explode("__keys").alias("key")).distinct(), "url-universe")
     cascades = {v: BloomCascade(rules.where(F.col("verdict") == v), universe) for v in verdicts}
     if all(c.fits for c in cascades.values()):
-        best = None
-        for v, c in cascades.items():
-            own = F.array_max(F.transform(F.filter("__keys", lambda k, c=c: c.contains(k)), lambda k, v=v: F.struct(F.length(k).alias("n"), k.alias("key"), F.lit(v).alias("verdict"))))
-            best = own if best is None else F.greatest(best, own)
+        best = F.greatest(*[_longest(c, v) for v, c in cascades.items()]) if len(cascades) > 1 else _longest(*next((c, v) for v, c in cascades.items()))
         return keyed.withColumn("__best", best).withColumn("rule", F.col("__best.key")).withColumn("verdict", F.coalesce("__best.verdict", F.lit(default))).drop("__keys", "__best")
     found = universe.join(rules.drop("n"), "key")
     per_url = keyed.select("host", "path", F.explode("__keys").alias("key")).distinct().join(found, "key").groupBy("host", "path").agg(F.max(F.struct(F.length("key"), "key", "verdict")).alias("__best"))
