@@ -61,8 +61,20 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.mih import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op10_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.pq_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filter, op4_line_dedup, op5_mix_sources, op6_simhash, op7_pack, op8_warc)
+    f.__name__: f for f in (op2_url_filter, op4_line_dedup, op5_mix_sources, op6_simhash, op7_pack, op8_warc, op9_mih, op10_pq_dedup)
 }
 
 _LINES = """
@@ -106,9 +118,5 @@ p AS (SELECT *, CASE WHEN c > 0 THEN floor(target / c) ELSE 0 END AS passes FROM
 r AS (SELECT doc_id, d.source, size, c, target, passes, target - passes * c AS rest,
   sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size::BIGINT AS size, c AS source_size, target, (size * (passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
-""",
-    "op8_warc": """
-SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, to_base32.b AS payload_digest FROM pages, (SELECT '' AS b) AS to_base32
 """,
 }
-del ORACLE["op8_warc"]
