@@ -20,6 +20,20 @@ def tokenizer_file() -> str:
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.quality import grade_documents, ratings_of
+
+    out = grade_documents(table(spark, sf_dir, "documents"), ratings_of(table(spark, sf_dir, "labels")), keep_grade=1)
+    return out.select("doc_id", "expected_grade", "tail_probability", "kept")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.toxicity import categories_of, classify_toxicity
+
+    out = classify_toxicity(table(spark, sf_dir, "documents"), categories_of(table(spark, sf_dir, "labels")), ["poor", "toxic"])
+    return out.select("doc_id", "p_poor", "p_toxic", "toxic")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwork.llm.url_cascade import judge_urls
 
@@ -74,7 +88,7 @@ def op10_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filter, op4_line_dedup, op5_mix_sources, op6_simhash, op7_pack, op8_warc, op9_mih, op10_pq_dedup)
+    f.__name__: f for f in (op1_quality, op2_url_filter, op3_toxicity, op4_line_dedup, op5_mix_sources, op6_simhash, op7_pack, op8_warc, op9_mih, op10_pq_dedup)
 }
 
 _LINES = """
