@@ -168,7 +168,7 @@ def fit_in_task(sample: DataFrame, fit: Callable[[pd.DataFrame], dict[str, np.nd
         return pd.DataFrame(rows, columns=["name", "size", "at", "value"])
 
     out = {}
-    for r in sample.groupBy(F.lit(0)).applyInPandas(task, "name string, size long, at array<long>, value array<double>").collect():
+    for r in sample.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(task, "name string, size long, at array<long>, value array<double>").collect():
         a = np.zeros(r["size"])
         a[r["at"]] = r["value"]
         out[r["name"]] = a
