@@ -2,6 +2,711 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomwork.operators import attribution, charts, cleaning, fuzzy, graph, intervals, outliers, profiling, sentiment, statistics, timeseries
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "mta_position"
+
+
+def query(sql: str | None = None, dates: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+    """Register a query under its function's name; ``dates`` are shown as text on both sides."""
+
+    def add(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(spark, sf_dir)
+            return out.withColumns({c: F.col(c).cast("string") for c in dates}) if dates else out
+
+        QUERIES[f.__name__] = run
+        if sql is not None:
+            shown = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in dates)
+            ORACLE[f.__name__] = f"SELECT * REPLACE ({shown}) FROM ({sql})" if dates else sql
+        return run
+
+    return add
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, digits: int = 4, *columns: str) -> DataFrame:
+    """Doubles rounded, for results that don't depend on the order of sums."""
+    names = columns or [c for c, t in df.dtypes if t == "double"]
+    return df.withColumns({c: F.round(c, digits) for c in names})
+
+
+# ---- attribution -------------------------------------------------------------------------------
+
+_J = """WITH j AS (SELECT user_id, event_type AS touchpoint, CAST(value > 50 AS DOUBLE) AS conversion,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)"""
+_SHARE = "SELECT touchpoint, round(CASE WHEN sum(w) OVER () = 0 THEN 0 ELSE w / sum(w) OVER () END, 6) AS weight FROM s"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("customer_id"), F.col("event_type").alias("touchpoint"), (F.col("value") > 50).cast("double").alias("conversion"), F.col("ts").alias("timestamp"), "event_id")
+
+
+@query(f"{_J}, s AS (SELECT touchpoint, sum(conversion) AS w FROM j GROUP BY 1) {_SHARE}")
+def mta_linear(spark, sf_dir):
+    return rounded(attribution.linear(attribution.prepare(_events(spark, sf_dir), "event_id")), 6)
+
+
+@query(f"{_J}, s AS (SELECT touchpoint, sum(conversion) AS w FROM j WHERE k = 1 GROUP BY 1) {_SHARE}")
+def mta_first(spark, sf_dir):
+    return rounded(attribution.first_touch(attribution.prepare(_events(spark, sf_dir), "event_id")), 6)
+
+
+@query(f"{_J}, l AS (SELECT user_id, arg_max(touchpoint, k) AS touchpoint FROM j WHERE conversion = 1 GROUP BY 1), s AS (SELECT touchpoint, count(*) AS w FROM l GROUP BY 1) {_SHARE}")
+def mta_last(spark, sf_dir):
+    return rounded(attribution.last_touch(attribution.prepare(_events(spark, sf_dir), "event_id")), 6)
+
+
+_POSITION = """s AS (SELECT touchpoint, sum(conversion * CASE WHEN n = 1 THEN 1.0 WHEN k = 1 THEN 0.4 WHEN k = n THEN 0.4 ELSE 0.2 / (n - 2) END) AS w FROM j GROUP BY 1)"""
+
+
+@query(f"{_J}, {_POSITION} {_SHARE}")
+def mta_position(spark, sf_dir):
+    return rounded(attribution.position_based(attribution.prepare(_events(spark, sf_dir), "event_id")), 6)
+
+
+@query(f"""{_J}, l AS (SELECT user_id, arg_max(touchpoint, k) AS touchpoint FROM j WHERE conversion = 1 GROUP BY 1),
+a AS (SELECT touchpoint, sum(conversion) AS w FROM j GROUP BY 1), b AS (SELECT touchpoint, sum(conversion) AS w FROM j WHERE k = 1 GROUP BY 1), c AS (SELECT touchpoint, count(*) AS w FROM l GROUP BY 1), {_POSITION}
+SELECT touchpoint, round(coalesce(a.w / (SELECT sum(w) FROM a), 0), 6) AS weight_linear, round(coalesce(b.w / (SELECT sum(w) FROM b), 0), 6) AS weight_first_touch,
+  round(coalesce(c.w / (SELECT sum(w) FROM c), 0), 6) AS weight_last_touch, round(coalesce(s.w / (SELECT sum(w) FROM s), 0), 6) AS weight_position_based
+FROM (SELECT DISTINCT touchpoint FROM j) LEFT JOIN a USING (touchpoint) LEFT JOIN b USING (touchpoint) LEFT JOIN c USING (touchpoint) LEFT JOIN s USING (touchpoint)""")
+def mta_joined_weights(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    return rounded(attribution.joined_weights(e, attribution.analyse(e, tiebreak="event_id")), 6)
+
+
+# ---- intervals and series ----------------------------------------------------------------------
+
+_SPAN = "o AS (SELECT o_orderpriority AS g, o_orderdate::DATE AS a, o_orderdate::DATE + CAST(1 + o_orderkey % 7 AS INT) AS b, o_totalprice AS v FROM orders)"
+_DAYS = f"WITH {_SPAN}, d AS (SELECT g, v, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS day FROM o)"
+
+
+def _spans(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    start = F.to_date("o_orderdate")
+    return o.select(start.alias("start"), F.date_add(start, (1 + F.col("o_orderkey") % 7).cast("int")).alias("end"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"))
+
+
+@query(f"{_DAYS}, c AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d) SELECT c.day AS start, count(d.day) AS n FROM c LEFT JOIN d USING (day) GROUP BY 1", dates=('start',))
+def daily_counts(spark, sf_dir):
+    return intervals.daily_counts(_spans(spark, sf_dir), "start", "end")
+
+
+@query(f"{_DAYS}, c AS (SELECT g, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d GROUP BY g) SELECT c.g AS priority, c.day AS start, count(d.day) AS n FROM c LEFT JOIN d ON c.g = d.g AND c.day = d.day GROUP BY 1, 2", dates=('start',))
+def daily_counts_grouped(spark, sf_dir):
+    return intervals.daily_counts(_spans(spark, sf_dir), "start", "end", "priority")
+
+
+def _summary_sql(f: str) -> str:
+    return f"{_DAYS}, c AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d), g AS (SELECT DISTINCT g FROM d) SELECT g.g AS priority, c.day AS day, round(coalesce({f}(d.v), 0), 2) AS value FROM c CROSS JOIN g LEFT JOIN d ON d.g = g.g AND d.day = c.day GROUP BY 1, 2"
+
+
+@query(_summary_sql("sum"), dates=('day',))
+def daily_summary_sum(spark, sf_dir):
+    return rounded(intervals.daily_summary(_spans(spark, sf_dir), "start", "end", "price", "priority", "sum"), 2)
+
+
+@query(_summary_sql("avg").replace(", 2) AS value", ", 7) AS value"), dates=('day',))
+def daily_summary_mean(spark, sf_dir):
+    return rounded(intervals.daily_summary(_spans(spark, sf_dir), "start", "end", "price", "priority", "mean"), 7)
+
+
+@query(_summary_sql("median").replace(", 2) AS value", ", 4) AS value"), dates=('day',))
+def daily_summary_median(spark, sf_dir):
+    return rounded(intervals.daily_summary(_spans(spark, sf_dir), "start", "end", "price", "priority", "median"), 4)
+
+
+@query("""WITH b AS (SELECT date_trunc('week', o_orderdate)::DATE AS bucket, sum(o_totalprice) AS bar FROM orders GROUP BY 1)
+SELECT bucket, round(bar, 2) AS bar, round(CASE WHEN row_number() OVER (ORDER BY bucket) >= 7 THEN avg(bar) OVER (ORDER BY bucket ROWS 6 PRECEDING) END, 2) AS line FROM b""", dates=('bucket',))
+def weekly_sums_rolling_mean(spark, sf_dir):
+    return rounded(timeseries.bucketed_series(load(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "week"), 2)
+
+
+@query("""WITH b AS (SELECT date_trunc('month', o_orderdate)::DATE AS bucket, median(o_totalprice) AS bar FROM orders GROUP BY 1)
+SELECT bucket, round(bar, 4) AS bar, round(CASE WHEN row_number() OVER (ORDER BY bucket) >= 3 THEN quantile_cont(bar, 0.5) OVER (ORDER BY bucket ROWS 2 PRECEDING) END, 4) AS line FROM b""", dates=('bucket',))
+def monthly_medians_rolling_median(spark, sf_dir):
+    return rounded(timeseries.bucketed_series(load(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice", "month", 3, "median", "median"), 4)
+
+
+@query("""SELECT period, y - y % period AS start_year, round(avg(o_totalprice), 3) AS mean FROM (SELECT year(o_orderdate)::INT AS y, o_totalprice, unnest([1, 3, 5]) AS period FROM orders) GROUP BY 1, 2""")
+def multi_period_means(spark, sf_dir):
+    return rounded(timeseries.period_means(load(spark, sf_dir, "orders").withColumn("y", F.year("o_orderdate")), "y", "o_totalprice"), 3)
+
+
+def _daily(spark, sf_dir):
+    return load(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).cast("double").alias("x"))
+
+
+_D = "WITH d AS (SELECT o_orderdate::DATE AS day, count(*)::DOUBLE AS x FROM orders GROUP BY 1)"
+
+
+@query(f"""{_D} SELECT day, x, round(CASE WHEN row_number() OVER w >= 3 THEN lag(x, 2) OVER w * 4 / 7 + lag(x, 1) OVER w * 2 / 7 + x / 7 END, 6) AS adstock FROM d WINDOW w AS (ORDER BY day)""", dates=('day',))
+def adstock_daily(spark, sf_dir):
+    return rounded(timeseries.adstock(_daily(spark, sf_dir), "day", "x", 3, 0.5), 6, "adstock")
+
+
+@query(f"""{_D}, a AS (SELECT x, row_number() OVER w AS rn, count(*) OVER () AS n, coalesce(lag(x, 2) OVER w, 0) * 4 / 7 + coalesce(lag(x, 1) OVER w, 0) * 2 / 7 + x / 7 AS a FROM d WINDOW w AS (ORDER BY day))
+SELECT round(avg(abs(x - a)), 6) AS error FROM a WHERE rn > round(n * 0.5)""")
+def walk_forward_error(spark, sf_dir):
+    return rounded(timeseries.walk_forward_error(_daily(spark, sf_dir), "day", "x", 3, 0.5), 6)
+
+
+@query(f"""{_D}, a AS (SELECT x, row_number() OVER w AS rn, count(*) OVER () AS n, CASE WHEN row_number() OVER w >= 3 THEN lag(x, 2) OVER w * 4 / 7 + lag(x, 1) OVER w * 2 / 7 + x / 7 END AS a FROM d WINDOW w AS (ORDER BY day)),
+f AS (SELECT *, n // 10 AS size, (rn - 1) // (n // 10) AS fold FROM a), t AS (SELECT k, size, n, a, CASE WHEN fold > k THEN rn - size ELSE rn END AS t FROM f CROSS JOIN range(10) r(k) WHERE fold != k),
+l AS (SELECT k, regr_slope(a, t) AS b, regr_intercept(a, t) AS c FROM t GROUP BY k),
+e AS (SELECT fold, sum((x - (c + b * (n - size + rn - fold * size))) ** 2) AS sse FROM f JOIN l ON fold = k GROUP BY fold) SELECT round(avg(sse), 3) AS error FROM e""")
+def trend_forecast_error(spark, sf_dir):
+    return rounded(timeseries.trend_forecast_error(_daily(spark, sf_dir), "day", "x", 3, 0.5), 3)
+
+
+@query(f"""{_D}, n AS (SELECT x, row_number() OVER (ORDER BY day) AS t FROM d), i AS (SELECT regr_slope(x, t) AS b, regr_intercept(x, t) AS a FROM n WHERE t <= 5),
+al AS (SELECT unnest([0.1, 0.3, 0.5, 0.7]) AS alpha),
+u1 AS (SELECT alpha, t, pow(1 - alpha, t - 1) * (a - (1 - alpha) / alpha * b) + coalesce((SELECT sum(alpha * pow(1 - alpha, n.t - m.t) * m.x) FROM n m WHERE m.t BETWEEN 2 AND n.t), 0) AS s1 FROM n, i, al),
+u2 AS (SELECT alpha, t, s1, pow(1 - alpha, t - 1) * (a - 2 * (1 - alpha) / alpha * b) + coalesce((SELECT sum(u.alpha * pow(1 - u.alpha, u1.t - u.t) * u.s1) FROM u1 u WHERE u.alpha = u1.alpha AND u.t BETWEEN 2 AND u1.t), 0) AS s2 FROM u1, i),
+e AS (SELECT alpha, sum((n.x - (2 * s1 - s2 + alpha / (1 - alpha) * (s1 - s2))) ** 2) AS sse FROM u2 JOIN n ON n.t = u2.t + 1 WHERE u2.t >= 5 GROUP BY alpha)
+SELECT alpha, round(sse, 3) AS sse, row_number() OVER (ORDER BY sse, alpha) = 1 AS best FROM e""")
+def brown_smoothing(spark, sf_dir):
+    return rounded(timeseries.brown_smoothing(_daily(spark, sf_dir), "day", "x", [0.1, 0.3, 0.5, 0.7]).select("alpha", "sse", "best"), 3, "sse")
+
+
+@query(f"""{_D}, w AS (SELECT day, x, quantile_cont(x, 0.5) OVER v AS m, list(x) OVER v AS l FROM d WINDOW v AS (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
+SELECT day, x, CASE WHEN abs(x - m) > 3 * 1.4826 * list_aggregate([abs(y - m) for y in l], 'quantile_cont', 0.5) THEN m ELSE x END AS repaired FROM w""", dates=('day',))
+def spike_repair(spark, sf_dir):
+    return timeseries.hampel(_daily(spark, sf_dir), "day", "x")
+
+
+@query("""SELECT d.day, m.month, round(v.value, 2) AS value FROM (SELECT range::INT AS day FROM range(1, 32)) d CROSS JOIN (SELECT range::INT AS month FROM range(1, 13)) m
+LEFT JOIN (SELECT day(ts)::INT AS day, month(ts)::INT AS month, sum(value) AS value FROM events GROUP BY 1, 2) v ON v.day = d.day AND v.month = m.month""")
+def calendar_heatmap(spark, sf_dir):
+    return rounded(timeseries.calendar_grid(load(spark, sf_dir, "events"), "ts", "value"), 2)
+
+
+# ---- profiling ---------------------------------------------------------------------------------
+
+_MOMENTS = """round(avg(x), 4) AS mean, round(median(x), 4) AS median, round(stddev_samp(x), 4) AS sample_sd, round(stddev_pop(x), 4) AS pop_sd, round(kurtosis_pop(x) + 3, 4) AS kurtosis,
+  round(avg((x - m) ** 3) / pow(avg((x - m) ** 2), 1.5), 4) AS skewness, round(sum(x), 2) AS sum, round(sum(abs(x)), 2) AS abs_sum, min(x) AS min, max(x) AS max, round(quantile_cont(x, 0.25), 4) AS q1, round(quantile_cont(x, 0.75), 4) AS q3,
+  round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 4) AS iqr, round(1.4826 * median(abs(x - md)), 4) AS mad"""
+
+
+def _tidy_stats(df):
+    return rounded(rounded(df, 4), 2, "sum", "abs_sum")
+
+
+@query(f"""WITH l AS (UNPIVOT (SELECT l_quantity, l_extendedprice, l_discount FROM lineitem) ON l_quantity, l_extendedprice, l_discount INTO NAME variable VALUE x),
+c AS (SELECT *, avg(x) OVER (PARTITION BY variable) AS m, median(x) OVER (PARTITION BY variable) AS md FROM l) SELECT variable, {_MOMENTS} FROM c GROUP BY variable""")
+def numeric_profile(spark, sf_dir):
+    return _tidy_stats(profiling.numeric_stats(load(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
+
+
+@query(f"""WITH l AS (UNPIVOT (SELECT l_returnflag, l_quantity, l_extendedprice FROM lineitem) ON l_quantity, l_extendedprice INTO NAME variable VALUE x),
+c AS (SELECT *, avg(x) OVER (PARTITION BY l_returnflag, variable) AS m, median(x) OVER (PARTITION BY l_returnflag, variable) AS md FROM l) SELECT l_returnflag, variable, {_MOMENTS} FROM c GROUP BY l_returnflag, variable""")
+def numeric_profile_by_group(spark, sf_dir):
+    return _tidy_stats(profiling.numeric_stats(load(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], ["l_returnflag"]))
+
+
+@query("""WITH c AS (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY c_mktsegment ORDER BY n DESC) AS k FROM c)
+SELECT c_mktsegment, string_agg(c_nationkey::VARCHAR, ', ' ORDER BY c_nationkey::VARCHAR) AS mode, count(*) AS n_modes, max(n) AS freq FROM r WHERE k = 1 GROUP BY 1""")
+def mode_with_ties(spark, sf_dir):
+    return profiling.modes(load(spark, sf_dir, "customer"), "c_nationkey", ["c_mktsegment"])
+
+
+@query("""SELECT 'p_name' AS variable, count(*) FILTER (p_name IS NULL) AS nulls, round(100.0 * count(p_name) / count(*), 2) AS pct_non_null, count(DISTINCT p_name) + max((p_name IS NULL)::INT) AS unique_levels, max(p_name) AS max, min(p_name) AS min, round(avg(length(p_name)), 4) AS avg_chars, max(length(p_name)) AS max_chars, min(length(p_name)) AS min_chars FROM part
+UNION ALL SELECT 'p_size', count(*) FILTER (p_size IS NULL), round(100.0 * count(p_size) / count(*), 2), count(DISTINCT p_size) + max((p_size IS NULL)::INT), max(p_size)::VARCHAR, min(p_size)::VARCHAR, NULL, NULL, NULL FROM part""")
+def column_overview(spark, sf_dir):
+    return rounded(profiling.column_overview(load(spark, sf_dir, "part").select("p_name", "p_size")), 4)
+
+
+@query("SELECT o_orderpriority AS level, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM orders GROUP BY 1")
+def factor_levels(spark, sf_dir):
+    return profiling.factor_stats(load(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+@query("""WITH d AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders WHERE o_orderkey % 9 = 0), g AS (SELECT d, d - lag(d) OVER (ORDER BY d) AS gap FROM d), i AS (SELECT *, sum(CASE WHEN coalesce(gap, 0) = 1 THEN 0 ELSE 1 END) OVER (ORDER BY d) AS island FROM g),
+r AS (SELECT count(*) AS days FROM i GROUP BY island HAVING count(*) > 1)
+SELECT min(d) AS first, max(d) AS last, round(avg(gap), 6) AS avg_gap, median(gap)::DOUBLE AS median_gap, max(gap)::INT AS max_gap, min(gap)::INT AS min_gap, (max(d) - min(d))::INT AS span, min(d) + CAST(floor((max(d) - min(d)) / 2) AS INT) AS middle,
+(SELECT max(days) FROM r) AS longest_streak, (SELECT min(days) FROM r) AS shortest_streak, 0::BIGINT AS invalid FROM g""", dates=('first', 'last', 'middle'))
+def date_profile(spark, sf_dir):
+    return rounded(profiling.date_stats(load(spark, sf_dir, "orders").where("o_orderkey % 9 = 0"), "o_orderdate"), 6)
+
+
+_CORR = " UNION ALL ".join(f"SELECT {{g}}'{a}' AS var1, '{b}' AS var2, corr({a}, {b}) AS r FROM lineitem {{by}}" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount")))
+_THREE = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query(f"SELECT var1, var2, round(r, 6) AS r FROM ({_CORR.format(g='', by='')})")
+def correlation_pairs(spark, sf_dir):
+    return rounded(profiling.correlations(load(spark, sf_dir, "lineitem"), _THREE), 6)
+
+
+@query(f"SELECT var1, var2, round(r, 6) AS r FROM ({_CORR.format(g='', by='')}) WHERE abs(r) >= 0.5")
+def redundant_columns(spark, sf_dir):
+    return rounded(cleaning.redundant_pairs(load(spark, sf_dir, "lineitem"), _THREE, 0.5), 6)
+
+
+@query("""WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2.0 AS b FROM lineitem)
+SELECT 'l_quantity' AS var1, 'l_discount' AS var2, round(corr(a, b), 6) AS r FROM r""")
+def rank_correlation(spark, sf_dir):
+    return rounded(profiling.rank_correlations(load(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"]), 6)
+
+
+@query(f"""WITH r AS ({_CORR.format(g='l_returnflag AS g, ', by='GROUP BY l_returnflag')}) SELECT a.g AS group1, b.g AS group2, a.var1, a.var2, round(abs(a.r - b.r), 6) AS abs_diff FROM r a JOIN r b ON a.var1 = b.var1 AND a.var2 = b.var2 AND a.g < b.g""")
+def correlation_differences(spark, sf_dir):
+    return rounded(profiling.compare_correlations(load(spark, sf_dir, "lineitem"), "l_returnflag", _THREE), 6)
+
+
+@query("SELECT p_brand, round(floor(p_retailprice / 50.0 + 0.5) * 50.0, 4) AS bin, count(*) AS count FROM part GROUP BY 1, 2")
+def histogram_bins(spark, sf_dir):
+    return profiling.histogram(load(spark, sf_dir, "part"), "p_retailprice", 50.0, ["p_brand"])
+
+
+@query("""WITH d AS (SELECT doc_id, text, string_split_regex(text, '[^A-Za-z0-9_]+') AS w0 FROM documents WHERE lang = 'en'), e AS (SELECT doc_id, text, CASE WHEN w0[-1] = '' THEN w0[:-2] ELSE w0 END AS w FROM d),
+f AS (SELECT doc_id, len(w) AS words, greatest(len(regexp_extract_all(text, '[.!?][ \\t\\n]+[A-Z]')), 1) + 1 AS sentences, len([x for x in w if length(x) > 2 AND length(regexp_replace(x, '[aeiou]', '', 'g')) > 1]) AS c, length(regexp_replace(text, '[ \\t\\n\\r]', '', 'g')) AS chars, len(list_distinct(w)) AS u FROM e)
+SELECT doc_id, words, sentences::INT AS sentences, c AS complex_words, chars, round(0.4 * (words / sentences + 100.0 * c / words), 4) AS gunning_fog, round(0.0588 * (100.0 * chars / words) - 0.296 * (100.0 * sentences / words) - 15.8, 4) AS coleman_liau, round(sqrt(30.0 * c / sentences) + 3, 4) AS smog, round(u / words, 4) AS lexical_diversity FROM f""")
+def reading_levels(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").where("lang = 'en'")
+    return rounded(profiling.readability(d, "text").select("doc_id", "words", "sentences", "complex_words", "chars", "gunning_fog", "coleman_liau", "smog", "lexical_diversity"), 4)
+
+
+@query("""WITH s AS (SELECT exp((l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER ()) AS e FROM lineitem), m AS (SELECT e, avg(e) OVER () AS m FROM s)
+SELECT 'l_quantity' AS variable, round(sum(e), 3) AS sum, round(avg(e), 4) AS mean, round(stddev_samp(e), 4) AS sd, round(avg((e - m) ** 3) / pow(avg((e - m) ** 2), 1.5), 4) AS skewness, round(avg((e - m) ** 4) / pow(avg((e - m) ** 2), 2), 4) AS kurtosis FROM m""")
+def scaled_shape(spark, sf_dir):
+    return rounded(rounded(profiling.shape_statistics(load(spark, sf_dir, "lineitem"), ["l_quantity"]), 4), 3, "sum")
+
+
+# ---- cleaning ----------------------------------------------------------------------------------
+
+def _scale_sql(mid: str, size: str) -> str:
+    return f"SELECT p_partkey, round((p_size - (SELECT {mid} FROM part)) / (SELECT {size} FROM part), 6) AS p_size, round((p_retailprice - (SELECT {mid.replace('p_size', 'p_retailprice')} FROM part)) / (SELECT {size.replace('p_size', 'p_retailprice')} FROM part), 6) AS p_retailprice FROM part"
+
+
+def _scaled(spark, sf_dir, method):
+    p, cols = load(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"]
+    return rounded(cleaning.apply_scaler(p, cleaning.fit_scaler(p, cols, method), cols), 6)
+
+
+@query(_scale_sql("avg(p_size)", "stddev_samp(p_size)"))
+def scale_standard(spark, sf_dir):
+    return _scaled(spark, sf_dir, "standard")
+
+
+@query(_scale_sql("min(p_size)", "max(p_size) - min(p_size)"))
+def scale_minmax(spark, sf_dir):
+    return _scaled(spark, sf_dir, "minmax")
+
+
+@query(_scale_sql("median(p_size)", "quantile_cont(p_size, 0.75) - quantile_cont(p_size, 0.25)"))
+def scale_robust(spark, sf_dir):
+    return _scaled(spark, sf_dir, "robust")
+
+
+@query("""WITH q AS (SELECT quantile_cont(c_acctbal, 0.25) AS a, quantile_cont(c_acctbal, 0.75) AS b FROM customer) SELECT c_custkey, CASE WHEN c_acctbal BETWEEN a - 0.2 * (b - a) AND b + 0.2 * (b - a) THEN c_acctbal END AS c_acctbal FROM customer, q""")
+def fenced_balances(spark, sf_dir):
+    return cleaning.fence_to_null(load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"], 0.2)
+
+
+@query("""WITH q AS (SELECT quantile_cont(p_size, [0.25, 0.5, 0.75]) AS q FROM part) SELECT p_partkey, 1 + (p_size > q[1])::INT + (p_size > q[2])::INT + (p_size > q[3])::INT AS p_size FROM part, q""")
+def quartile_bins(spark, sf_dir):
+    return cleaning.quartile_bins(load(spark, sf_dir, "part").select("p_partkey", "p_size"), ["p_size"])
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity * l_discount, 6) AS l_quantity_x_l_discount, round(l_quantity * l_tax, 6) AS l_quantity_x_l_tax, round(l_discount * l_tax, 6) AS l_discount_x_l_tax FROM lineitem")
+def interaction_terms(spark, sf_dir):
+    d = cleaning.interactions(load(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
+    return rounded(d.select("l_orderkey", "l_linenumber", "l_quantity_x_l_discount", "l_quantity_x_l_tax", "l_discount_x_l_tax"), 6)
+
+
+@query("SELECT o_orderkey, (o_orderstatus = 'F')::INT AS \"o_orderstatus.F\", (o_orderstatus = 'O')::INT AS \"o_orderstatus.O\", (o_orderstatus = 'P')::INT AS \"o_orderstatus.P\" FROM orders")
+def one_hot_status(spark, sf_dir):
+    return cleaning.one_hot(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["F", "O", "P"])
+
+
+@query("""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 5 != 0 THEN p_size END AS p_size, CASE WHEN p_partkey % 7 != 0 THEN p_type END AS p_type FROM part)
+SELECT p_partkey, round(coalesce(p_size, (SELECT avg(p_size) FROM p)), 6) AS p_size, coalesce(p_type, (SELECT p_type FROM p WHERE p_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, p_type LIMIT 1)) AS p_type FROM p""")
+def imputed_parts(spark, sf_dir):
+    p = load(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_size")).alias("p_size"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_type")).alias("p_type"))
+    return rounded(cleaning.impute(p, ["p_size"], ["p_type"]), 6)
+
+
+@query("""SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1.5 WHEN 'MACHINERY' THEN 0.8 ELSE 1.0 END AS c_acctbal_total_weight, round(c_acctbal * CASE c_mktsegment WHEN 'BUILDING' THEN 1.5 WHEN 'MACHINERY' THEN 0.8 ELSE 1.0 END, 4) AS c_acctbal_weighted FROM customer""")
+def weighted_balances(spark, sf_dir):
+    d = cleaning.apply_weights(load(spark, sf_dir, "customer"), {"c_mktsegment": {"BUILDING": 1.5, "MACHINERY": 0.8}}, ["c_acctbal"])
+    return rounded(d.select("c_custkey", "c_acctbal_total_weight", "c_acctbal_weighted"), 4)
+
+
+@query("""SELECT 'c_custkey' AS variable, count(DISTINCT c_custkey) / count(*) < 0.95 AS categorical FROM customer UNION ALL SELECT 'c_nationkey', count(DISTINCT c_nationkey) / count(*) < 0.95 FROM customer UNION ALL SELECT 'c_mktsegment', count(DISTINCT c_mktsegment) / count(*) < 0.95 FROM customer""")
+def categorical_columns(spark, sf_dir):
+    return cleaning.categorical_columns(load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"))
+
+
+@query("""WITH c AS (SELECT count(*) FILTER (quality = 0) AS lo, count(*) FILTER (quality = 1) AS hi FROM labels) SELECT quality, CASE WHEN quality = (CASE WHEN lo <= hi THEN 0 ELSE 1 END) THEN 2 * count(*) ELSE count(*) END AS n FROM labels, c GROUP BY quality, lo, hi""")
+def balanced_labels(spark, sf_dir):
+    d = load(spark, sf_dir, "labels").join(load(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return cleaning.balanced_sample(d.select("doc_id", "n_chars", "toxic", "quality"), "quality", ["n_chars", "toxic"], 100, 5, "doc_id").groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- outliers ----------------------------------------------------------------------------------
+
+@query("SELECT c_custkey, (abs((c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER ()) > 1.5)::INT AS outlier FROM customer")
+def outlier_z(spark, sf_dir):
+    return outliers.z_flags(load(spark, sf_dir, "customer"), "c_acctbal", 1.5).select("c_custkey", "outlier")
+
+
+@query("WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem) SELECT l_orderkey, l_linenumber, l_extendedprice, (l_extendedprice < a - 0.3 * (b - a) OR l_extendedprice > b + 0.3 * (b - a))::INT AS outlier FROM lineitem, q")
+def outlier_tukey(spark, sf_dir):
+    return outliers.tukey_flags(load(spark, sf_dir, "lineitem"), "l_extendedprice", 0.3).select("l_orderkey", "l_linenumber", "l_extendedprice", "outlier")
+
+
+_DEV = "WITH m AS (SELECT median(c_acctbal) AS m FROM customer), d AS (SELECT median(abs(c_acctbal - m)) AS d FROM customer, m)"
+
+
+@query(f"{_DEV} SELECT c_custkey, (CASE WHEN d = 0 THEN c_acctbal != m ELSE abs(c_acctbal - m) > 1.5 * d END)::INT AS outlier FROM customer, m, d")
+def outlier_mad(spark, sf_dir):
+    return outliers.mad_flags(load(spark, sf_dir, "customer"), "c_acctbal", 1.5).select("c_custkey", "outlier")
+
+
+@query(f"{_DEV} SELECT c_custkey, (0.6745 * abs(c_acctbal - m) / (1.4826 * d) > 0.7)::INT AS outlier FROM customer, m, d")
+def outlier_modified_z(spark, sf_dir):
+    return outliers.modified_z_flags(load(spark, sf_dir, "customer"), "c_acctbal", 0.7).select("c_custkey", "outlier")
+
+
+@query()  # the limit needs a t quantile; tested against the formula
+def outlier_grubbs(spark, sf_dir):
+    return outliers.grubbs_flags(load(spark, sf_dir, "customer"), "c_acctbal").select("c_custkey", "outlier")
+
+
+@query("""WITH s AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my, var_samp(l_quantity) AS a, var_samp(l_extendedprice) AS b, covar_samp(l_quantity, l_extendedprice) AS c FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_extendedprice, round((b * (l_quantity - mx) ** 2 - 2 * c * (l_quantity - mx) * (l_extendedprice - my) + a * (l_extendedprice - my) ** 2) / (a * b - c * c), 6) AS distance2,
+((b * (l_quantity - mx) ** 2 - 2 * c * (l_quantity - mx) * (l_extendedprice - my) + a * (l_extendedprice - my) ** 2) / (a * b - c * c) > 5.991464547107979)::INT AS outlier FROM lineitem, s""")
+def outlier_mahalanobis(spark, sf_dir):
+    d = outliers.mahalanobis_flags(load(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"])
+    return rounded(d.select("l_orderkey", "l_linenumber", "l_extendedprice", "distance2", "outlier"), 6, "distance2")
+
+
+@query("""WITH p AS (SELECT s_suppkey, s_acctbal / 100 AS x, s_nationkey::DOUBLE AS y FROM supplier), d AS (SELECT a.s_suppkey AS id, count(*) AS n FROM p a JOIN p b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 25 GROUP BY 1),
+r AS (SELECT DISTINCT a.s_suppkey AS id FROM p a JOIN p b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 25 JOIN d ON d.id = b.s_suppkey AND d.n >= 3) SELECT s_suppkey, (r.id IS NULL)::INT AS outlier FROM p LEFT JOIN r ON r.id = s_suppkey""")
+def outlier_noise(spark, sf_dir):
+    p = load(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 100).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    return outliers.noise_flags(p, "s_suppkey", ["x", "y"], 5.0, 3).select("s_suppkey", "outlier")
+
+
+@query("""WITH p AS (SELECT s_suppkey AS id, s_acctbal / 100 AS x, s_nationkey::DOUBLE AS y FROM supplier), d AS (SELECT a.id, b.id AS o, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM p a JOIN p b ON a.id != b.id),
+n AS (SELECT id, o, d FROM (SELECT *, rank() OVER (PARTITION BY id ORDER BY d) AS r FROM d) WHERE r <= 4), k AS (SELECT id, max(d) AS kd FROM n GROUP BY 1),
+l AS (SELECT n.id, count(*) / sum(greatest(n.d, k.kd)) AS lrd FROM n JOIN k ON k.id = n.o GROUP BY 1) SELECT n.id AS s_suppkey, round(avg(o.lrd) / max(m.lrd), 5) AS lof FROM n JOIN l o ON o.id = n.o JOIN l m ON m.id = n.id GROUP BY 1""")
+def outlier_local_factor(spark, sf_dir):
+    p = load(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 100).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    return rounded(outliers.lof_flags(p, "s_suppkey", ["x", "y"]).select("s_suppkey", "lof"), 5)
+
+
+@query("""WITH m AS (SELECT avg(l_quantity) AS a, avg(l_extendedprice) AS b FROM lineitem) SELECT round(corr(l_quantity, l_extendedprice), 2) AS r, round(100.0 * count(*) FILTER (l_quantity > a AND l_extendedprice > b) / count(*), 1) AS high_high, round(100.0 * count(*) FILTER (l_quantity <= a AND l_extendedprice > b) / count(*), 1) AS low_high,
+round(100.0 * count(*) FILTER (l_quantity > a AND l_extendedprice <= b) / count(*), 1) AS high_low, round(100.0 * count(*) FILTER (l_quantity <= a AND l_extendedprice <= b) / count(*), 1) AS low_low FROM lineitem, m""")
+def quadrant_shares(spark, sf_dir):
+    return outliers.standard_pair(load(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
+
+
+# ---- fuzzy matching, texts ---------------------------------------------------------------------
+
+_PAIRS = "WITH p AS (SELECT DISTINCT p_name AS t FROM part), m AS (SELECT a.t AS query, b.t AS candidate, {d} AS distance FROM p a CROSS JOIN p b WHERE {w})"
+_RANKED = "SELECT query, candidate, '{m}' AS method, round(distance, 6) AS distance, round(100 * s, 6) AS similarity, rank() OVER (PARTITION BY query ORDER BY s DESC) AS match_rank FROM (SELECT *, {s} AS s FROM m WHERE {k})"
+
+
+def _fuzzy_sql(m: str, d: str, s: str, keep: str, w: str = "TRUE") -> str:
+    return f"{_PAIRS.format(d=d, w=w)} {_RANKED.format(m=m, s=s, k=keep)}"
+
+
+_LONGEST = "1 - distance / greatest(length(query), length(candidate))"
+
+
+def _self_match(spark, sf_dir, method):
+    p = load(spark, sf_dir, "part")
+    return rounded(fuzzy.fuzzy_match(p, p, "p_name", "p_name", [method]), 6)
+
+
+@query(_fuzzy_sql("levenshtein", "levenshtein(a.t, b.t)::DOUBLE", _LONGEST, "distance <= 2"))
+def fuzzy_levenshtein(spark, sf_dir):
+    return _self_match(spark, sf_dir, "levenshtein")
+
+
+@query(_fuzzy_sql("damerau", "damerau_levenshtein(a.t, b.t)::DOUBLE", _LONGEST, "distance <= 2"))
+def fuzzy_damerau(spark, sf_dir):
+    return _self_match(spark, sf_dir, "damerau")
+
+
+@query(_fuzzy_sql("hamming", "hamming(a.t, b.t)::DOUBLE", _LONGEST, "distance <= 2", "length(a.t) = length(b.t)"))
+def fuzzy_hamming(spark, sf_dir):
+    return _self_match(spark, sf_dir, "hamming")
+
+
+@query(_fuzzy_sql("jaro", "1 - jaro_similarity(a.t, b.t)", "1 - distance", "distance <= 0.15 + 1e-12"))
+def fuzzy_jaro(spark, sf_dir):
+    return _self_match(spark, sf_dir, "jaro")
+
+
+@query()  # no such distance in SQL; tested against a plain version
+def fuzzy_lcs(spark, sf_dir):
+    return _self_match(spark, sf_dir, "lcs")
+
+
+@query("""WITH p AS (SELECT DISTINCT p_name AS t FROM part), c AS (SELECT t, ch, count(*)::DOUBLE AS n FROM (SELECT t, unnest(string_split(t, '')) AS ch FROM p) GROUP BY 1, 2), z AS (SELECT t, sqrt(sum(n * n)) AS z FROM c GROUP BY 1),
+m AS (SELECT a.t AS query, b.t AS candidate, 1 - sum(a.n * b.n) / (any_value(x.z) * any_value(y.z)) AS distance FROM c a JOIN c b USING (ch) JOIN z x ON x.t = a.t JOIN z y ON y.t = b.t GROUP BY 1, 2)
+SELECT query, candidate, 'cosine' AS method, round(distance, 6) + 0.0 AS distance, round(100 * (1 - distance), 6) AS similarity, rank() OVER (PARTITION BY query ORDER BY round(1 - distance, 9) DESC) AS match_rank FROM m WHERE distance <= 0.2 + 1e-12""")
+def fuzzy_cosine(spark, sf_dir):
+    from pyspark.sql import Window
+
+    p = load(spark, sf_dir, "part")
+    m = fuzzy.fuzzy_match(p, p, "p_name", "p_name", ["cosine"])
+    m = m.withColumn("match_rank", F.rank().over(Window.partitionBy("query").orderBy(F.desc(F.round(F.col("similarity") / 100, 9)))))
+    return rounded(m, 6).withColumn("distance", F.abs("distance"))
+
+
+@query(f"""{_PAIRS.format(d='levenshtein(a.t, b.t)::DOUBLE', w='TRUE')}, h AS ({_PAIRS.format(d='hamming(a.t, b.t)::DOUBLE', w='length(a.t) = length(b.t)')} SELECT * FROM m WHERE distance <= 2),
+u AS (SELECT *, 100 * ({_LONGEST}) AS s FROM m WHERE distance <= 2 UNION ALL SELECT *, 100 * ({_LONGEST}) FROM h) SELECT query, candidate, count(*) AS n, round(avg(s), 6) AS mean_similarity, round(median(s), 6) AS median_similarity FROM u GROUP BY 1, 2""")
+def fuzzy_statistics(spark, sf_dir):
+    p = load(spark, sf_dir, "part")
+    return rounded(fuzzy.match_statistics(fuzzy.fuzzy_match(p, p, "p_name", "p_name", ["levenshtein", "hamming"])), 6)
+
+
+@query("SELECT conv_id, turn, md5(trim(regexp_replace(regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS cleaned FROM conversations")
+def cleaned_turns(spark, sf_dir):
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(fuzzy.normalise(F.col("text"))).alias("cleaned"))
+
+
+_LEX = "(VALUES " + ", ".join(f"('{w}', {v})" for w, v in sentiment.LEXICON.items()) + ") l(token, value)"
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '([a-z0-9'']+)', 1)) AS token FROM documents), s AS (SELECT doc_id, sum(coalesce(value, 0))::DOUBLE AS score FROM t LEFT JOIN {_LEX} USING (token) GROUP BY 1)
+SELECT doc_id, score, CASE WHEN score > 1 THEN 'positive' WHEN score < -1 THEN 'negative' ELSE 'neutral' END AS label FROM documents LEFT JOIN s USING (doc_id)""")
+def sentiment_labels(spark, sf_dir):
+    s = sentiment.sentiment_scores(load(spark, sf_dir, "documents"), "doc_id", "text")
+    return s.withColumn("label", sentiment.label(F.col("score"), sentiment.CUT_OFFS["bing"]))
+
+
+@query(f"""WITH a AS (SELECT doc_id, regexp_extract_all(lower(text), '([a-z0-9'']+)', 1) AS w FROM documents), t AS (SELECT doc_id, unnest(w) AS token, unnest(list_prepend(NULL, w[:-2])) AS before FROM a),
+s AS (SELECT doc_id, sum(value * CASE WHEN before IN ('not', 'no', 'never', 'without') THEN -1 WHEN before IN ('very', 'really', 'extremely', 'too') THEN 2 ELSE 1 END)::DOUBLE AS score FROM t JOIN {_LEX} USING (token) GROUP BY 1)
+SELECT doc_id, coalesce(score, 0) AS score FROM documents LEFT JOIN s USING (doc_id)""")
+def sentiment_negated(spark, sf_dir):
+    return sentiment.negated_sentiment(load(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("""WITH s AS (SELECT lang, sum((contains(text, 'the') OR contains(text, 'der'))::INT)::BIGINT AS articles, sum(contains(text, 'que')::INT)::BIGINT AS romance FROM documents GROUP BY 1), l AS (UNPIVOT s ON articles, romance INTO NAME category VALUE n)
+SELECT lang, category, n, round(CASE WHEN sum(n) OVER (PARTITION BY lang) > 0 THEN 100.0 * n / sum(n) OVER (PARTITION BY lang) ELSE 0 END, 4) AS pct FROM l""")
+def keyword_shares(spark, sf_dir):
+    return rounded(sentiment.category_shares(load(spark, sf_dir, "documents"), "text", ["lang"], {"articles": ["the", "der"], "romance": ["que"]}), 4)
+
+
+# ---- statistics --------------------------------------------------------------------------------
+
+@query("""WITH c AS (SELECT l_quantity AS x, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1), m AS (SELECT sum(x * n) / sum(n) AS m, sum(n) AS t FROM c), v AS (SELECT sum((x - m) ** 2 * n) / (t - 1) AS v FROM c, m GROUP BY t), e AS (SELECT n, exp(-((x - m) ** 2) / (2 * v)) AS e, t FROM c, m, v)
+SELECT round(sum((n - e / s * t) ** 2 / (e / s * t)), 3) AS chi2, count(*) - 1 AS df FROM e, (SELECT sum(e) AS s FROM e)""")
+def goodness_of_fit(spark, sf_dir):
+    g = statistics.goodness_of_fit(load(spark, sf_dir, "lineitem"), "l_quantity")
+    return spark.createDataFrame([(round(g["chi2"], 3), g["df"])], "chi2 double, df long")
+
+
+@query("""WITH s AS (SELECT count(*) AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v, avg(ln(l_extendedprice)) AS ml, var_pop(ln(l_extendedprice)) AS vl FROM lineitem)
+SELECT 'gaussian' AS family, round(4 + n * (ln(2 * pi() * v) + 1), 1) AS aic FROM s UNION ALL SELECT 'exponential', round(2 + 2 * (n * ln(m) + n), 1) FROM s UNION ALL SELECT 'log_normal', round(4 + n * (ln(2 * pi() * vl) + 1) + 2 * n * ml, 1) FROM s""")
+def distribution_fits(spark, sf_dir):
+    fits = statistics.best_distribution(load(spark, sf_dir, "lineitem"), "l_extendedprice")
+    return spark.createDataFrame([(f["family"], round(f["aic"], 1)) for f in fits if f["family"] != "gamma"], "family string, aic double")
+
+
+@query("""WITH r AS (SELECT l_returnflag AS g, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS r, l_quantity AS x FROM lineitem), g AS (SELECT g, sum(r) AS s, count(*)::DOUBLE AS n FROM r GROUP BY 1), t AS (SELECT sum(k ** 3 - k) AS t FROM (SELECT count(*)::DOUBLE AS k FROM r GROUP BY x)),
+a AS (SELECT sum(s * s / n) AS q, sum(n) AS n, count(*) - 1 AS df FROM g) SELECT round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n ** 3 - n)), 5) AS h, df, n::BIGINT AS n FROM a, t""")
+def kruskal_wallis(spark, sf_dir):
+    return rounded(statistics.kruskal_wallis(load(spark, sf_dir, "lineitem"), "l_quantity", "l_returnflag"), 5)
+
+
+@query("""WITH g AS (SELECT l_returnflag AS g, count(*) AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v FROM lineitem GROUP BY 1)
+SELECT a.g AS group1, b.g AS group2, round((a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)), 6) AS cohen_d, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS welch_t FROM g a JOIN g b ON a.g < b.g""")
+def effect_sizes(spark, sf_dir):
+    return rounded(statistics.effect_sizes(load(spark, sf_dir, "lineitem"), "l_extendedprice", "l_returnflag"), 6)
+
+
+@query()  # the interval needs t quantiles
+def group_means(spark, sf_dir):
+    return rounded(statistics.group_means(load(spark, sf_dir, "lineitem"), "l_extendedprice", "l_returnflag"), 4)
+
+
+@query("""WITH v AS (SELECT var_samp(l_quantity) AS xx, var_samp(l_discount) AS mm, covar_samp(l_quantity, l_discount) AS xm, covar_samp(l_quantity, l_extendedprice) AS xy, covar_samp(l_discount, l_extendedprice) AS my FROM lineitem),
+p AS (SELECT xm / xx AS a, (xx * my - xm * xy) / (xx * mm - xm * xm) AS b, (mm * xy - xm * my) / (xx * mm - xm * xm) AS c FROM v) SELECT round(a, 8) AS a, round(b, 3) AS b, round(c, 4) AS c, round(a * b, 4) AS indirect, round(c + a * b, 4) AS total FROM p""")
+def mediation_paths(spark, sf_dir):
+    m = statistics.mediation(load(spark, sf_dir, "lineitem"), "l_quantity", "l_discount", "l_extendedprice")
+    return m.select(F.round("a", 8).alias("a"), F.round("b", 3).alias("b"), *[F.round(c, 4).alias(c) for c in ("c", "indirect", "total")])
+
+
+@query("SELECT round(1.5 * (1 - (var_samp(l_quantity) + var_samp(l_discount * 100) + var_samp(l_tax * 100)) / var_samp(l_quantity + l_discount * 100 + l_tax * 100)), 6) AS alpha FROM lineitem")
+def scale_reliability(spark, sf_dir):
+    d = load(spark, sf_dir, "lineitem").select("l_quantity", (F.col("l_discount") * 100).alias("d"), (F.col("l_tax") * 100).alias("t"))
+    return rounded(statistics.cronbach_alpha(d, ["l_quantity", "d", "t"]), 6)
+
+
+@query("""WITH c AS (SELECT (value > 50)::INT AS p, (event_type = 'purchase')::INT AS a FROM events), r AS (SELECT p AS class, count(*) AS n, count(*) FILTER (p = a) AS k FROM c GROUP BY 1), s AS (SELECT a AS class, count(*) AS support FROM c GROUP BY 1)
+SELECT class, support, k AS correct, round(k / n, 6) AS precision, round(k / support, 6) AS recall, round(2 * (k / n) * (k / support) / (k / n + k / support), 6) AS f1 FROM r JOIN s USING (class)""")
+def confusion_figures(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select((F.col("value") > 50).cast("int").alias("p"), (F.col("event_type") == "purchase").cast("int").alias("a"))
+    return rounded(statistics.confusion(e, "p", "a"), 6)
+
+
+@query("""WITH r AS (SELECT quality, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0 AS r FROM labels JOIN documents USING (doc_id))
+SELECT round((sum(r) FILTER (quality = 1) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2.0) / (count(*) FILTER (quality = 1) * count(*) FILTER (quality = 0)), 6) AS auc FROM r""")
+def roc_area(spark, sf_dir):
+    d = load(spark, sf_dir, "labels").join(load(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return rounded(statistics.area_under_curve(d, "n_chars", "quality"), 6)
+
+
+@query("""WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_r2(l_extendedprice, l_quantity) AS r2, count(*) AS n FROM lineitem) SELECT 'intercept' AS name, round(a, 4) AS value FROM f UNION ALL SELECT 'slope', round(b, 4) FROM f UNION ALL SELECT 'r2', round(r2, 6) FROM f""")
+def linear_model(spark, sf_dir):
+    m = statistics.least_squares(load(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"])
+    return spark.createDataFrame([("intercept", round(m["coefficients"]["1"], 4)), ("slope", round(m["coefficients"]["l_quantity"], 4)), ("r2", round(m["r2"], 6))], "name string, value double")
+
+
+# ---- graph -------------------------------------------------------------------------------------
+
+_EDGES = "WITH RECURSIVE e AS (SELECT DISTINCT least(c, s + 100000) AS a, greatest(c, s + 100000) AS b FROM (SELECT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 40 = 0)), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
+
+
+def _graph(spark, sf_dir):
+    o, li = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")
+    d = o.where("o_orderkey % 40 = 0").join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c"), (F.col("l_suppkey") + 100000).alias("s"))
+    return graph.simple_edges(d, "c", "s")
+
+
+_NATIONS = "WITH RECURSIVE e AS (SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
+
+
+def _nations(spark, sf_dir):
+    n = load(spark, sf_dir, "nation")
+    d = n.select(F.col("n_nationkey").alias("x"), "n_regionkey").join(n.select(F.col("n_nationkey").alias("y"), "n_regionkey"), "n_regionkey")
+    return graph.simple_edges(d, "x", "y")
+
+
+@query(f"{_NATIONS}, r AS (SELECT a AS node, a AS o FROM b UNION SELECT r.node, b.b FROM r JOIN b ON b.a = r.o) SELECT node, min(o) AS component FROM r GROUP BY 1")
+def graph_components(spark, sf_dir):
+    return graph.components(_nations(spark, sf_dir))
+
+
+@query(f"{_NATIONS}, r AS (SELECT a AS node, a AS o FROM b UNION SELECT r.node, b.b FROM r JOIN b ON b.a = r.o), c AS (SELECT node, min(o) AS component FROM r GROUP BY 1) SELECT component, count(*) AS size FROM c GROUP BY 1")
+def graph_component_sizes(spark, sf_dir):
+    return graph.component_summary(graph.components(_nations(spark, sf_dir)))
+
+
+@query(f"{_EDGES}, d AS (SELECT a, count(*) AS degree FROM b GROUP BY 1), h AS (SELECT degree, count(*) AS n FROM d GROUP BY 1) SELECT degree, n, sum(n) OVER (ORDER BY degree DESC)::BIGINT AS ccdf FROM h")
+def graph_degrees(spark, sf_dir):
+    return graph.degree_distribution(_graph(spark, sf_dir))
+
+
+@query(f"{_NATIONS} SELECT x.a AS node, count(*) // 2 AS triangles FROM b x JOIN b y ON y.a = x.b JOIN b z ON z.a = y.b AND z.b = x.a GROUP BY 1")
+def graph_triangles(spark, sf_dir):
+    return graph.triangle_counts(_nations(spark, sf_dir))
+
+
+@query(f"{_NATIONS}, t AS (SELECT count(*) AS t FROM b x JOIN b y ON y.a = x.b JOIN b z ON z.a = y.b AND z.b = x.a), d AS (SELECT a, count(*) AS d FROM b GROUP BY 1) SELECT round(t / 2 / (SELECT sum(d * (d - 1) / 2) FROM d), 6) AS transitivity FROM t")
+def graph_transitivity(spark, sf_dir):
+    return rounded(graph.transitivity(_nations(spark, sf_dir)), 6)
+
+
+@query(f"{_NATIONS}, g AS (SELECT n_nationkey AS node, n_regionkey AS g FROM nation), d AS (SELECT g, count(*) AS d FROM b JOIN g ON a = node GROUP BY 1), i AS (SELECT x.g, count(*) AS i FROM e JOIN g x ON a = x.node JOIN g y ON b = y.node AND x.g = y.g GROUP BY 1), m AS (SELECT count(*) AS m FROM e) SELECT round(sum(coalesce(i, 0) / m - (d / (2 * m)) ** 2), 6) AS modularity FROM d LEFT JOIN i USING (g), m")
+def graph_modularity(spark, sf_dir):
+    groups = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("component"))
+    return rounded(graph.modularity(_nations(spark, sf_dir), groups), 6)
+
+
+@query(f"{_NATIONS}, f AS (SELECT * FROM e WHERE a % 2 = 0), n AS (SELECT a FROM e UNION SELECT b FROM e), o AS (SELECT a FROM f UNION SELECT b FROM f) SELECT (SELECT count(*) FROM (SELECT a FROM n INTERSECT SELECT a FROM o)) AS common_nodes, (SELECT count(*) FROM (SELECT * FROM e INTERSECT SELECT * FROM f)) AS common_edges")
+def graph_overlap(spark, sf_dir):
+    e = _nations(spark, sf_dir)
+    return graph.overlap(e, e.where("a % 2 = 0"))
+
+
+@query(f"{_EDGES}, s AS (SELECT DISTINCT a AS s FROM b WHERE a IN (100001, 100002, 100003)), r AS (SELECT s, s AS n, 0 AS d FROM s UNION SELECT r.s, b.b, r.d + 1 FROM r JOIN b ON b.a = r.n WHERE r.d < 12), m AS (SELECT s, n, min(d) AS d FROM r GROUP BY 1, 2) SELECT s AS node, round(count(*) / sum(d), 6) AS closeness FROM m WHERE d > 0 GROUP BY 1")
+def graph_closeness(spark, sf_dir):
+    e = _graph(spark, sf_dir)
+    sources = e.select(F.col("b").alias("node")).where(F.col("node").isin(100001, 100002, 100003)).distinct()
+    return rounded(graph.closeness(e, sources), 6)
+
+
+@query()  # peeling is a loop; tested against a plain version
+def graph_cores(spark, sf_dir):
+    return graph.core_numbers(_nations(spark, sf_dir))
+
+
+# ---- chart tables ------------------------------------------------------------------------------
+
+@query("""WITH l AS (UNPIVOT (SELECT l_returnflag, l_linenumber AS q1, (l_quantity % 5 + 1)::INT AS q2 FROM lineitem) ON q1, q2 INTO NAME item VALUE a), c AS (SELECT item, l_returnflag, CASE WHEN a <= 2 THEN 'low' WHEN a = 3 THEN 'mid' WHEN a <= 5 THEN 'high' END AS response, count(*) AS n FROM l WHERE a BETWEEN 1 AND 5 GROUP BY 1, 2, 3)
+SELECT item, l_returnflag, response, n, round(100.0 * n / sum(n) OVER (PARTITION BY item, l_returnflag), 4) AS pct FROM c""")
+def survey_frequencies(spark, sf_dir):
+    d = load(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_linenumber").alias("q1"), (F.col("l_quantity") % 5 + 1).cast("int").alias("q2"))
+    return rounded(charts.survey_frequencies(d, ["q1", "q2"], ["a", "b", "c", "d", "e"], {"a": "low", "b": "low", "c": "mid", "d": "high", "e": "high"}, "l_returnflag"), 4)
+
+
+@query("SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY o_orderpriority), 4) AS pct FROM orders GROUP BY 1, 2")
+def stacked_percentages(spark, sf_dir):
+    return rounded(charts.stacked_percentages(load(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus"), 4)
+
+
+@query("SELECT coalesce(CASE WHEN o_orderstatus != 'P' THEN o_orderstatus END, 'NA''s') AS level, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM orders GROUP BY 1")
+def level_percentages(spark, sf_dir):
+    d = load(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("s"))
+    return rounded(charts.level_percentages(d, "s", nulls=True), 4)
+
+
+@query("""SELECT o_orderpriority, round(avg(o_totalprice), 3) AS mean, count(*) AS n, round(stddev_samp(o_totalprice), 3) AS sd, round(stddev_samp(o_totalprice) / sqrt(count(*)), 3) AS se, round((SELECT median(o_totalprice) FROM orders), 3) AS threshold, avg(o_totalprice) >= (SELECT median(o_totalprice) FROM orders) AS reached FROM orders GROUP BY 1""")
+def benchmarked_bars(spark, sf_dir):
+    return rounded(charts.benchmarked(load(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", "median"), 3)
+
+
+@query("WITH m AS (SELECT avg(o_totalprice) AS m FROM orders) SELECT o_orderpriority, round(count(*) FILTER (o_totalprice >= m) / count(*), 6) AS above, round(count(*) FILTER (o_totalprice < m) / count(*), 6) AS below FROM orders, m GROUP BY 1")
+def centred_bars(spark, sf_dir):
+    return rounded(charts.centred(load(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice"), 6)
+
+
+@query("UNPIVOT (SELECT s_suppkey, -s_nationkey::DOUBLE AS \"left\", s_acctbal AS \"right\" FROM supplier) ON \"left\", \"right\" INTO NAME side VALUE value")
+def diverging_bars(spark, sf_dir):
+    return charts.diverging(load(spark, sf_dir, "supplier").withColumn("n", F.col("s_nationkey").cast("double")), "n", "s_acctbal", "s_suppkey")
+
+
+@query("""WITH l AS (UNPIVOT (SELECT l_quantity, l_tax FROM lineitem) ON l_quantity, l_tax INTO NAME variable VALUE x) SELECT variable, round(avg(x), 5) AS value, round(avg(x) - 2 * stddev_samp(x) / sqrt(count(x)), 5) AS low, round(avg(x) + 2 * stddev_samp(x) / sqrt(count(x)), 5) AS high FROM l GROUP BY 1""")
+def profile_bars(spark, sf_dir):
+    return rounded(charts.profile(load(spark, sf_dir, "lineitem"), ["l_quantity", "l_tax"], "mean", "sem"), 5)
+
+
+@query("SELECT c_mktsegment, round(median(c_acctbal), 4) AS value, median(c_acctbal) >= 4500 AS reached FROM customer GROUP BY 1")
+def lollipop(spark, sf_dir):
+    return rounded(charts.by_group(load(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal", "median", 4500), 4)
+
+
+_ALL = " UNION ALL ".join(f"SELECT '{c}' AS category, {c}::VARCHAR AS level, 'l_quantity' AS variable, '{n}' AS statistic, round({f}(l_quantity), 1)::DOUBLE AS value FROM lineitem GROUP BY {c}" for c in ("l_returnflag", "l_linenumber") for n, f in (("mean", "avg"), ("median", "median"), ("min", "min"), ("max", "max"), ("sum", "sum"), ("count", "count")))
+
+
+@query(_ALL)
+def all_statistics(spark, sf_dir):
+    return charts.all_statistics(load(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"], ["l_quantity"])
+
+
+@query("""WITH g AS (UNPIVOT (SELECT l_returnflag AS "group", avg(l_quantity) AS l_quantity, avg(l_tax) AS l_tax FROM lineitem GROUP BY 1) ON l_quantity, l_tax INTO NAME variable VALUE value)
+SELECT "group", variable, 'mean' AS statistic, round(value, 6) AS value, round((rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0) / count(*) OVER (), 6) AS relative_rank FROM g""")
+def described_heat(spark, sf_dir):
+    return rounded(charts.described_heat(load(spark, sf_dir, "lineitem"), ["l_quantity", "l_tax"], "l_returnflag"), 6)
+
+
+@query("WITH p AS (SELECT c_mktsegment, round(100.0 * avg((c_nationkey < 10)::INT))::INT AS pct FROM customer GROUP BY 1) SELECT c_mktsegment, pct, dot, dot <= pct AS filled FROM p CROSS JOIN (SELECT range::INT AS dot FROM range(1, 101))")
+def dot_grids(spark, sf_dir):
+    d = load(spark, sf_dir, "customer").withColumn("one", (F.col("c_nationkey") < 10).cast("int"))
+    return charts.dot_grid(d, "one", "c_mktsegment")
+
+
+@query("""WITH g AS (SELECT p_brand, regr_slope(p_retailprice, p_size) AS slope, regr_intercept(p_retailprice, p_size) AS intercept, regr_r2(p_retailprice, p_size) AS r2, min(p_size) AS x0, max(p_size) AS x1 FROM part GROUP BY 1)
+SELECT p_brand, round(slope, 5) AS slope, round(intercept, 4) AS intercept, round(r2, 6) AS r2, x0, x1, round(intercept + slope * x0, 4) AS y0, round(intercept + slope * x1, 4) AS y1, ceil(dense_rank() OVER (ORDER BY p_brand) / 10)::INT AS panel FROM g""")
+def group_lines(spark, sf_dir):
+    d = charts.group_lines(load(spark, sf_dir, "part"), "p_size", "p_retailprice", "p_brand", 10)
+    return rounded(rounded(rounded(d, 6, "r2"), 5, "slope"), 4, "intercept", "y0", "y1")
