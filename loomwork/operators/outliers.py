@@ -44,9 +44,9 @@ def mad_flags(df: DataFrame, column: str, multiplier: float = 3.0, out: str = "o
 
 
 def modified_z_flags(df: DataFrame, column: str, limit: float = 3.5, out: str = "outlier") -> DataFrame:
-    """0.6745 x deviation / (1.4826 x median deviation) above ``limit``; the double scaling is kept as the method has it."""
+    """0.6745 x deviation / (1.4826 x median deviation) above ``limit``; the double scaling is kept as the method has it. Where that is 0, anything off the median."""
     score = 0.6745 * F.abs(F.col(column) - F.col("__m")) / (1.4826 * F.col("__d"))
-    return _median_deviation(df, column).withColumn(out, F.when(F.col("__d") != 0, (score > limit).cast("int"))).drop("__m", "__d")
+    return _median_deviation(df, column).withColumn(out, F.when(F.col("__d") != 0, score > limit).otherwise(F.col(column) != F.col("__m")).cast("int")).drop("__m", "__d")
 
 
 def grubbs_limit(n: int, alpha: float = 0.05) -> float:

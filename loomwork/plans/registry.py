@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.operators import attribution, charts, cleaning, fuzzy, graph, intervals, outliers, profiling, sentiment, statistics, timeseries
+from loomwork.operators import attribution, charts, cleaning, fuzzy, graph, intervals, models, outliers, profiling, sentiment, statistics, timeseries
+from loomwork.streaming import journeys
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -710,3 +711,43 @@ SELECT p_brand, round(slope, 5) AS slope, round(intercept, 4) AS intercept, roun
 def group_lines(spark, sf_dir):
     d = charts.group_lines(load(spark, sf_dir, "part"), "p_size", "p_retailprice", "p_brand", 10)
     return rounded(rounded(rounded(d, 6, "r2"), 5, "slope"), 4, "intercept", "y0", "y1")
+
+
+# ---- models and streams ------------------------------------------------------------------------
+
+
+@query()  # fitted by Spark ML; tested on held-out error
+def ensemble_predictions(spark, sf_dir):
+    train, test = models.split(load(spark, sf_dir, "lineitem").withColumn("id", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey")), "id")
+    features = ["l_quantity", "l_discount", "l_tax"]
+    p = models.predictions(test, models.fit_models(train, "l_extendedprice", features), ["l_orderkey", "l_linenumber", "l_extendedprice"])
+    cols = [c for c in p.columns if c.startswith("p_")]
+    return p.withColumn("mean", models.combined(cols)).withColumn("median", models.combined(cols, "median"))
+
+
+@query()
+def forest_predictions(spark, sf_dir):
+    train, test = models.split(load(spark, sf_dir, "orders"), "o_orderkey")
+    m = models.random_forest(train.withColumn("late", (F.col("o_orderstatus") == "P").cast("double")), "late", ["o_totalprice", "o_custkey"], "classify", 10)
+    return m.transform(test).select("o_orderkey", "prediction")
+
+
+@query("""WITH g AS (SELECT event_type, sum((value > 50)::INT)::DOUBLE AS hits, count(*)::DOUBLE AS trials, sum((value > 50)::INT) / count(*) AS observed FROM events GROUP BY 1), p AS (SELECT avg(observed) AS m, var_samp(observed) AS v FROM g)
+SELECT event_type, hits, trials, round(observed, 6) AS observed, round((hits + m * greatest(m * (1 - m) / v - 1, 1e-6)) / (trials + greatest(m * (1 - m) / v - 1, 1e-6)), 6) AS shrunken FROM g, p""")
+def shrunken_rates(spark, sf_dir):
+    e = load(spark, sf_dir, "events").withColumn("hit", (F.col("value") > 50).cast("int")).withColumn("one", F.lit(1))
+    return rounded(models.shrunken_rates(e, "event_type", "hit", "one"), 6)
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts)::VARCHAR AS start, event_type, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
+def windowed_events(spark, sf_dir):
+    e = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    d = journeys.windowed_events(e, "ts", ["event_type"], "value").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")).drop("end")
+    return d.withColumns({"total": F.round("total", 4), "mean": F.round("mean", 6)})
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def user_sessions(spark, sf_dir):
+    e = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return journeys.sessions(e, "ts", "user_id").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
