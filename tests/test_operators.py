@@ -128,7 +128,7 @@ def test_modes(spark):
 def test_numeric_stats_null_group(spark):
     d = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", None)], "g string, x double")
     got = {r["g"]: r for r in profiling.numeric_stats(d, ["x"], ["g"]).collect()}
-    assert got[None]["mean"] == 2 and got[None]["mad"] == pytest.approx(1.4826) and set(got) == {None}
+    assert got[None]["mean"] == 2 and got[None]["mad"] == pytest.approx(1.4826) and got["a"]["mean"] is None
 
 
 def test_weights(spark):
@@ -229,7 +229,7 @@ def test_special_functions():
     assert special.t_quantile(0.975, 10) == pytest.approx(2.2281388520, abs=1e-8)
     assert special.chi2_quantile(0.95, 2) == pytest.approx(5.991464547, abs=1e-8)
     assert special.normal_quantile(0.975) == pytest.approx(1.959963985, abs=1e-8)
-    assert special.f_cdf(4.0, 2, 10) == pytest.approx(0.94672, abs=1e-4)
+    assert special.f_cdf(4.0, 2, 10) == pytest.approx(1 - 1.8**-5)
     assert special.gamma_p(2.0, 10.0) == pytest.approx(1 - math.exp(-10) * 11)
 
 
