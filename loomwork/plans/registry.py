@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.operators import attribution, charts, cleaning, fuzzy, graph, intervals, models, outliers, profiling, sentiment, statistics, timeseries
+from loomwork.operators import attribution, charts, cleaning, fuzzy, graph, inference, intervals, models, outliers, profiling, sentiment, statistics, timeseries
 from loomwork.streaming import journeys
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -751,3 +751,41 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n F
 def user_sessions(spark, sf_dir):
     e = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return journeys.sessions(e, "ts", "user_id").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+# ---- multivariate and resampling ---------------------------------------------------------------
+
+
+@query()  # eigenvectors; tested against a plain version
+def discriminant_scores(spark, sf_dir):
+    d = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_discount", "l_tax")
+    return inference.discriminant_scores(d, "l_returnflag", ["l_quantity", "l_discount", "l_tax"])
+
+
+@query()
+def bootstrap_intervals(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    return inference.bootstrap_intervals(inference.bootstrap_means(o, "o_totalprice", "o_orderpriority", "o_orderkey", 100), "o_orderpriority")
+
+
+@query()
+def isolation_scores(spark, sf_dir):
+    return inference.isolation_scores(load(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], "p_partkey")
+
+
+@query()
+def dunn_pairs(spark, sf_dir):
+    rows = inference.dunn_pairs(load(spark, sf_dir, "lineitem"), "l_quantity", "l_returnflag")
+    return spark.createDataFrame([(r["group1"], r["group2"], r["z"], r["p"], r["p_adjusted"]) for r in rows], "group1 string, group2 string, z double, p double, p_adjusted double")
+
+
+@query("""WITH f AS (SELECT regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a FROM part), e AS (SELECT p_partkey, p_retailprice - a - b * p_size AS e FROM part, f), s AS (SELECT e, e - lag(e) OVER (ORDER BY p_partkey) AS d FROM e)
+SELECT round(median(e), 4) AS median, round(min(e), 4) AS min, round(max(e), 4) AS max, round(stddev_samp(e), 4) AS sd, round(avg(abs(e)), 4) AS mae, round(sum(d * d) / sum(e * e), 6) AS durbin_watson FROM s""")
+def residual_summary(spark, sf_dir):
+    return rounded(rounded(statistics.residual_summary(load(spark, sf_dir, "part"), "p_retailprice", ["p_size"], "p_partkey").drop("mean"), 6), 4, "median", "min", "max", "sd", "mae")
+
+
+@query("SELECT s_suppkey, round(radians(s_nationkey * 3) * 6378137.0, 3) AS x, round(ln(tan(radians(s_nationkey * 2) / 2 + pi() / 4)) * 6378137.0, 3) AS y FROM supplier")
+def web_mercator(spark, sf_dir):
+    d = load(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") * 3).alias("lon"), (F.col("s_nationkey") * 2).alias("lat"))
+    return rounded(profiling.web_mercator(d, "lon", "lat").select("s_suppkey", "x", "y"), 3)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import special
-from loomwork.operators import attribution, charts, cleaning, fuzzy, graph, intervals, models, outliers, profiling, sentiment, statistics, timeseries
+from loomwork.operators import attribution, charts, cleaning, fuzzy, graph, inference, intervals, models, outliers, profiling, sentiment, statistics, timeseries
 from loomwork.sources import files
 from loomwork.streaming import journeys
 
@@ -330,3 +330,37 @@ def test_stream_equals_table(spark, tmp_path):
     want = rows(journeys.windowed_events(e, "ts", ["k"], "v"), "start", "k", "n", "total")
     assert rows(spark.table("windowed"), "start", "k", "n", "total") == want
     assert journeys.sessions(e.where("k = 'k0'"), "ts", "k", "30 minutes").count() == 1
+
+
+# ---- multivariate and resampling ----
+
+
+def test_discriminants_box_and_factors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    y = rng.integers(3, size=600)
+    x = rng.standard_normal((600, 3)) + np.array([[0, 0, 0], [4, 0, 0], [0, 4, 0]])[y]
+    d = spark.createDataFrame([(str(k), *map(float, v)) for k, v in zip(y, x, strict=True)], "y string, a double, b double, c double")
+    axes = inference.discriminant_axes(d, "y", ["a", "b", "c"])
+    assert axes.shape == (3, 2) and np.abs(axes[2]).max() < 0.15
+    assert {"ld1", "ld2"} <= set(inference.discriminant_scores(d, "y", ["a", "b", "c"]).columns)
+    assert inference.box_m(d, "y", ["a", "b", "c"])["p"] > 0.001
+    wide = d.withColumn("a", F.when(F.col("y") == "1", F.col("a") * 5).otherwise(F.col("a")))
+    assert inference.box_m(wide, "y", ["a", "b", "c"])["p"] < 1e-6
+    f = rng.standard_normal((800, 2))
+    items = np.hstack([f[:, :1] + 0.5 * rng.standard_normal((800, 3)), f[:, 1:] + 0.5 * rng.standard_normal((800, 3))])
+    e = spark.createDataFrame([tuple(map(float, r)) for r in items], ", ".join(f"i{k} double" for k in range(6)))
+    loads = np.abs(inference.factor_loadings(e, [f"i{k}" for k in range(6)], 2))
+    assert (loads.max(1) > 0.75).all() and (loads.min(1) < 0.3).all()
+
+
+def test_resampling_isolation_and_dunn(spark):
+    d = spark.createDataFrame([(i, "a" if i % 2 else "b", float(i % 10)) for i in range(400)], "id int, g string, x double")
+    got = {r["g"]: r for r in inference.bootstrap_intervals(inference.bootstrap_means(d, "x", "g", "id", 100), "g").collect()}
+    assert got["a"]["low"] < 5 < got["a"]["high"] and got["b"]["low"] < 4 < got["b"]["high"]
+    far = d.union(spark.createDataFrame([(999, "a", 100.0), (1000, "a", None)], d.schema))
+    s = dict(rows(inference.isolation_scores(far, ["x"], "id"), "id", "isolation_score"))
+    assert s[1000] is None and s[999] == max(v for v in s.values() if v is not None)
+    p = inference.dunn_pairs(spark.createDataFrame([(k, float(v)) for k, base in (("a", 0), ("b", 1), ("c", 50)) for v in range(base, base + 20)], "g string, v double"), "v", "g")
+    assert [r["p_adjusted"] < 0.01 for r in p] == [False, True, True] and all(r["p_adjusted"] >= r["p"] * (1 - 1e-9) for r in p)
