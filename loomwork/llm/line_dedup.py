@@ -2,55 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import WORD, materialise
 
-#: Lines end at a line feed; a sentence end before a blank ends one too, so that passages inside a paragraph are found.
-LINE_ENDS = r"(?<=\n)|(?<=[.!?] )"
+#: What ends a line. A sentence end before a blank does too, so that passages inside a paragraph are found.
+LINE_ENDS = ("\n", ". ", "! ", "? ")
+_MARK = "\x01"
+
+
+def text_lines(text: Column, line_ends: Sequence[str] = LINE_ENDS) -> Column:
+    """The lines of a text with their ends, in order; joined they are the text."""
+    marked = text
+    for e in line_ends:
+        marked = F.replace(marked, F.lit(e), F.lit(e + _MARK))
+    behind = "|".join(f"(?<={re.escape(e)})" for e in line_ends)
+    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, behind)).otherwise(F.split(marked, _MARK))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, line_ends: str = LINE_ENDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, line_ends: Sequence[str] = LINE_ENDS) -> DataFrame:
     """Rows (__id, __th, __from, __to): the lines of each document, from 0, that belong to later copies of runs.
 
     A run is consecutive lines; a window is the shortest run from a line on with ``min_words`` words or
-    more (lines without words are skipped). A window's fingerprint is the least of its lines' hashes, so
-    two equal windows choose the same one: a repeat of ``min_words`` words can't be missed. Fingerprints
-    that occur once are dropped; around the others, the windows that hold them are compared whole, and
-    each that occurred earlier (smaller id, then hash of the text, then position; not overlapping it)
-    is a repeat. Overlapping repeats add up to the whole run, extended both ways as far as it matches.
+    more (lines without words are skipped). Lines whose hash occurs once are in no repeat, so only the
+    others are kept, and windows don't reach over a gap. A window's fingerprint is the least of its
+    lines' hashes, so two equal windows choose the same one: a repeat of ``min_words`` words can't be
+    missed. Fingerprints that occur at one place are dropped; around the others, the windows that hold
+    them are compared whole, and each that occurred earlier (smaller id, then hash of the text, then
+    position; not overlapping it) is a repeat. Overlapping repeats add up to the whole run, extended
+    both ways as far as it matches.
     """
     d = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__th"), F.col(text_col).alias("__t")).where(F.col("__t").isNotNull())
-    lines = d.select("__id", "__th", F.posexplode(F.split("__t", line_ends)).alias("__pos", "__line"))
-    lines = lines.select("__id", "__th", "__pos", F.xxhash64(F.trim(F.translate("__line", "\n\r\t", "   "))).alias("__h"), F.regexp_count("__line", F.lit(WORD)).alias("__w")).where("__w > 0")
+    lines = d.select("__id", "__th", F.posexplode(text_lines(F.col("__t"), line_ends)).alias("__pos", "__line"))
+    lines = lines.select("__id", "__th", "__pos", "__line", F.btrim("__line", F.lit(" \n\r\t")).alias("__core"))
+    # most lines have single blanks only: their words are blanks and one, and their hash needs no change of characters
+    core = F.col("__core")
+    odd = core == ""
+    for c in ("  ", "\t", "\r", "\x0b", "\x0c", "\n"):
+        odd = odd | F.contains(core, F.lit(c))
+    words = F.when(odd, F.regexp_count("__line", F.lit(WORD))).otherwise(F.octet_length(core) - F.octet_length(F.replace(core, F.lit(" "), F.lit(""))) + 1)
+    key = F.when(odd, F.xxhash64(F.trim(F.translate("__line", "\n\r\t", "   ")))).otherwise(F.xxhash64(core))
+    lines = lines.select("__id", "__th", "__pos", words.alias("__w"), key.alias("__k"))
+    lines = lines.select("__id", "__th", "__pos", "__w", F.when(F.col("__w") > 0, F.col("__k")).otherwise(F.lit(0)).alias("__h"))
+    lines = materialise(lines, "lines-all")
+    # written first: a join of two plain tables can split the rows of a very common line over tasks
+    again = materialise(lines.groupBy("__h").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or __h = 0").select("__h"), "lines-again")
+    kept = lines.join(again.hint("shuffle_hash"), "__h", "left_semi")
     doc = Window.partitionBy("__id", "__th")
-    lines = lines.withColumn("__c", F.sum("__w").over(doc.orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)))
-    lines = lines.withColumn("__c", F.coalesce("__c", F.lit(0)))
-    span = doc.orderBy("__c").rangeBetween(0, min_words - 1)
-    windows = lines.select(
+    kept = kept.withColumn("__island", F.col("__pos") - F.row_number().over(doc.orderBy("__pos"))).where("__w > 0")
+    part = Window.partitionBy("__id", "__th", "__island")
+    kept = kept.withColumn("__c", F.sum("__w").over(part.orderBy("__pos")) - F.col("__w"))
+    span = part.orderBy("__c").rangeBetween(0, min_words - 1)
+    windows = kept.select(
         "__id", "__th", "__pos",
-        F.min(F.struct("__h", "__pos")).over(span).alias("__fp"),
+        F.min(F.struct("__h", "__pos")).over(span).alias("__least"),
         F.max("__pos").over(span).alias("__end"),
         F.xxhash64(F.collect_list("__h").over(span)).alias("__window"),
         F.sum("__w").over(span).alias("__words"),
     ).where(F.col("__words") >= min_words)
-    chosen = windows.select("__id", "__th", F.col("__fp.__h").alias("__f"), F.col("__fp.__pos").alias("__at"))
-    twice = chosen.groupBy("__f").agg(F.min(F.struct("__id", "__th", "__at")).alias("lo"), F.max(F.struct("__id", "__th", "__at")).alias("hi")).where("lo != hi").select("__f")
-    twice = materialise(twice, "lines-fingerprints")
-    near = windows.select("__id", "__th", "__pos", "__end", "__window", F.col("__fp.__h").alias("__f")).join(twice, "__f", "left_semi").drop("__f")
-    near = materialise(near, "lines-windows")
+    windows = windows.select("__id", "__th", "__pos", "__end", "__window", F.col("__least.__h").alias("__f"), F.xxhash64("__id", "__th", "__least.__pos").alias("__at"))
+    windows = materialise(windows, "lines-windows")
+    twice = materialise(windows.groupBy("__f").agg(F.min("__at").alias("lo"), F.max("__at").alias("hi")).where("lo != hi").select("__f"), "lines-fingerprints")
+    near = materialise(windows.join(twice.hint("shuffle_hash"), "__f", "left_semi").drop("__f", "__at"), "lines-near")
     first = near.groupBy("__window").agg(F.min(F.struct("__id", "__th", "__pos", "__end")).alias("first"), F.count(F.lit(1)).alias("n"))
     first = materialise(first.where("n > 1").select("__window", F.col("first.__id").alias("__i"), F.col("first.__th").alias("__t"), F.col("first.__pos").alias("__p"), F.col("first.__end").alias("__e")), "lines-first")
     same = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__th") == F.col("__t"))
-    later = near.join(first, "__window").where(~same | (F.col("__pos") > F.col("__e"))).select("__id", "__th", "__pos", "__end")
+    later = near.join(first.hint("shuffle_hash"), "__window").where(~same | (F.col("__pos") > F.col("__e"))).select("__id", "__th", "__pos", "__end")
     before = F.max("__end").over(doc.orderBy("__pos", "__end").rowsBetween(Window.unboundedPreceding, -1))
     islands = later.withColumn("__new", F.coalesce((F.col("__pos") > before).cast("int"), F.lit(1)))
     islands = islands.withColumn("__run", F.sum("__new").over(doc.orderBy("__pos", "__end").rowsBetween(Window.unboundedPreceding, 0)))
     return islands.groupBy("__id", "__th", "__run").agg(F.min("__pos").alias("__from"), F.max("__end").alias("__to")).drop("__run")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, line_ends: str = LINE_ENDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, line_ends: Sequence[str] = LINE_ENDS) -> DataFrame:
     """``docs`` without later copies of runs of lines of ``min_words`` words or more, in text order; with ``removed_lines``.
 
     A line between deleted ones that has no words goes with them. Of rows with the same id and text,
@@ -62,7 +90,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = repeated_runs(docs, id_col, text_col, min_words, line_ends)
     gone = materialise(runs.groupBy("__id", "__th").agg(F.collect_list(F.struct("__from", "__to")).alias("__gone"), F.sum(F.col("__to") - F.col("__from") + 1).alias("__n")), "lines-gone")
     own = docs.drop("removed_lines")
-    joined = own.join(gone, own[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(own[text_col]) == gone["__th"]), "left")
-    stay = F.filter(F.split(own[text_col], line_ends), lambda line, i: ~F.exists("__gone", lambda r: (r["__from"] <= i) & (i <= r["__to"])))
+    # the marks grow with the corpus: always a shuffled join
+    joined = own.join(gone.hint("shuffle_hash"), own[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(own[text_col]) == gone["__th"]), "left")
+    stay = F.filter(text_lines(own[text_col], line_ends), lambda line, i: ~F.exists("__gone", lambda r: (r["__from"] <= i) & (i <= r["__to"])))
     text = F.when(F.col("__gone").isNull(), own[text_col]).otherwise(F.concat_ws("", stay))
     return joined.select(*[text.alias(c) if c == text_col else own[c] for c in own.columns], F.coalesce("__n", F.lit(0)).cast("long").alias("removed_lines"))
