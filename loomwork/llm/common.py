@@ -58,3 +58,11 @@ def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "in
 def word_count(text: Column) -> Column:
     """Words of a whole text; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows by ``keys`` to as many tasks as the session shuffles to.
+
+    The number is given, so adaptive execution doesn't merge tasks whose rows are few but whose work isn't.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

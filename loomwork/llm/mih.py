@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import materialise
+from loomwork.llm.common import materialise, spread
 from loomwork.llm.simhash import group_batches
 from loomwork.llm.vectors import common_dimension, deal_pairs, matrix, sample_matrix, usable
 
@@ -148,7 +148,7 @@ def _search(queries: DataFrame, rows: DataFrame, codes: RotatedCodes, radius: in
                 top = place < k
                 yield pd.DataFrame({"query_id": qid[i[top]], "vec_id": xid[j[top]], "score": d[top]})
 
-    return dealt.repartition("__g").sortWithinPartitions("__g").mapInPandas(probe, "query_id long, vec_id long, score double")
+    return spread(dealt, "__g").sortWithinPartitions("__g").mapInPandas(probe, "query_id long, vec_id long, score double")
 
 
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import materialise
+from loomwork.llm.common import materialise, spread
 from loomwork.llm.components import connected_components
 from loomwork.llm.simhash import group_batches, local_components
 from loomwork.llm.vectors import common_dimension, deal_pairs, kmeans, matrix, nearest, sample_matrix, usable
@@ -138,7 +138,7 @@ def cosine_links(rows: DataFrame, threshold: float = 0.93, sample: int = SAMPLE)
                 out["b"] = pd.array([None] * len(linked) + everyone[label[moved]].tolist(), dtype="Int64")
                 yield out
 
-    return dealt.repartition("__g").sortWithinPartitions("__g").mapInPandas(compare, "a long, n long, b long")
+    return spread(dealt, "__g").sortWithinPartitions("__g").mapInPandas(compare, "a long, n long, b long")
 
 
 def near_duplicate_vectors(

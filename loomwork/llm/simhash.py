@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import join_small, materialise
+from loomwork.llm.common import join_small, materialise, spread
 from loomwork.llm.components import connected_components
 
 BITS = 64
@@ -252,7 +252,7 @@ def hamming_edges(prints: DataFrame, radius: int = 3) -> DataFrame:
         moved = np.flatnonzero(label != np.arange(n))
         return moved, label[moved]
 
-    return keyed.select("__g", "fp").repartition("__g").sortWithinPartitions("__g").mapInPandas(compare, "a long, b long").distinct()
+    return spread(keyed.select("__g", "fp"), "__g").sortWithinPartitions("__g").mapInPandas(compare, "a long, b long").distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 3) -> DataFrame:
