@@ -18,6 +18,8 @@ from loomwork.llm.common import SALTS, fresh_path, materialise
 #: Bytes of records before compression: a frame is closed past the first, a bundle past the second.
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 25
+#: Tasks that bundles are read with at most.
+MOST_TASKS = 20_000
 # Fixed values of the seekable format: the skippable frame that holds the seek table, and its footer.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -196,6 +198,11 @@ def _record_row(head: dict[str, str], block: bytes) -> tuple:
 RECORD = "id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
 
+def _tasks(bundles: DataFrame) -> int:
+    """How many tasks to read bundles with: rows of names are few bytes, and adaptive execution would merge them."""
+    return max(1, min(MOST_TASKS, bundles.count()))
+
+
 def read_bundles(spark: SparkSession, bundles: DataFrame, id_type: str = "long", with_payload: bool = False) -> DataFrame:
     """Every record of the bundles named in column ``bundle``: id, url, payload_bytes, payload_digest, record_type, refers_to.
 
@@ -219,7 +226,7 @@ def read_bundles(spark: SparkSession, bundles: DataFrame, id_type: str = "long",
                         yield pd.DataFrame([r if with_payload else r[:6] for r in rows], columns=[c.split()[0] for c in schema.split(", ")])
 
     names = bundles.select("bundle").distinct()
-    rows = names.repartition("bundle").mapInPandas(read, schema)
+    rows = names.repartition(_tasks(names)).mapInPandas(read, schema)  # a task a bundle
     return rows.withColumn("id", F.col("id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 
@@ -242,7 +249,7 @@ def read_records(index: DataFrame) -> DataFrame:
                 out = [_record_row(*next(parse_records(data[p : p + k]))) for p, k in zip(rows["record_at"], rows["record_bytes"], strict=True)]
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in (RECORD + ", payload binary").split(", ")])
 
-    rows = wanted.repartition("bundle", "frame_at").mapInPandas(read, RECORD + ", payload binary")
+    rows = wanted.repartition(_tasks(wanted.select("bundle").distinct()), "bundle", "frame_at").mapInPandas(read, RECORD + ", payload binary")
     return rows.withColumn("id", F.col("id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind)).withColumnRenamed("id", key)
 
 
