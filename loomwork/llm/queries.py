@@ -132,5 +132,20 @@ p AS (SELECT *, CASE WHEN c > 0 THEN floor(target / c) ELSE 0 END AS passes FROM
 r AS (SELECT doc_id, d.source, size, c, target, passes, target - passes * c AS rest,
   sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size::BIGINT AS size, c AS source_size, target, (size * (passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+""",
+    "op8_warc": """
+WITH d AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS s FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS holder FROM d)
+SELECT page_id, n AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(s, 5 * (i // 4) + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1) for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id != holder THEN holder END AS refers_to FROM m
+""",
+    "op10_pq_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x for x in embedding if x != 0]) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id != b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS n, vec_id AS o FROM embeddings UNION SELECT r.n, l.y FROM r JOIN l ON l.x = r.o),
+c AS (SELECT n, min(o) AS c FROM r GROUP BY n), k AS (SELECT x, count(*) AS k FROM l GROUP BY x)
+SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings JOIN c ON n = vec_id LEFT JOIN k ON x = vec_id
 """,
 }

@@ -26,7 +26,7 @@ def test_all_ten_are_registered():
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     cur = con.execute(ORACLE[name])
     names = [d[0] for d in cur.description]
