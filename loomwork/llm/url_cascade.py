@@ -14,6 +14,8 @@ FIRST_LEVEL = (7, 12)
 LATER_LEVELS = (2, 4)
 #: A level travels inside the plan up to this many 64-bit words (2 MB); larger lists use a join.
 MOST_WORDS = 1 << 18
+#: Kinds of verdict (allow, block...) that rules may have; each has a cascade.
+MOST_VERDICTS = 16
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -22,7 +24,11 @@ def split_url(url: Column) -> tuple[Column, Column]:
     after = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1), F.lit(""))
     host = F.regexp_extract(after, r"^[^/?#]*", 0)
     path = F.regexp_extract(after, r"(?s)^[^/?#]*([^?#]*)", 1)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
+    return _lower(host), path
+
+
+def _lower(host: Column) -> Column:
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def host_suffixes(host: Column) -> Column:
@@ -112,8 +118,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
     ``rules`` has ``host``, ``path`` and ``verdict``: a rule covers its host and all subdomains where the
-    url's path starts with the rule's path. The longest covering rule (host and path together) gives the
-    verdict; a url that no rule covers gets ``default`` and a null rule.
+    url's path starts with the rule's path. The longest covering rule (host and path together; of equally
+    long ones the last by code point) gives the verdict; a url that no rule covers gets ``default`` and a
+    null rule.
 
     The list is kept in one cascade per verdict; the corpus's key universe is every (host suffix, path
     prefix) key that its urls could be covered by. Each url's keys are then looked up in the row itself.
@@ -126,17 +133,19 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     """
     host, path = split_url(F.col(url_col))
     d = pages.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
-    rules = rules.where("host is not null and verdict is not null").select(F.lower("host").alias("h"), F.coalesce("path", F.lit("")).alias("p"), "verdict")
+    rules = rules.where("host is not null and verdict is not null").select(_lower(F.col("host")).alias("h"), F.coalesce("path", F.lit("")).alias("p"), "verdict")
     rules = materialise(rules.groupBy(F.concat("h", "p").alias("key")).agg(F.min("verdict").alias("verdict"), F.min(F.length("p")).alias("n")), "url-rules")
     lengths = sorted(r["n"] for r in rules.select("n").distinct().collect())  # path lengths: a few hundred at most
-    verdicts = sorted(r["verdict"] for r in rules.select("verdict").distinct().limit(16).collect())
+    verdicts = sorted(r["verdict"] for r in rules.select("verdict").distinct().limit(MOST_VERDICTS + 1).collect())
+    if len(verdicts) > MOST_VERDICTS:
+        raise ValueError(f"more than {MOST_VERDICTS} kinds of verdict")
     if not lengths:
         return d.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     keyed = d.withColumn("__keys", F.when(F.col("host") != "", candidate_keys(F.col("host"), F.col("path"), lengths)).otherwise(F.array().cast("array<string>")))
     universe = materialise(keyed.select(F.explode("__keys").alias("key")).distinct(), "url-universe")
     cascades = {v: BloomCascade(rules.where(F.col("verdict") == v), universe) for v in verdicts}
     if all(c.fits for c in cascades.values()):
-        best = F.greatest(*[_longest(c, v) for v, c in cascades.items()]) if len(cascades) > 1 else _longest(*next((c, v) for v, c in cascades.items()))
+        best = F.greatest(*[_longest(c, v) for v, c in cascades.items()]) if len(cascades) > 1 else _longest(cascades[verdicts[0]], verdicts[0])
         return keyed.withColumn("__best", best).withColumn("rule", F.col("__best.key")).withColumn("verdict", F.coalesce("__best.verdict", F.lit(default))).drop("__keys", "__best")
     found = universe.join(rules.drop("n"), "key")
     per_url = keyed.select("host", "path", F.explode("__keys").alias("key")).distinct().join(found, "key").groupBy("host", "path").agg(F.max(F.struct(F.length("key"), "key", "verdict")).alias("__best"))
