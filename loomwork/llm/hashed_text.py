@@ -13,6 +13,8 @@ from xxhash import xxh32_intdigest
 
 #: Hash slots of the features; a model has one weight for each.
 SLOTS = 1 << 18
+#: Mini-batches that a fit takes at least, however few rows it has.
+LEAST_STEPS = 400
 #: Words whose features or scores a task remembers.
 MEMO_WORDS = 300_000
 
@@ -114,13 +116,14 @@ def fit_sparse(slots: np.ndarray, starts: np.ndarray, scale: np.ndarray, extra:
     """Weights of a linear score: slots first, then a weight per column of ``extra``, then the bias.
 
     A text's slot counts are multiplied by its ``scale``. ``slope(rows, scores)`` is the loss's derivative
-    by the score. Mini-batches in an order drawn from ``seed``.
+    by the score. Mini-batches in an order drawn from ``seed``; few rows are passed over more often, so that
+    at least LEAST_STEPS are taken.
     """
     k = extra.shape[1] + 1
     model = Ftrl(SLOTS + k, **options)
     rng = np.random.default_rng(seed)
     dense = np.hstack([extra, np.ones((len(extra), 1))])
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * batch // max(1, len(rows))))):
         order = rng.permutation(rows)
         for at in range(0, len(order), batch):
             r = order[at : at + batch]

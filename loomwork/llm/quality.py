@@ -56,7 +56,7 @@ def fit_ordinal(slots: np.ndarray, starts: np.ndarray, words: np.ndarray, grade:
         return 1 - high - low
 
     scale = 1 / np.sqrt(words + 1)
-    weights = fit_sparse(slots, starts, scale, np.zeros((len(grade), 0)), slope, np.arange(len(grade)), epochs, alpha=0.5, l1=0.3)
+    weights = fit_sparse(slots, starts, scale, np.zeros((len(grade), 0)), slope, np.arange(len(grade)), epochs, alpha=2.0, l1=1.0)
     return cut - weights[-1], weights  # the bias moves all thresholds alike
 
 
