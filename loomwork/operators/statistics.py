@@ -192,3 +192,19 @@ def area_under_curve(df: DataFrame, score: str, positive: str) -> DataFrame:
     r = average_ranks(df, score, positive)
     s = r.agg(F.sum(F.when(F.col(positive) == 1, F.col("n") * F.col("rank"))).alias("r"), F.sum(F.when(F.col(positive) == 1, F.col("n"))).alias("p"), F.sum(F.when(F.col(positive) == 0, F.col("n"))).alias("q"))
     return s.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
+
+
+def logistic_levels(df: DataFrame, response: str, factor: str) -> DataFrame:
+    """(level, n, rate, odds_ratio): a logistic model of a 0/1 response on one factor, against its first level; from counts."""
+    g = df.where(F.col(response).isNotNull() & F.col(factor).isNotNull()).groupBy(F.col(factor).alias("level")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(response).cast("double")).alias("rate"))
+    base = F.first("odds").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # over levels
+    return g.withColumn("odds", F.try_divide(F.col("rate"), 1 - F.col("rate"))).withColumn("odds_ratio", F.try_divide(F.col("odds"), base)).drop("odds")
+
+
+def logistic_deviance(df: DataFrame, response: str, factor: str) -> DataFrame:
+    """One row: by how much the factor lowers the deviance of a 0/1 response, and its degrees of freedom."""
+    g = logistic_levels(df, response, factor)
+    part = lambda n, p: -2 * n * (F.when(p > 0, p * F.log(p)).otherwise(0) + F.when(p < 1, (1 - p) * F.log(1 - p)).otherwise(0))
+    n, p = F.sum("n"), F.sum(F.col("n") * F.col("rate")) / F.sum("n")
+    s = g.agg(n.alias("n"), p.alias("p"), F.sum(part(F.col("n"), F.col("rate"))).alias("residual"), (F.count(F.lit(1)) - 1).alias("df"))
+    return s.select((part(F.col("n"), F.col("p")) - F.col("residual")).alias("deviance"), "df")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.operators import attribution, charts, cleaning, fuzzy, graph, inference, intervals, models, outliers, profiling, sentiment, statistics, timeseries
+from loomwork.operators import attribution, charts, cleaning, fuzzy, graph, inference, intervals, models, outliers, places, profiling, sentiment, statistics, timeseries
 from loomwork.streaming import journeys
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -789,3 +789,28 @@ def residual_summary(spark, sf_dir):
 def web_mercator(spark, sf_dir):
     d = load(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") * 3).alias("lon"), (F.col("s_nationkey") * 2).alias("lat"))
     return rounded(profiling.web_mercator(d, "lon", "lat").select("s_suppkey", "x", "y"), 3)
+
+
+@query("""WITH g AS (SELECT event_type AS level, count(*) AS n, avg((value > 50)::INT) AS rate FROM events GROUP BY 1) SELECT level, n, round(rate, 6) AS rate, round(rate / (1 - rate) / first_value(rate / (1 - rate)) OVER (ORDER BY level), 6) AS odds_ratio FROM g""")
+def logistic_levels(spark, sf_dir):
+    return rounded(statistics.logistic_levels(load(spark, sf_dir, "events").withColumn("hit", (F.col("value") > 50).cast("int")), "hit", "event_type"), 6)
+
+
+@query("""WITH g AS (SELECT count(*) AS n, avg((value > 50)::INT) AS p FROM events GROUP BY event_type), t AS (SELECT sum(n) AS n, sum(n * p) / sum(n) AS p, count(*) - 1 AS df, sum(-2 * n * (p * ln(p) + (1 - p) * ln(1 - p))) AS r FROM g) SELECT round(-2 * n * (p * ln(p) + (1 - p) * ln(1 - p)) - r, 5) AS deviance, df FROM t""")
+def logistic_deviance(spark, sf_dir):
+    return rounded(statistics.logistic_deviance(load(spark, sf_dir, "events").withColumn("hit", (F.col("value") > 50).cast("int")), "hit", "event_type"), 5)
+
+
+def _points(spark, sf_dir):
+    return load(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 10).alias("x"), (F.col("c_nationkey") * 40.0).alias("y"))
+
+
+@query("""WITH p AS (SELECT c_custkey AS id, c_acctbal / 10 AS x, c_nationkey * 40.0 AS y FROM customer), d AS (SELECT a.id, b.id AS o, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM p a JOIN p b ON a.id != b.id AND abs(a.x - b.x) <= 50 AND abs(a.y - b.y) <= 50),
+n AS (SELECT id, first(o ORDER BY d, o) AS neighbour, min(d) AS distance FROM d WHERE d <= 50 GROUP BY 1) SELECT p.id AS c_custkey, neighbour, round(distance, 6) AS distance FROM p LEFT JOIN n USING (id)""")
+def nearest_points(spark, sf_dir):
+    return rounded(places.nearest_points(_points(spark, sf_dir), "c_custkey", "x", "y", 50.0), 6)
+
+
+@query("WITH p AS (SELECT DISTINCT c_acctbal / 10 AS x, c_nationkey * 40.0 AS y FROM customer) SELECT round(max(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) AS distance FROM p a CROSS JOIN p b")
+def greatest_distance(spark, sf_dir):
+    return spark.createDataFrame([(round(places.greatest_distance(_points(spark, sf_dir), "x", "y"), 6),)], "distance double")

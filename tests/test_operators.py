@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import special
-from loomwork.operators import attribution, charts, cleaning, fuzzy, graph, inference, intervals, models, outliers, profiling, sentiment, statistics, timeseries
-from loomwork.sources import files
+from loomwork.operators import attribution, charts, cleaning, fuzzy, graph, inference, intervals, models, outliers, places, profiling, sentiment, statistics, timeseries
+from loomwork.sources import files, samples
 from loomwork.streaming import journeys
 
 
@@ -364,3 +364,14 @@ def test_resampling_isolation_and_dunn(spark):
     assert s[1000] is None and s[999] == max(v for v in s.values() if v is not None)
     p = inference.dunn_pairs(spark.createDataFrame([(k, float(v)) for k, base in (("a", 0), ("b", 1), ("c", 50)) for v in range(base, base + 20)], "g string, v double"), "v", "g")
     assert [r["p_adjusted"] < 0.01 for r in p] == [False, True, True] and all(r["p_adjusted"] >= r["p"] * (1 - 1e-9) for r in p)
+
+
+def test_places_and_people(spark):
+    import numpy as np
+
+    d = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 0.0), (3, 3.0, 4.0), (4, 1.0, 1.0), (5, 40.0, None), (6, 90.0, 90.0)], "id int, x double, y double")
+    assert rows(places.nearest_points(d, "id", "x", "y", 5.0), "id", "neighbour") == [(1, 4), (2, 4), (3, 4), (4, 1), (6, None)]
+    assert {tuple(p) for p in np.round(places.convex_hull(d, "x", "y"), 6)} == {(0, 0), (3, 0), (90, 90), (3, 4)}
+    assert places.greatest_distance(d, "x", "y") == pytest.approx(90 * 2**0.5)
+    p = samples.people(spark, 50, 3)
+    assert p.collect() == samples.people(spark, 50, 3).repartition(3).orderBy("id").collect() and p.where("email rlike '^[a-z]+_[a-z]+@example'").count() == 50
