@@ -53,7 +53,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = materialise(lines.groupBy("__h").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or __h = 0").select("__h"), "lines-again")
     kept = lines.join(again.hint("shuffle_hash"), "__h", "left_semi")
     doc = Window.partitionBy("__id", "__th")
-    kept = kept.withColumn("__island", F.col("__pos") - F.row_number().over(doc.orderBy("__pos"))).where("__w > 0")
+    # equal rows (same id and text) are one document: their lines share a rank, and each line stays once
+    kept = kept.withColumns({"__island": F.col("__pos") - F.dense_rank().over(doc.orderBy("__pos")), "__prior": F.lag("__pos").over(doc.orderBy("__pos"))})
+    kept = kept.where("__w > 0 and (__prior is null or __prior < __pos)").drop("__prior")
     part = Window.partitionBy("__id", "__th", "__island")
     kept = kept.withColumn("__c", F.sum("__w").over(part.orderBy("__pos")) - F.col("__w"))
     span = part.orderBy("__c").rangeBetween(0, min_words - 1)

@@ -78,6 +78,15 @@ def test_line_dedup_edges(spark):
     assert out[0] == out[1] and out[2] == (True, 0)  # equal rows are one document and come first; the later one is emptied
 
 
+def test_line_dedup_of_repeated_rows(spark):
+    rng = random.Random(11)
+    passage = ". ".join(words(rng, rng.randint(6, 12)) for _ in range(12)) + ". "
+    texts = [passage + words(rng, 9) + ".", words(rng, 8) + ". " + passage + words(rng, 7) + ".", "own words. " + passage + passage]
+    d = docs(spark, texts)
+    out = line_dedup.dedup_lines(d.union(d).union(d)).groupBy("doc_id", "text").count().collect()
+    assert {r["doc_id"]: r["text"] for r in out} == dict(enumerate(plain_dedup(texts))) and [r["count"] for r in out] == [3, 3, 3]
+
+
 # ---- mixing ----
 
 
