@@ -78,6 +78,46 @@ def test_line_dedup_edges(spark):
     assert out[0] == out[1] and out[2] == (True, 0)  # equal rows are one document and come first; the later one is emptied
 
 
+def plain_whole_runs(texts, least=50):
+    """All runs of ``least`` words or more that occurred earlier go, whatever window finds them."""
+    import re
+
+    cut = [re.sub(r"(\n|[.!?] )", "\\1\x00", t).split("\x00") for t in texts]
+    some = [[(i, " ".join(x.split()), len(x.split())) for i, x in enumerate(lines) if x.split()] for lines in cut]
+    first, runs = {}, []
+    for d, x in enumerate(some):
+        for a in range(len(x)):
+            n = 0
+            for b in range(a, len(x)):
+                n += x[b][2]
+                if n >= least:
+                    key = tuple(line for _, line, _ in x[a : b + 1])
+                    runs.append((d, x[a][0], x[b][0], key))
+                    first.setdefault(key, (d, x[b][0]))
+    gone = {(d, i) for d, a, b, key in runs if first[key][0] != d or a > first[key][1] for i in range(a, b + 1)}
+    return ["".join(x for i, x in enumerate(lines) if (d, i) not in gone) for d, lines in enumerate(cut)]
+
+
+def test_line_dedup_extends_to_whole_runs(spark):
+    rng = random.Random(12)
+    run = [words(rng, n) + ". " for n in (30, 25, 10, 10)]
+    texts = ["".join(run) + "own end.", "another start. " + "".join(run) + "another end."]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts), extend=True).collect()}
+    assert got == {0: texts[0], 1: "another start. another end."}  # the windows alone leave the last 20 words
+    passages = [[words(rng, rng.randint(2, 30)) + rng.choice([". ", "\n", ".\n\n"]) for _ in range(14)] for _ in range(5)]
+    for _ in range(50):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            x, a = rng.choice(passages), rng.randint(0, 8)
+            parts += [words(rng, rng.randint(1, 20)) + ". "] + x[a : a + rng.randint(2, 14)]
+        texts.append("".join(parts))
+    texts += ["one two. " * 70, "", texts[5]]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts), extend=True).collect()}
+    whole = plain_whole_runs(texts)
+    assert [got[i] for i in range(len(texts))] == whole
+    assert sum(len(x) < len(y) for x, y in zip(whole, plain_dedup(texts), strict=True)) > 10
+
+
 def test_line_dedup_of_repeated_rows(spark):
     rng = random.Random(11)
     passage = ". ".join(words(rng, rng.randint(6, 12)) for _ in range(12)) + ". "
