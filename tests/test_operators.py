@@ -268,6 +268,17 @@ def test_graph(spark):
     assert far == {"A": 0, "B": 1, "C": 1, "D": 2, "E": 2, "F": 3, "G": 3}
 
 
+def test_graph_has_no_bounds_on_distance_and_core(spark):
+    chain = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert graph.closeness(chain, spark.createDataFrame([(0,)], "node long")).first()["closeness"] == pytest.approx(40 / sum(range(1, 41)))
+    n = spark.range(1003)
+    clique = n.select(F.col("id").alias("a")).join(n.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
+    tail = spark.createDataFrame([(0, 2000), (2000, 2001)], "a long, b long")
+    got = dict(rows(graph.core_numbers(clique.union(tail)), "node", "core"))
+    assert got == {**dict.fromkeys(range(1003), 1002), 2000: 1, 2001: 1}
+    assert graph.core_numbers(tail.limit(0)).count() == 0
+
+
 # ---- charts, models, files, streams ----
 
 
