@@ -8,10 +8,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.special import chi2_cdf, normal_cdf
+from loomwork.operators.graph import _store
 from loomwork.operators.statistics import average_ranks
 
 
@@ -93,22 +94,44 @@ def factor_loadings(df: DataFrame, features: Sequence[str], factors: int, rounds
     return loads @ turn
 
 
-def dunn_pairs(df: DataFrame, column: str, group: str) -> list[dict[str, object]]:
-    """Dunn's z of each two groups after ranks over all, corrected for ties, with p and its Benjamini-Hochberg adjustment."""
+def dunn_table(df: DataFrame, column: str, group: str) -> DataFrame:
+    """(group1, group2, z, p, p_adjusted): Dunn's z of each two groups after ranks over all, corrected for ties, with p and its Benjamini-Hochberg adjustment.
+
+    A row per pair of groups, whatever their number; pairs are ranked by p within ranges of p.
+    """
     r = average_ranks(df, column, group)
-    g = r.groupBy(group).agg((F.sum(F.col("n") * F.col("rank")) / F.sum("n")).alias("mean"), F.sum("n").alias("n")).orderBy(group).limit(1000).collect()
-    ties = r.select("x", "ties").distinct().agg(F.sum(F.col("ties").cast("double") * F.col("ties") * F.col("ties") - F.col("ties"))).first()[0]
-    n = sum(x["n"] for x in g)
-    spread = n * (n + 1) / 12 - ties / (12 * (n - 1))
-    out = []
-    for a, b in combinations(g, 2):
-        z = (a["mean"] - b["mean"]) / math.sqrt(spread * (1 / a["n"] + 1 / b["n"]))
-        out.append({"group1": a[group], "group2": b[group], "z": z, "p": 2 * (1 - normal_cdf(abs(z)))})
-    best = 1.0
-    for k, row in sorted(enumerate(sorted(out, key=lambda x: x["p"]), 1), reverse=True):
-        best = min(best, row["p"] * len(out) / k)
-        row["p_adjusted"] = best
-    return out
+    g = _store(r.groupBy(group).agg((F.sum(F.col("n") * F.col("rank")) / F.sum("n")).alias("m"), F.sum("n").alias("n")))
+    ties, n = r.select("x", "ties").distinct().agg(F.sum(F.col("ties").cast("double") * F.col("ties") * F.col("ties") - F.col("ties")), F.sum("ties")).first()
+    spread = n * (n + 1) / 12 - ties / (12 * (n - 1)) if n and n > 1 else None
+
+    @F.pandas_udf("double")
+    def two_sided(z: pd.Series) -> pd.Series:
+        return z.abs().map(lambda v: 2 * (1 - normal_cdf(v))).astype("float64")
+
+    a, b = (g.select(F.col(group).alias(f"group{k}"), F.col("m").alias(f"m{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2))
+    z = (F.col("m1") - F.col("m2")) / F.sqrt(F.lit(spread).cast("double") * (1 / F.col("n1") + 1 / F.col("n2")))
+    each = (F.col("group1") < F.col("group2")) | (F.col("group1").isNull() & F.col("group2").isNotNull())  # null is a group, the first
+    pairs = _store(a.join(b, each).select("group1", "group2", z.alias("z")).withColumn("p", two_sided("z")))
+    # equal p are in one range; its place is kept, since a read table has other partitions
+    ranges = _store(pairs.repartitionByRange("p").withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
+    starts = sizes.select("__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"), F.sum("__size").over(Window.partitionBy()).alias("__all"))
+    inside = Window.partitionBy("__range")
+    ranked = ranges.join(F.broadcast(starts), "__range").withColumn("__rank", F.col("__start") + F.row_number().over(inside.orderBy("p", "group1", "group2")))
+    ranked = _store(ranked.withColumn("__q", F.col("p") * F.col("__all") / F.col("__rank")))
+    later = ranked.groupBy("__range").agg(F.min("__q").alias("__q")).select("__range", F.min("__q").over(after).alias("__later"))
+    own = F.min("__q").over(inside.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0))
+    return ranked.join(F.broadcast(later), "__range").select("group1", "group2", "z", "p", F.least(own, "__later", F.lit(1.0)).alias("p_adjusted"))
+
+
+def dunn_pairs(df: DataFrame, column: str, group: str) -> list[dict[str, object]]:
+    """The rows of ``dunn_table`` in order of the groups; more than 500,000 pairs (1,000 groups) are refused, not cut: take the table."""
+    rows = dunn_table(df, column, group).limit(500_001).collect()
+    if len(rows) > 500_000:
+        raise ValueError("more than 500000 pairs of groups; dunn_table has them all")
+    return sorted((r.asDict() for r in rows), key=lambda r: (r["group1"] is not None, r["group1"], r["group2"]))
 
 
 def bootstrap_means(df: DataFrame, column: str, group: str, id_col: str, replicates: int = 200, seed: int = 0) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,16 @@ def goodness_of_fit(df: DataFrame, column: str, family: str = "gaussian") -> dic
     return {"chi2": chi2, "df": len(x) - 1, "p": 1 - chi2_cdf(chi2, len(x) - 1)}
 
 
+def _per_value(f: Callable[[float], float]) -> Callable[..., Column]:
+    """A plain function as a column function, for distinct values."""
+
+    @F.pandas_udf("double")
+    def apply(x: pd.Series) -> pd.Series:
+        return x.map(f).astype("float64")
+
+    return apply
+
+
 def best_distribution(df: DataFrame, column: str, criterion: str = "aic") -> list[dict[str, float | str]]:
     """Families by AIC (or BIC), best first, fitted by maximum likelihood from one aggregate.
 
@@ -58,8 +69,9 @@ def best_distribution(df: DataFrame, column: str, criterion: str = "aic") -> lis
     fits = [("gaussian", 2, -n / 2 * (math.log(2 * math.pi * s["v"]) + 1))]
     if s["lo"] >= 0 and m > 0:
         if s["whole"]:
-            counts = df.where(x.isNotNull()).groupBy(x.alias("x")).count().orderBy("x").limit(100_000).collect()
-            fits.append(("poisson", 1, s["s"] * math.log(m) - n * m - sum(r["count"] * math.lgamma(r["x"] + 1) for r in counts)))
+            counts = df.where(x.isNotNull()).groupBy(x.alias("x")).count()
+            factorials = counts.agg(F.sum(F.col("count") * _per_value(lambda v: math.lgamma(v + 1))("x"))).first()[0]
+            fits.append(("poisson", 1, s["s"] * math.log(m) - n * m - factorials))
         fits.append(("exponential", 1, -n * math.log(m) - n))
     if s["lo"] > 0:
         fits.append(("log_normal", 2, -n / 2 * (math.log(2 * math.pi * s["vl"]) + 1) - n * s["ml"]))
@@ -101,10 +113,10 @@ def kruskal_wallis(df: DataFrame, column: str, group: str) -> DataFrame:
 def group_means(df: DataFrame, column: str, group: str, level: float = 0.95) -> DataFrame:
     """Per group: n, mean, sd, and the t interval of the mean."""
     g = df.where(F.col(column).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"))
-    sizes = [r["n"] for r in g.select("n").distinct().limit(10_000).collect()]
-    t = F.create_map(*[F.lit(v) for n in sizes if n > 1 for v in (n, t_quantile((1 + level) / 2, n - 1))]) if any(n > 1 for n in sizes) else None
-    half = F.try_element_at(t, F.col("n")) * F.col("sd") / F.sqrt("n") if t is not None else F.lit(None).cast("double")
-    return g.withColumn("low", F.col("mean") - half).withColumn("high", F.col("mean") + half)
+    # k distinct sizes take k * k / 2 rows or more, so their table is always small
+    sizes = g.where("n > 1").select("n").distinct().withColumn("t", _per_value(lambda n: t_quantile((1 + level) / 2, n - 1))("n"))
+    half = F.col("t") * F.col("sd") / F.sqrt("n")
+    return g.join(F.broadcast(sizes), "n", "left").select(group, "n", "mean", "sd", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
 def effect_sizes(df: DataFrame, column: str, group: str) -> DataFrame:

@@ -775,8 +775,7 @@ def isolation_scores(spark, sf_dir):
 
 @query()
 def dunn_pairs(spark, sf_dir):
-    rows = inference.dunn_pairs(load(spark, sf_dir, "lineitem"), "l_quantity", "l_returnflag")
-    return spark.createDataFrame([(r["group1"], r["group2"], r["z"], r["p"], r["p_adjusted"]) for r in rows], "group1 string, group2 string, z double, p double, p_adjusted double")
+    return inference.dunn_table(load(spark, sf_dir, "lineitem"), "l_quantity", "l_returnflag")
 
 
 @query("""WITH f AS (SELECT regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a FROM part), e AS (SELECT p_partkey, p_retailprice - a - b * p_size AS e FROM part, f), s AS (SELECT e, e - lag(e) OVER (ORDER BY p_partkey) AS d FROM e)

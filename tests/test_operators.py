@@ -249,6 +249,35 @@ def test_distributions_and_tests(spark):
     assert r["mean"] == pytest.approx(0, abs=1e-9) and r["max"] == pytest.approx(1)
 
 
+def test_statistics_have_no_row_caps(spark):
+    n = 120_000
+    d = spark.range(n).select((F.col("id") + 1000).cast("double").alias("x"))
+    m = 1000 + (n - 1) / 2
+    want = sum(x * math.log(m) - m - math.lgamma(x + 1) for x in range(1000, 1000 + n))
+    fits = {f["family"]: f for f in statistics.best_distribution(d, "x")}
+    assert fits["poisson"]["log_likelihood"] == pytest.approx(want, rel=1e-9)
+    many = spark.range(1100).select(F.col("id").alias("g"), F.explode(F.array(F.col("id"), F.col("id") + 3)).alias("v"))
+    t = inference.dunn_table(many, "v", "g")
+    assert t.count() == 1100 * 1099 // 2 and t.where("group2 = 1099").count() == 1099
+    with pytest.raises(ValueError, match="500000"):
+        inference.dunn_pairs(many, "v", "g")
+    few = many.where("g % 50 = 0").withColumn("g", F.nullif("g", F.lit(500)))
+    got = inference.dunn_pairs(few, "v", "g")
+    best, want = 1.0, {}
+    for k, r in sorted(enumerate(sorted(got, key=lambda x: x["p"]), 1), reverse=True):
+        best = min(best, r["p"] * len(got) / k)
+        want[r["group1"], r["group2"]] = best
+    assert {(r["group1"], r["group2"]): r["p_adjusted"] for r in got} == pytest.approx(want) and len(got) == 22 * 21 // 2
+
+
+def test_group_means_of_any_number_of_sizes(spark, monkeypatch):
+    monkeypatch.setattr(statistics, "t_quantile", lambda p, n: float(n))  # the true one for 10,001 sizes takes long
+    d = spark.range(2, 10_104).select("id", F.explode(F.sequence(F.lit(1), F.col("id"))).alias("v"))
+    got = statistics.group_means(d, "v", "id")
+    assert got.columns == ["id", "n", "mean", "sd", "low", "high"]
+    assert got.agg(F.count(F.lit(1)), F.count("low"), F.count("high")).first() == (10_102, 10_102, 10_102)
+
+
 # ---- graph ----
 
 EDGES = [("A", "B"), ("B", "C"), ("C", "A"), ("C", "D"), ("D", "E"), ("E", "C"), ("E", "F"), ("E", "G"), ("G", None), ("A", "A"), ("B", "A")]
