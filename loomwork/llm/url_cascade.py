@@ -14,7 +14,7 @@ FIRST_LEVEL = (7, 12)
 LATER_LEVELS = (2, 4)
 #: A level travels inside the plan up to this many 64-bit words (2 MB); larger lists use a join.
 MOST_WORDS = 1 << 18
-#: Kinds of verdict (allow, block...) that rules may have; each has a cascade.
+#: Kinds of verdict (allow, block...) that have a cascade each; rules with more kinds are joined.
 MOST_VERDICTS = 16
 
 
@@ -124,7 +124,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
 
     The list is kept in one cascade per verdict; the corpus's key universe is every (host suffix, path
     prefix) key that its urls could be covered by. Each url's keys are then looked up in the row itself.
-    Only where a filter exceeds its size bound are the keys joined with the rules by shuffle instead.
+    Only where a filter exceeds its size bound, or verdicts are of more than ``MOST_VERDICTS`` kinds, are
+    the keys joined with the rules by shuffle instead.
 
     Urls that are null or have no ``://`` have empty host and path, and no rule. Rules with null host or
     verdict are ignored, a null path counts as empty; of rules that repeat a key, the least verdict counts.
@@ -137,14 +138,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     rules = materialise(rules.groupBy(F.concat("h", "p").alias("key")).agg(F.min("verdict").alias("verdict"), F.min(F.length("p")).alias("n")), "url-rules")
     lengths = sorted(r["n"] for r in rules.select("n").distinct().collect())  # path lengths: a few hundred at most
     verdicts = sorted(r["verdict"] for r in rules.select("verdict").distinct().limit(MOST_VERDICTS + 1).collect())
-    if len(verdicts) > MOST_VERDICTS:
-        raise ValueError(f"more than {MOST_VERDICTS} kinds of verdict")
     if not lengths:
         return d.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     keyed = d.withColumn("__keys", F.when(F.col("host") != "", candidate_keys(F.col("host"), F.col("path"), lengths)).otherwise(F.array().cast("array<string>")))
     universe = materialise(keyed.select(F.explode("__keys").alias("key")).distinct(), "url-universe")
-    cascades = {v: BloomCascade(rules.where(F.col("verdict") == v), universe) for v in verdicts}
-    if all(c.fits for c in cascades.values()):
+    cascades = {v: BloomCascade(rules.where(F.col("verdict") == v), universe) for v in verdicts} if len(verdicts) <= MOST_VERDICTS else {}
+    if cascades and all(c.fits for c in cascades.values()):
         best = F.greatest(*[_longest(c, v) for v, c in cascades.items()]) if len(cascades) > 1 else _longest(cascades[verdicts[0]], verdicts[0])
         return keyed.withColumn("__best", best).withColumn("rule", F.col("__best.key")).withColumn("verdict", F.coalesce("__best.verdict", F.lit(default))).drop("__keys", "__best")
     found = universe.join(rules.drop("n"), "key")

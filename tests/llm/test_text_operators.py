@@ -351,6 +351,13 @@ def test_cascade_is_exact_on_its_universe_and_falls_back(spark, monkeypatch):
     assert [got[i] for i in range(len(URLS))] == [plain_judge(u)[2:] for u in URLS]
 
 
+def test_many_kinds_of_verdict_are_joined(spark):
+    rules = spark.createDataFrame([(f"h{i}.com", "/", f"v{i}") for i in range(20)] + [("com", "/", "rest")], "host string, path string, verdict string")
+    d = spark.createDataFrame([(i, f"http://www.h{i}.com/x") for i in range(22)] + [(99, "http://a.net/")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_cascade.judge_urls(d, rules).collect()}
+    assert got == {**{i: f"v{i}" for i in range(20)}, 20: "rest", 21: "rest", 99: "allow"}
+
+
 def test_url_edges(spark):
     rules = spark.createDataFrame([("com", None, "block"), (None, "/", "allow")], "host string, path string, verdict string")
     d = spark.createDataFrame([(1, "http://a.com", "x"), (None, None, "y")], "page_id long, url string, verdict string")
