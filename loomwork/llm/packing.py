@@ -120,28 +120,29 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(bin, offset) for each length, and the number of bins; lengths come in any order and are placed longest first.
+def place_longest_first(lengths: np.ndarray, capacity: int, tightest: bool = False) -> tuple[np.ndarray, int]:
+    """(bin of each length, number of bins), placed longest first.
 
     Among the open bins that a piece fits, it goes to one whose residual gap makes the sum over gaps
-    of the squared number of open bins least; a bin that it fills is open no more. Where it fits none,
-    a bin is opened. Ties go to the tightest gap.
+    of the squared number of open bins least (ties: the tightest gap), or with ``tightest`` always to the tightest gap; a
+    bin that it fills is open no more. Where it fits none, a bin is opened.
     """
-    n = len(lengths)
-    where, offset = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    where = np.zeros(len(lengths), np.int64)
     order = np.argsort(-lengths, kind="stable")
-    full = int((lengths == capacity).sum())
-    where[order[:full]] = np.arange(full)
-    bins = full
+    bins = int((lengths == capacity).sum())
+    where[order[:bins]] = np.arange(bins)
     count = np.zeros(capacity + 1, np.int64)  # open bins by gap; at 0 always none
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     far = np.int64(1) << 40
-    for i in order[full:].tolist():
+    for i in order[bins:].tolist():
         x = int(lengths[i])
         have = count[x:capacity]
-        change = np.where(have > 0, 2 * (count[: capacity - x] - have), far)
-        change[0] -= 1  # closing a bin leaves no new gap to count
-        j = int(change.argmin())
+        if tightest:
+            j = int((have > 0).argmax())
+        else:
+            change = np.where(have > 0, 2 * (count[: capacity - x] - have), far)
+            change[0] -= 1  # closing a bin leaves no new gap to count
+            j = int(change.argmin())
         if have[j]:
             gap = x + j
             b = stacks[gap].pop()
@@ -149,29 +150,51 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
             if j:
                 count[j] += 1
                 stacks[j].append(b)
-            where[i], offset[i] = b, capacity - gap
+            where[i] = b
         else:
             where[i] = bins
             count[capacity - x] += 1
             stacks[capacity - x].append(bins)
             bins += 1
+    return where, bins
+
+
+def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(bin, offset) for each length, and the number of bins, by the sum-of-squares rule, longest first.
+
+    Weighing a new bin against the open ones by the same rule needs 4 % more bins on lengths spread evenly
+    up to ``capacity``, so one is opened only where a piece fits none. Where the rule needs more bins than
+    total / capacity, the same is tried with the tightest gaps, and the fewer bins count: never more than best fit.
+    """
+    where, bins = place_longest_first(lengths, capacity)
+    if bins * capacity >= lengths.sum() + capacity:
+        other, fewer = place_longest_first(lengths, capacity, tightest=True)
+        if fewer < bins:
+            where, bins = other, fewer
+    order = np.lexsort((-lengths, where))
+    before = np.cumsum(lengths[order]) - lengths[order]
+    offset = np.zeros(len(lengths), np.int64)
+    offset[order] = before - before[np.searchsorted(where[order], where[order])] if len(lengths) else before
     return where, offset, bins
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    The tokenizer's file must be readable at ``tokenizer_path`` on every executor. Pieces are dealt at
-    random (by a hash) to groups of about 4096, and each group is packed by the sum-of-squares rule,
-    longest first; every sequence is within one group, so no task grows with the table. Against the
-    lower bound total / capacity, a group wastes about one sequence in a thousand.
+    The tokenizer's file must be readable at ``tokenizer_path`` on every executor. Pieces are numbered
+    as they are written and dealt at random, by a hash of that number, to groups of about 4096, also where rows are
+    equal; each group is packed by the sum-of-squares rule, longest first. Every sequence is within one group,
+    so no task grows with the table. Against the lower bound total / capacity, a group wastes about one
+    sequence in a thousand (five where lengths are spread evenly up to ``capacity``; there no packing
+    reaches that bound).
 
     Null and empty texts are one piece that holds only ``end_id``. Repeated rows are packed as often as
-    they occur. Null ids are kept. An empty table gives an empty one.
+    they occur. Null ids are kept. An empty table gives an empty one. Other columns of ``docs`` aren't read.
     """
-    pieces = materialise(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
+    pieces = token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col)
+    pieces = materialise(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // GROUP_PIECES))
-    dealt = pieces.withColumn("__g", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("__g", F.pmod(F.xxhash64("__row"), F.lit(groups))).drop("__row")
 
     def pack(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable")

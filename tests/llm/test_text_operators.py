@@ -289,11 +289,42 @@ def test_packing_round_trip(spark):
     assert len(bins) <= -(-total // 1024) * 1.02 + 2
 
 
-def test_sum_of_squares_packs_tightly():
-    rng = np.random.default_rng(6)
-    x = rng.integers(1, 1025, 4096)
-    where, offset, n = packing.sum_of_squares(x, 1024)
-    assert n <= max(-(-x.sum() // 1024), (x > 512).sum()) * 1.005 + 1 and np.bincount(where, x, n).max() <= 1024 and (offset + x <= 1024).all()
+def fewest_bins(x, capacity):
+    """What no packing undercuts: a bin for each piece over half, and of those from t to a half, what the gaps beside them can't hold."""
+    large = x[x > capacity // 2]
+    by_count = [len(large) + max(0, -(-int(((x >= t) & (x <= capacity // 2)).sum() - ((capacity - large) // t).sum()) // (capacity // t))) for t in range(1, capacity // 2 + 1)]
+    return max(-(-int(x.sum()) // capacity), *by_count)
+
+
+def best_fit(x, capacity):
+    gaps = np.zeros(capacity + 1, int)
+    for n in np.sort(x)[::-1]:
+        g = next((g for g in range(n, capacity + 1) if gaps[g]), 0)
+        gaps[g] -= bool(g)
+        gaps[(g or capacity) - n] += 1
+    return int(gaps.sum())
+
+
+@pytest.mark.parametrize("longest", [1024, 600, 300])
+def test_sum_of_squares_packs_tightly(longest):
+    for seed in range(6, 10):
+        x = np.random.default_rng(seed).integers(1, longest + 1, 4096)
+        where, offset, n = packing.sum_of_squares(x, 1024)
+        assert n <= fewest_bins(x, 1024) * 1.003 + 1 and n <= best_fit(x, 1024)
+        assert np.bincount(where, x, n).max() <= 1024 and np.bincount(where, minlength=n).min() > 0
+        order = np.lexsort((offset, where))
+        ends = (offset + x)[order]
+        assert ((offset[order][1:] == 0) | (offset[order][1:] == ends[:-1])).all() and offset[order][0] == 0
+
+
+def test_packing_deals_equal_rows_to_many_groups(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.range(60_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"), F.lit(1).alias("piece"), F.lit(2).alias("offset"))
+    out = packing.pack_documents(d, tokenizer_file())
+    groups = [r["count"] for r in out.groupBy(F.shiftright("sequence_id", 32).alias("g")).count().collect()]
+    assert sum(groups) == 60_000 and max(groups) < 2 * packing.GROUP_PIECES
+    assert out.select("sequence_id", "offset").distinct().count() == 60_000 and out.columns[0] == "doc_id"
 
 
 def test_packing_edges(spark):
