@@ -123,14 +123,14 @@ FROM d LEFT JOIN k USING (doc_id)
 """,
     "op5_mix_sources": """
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
-  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h FROM documents),
+  CAST('0x' || substr(md5(concat_ws(':', CAST(doc_id AS VARCHAR), text)), 1, 15) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS c, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
 l AS (SELECT *, (sum(c) OVER () - coalesce(sum(3.0 * c) OVER (ORDER BY 3.0 * c / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
   / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY 3.0 * c / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS level FROM s),
 t AS (SELECT source, c, least(3.0 * c, (SELECT arg_min(level, 3.0 * c / w) FROM l WHERE level <= 3.0 * c / w) * w)::DOUBLE AS target FROM l),
 p AS (SELECT *, CASE WHEN c > 0 THEN floor(target / c) ELSE 0 END AS passes FROM t),
 r AS (SELECT doc_id, d.source, size, c, target, passes, target - passes * c AS rest,
-  sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+  sum(size) OVER (PARTITION BY d.source ORDER BY h ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size::BIGINT AS size, c AS source_size, target, (size * (passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
 """,
     "op8_warc": """

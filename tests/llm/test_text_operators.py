@@ -166,11 +166,37 @@ def test_mixing_meets_targets(spark):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def words_near_targets(d):
+    """Taken words by source; asserts that they miss the targets by less than the longest document."""
+    rows = mixing.mix_sources(d).collect()
+    sizes, taken = {}, {}
+    for r in rows:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    targets, longest = plain_targets(sizes), max(r["size"] for r in rows)
+    assert all(targets[s] - longest < taken[s] <= targets[s] + 1e-6 for s in targets), (targets, taken)
+    return taken
+
+
+def test_mixing_meets_targets_with_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    texts = [words(rng, rng.randint(0, 9)) for _ in range(900)]
+    sources = [rng.choice("abc") for _ in texts]
+    words_near_targets(docs(spark, texts, sources, [None if i % 2 else i for i in range(900)]))
+    words_near_targets(docs(spark, texts, sources, [i % 7 for i in range(900)]))
+    # one document is most of its source, with a null id, and is counted out
+    same = docs(spark, [*(["five words in each copy"] * 600), *texts], [*(["c"] * 600), *sources], [None] * 1500)
+    taken = words_near_targets(same)
+    assert taken == words_near_targets(same.repartition(7))
+    words_near_targets(docs(spark, ["a b"] * 40, ["x"] * 13 + ["y"] * 27, [1] * 40))
+
+
 def test_mixing_edges(spark):
     assert mixing.mix_sources(docs(spark, [])).count() == 0
     assert [r["taken"] for r in mixing.mix_sources(docs(spark, [None, ""])).collect()] == [0, 0]
     d = docs(spark, ["a b"] * 6, ["x"] * 6, [1, 1, 1, None, None, 2]).withColumnsRenamed({"lang": "size", "n_chars": "target"})
-    assert mixing.mix_sources(d).count() == 6
+    assert [r["taken"] for r in mixing.mix_sources(d).collect()] == [2] * 6
     kept = mixing.mixed_documents(d)
     assert kept.columns == d.columns and kept.count() == 6
 
