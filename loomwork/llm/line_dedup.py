@@ -24,22 +24,23 @@ def text_lines(text: Column, line_ends: Sequence[str] = LINE_ENDS) -> Column:
     return F.when(F.contains(text, F.lit(_MARK)), F.split(text, behind)).otherwise(F.split(marked, _MARK))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, line_ends: Sequence[str] = LINE_ENDS, extend: bool = False) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, line_ends: Sequence[str] = LINE_ENDS) -> DataFrame:
     """Rows (__id, __th, __from, __to): the lines of each document, from 0, that belong to later copies of runs.
 
-    A run is consecutive lines; a window is the shortest run from a line on with ``min_words`` words or
-    more (lines without words are skipped). Lines whose hash occurs once are in no repeat, so only the
-    others are kept, and windows don't reach over a gap. A window's fingerprint is the least of its
-    lines' hashes, so two equal windows choose the same one: a repeat of ``min_words`` words can't be
-    missed. Fingerprints that occur at one place are dropped; around the others, the windows that hold
-    them are compared whole, and each that occurred earlier (smaller id, then hash of the text, then
-    position; not overlapping it) is a repeat. Overlapping repeats add up to the run from its first line to
-    the end of its last window; up to ``min_words`` - 1 words of the same run may follow.
+    A run is consecutive lines (those without words are skipped); a repeat is a run of ``min_words`` words or more
+    that occurred earlier (smaller id, then hash of the text, then position; not overlapping it). All lines of
+    all repeats go, so runs are deleted to both their ends.
 
-    With ``extend``, the shortest runs up to each line with ``min_words`` words are windows too. Any line of a
-    repeated run of ``min_words`` words or more is in the window that starts at it, or in the one that ends
-    at the run's end: the repeats then add up to the whole run. The SQL beside the query knows only
-    the windows from a line on, so ``extend`` is off unless asked for.
+    Winnowing: a window is the shortest run from a line on, or up to a line, with ``min_words`` words or more, and its
+    fingerprint is the least of its lines' hashes, at that line's place. Two equal windows choose the same one, so
+    a repeat can't be missed. Lines whose hash occurs once are in no repeat; windows don't reach over them,
+    and fingerprints found at one place only are dropped. Around the others, matches are extended both ways: each line of a repeat is
+    in the window that starts at it or in the one that ends at it or later. Places with equal
+    fingerprints are joined by the windows' contents, not in pairs: the first place of a content stands for all, so
+    a passage in a third of all documents costs a row for each. Contents and lines are compared by 64-bit
+    XXH64 of their words and white space inside; that two different ones agree is left to chance (1 in 2**64 a pair).
+
+    Windows of one document are found in one task; a document is one row of the input anyway.
     """
     d = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__th"), F.col(text_col).alias("__t")).where(F.col("__t").isNotNull())
     lines = d.select("__id", "__th", F.posexplode(text_lines(F.col("__t"), line_ends)).alias("__pos", "__line"))
@@ -71,17 +72,16 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.xxhash64(F.collect_list("__h").over(span)).alias("__window"),
         F.sum("__w").over(span).alias("__words"),
     ).where(F.col("__words") >= min_words)
-    if extend:
-        upto = part.orderBy("__e").rangeBetween(1 - min_words, 0)
-        ends = kept.withColumn("__e", F.col("__c") + F.col("__w")).select(
-            "__id", "__th", "__w",
-            F.min("__pos").over(upto).alias("__start"),
-            F.min(F.struct("__h", "__pos")).over(upto).alias("__least"),
-            F.col("__pos").alias("__end"),
-            F.xxhash64(F.collect_list("__h").over(upto)).alias("__window"),
-            F.sum("__w").over(upto).alias("__words"),
-        ).where(F.col("__words") - F.col("__w") >= min_words)
-        windows = windows.unionByName(ends.withColumnRenamed("__start", "__pos").drop("__w"))
+    upto = part.orderBy("__e").rangeBetween(1 - min_words, 0)
+    ends = kept.withColumn("__e", F.col("__c") + F.col("__w")).select(
+        "__id", "__th", "__w",
+        F.min("__pos").over(upto).alias("__start"),
+        F.min(F.struct("__h", "__pos")).over(upto).alias("__least"),
+        F.col("__pos").alias("__end"),
+        F.xxhash64(F.collect_list("__h").over(upto)).alias("__window"),
+        F.sum("__w").over(upto).alias("__words"),
+    ).where(F.col("__words") - F.col("__w") >= min_words)  # others are windows from a line on as well
+    windows = windows.unionByName(ends.withColumnRenamed("__start", "__pos").drop("__w"))
     windows = windows.select("__id", "__th", "__pos", "__end", "__window", F.col("__least.__h").alias("__f"), F.xxhash64("__id", "__th", "__least.__pos").alias("__at"))
     windows = materialise(windows, "lines-windows")
     twice = materialise(windows.groupBy("__f").agg(F.min("__at").alias("lo"), F.max("__at").alias("hi")).where("lo != hi").select("__f"), "lines-fingerprints")
@@ -96,16 +96,16 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return islands.groupBy("__id", "__th", "__run").agg(F.min("__pos").alias("__from"), F.max("__end").alias("__to")).drop("__run")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, line_ends: Sequence[str] = LINE_ENDS, extend: bool = False) -> DataFrame:
-    """``docs`` without later copies of runs of lines of ``min_words`` words or more, in text order; with ``removed_lines``.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, line_ends: Sequence[str] = LINE_ENDS) -> DataFrame:
+    """``docs`` without later copies of runs of lines of ``min_words`` words or more, whole, in text order; with ``removed_lines``.
 
     A line between deleted ones that has no words goes with them. Of rows with the same id and text,
     both lose the same lines: they are one document, and its first copy stays in each. Null texts stay
     null, empty ones empty; a document that repeats others entirely is left with an empty text. Null
-    ids come first in the order. ``extend`` deletes runs to their ends. Documents with fewer words than ``min_words`` never change. Columns
-    other than the text are kept; an existing ``removed_lines`` is replaced.
+    ids come first in the order. Documents with fewer words than ``min_words`` never change. Columns
+    other than the text are kept; an existing ``removed_lines`` is replaced. An empty table gives an empty one.
     """
-    runs = repeated_runs(docs, id_col, text_col, min_words, line_ends, extend)
+    runs = repeated_runs(docs, id_col, text_col, min_words, line_ends)
     gone = materialise(runs.groupBy("__id", "__th").agg(F.collect_list(F.struct("__from", "__to")).alias("__gone"), F.sum(F.col("__to") - F.col("__from") + 1).alias("__n")), "lines-gone")
     own = docs.drop("removed_lines")
     # the marks grow with the corpus: always a shuffled join

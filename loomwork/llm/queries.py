@@ -97,7 +97,9 @@ u AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS
 v AS (SELECT doc_id, pos, md5(trim(translate(line, chr(10) || chr(13) || chr(9), '   '))) AS h, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w FROM u),
 c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) - w AS c FROM v WHERE w > 0),
 s AS (SELECT doc_id, pos, max(pos) OVER x AS last, sum(w) OVER x AS words, md5(string_agg(h, ',') OVER x) AS content
-  FROM c WINDOW x AS (PARTITION BY doc_id ORDER BY c RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+  FROM c WINDOW x AS (PARTITION BY doc_id ORDER BY c RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION ALL SELECT doc_id, min(pos) OVER y AS pos, pos AS last, sum(w) OVER y AS words, md5(string_agg(h, ',') OVER y) AS content
+  FROM c WINDOW y AS (PARTITION BY doc_id ORDER BY c + w RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
 f AS (SELECT *, first_value({'i': doc_id, 'p': last}) OVER (PARTITION BY content ORDER BY doc_id, pos) AS one,
   row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS k FROM s WHERE words >= 50),
 gone AS (SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS pos FROM f WHERE k > 1 AND (doc_id != one.i OR pos > one.p))

@@ -27,31 +27,27 @@ def words(rng, n, vocabulary=4000):
 
 
 def plain_dedup(texts, least=50):
-    """Straight from the definition: windows of at least ``least`` words, first occurrence stays."""
+    """Straight from the definition: every run of ``least`` words or more that occurred earlier goes."""
     import re
 
-    first, out = {}, []
-    for d, t in enumerate(texts):
-        if t is None:
-            out.append(None)
-            continue
-        lines = re.sub(r"(\n|[.!?] )", "\\1\x00", t).split("\x00")
+    first, runs, out = {}, [], []
+    cut = [re.sub(r"(\n|[.!?] )", "\\1\x00", t or "").split("\x00") for t in texts]
+    for d, lines in enumerate(cut):
         some = [(i, x.translate(str.maketrans("\n\r\t", "   ")).strip(" "), len(re.findall(r"[^\x20\x09-\x0D]+", x))) for i, x in enumerate(lines)]
         some = [x for x in some if x[2]]
-        gone = set()
         for a in range(len(some)):
-            b, n = a, 0
-            while b < len(some) and n < least:
+            n = 0
+            for b in range(a, min(len(some), a + 150)):
                 n += some[b][2]
-                b += 1
-            if n < least:
-                break
-            key = tuple(x[1] for x in some[a:b])
-            if key not in first:
-                first[key] = (d, some[b - 1][0])
-            elif first[key][0] != d or some[a][0] > first[key][1]:
-                gone |= set(range(some[a][0], some[b - 1][0] + 1))
-        out.append("".join(x for i, x in enumerate(lines) if i not in gone))
+                if n >= least:
+                    key = tuple(x[1] for x in some[a : b + 1])
+                    runs.append((d, some[a][0], some[b][0], key))
+                    first.setdefault(key, (d, some[b][0]))
+                if n >= 3 * least:  # longer runs are covered by shorter ones
+                    break
+    gone = {(d, i) for d, a, b, key in runs if first[key][0] != d or a > first[key][1] for i in range(a, b + 1)}
+    for d, (t, lines) in enumerate(zip(texts, cut, strict=True)):
+        out.append(None if t is None else "".join(x for i, x in enumerate(lines) if (d, i) not in gone))
     return out
 
 
@@ -78,32 +74,12 @@ def test_line_dedup_edges(spark):
     assert out[0] == out[1] and out[2] == (True, 0)  # equal rows are one document and come first; the later one is emptied
 
 
-def plain_whole_runs(texts, least=50):
-    """All runs of ``least`` words or more that occurred earlier go, whatever window finds them."""
-    import re
-
-    cut = [re.sub(r"(\n|[.!?] )", "\\1\x00", t).split("\x00") for t in texts]
-    some = [[(i, " ".join(x.split()), len(x.split())) for i, x in enumerate(lines) if x.split()] for lines in cut]
-    first, runs = {}, []
-    for d, x in enumerate(some):
-        for a in range(len(x)):
-            n = 0
-            for b in range(a, len(x)):
-                n += x[b][2]
-                if n >= least:
-                    key = tuple(line for _, line, _ in x[a : b + 1])
-                    runs.append((d, x[a][0], x[b][0], key))
-                    first.setdefault(key, (d, x[b][0]))
-    gone = {(d, i) for d, a, b, key in runs if first[key][0] != d or a > first[key][1] for i in range(a, b + 1)}
-    return ["".join(x for i, x in enumerate(lines) if (d, i) not in gone) for d, lines in enumerate(cut)]
-
-
-def test_line_dedup_extends_to_whole_runs(spark):
+def test_line_dedup_deletes_runs_to_their_ends(spark):
     rng = random.Random(12)
     run = [words(rng, n) + ". " for n in (30, 25, 10, 10)]
     texts = ["".join(run) + "own end.", "another start. " + "".join(run) + "another end."]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts), extend=True).collect()}
-    assert got == {0: texts[0], 1: "another start. another end."}  # the windows alone leave the last 20 words
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "another start. another end."}  # windows from a line on would leave the last 20 words
     passages = [[words(rng, rng.randint(2, 30)) + rng.choice([". ", "\n", ".\n\n"]) for _ in range(14)] for _ in range(5)]
     for _ in range(50):
         parts = []
@@ -112,10 +88,8 @@ def test_line_dedup_extends_to_whole_runs(spark):
             parts += [words(rng, rng.randint(1, 20)) + ". "] + x[a : a + rng.randint(2, 14)]
         texts.append("".join(parts))
     texts += ["one two. " * 70, "", texts[5]]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts), extend=True).collect()}
-    whole = plain_whole_runs(texts)
-    assert [got[i] for i in range(len(texts))] == whole
-    assert sum(len(x) < len(y) for x, y in zip(whole, plain_dedup(texts), strict=True)) > 10
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_dedup(texts)
 
 
 def test_line_dedup_of_repeated_rows(spark):
