@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +30,28 @@ def share(x: Column, total: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(x / total)
 
 
-def quantile(column: str, p: float) -> Column:
-    """The exact quantile with linear interpolation between order statistics."""
-    return F.percentile(F.col(column).cast("double"), F.lit(p))
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; in local mode one of our own where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{base.rstrip('/')}/loomwork/{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` in the shared folder and read it back: cuts the lineage, and lost executors cost nothing.
+
+    The tables stay until ``drop_stored`` removes them: results are computed from them when they are asked for.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Remove all tables that ``stored`` has written for this application; results based on them can't be computed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

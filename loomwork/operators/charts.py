@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.ordered import quantile_values, quantiles
+
 STATISTICS = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "sum": F.sum}
 
 
@@ -33,21 +35,25 @@ def level_percentages(df: DataFrame, column: str, nulls: bool = False) -> DataFr
     return counts.withColumn("pct", 100 * F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def _threshold(df: DataFrame, y: str, threshold: float | str) -> Column | DataFrame:
-    return df.agg((F.avg(y) if threshold == "mean" else F.median(y) if threshold == "median" else F.max(F.lit(float(threshold)))).alias("threshold"))
+def _threshold(df: DataFrame, y: str, threshold: float | str) -> Column:
+    if threshold == "median":
+        value = quantile_values(df, [y], (0.5,))[y][0]
+    else:
+        value = df.agg(F.avg(y)).first()[0] if threshold == "mean" else float(threshold)
+    return F.lit(value).cast("double")
 
 
 def benchmarked(df: DataFrame, x: str, y: str, threshold: float | str = "mean") -> DataFrame:
     """Per x: mean, rows, sd, standard error, and whether the mean reaches the threshold of all the data."""
     g = df.groupBy(x).agg(F.avg(y).alias("mean"), F.count(F.lit(1)).alias("n"), F.stddev_samp(y).alias("sd"))
-    g = g.withColumn("se", F.col("sd") / F.sqrt("n")).crossJoin(F.broadcast(_threshold(df, y, threshold)))  # one row
+    g = g.withColumn("se", F.col("sd") / F.sqrt("n")).withColumn("threshold", _threshold(df, y, threshold))
     return g.withColumn("reached", F.col("mean") >= F.col("threshold"))
 
 
 def centred(df: DataFrame, x: str, y: str, threshold: float | str = "mean") -> DataFrame:
     """Per x: the shares of rows at or above, and below, the threshold; unknown values count in the rows."""
-    d = df.crossJoin(F.broadcast(_threshold(df, y, threshold)))  # one row
-    return d.groupBy(x).agg((F.count_if(F.col(y) >= F.col("threshold")) / F.count(F.lit(1))).alias("above"), (F.count_if(F.col(y) < F.col("threshold")) / F.count(F.lit(1))).alias("below"))
+    t = _threshold(df, y, threshold)
+    return df.groupBy(x).agg((F.count_if(F.col(y) >= t) / F.count(F.lit(1))).alias("above"), (F.count_if(F.col(y) < t) / F.count(F.lit(1))).alias("below"))
 
 
 def diverging(df: DataFrame, left: str, right: str, category: str) -> DataFrame:
@@ -57,29 +63,44 @@ def diverging(df: DataFrame, left: str, right: str, category: str) -> DataFrame:
 
 def profile(df: DataFrame, columns: Sequence[str], stat: str = "mean", error: str = "sd", width: float = 2.0) -> DataFrame:
     """Per column: the statistic and the ends of its bar, ``width`` times the sd, standard error or half the quartile range."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "variable", "x")
-    e = {"sd": F.stddev_samp("x"), "sem": F.stddev_samp("x") / F.sqrt(F.count("x")), "iqr": (F.percentile("x", F.lit(0.75)) - F.percentile("x", F.lit(0.25))) / 2}[error]
-    g = long.groupBy("variable").agg(STATISTICS[stat]("x").alias("value"), (e * width).alias("e"))
+    if stat not in STATISTICS or error not in ("sd", "sem", "iqr"):
+        raise ValueError(f"no such statistic: {stat}, {error}")
+    ordered = stat == "median" or error == "iqr"
+    q = {c: F.array(*[F.lit(v).cast("double") for v in x]) for c, x in quantile_values(df, columns, (0.25, 0.5, 0.75)).items()} if ordered else {}
+    rows = []
+    for c in columns:
+        x = F.col(c).cast("double")
+        e = F.get(q[c], F.lit(2)) - F.get(q[c], F.lit(0)) if error == "iqr" else None
+        bar = {"sd": F.stddev_samp(x), "sem": F.stddev_samp(x) / F.sqrt(F.count(x)), "iqr": e / 2 if e is not None else None}[error]
+        rows.append(F.struct(F.lit(c).alias("variable"), (F.get(q[c], F.lit(1)) if stat == "median" else STATISTICS[stat](x).cast("double")).alias("value"), (bar * width).alias("e")))
+    g = df.agg(F.array(*rows).alias("__rows")).select(F.inline("__rows"))
     return g.select("variable", "value", (F.col("value") - F.col("e")).alias("low"), (F.col("value") + F.col("e")).alias("high"))
 
 
 def by_group(df: DataFrame, x: str, y: str, stat: str = "mean", threshold: float | None = None) -> DataFrame:
     """The statistic of y per x, and whether it reaches the threshold; an unknown statistic is the mean."""
-    g = df.groupBy(x).agg(STATISTICS.get(stat, F.avg)(y).alias("value"))
+    if stat == "median":
+        g = quantiles(df, [y], (0.5,), [x]).select(x, F.get("q", F.lit(0)).alias("value"))
+    else:
+        g = df.groupBy(x).agg(STATISTICS.get(stat, F.avg)(y).alias("value"))
     return g.withColumn("reached", F.col("value") >= threshold) if threshold is not None else g
 
 
 def all_statistics(df: DataFrame, categories: Sequence[str], values: Sequence[str], digits: int = 1) -> DataFrame:
-    """(category, level, variable, statistic, value) of every category and numeric column, from one aggregate over grouping sets."""
+    """(category, level, variable, statistic, value) of every category and numeric column, from one aggregate over grouping sets; medians are exact."""
     sets = [[c] for c in categories]
     d = df.select(*[F.col(c).cast("string").alias(c) for c in categories], *[F.col(v).cast("double").alias(v) for v in values])
-    stats = {**STATISTICS, "count": F.count}
+    stats = {s: f for s, f in STATISTICS.items() if s != "median"} | {"count": F.count}
     g = d.groupingSets(sets, *categories).agg(F.grouping_id(*categories).alias("__set"), *[f(v).cast("double").alias(f"{v}.{s}") for v in values for s, f in stats.items()])
     full = (1 << len(categories)) - 1
     which = F.create_map(*[F.lit(x) for i, c in enumerate(categories) for x in (full - (1 << (len(categories) - 1 - i)), c)])
     g = g.withColumn("category", F.element_at(which, F.col("__set").cast("int"))).withColumn("level", F.coalesce(*categories))
     long = g.unpivot(["category", "level"], [f"`{v}.{s}`" for v in values for s in stats], "name", "value")
-    return long.select("category", "level", F.regexp_replace(F.substring_index("name", ".", 1), "`", "").alias("variable"), F.regexp_replace(F.substring_index("name", ".", -1), "`", "").alias("statistic"), F.round("value", digits).alias("value"))
+    out = long.select("category", "level", F.regexp_replace(F.substring_index("name", ".", 1), "`", "").alias("variable"), F.regexp_replace(F.substring_index("name", ".", -1), "`", "").alias("statistic"), F.round("value", digits).alias("value"))
+    for c in categories:
+        q = quantiles(d, values, (0.5,), [c])
+        out = out.unionByName(q.select(F.lit(c).alias("category"), F.col(c).alias("level"), "variable", F.lit("median").alias("statistic"), F.round(F.get("q", F.lit(0)), digits).alias("value")))
+    return out
 
 
 def described_heat(df: DataFrame, columns: Sequence[str], group: str, stats: Sequence[str] = ("mean",), within: bool = False) -> DataFrame:

@@ -9,7 +9,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.core import numeric_columns, quantile, require_columns
+from loomwork.functions.core import numeric_columns, require_columns
+from loomwork.functions.ordered import quantile_values
 from loomwork.operators.profiling import correlations
 
 
@@ -53,14 +54,17 @@ def categorical_columns(df: DataFrame, share: float = 0.95) -> DataFrame:
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str], method: str = "standard") -> DataFrame:
-    """One row with the two figures of each column that ``method`` needs: standard, minmax, robust."""
-    pairs = {
-        "standard": lambda c: (F.avg(c), F.stddev_samp(c)), "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)),
-        "robust": lambda c: (F.median(c), quantile(c, 0.75) - quantile(c, 0.25)),
-    }
+    """One row with the two figures of each column that ``method`` needs: standard, minmax, robust (exact quartiles)."""
+    names = [f"__{k}_{c}" for c in columns for k in ("mid", "size")]
+    if method == "robust":
+        q = quantile_values(df, columns, (0.25, 0.5, 0.75))
+        row = [v for c in columns for v in (q[c][1], None if q[c][1] is None else q[c][2] - q[c][0])]
+        return df.sparkSession.createDataFrame([tuple(row)], ", ".join(f"`{n}` double" for n in names))
+    pairs = {"standard": lambda c: (F.avg(c), F.stddev_samp(c)), "minmax": lambda c: (F.min(c), F.max(c) - F.min(c))}
     if method not in pairs:
         raise ValueError(f"no such scaling: {method}")
-    return df.agg(*[f.cast("double").alias(f"__{k}_{c}") for c in columns for k, f in zip(("mid", "size"), pairs[method](c), strict=True)])
+    figures = [f.cast("double") for c in columns for f in pairs[method](c)]
+    return df.agg(*[f.alias(n) for f, n in zip(figures, names, strict=True)])
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -70,21 +74,26 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, columns: Sequence[str]) -> Da
     return d.withColumns(scaled).drop(*scaler.columns)
 
 
+def fit_fences(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> dict[str, tuple[float | None, float | None]]:
+    """(low, high) of each column: the quartiles less and plus ``multiplier`` interquartile ranges; None where nothing is known."""
+    q = quantile_values(df, columns, (0.25, 0.75))
+    return {c: (None, None) if a is None else (a - multiplier * (b - a), b + multiplier * (b - a)) for c, (a, b) in q.items()}
+
+
+def apply_fences(df: DataFrame, fences: Mapping[str, tuple[float | None, float | None]]) -> DataFrame:
+    """Values beyond their column's fences become null."""
+    return df.withColumns({c: F.when(F.col(c).between(F.lit(lo), F.lit(hi)), F.col(c)) for c, (lo, hi) in fences.items()})
+
+
 def fence_to_null(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> DataFrame:
     """Values beyond the quartiles by more than ``multiplier`` interquartile ranges become null."""
-    q = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias(f"__{c}") for c in columns])
-    d = df.crossJoin(F.broadcast(q))  # one row
-    lo, hi = (lambda c: F.get(f"__{c}", 0)), (lambda c: F.get(f"__{c}", 1))
-    kept = {c: F.when(F.col(c).between(lo(c) - multiplier * (hi(c) - lo(c)), hi(c) + multiplier * (hi(c) - lo(c))), F.col(c)) for c in columns}
-    return d.withColumns(kept).drop(*q.columns)
+    return apply_fences(df, fit_fences(df, columns, multiplier))
 
 
 def quartile_bins(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """1 to 4 by quartile, a quartile's own value in the lower bin."""
-    q = df.agg(*[F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"__{c}") for c in columns])
-    d = df.crossJoin(F.broadcast(q))  # one row
-    bins = {c: sum(((F.col(c) > F.get(f"__{c}", i)).cast("int") for i in range(3)), F.lit(1)) for c in columns}
-    return d.withColumns(bins).drop(*q.columns)
+    q = quantile_values(df, columns, (0.25, 0.5, 0.75))
+    return df.withColumns({c: sum(((F.col(c) > F.lit(v)).cast("int") for v in q[c]), F.lit(1)) for c in columns})
 
 
 def interactions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -101,15 +110,26 @@ def one_hot(df: DataFrame, column: str, levels: Sequence[str] | None = None, ful
     return df.withColumns({f"{column}.{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in levels[full_rank:]}).drop(column)
 
 
+def fit_imputer(df: DataFrame, numeric: Sequence[str] = (), factors: Sequence[str] = (), how: str = "mean") -> dict[str, object]:
+    """What nulls become: the column's mean or (exact) median, or for factors the least of the most frequent values."""
+    fill: dict[str, object] = {}
+    if numeric and how == "median":
+        fill |= {c: v[0] for c, v in quantile_values(df, numeric, (0.5,)).items()}
+    elif numeric:
+        fill |= df.agg(*[F.avg(c).alias(c) for c in numeric]).first().asDict()
+    for c in factors:
+        top = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(1).collect()
+        fill[c] = top[0][c] if top else None
+    return fill
+
+
+def apply_imputer(df: DataFrame, fill: Mapping[str, object]) -> DataFrame:
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fill.items()})
+
+
 def impute(df: DataFrame, numeric: Sequence[str] = (), factors: Sequence[str] = (), how: str = "mean") -> DataFrame:
     """Nulls become the column's mean or median, or for factors the least of the most frequent values."""
-    centre = F.avg if how == "mean" else F.median
-    fill = df.agg(*[centre(c).alias(f"__{c}") for c in numeric]) if numeric else None
-    for c in factors:
-        top = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(1).select(F.col(c).alias(f"__{c}"))
-        fill = top if fill is None else fill.join(top, F.lit(True), "left")
-    d = df.join(F.broadcast(fill), F.lit(True), "left")  # one row
-    return d.withColumns({c: F.coalesce(c, f"__{c}") for c in [*numeric, *factors]}).drop(*fill.columns)
+    return apply_imputer(df, fit_imputer(df, numeric, factors, how))
 
 
 def constant_columns(df: DataFrame, tolerance: float = 1e-6) -> list[str]:

@@ -11,9 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.core import stored
 from loomwork.functions.special import chi2_cdf, normal_cdf
-from loomwork.operators.graph import _store
-from loomwork.operators.statistics import average_ranks
+from loomwork.operators.statistics import group_ranks
 
 
 def class_scatter(df: DataFrame, target: str, features: Sequence[str]) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
@@ -99,8 +99,8 @@ def dunn_table(df: DataFrame, column: str, group: str) -> DataFrame:
 
     A row per pair of groups, whatever their number; pairs are ranked by p within ranges of p.
     """
-    r = average_ranks(df, column, group)
-    g = _store(r.groupBy(group).agg((F.sum(F.col("n") * F.col("rank")) / F.sum("n")).alias("m"), F.sum("n").alias("n")))
+    r = group_ranks(df, column, group)
+    g = stored(r.groupBy(group).agg((F.sum(F.col("n") * F.col("rank")) / F.sum("n")).alias("m"), F.sum("n").alias("n")))
     ties, n = r.select("x", "ties").distinct().agg(F.sum(F.col("ties").cast("double") * F.col("ties") * F.col("ties") - F.col("ties")), F.sum("ties")).first()
     spread = n * (n + 1) / 12 - ties / (12 * (n - 1)) if n and n > 1 else None
 
@@ -111,16 +111,16 @@ def dunn_table(df: DataFrame, column: str, group: str) -> DataFrame:
     a, b = (g.select(F.col(group).alias(f"group{k}"), F.col("m").alias(f"m{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2))
     z = (F.col("m1") - F.col("m2")) / F.sqrt(F.lit(spread).cast("double") * (1 / F.col("n1") + 1 / F.col("n2")))
     each = (F.col("group1") < F.col("group2")) | (F.col("group1").isNull() & F.col("group2").isNotNull())  # null is a group, the first
-    pairs = _store(a.join(b, each).select("group1", "group2", z.alias("z")).withColumn("p", two_sided("z")))
+    pairs = stored(a.join(b, each).select("group1", "group2", z.alias("z")).withColumn("p", two_sided("z")))
     # equal p are in one range; its place is kept, since a read table has other partitions
-    ranges = _store(pairs.repartitionByRange("p").withColumn("__range", F.spark_partition_id()))
+    ranges = stored(pairs.repartitionByRange("p").withColumn("__range", F.spark_partition_id()))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
     starts = sizes.select("__range", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"), F.sum("__size").over(Window.partitionBy()).alias("__all"))
     inside = Window.partitionBy("__range")
     ranked = ranges.join(F.broadcast(starts), "__range").withColumn("__rank", F.col("__start") + F.row_number().over(inside.orderBy("p", "group1", "group2")))
-    ranked = _store(ranked.withColumn("__q", F.col("p") * F.col("__all") / F.col("__rank")))
+    ranked = stored(ranked.withColumn("__q", F.col("p") * F.col("__all") / F.col("__rank")))
     later = ranked.groupBy("__range").agg(F.min("__q").alias("__q")).select("__range", F.min("__q").over(after).alias("__later"))
     own = F.min("__q").over(inside.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0))
     return ranked.join(F.broadcast(later), "__range").select("group1", "group2", "z", "p", F.least(own, "__later", F.lit(1.0)).alias("p_adjusted"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions.core import require_columns
+from loomwork.functions.ordered import quantiles
 
 
 def expand_days(df: DataFrame, start_col: str, end_col: str, day_col: str = "day") -> DataFrame:
@@ -36,11 +37,15 @@ def daily_counts(df: DataFrame, start_col: str, end_col: str, group_col: str | N
 def daily_summary(df: DataFrame, start_col: str, end_col: str, value_col: str, group_col: str | None = None, how: str = "sum") -> DataFrame:
     """The sum, mean or median of the values of the intervals that cover each day, for each group on one common calendar; no values give 0."""
     require_columns(df, [start_col, end_col, value_col, group_col])
-    functions = {"sum": F.sum, "mean": F.avg, "median": F.median}
+    functions = {"sum": F.sum, "mean": F.avg, "median": None}
     if how not in functions:
         raise ValueError(f"no such summary: {how}")
     keys = [group_col] if group_col else []
-    days = expand_days(df, start_col, end_col).groupBy(*keys, "day").agg(functions[how](value_col).alias("value"))
+    each = expand_days(df, start_col, end_col)
+    if how == "median":
+        days = quantiles(each, [value_col], (0.5,), [*keys, "day"]).select(*keys, "day", F.get("q", F.lit(0)).alias("value"))
+    else:
+        days = each.groupBy(*keys, "day").agg(functions[how](value_col).alias("value"))
     bounds = df.agg(F.min(F.to_date(start_col)).alias("a"), F.max(F.to_date(end_col)).alias("b"))
     calendar = bounds.select(F.explode(F.sequence("a", "b")).alias("day"))
     grid = df.select(*keys).distinct().crossJoin(calendar) if keys else calendar  # groups x days, the size of the result

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.ordered import quantile_values
 from loomwork.functions.special import chi2_quantile, t_quantile
 
 
@@ -25,28 +26,32 @@ def z_flags(df: DataFrame, column: str, limit: float = 1.96, out: str = "outlier
 
 def tukey_flags(df: DataFrame, column: str, multiplier: float = 1.5, out: str = "outlier") -> DataFrame:
     """Beyond the quartiles by more than ``multiplier`` interquartile ranges."""
-    s = df.agg(F.percentile(F.col(column).cast("double"), F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
-    lo, hi = F.get("__q", 0), F.get("__q", 1)
+    lo, hi = quantile_values(df, [column], (0.25, 0.75))[column]
+    if lo is None:
+        return df.withColumn(out, F.lit(None).cast("int"))
     outside = (F.col(column) < lo - multiplier * (hi - lo)) | (F.col(column) > hi + multiplier * (hi - lo))
-    return _with_stats(df, s).withColumn(out, outside.cast("int")).drop("__q")
+    return df.withColumn(out, outside.cast("int"))
 
 
-def _median_deviation(df: DataFrame, column: str) -> DataFrame:
-    m = df.agg(F.median(column).alias("__m"))
-    d = _with_stats(df.select(column), m).agg(F.first("__m").alias("__m"), F.median(F.abs(F.col(column) - F.col("__m"))).alias("__d"))
-    return _with_stats(df, d)
+def _median_deviation(df: DataFrame, column: str) -> tuple[Column, Column]:
+    """The median and the median distance from it, nulls where nothing is known."""
+    m = quantile_values(df, [column], (0.5,))[column][0]
+    d = quantile_values(df, {column: F.abs(F.col(column) - m)}, (0.5,))[column][0] if m is not None else None
+    return F.lit(m).cast("double"), F.lit(d).cast("double")
 
 
 def mad_flags(df: DataFrame, column: str, multiplier: float = 3.0, out: str = "outlier") -> DataFrame:
     """Further than ``multiplier`` median deviations (unscaled) from the median; where that is 0, anything off the median."""
-    d = F.abs(F.col(column) - F.col("__m"))
-    return _median_deviation(df, column).withColumn(out, F.when(F.col("__d") == 0, d > 0).otherwise(d > multiplier * F.col("__d")).cast("int")).drop("__m", "__d")
+    m, d = _median_deviation(df, column)
+    away = F.abs(F.col(column) - m)
+    return df.withColumn(out, F.when(d == 0, away > 0).otherwise(away > multiplier * d).cast("int"))
 
 
 def modified_z_flags(df: DataFrame, column: str, limit: float = 3.5, out: str = "outlier") -> DataFrame:
     """0.6745 x deviation / (1.4826 x median deviation) above ``limit``; the double scaling is kept as the method has it. Where that is 0, anything off the median."""
-    score = 0.6745 * F.abs(F.col(column) - F.col("__m")) / (1.4826 * F.col("__d"))
-    return _median_deviation(df, column).withColumn(out, F.when(F.col("__d") != 0, score > limit).otherwise(F.col(column) != F.col("__m")).cast("int")).drop("__m", "__d")
+    m, d = _median_deviation(df, column)
+    score = 0.6745 * F.abs(F.col(column) - m) / (1.4826 * d)
+    return df.withColumn(out, F.when(d != 0, score > limit).otherwise(F.col(column) != m).cast("int"))
 
 
 def grubbs_limit(n: int, alpha: float = 0.05) -> float:

@@ -8,7 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.core import numeric_columns, quantile, require_columns
+from loomwork.functions.core import numeric_columns, require_columns
+from loomwork.functions.ordered import average_ranks, quantiles
 
 
 def modes(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -23,28 +24,43 @@ def modes(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
 def numeric_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """A row per column (and group): mean, median, deviations, moments, sums, range, quartiles, scaled median deviation.
 
-    Kurtosis is the raw fourth standardised moment; quartiles interpolate linearly. Two passes: the second
-    for the median deviation, whose centre the first gives.
+    Kurtosis is the raw fourth standardised moment; quartiles interpolate linearly. Moments are one aggregate;
+    order statistics are exact, see ``quantiles``, once for the values and once for their distances from the median.
     """
     require_columns(df, [*columns, *by])
-    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(by), list(columns), "variable", "x")
-    x = F.col("x")
-    stats = long.groupBy(*by, "variable").agg(
-        F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_samp(x).alias("sample_sd"), F.stddev_pop(x).alias("pop_sd"),
-        (F.kurtosis(x) + 3).alias("kurtosis"), F.skewness(x).alias("skewness"), F.sum(x).alias("sum"), F.sum(F.abs(x)).alias("abs_sum"),
-        F.min(x).alias("min"), F.max(x).alias("max"), quantile("x", 0.25).alias("q1"), quantile("x", 0.75).alias("q3"),
-    ).withColumn("iqr", F.col("q3") - F.col("q1"))
-    centre = stats.select(*[F.col(c).alias(f"__{c}") for c in [*by, "variable"]], F.col("median").alias("__median"))
-    on = F.col("variable") == F.col("__variable")
-    for c in by:
-        on = on & long[c].eqNullSafe(F.col(f"__{c}"))
-    spread = long.join(F.broadcast(centre), on) if not by else long.join(centre, on)
-    mad = spread.groupBy(*by, "variable").agg((1.4826 * F.median(F.abs(x - F.col("__median")))).alias("mad"))
-    named = mad.withColumnsRenamed({c: f"__{c}" for c in [*by, "variable"]})
-    on = stats["variable"] == named["__variable"]
-    for c in by:
-        on = on & stats[c].eqNullSafe(named[f"__{c}"])
-    return stats.join(named, on).drop(*[f"__{c}" for c in [*by, "variable"]])
+    d = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    q = quantiles(d, columns, (0.25, 0.5, 0.75), by)
+    middle = F.get("q", F.lit(1))
+    if by:
+        names = [f"__g{i}" for i in range(len(by))]
+        centre = q.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)]).agg(*[F.max(F.when(F.col("variable") == c, middle)).alias(f"__m{i}") for i, c in enumerate(columns)])
+        near = d.join(centre, _same_keys(d, by, centre, names)).drop(*names)
+        medians = [F.col(f"__m{i}") for i in range(len(columns))]
+    else:
+        found = {r["variable"]: r["m"] for r in q.select("variable", middle.alias("m")).collect()}  # a number per column
+        near, medians = d, [F.lit(found[c]).cast("double") for c in columns]
+    mad = quantiles(near, {c: F.abs(F.col(c) - m) for c, m in zip(columns, medians, strict=True)}, (0.5,), by)
+    rows = []
+    for c in columns:
+        x = F.col(c)
+        rows.append(F.struct(
+            F.lit(c).alias("variable"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sample_sd"), F.stddev_pop(x).alias("pop_sd"), (F.kurtosis(x) + 3).alias("kurtosis"), F.skewness(x).alias("skewness"),
+            F.sum(x).alias("sum"), F.sum(F.abs(x)).alias("abs_sum"), F.min(x).alias("min"), F.max(x).alias("max"),
+        ))
+    moments = d.groupBy(*by).agg(F.array(*rows).alias("__rows")).select(*by, F.inline("__rows"))
+    keys = [*by, "variable"]
+    order = q.select(*[F.col(c).alias(f"__q{i}") for i, c in enumerate(keys)], middle.alias("median"), F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(2)).alias("q3"))
+    spread = mad.select(*[F.col(c).alias(f"__d{i}") for i, c in enumerate(keys)], (1.4826 * F.get("q", F.lit(0))).alias("mad"))
+    out = moments.join(order, _same_keys(moments, keys, order, [f"__q{i}" for i in range(len(keys))]))
+    out = out.join(spread, _same_keys(out, keys, spread, [f"__d{i}" for i in range(len(keys))]))
+    return out.select(*keys, "mean", "median", "sample_sd", "pop_sd", "kurtosis", "skewness", "sum", "abs_sum", "min", "max", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), "mad")
+
+
+def _same_keys(a: DataFrame, left: Sequence[str], b: DataFrame, right: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for x, y in zip(left, right, strict=True):
+        out = out & a[x].eqNullSafe(b[y])
+    return out
 
 
 def column_overview(df: DataFrame) -> DataFrame:
@@ -106,11 +122,9 @@ def correlations(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
 def rank_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Spearman's r of each pair of columns: Pearson's of average ranks, ranked among all rows with the column known."""
     d = df
-    for c in columns:
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).count()
-        below = F.coalesce(F.sum("count").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = counts.select(F.col(c).alias("__v"), (below + (F.col("count") + 1) / 2).alias(f"__rank_{c}"))  # over distinct values
-        d = d.join(ranks, d[c] == ranks["__v"], "left").drop("__v")
+    for i, c in enumerate(columns):
+        ranks = average_ranks(df, c).select(F.col("x").alias(f"__v{i}"), F.col("rank").alias(f"__rank_{c}"))  # a row per distinct value
+        d = d.join(ranks, d[c] == ranks[f"__v{i}"], "left").drop(f"__v{i}")
     out = correlations(d, [f"__rank_{c}" for c in columns])
     return out.select(F.expr("substring(var1, 8)").alias("var1"), F.expr("substring(var2, 8)").alias("var2"), "r")
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.ordered import average_ranks, in_blocks, numbered, quantile_values
 from loomwork.functions.special import chi2_cdf, f_cdf, t_cdf, t_quantile
 
 
@@ -91,17 +92,15 @@ def best_distribution(df: DataFrame, column: str, criterion: str = "aic") -> lis
     return sorted(({"family": f, "log_likelihood": ll, criterion: cost * k - 2 * ll} for f, k, ll in fits), key=lambda r: r[criterion])
 
 
-def average_ranks(df: DataFrame, column: str, group: str) -> DataFrame:
-    """(group, value, n, rank) of distinct values: ties share their mean rank. The order runs over distinct values."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).count()
-    below = F.coalesce(F.sum("count").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select("x", F.col("count").alias("ties"), (below + (F.col("count") + 1) / 2).alias("rank"))
-    return df.where(F.col(column).isNotNull()).groupBy(group, F.col(column).alias("x")).agg(F.count(F.lit(1)).alias("n")).join(ranks, "x")
+def group_ranks(df: DataFrame, column: str, group: str) -> DataFrame:
+    """(group, x, n, ties, rank): how often each group has each distinct value, how often all have it, and its mean rank."""
+    known = df.where(F.col(column).isNotNull()).groupBy(group, F.col(column).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    return known.join(average_ranks(df, column), "x")
 
 
 def kruskal_wallis(df: DataFrame, column: str, group: str) -> DataFrame:
     """One row: h (corrected for ties), df, n."""
-    r = average_ranks(df, column, group)
+    r = group_ranks(df, column, group)
     g = r.groupBy(group).agg(F.sum(F.col("n") * F.col("rank")).alias("r"), F.sum("n").alias("n"))
     ties = r.select("x", "ties").distinct().agg(F.sum(F.col("ties").cast("double") * F.col("ties") * F.col("ties") - F.col("ties")).alias("t"))
     s = g.agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("q"), F.sum("n").cast("double").alias("n"), (F.count(F.lit(1)) - 1).alias("df")).crossJoin(ties)  # one row each
@@ -181,12 +180,16 @@ def least_squares(df: DataFrame, y: str, x: Sequence[str]) -> dict[str, object]:
 
 
 def residual_summary(df: DataFrame, y: str, x: Sequence[str], order: str) -> DataFrame:
-    """One row: mean, median, extremes and sd of a linear model's residuals, their mean size, and Durbin-Watson's statistic in ``order``."""
+    """One row: mean, median, extremes and sd of a linear model's residuals, their mean size, and Durbin-Watson's statistic in ``order``.
+
+    Steps between neighbours are taken within blocks of the order, each with the row before it.
+    """
     fit = least_squares(df, y, x)["coefficients"]
     guess: Column = sum((F.col(c) * fit[c] for c in x), F.lit(fit["1"]))
-    r = df.dropna(subset=[y, *x]).select(order, (F.col(y) - guess).alias("e"))
-    r = r.withColumn("step", F.col("e") - F.lag("e").over(Window.orderBy(order)))
-    return r.agg(F.avg("e").alias("mean"), F.median("e").alias("median"), F.min("e").alias("min"), F.max("e").alias("max"), F.stddev_samp("e").alias("sd"), F.avg(F.abs("e")).alias("mae"), (F.sum(F.col("step") * F.col("step")) / F.sum(F.col("e") * F.col("e"))).alias("durbin_watson"))
+    r = in_blocks(numbered(df.dropna(subset=[y, *x]).select(order, (F.col(y) - guess).alias("e")), [order]), back=1)
+    r = r.withColumn("step", F.col("e") - F.lag("e").over(Window.partitionBy("__block").orderBy("__rn"))).where("__own")
+    median = F.lit(quantile_values(r, ["e"], (0.5,))["e"][0]).cast("double")
+    return r.agg(F.avg("e").alias("mean"), F.min("e").alias("min"), F.max("e").alias("max"), F.stddev_samp("e").alias("sd"), F.avg(F.abs("e")).alias("mae"), (F.sum(F.col("step") * F.col("step")) / F.sum(F.col("e") * F.col("e"))).alias("durbin_watson")).withColumn("median", median)
 
 
 def confusion(df: DataFrame, predicted: str, actual: str) -> DataFrame:
@@ -201,7 +204,7 @@ def confusion(df: DataFrame, predicted: str, actual: str) -> DataFrame:
 
 def area_under_curve(df: DataFrame, score: str, positive: str) -> DataFrame:
     """One row: the area under the ROC curve by average ranks; ``positive`` is 0 or 1."""
-    r = average_ranks(df, score, positive)
+    r = group_ranks(df, score, positive)
     s = r.agg(F.sum(F.when(F.col(positive) == 1, F.col("n") * F.col("rank"))).alias("r"), F.sum(F.when(F.col(positive) == 1, F.col("n"))).alias("p"), F.sum(F.when(F.col(positive) == 0, F.col("n"))).alias("q"))
     return s.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
 

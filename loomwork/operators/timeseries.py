@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.core import require_columns
+from loomwork.functions.core import require_columns, stored
+from loomwork.functions.ordered import in_blocks, numbered, quantiles
 
 UNITS = ("day", "week", "month", "quarter", "year")
 
@@ -20,11 +21,15 @@ def bucketed_series(df: DataFrame, date_col: str, value_col: str, unit: str = "d
     require_columns(df, [date_col, value_col])
     if unit not in UNITS:
         raise ValueError(f"no such unit: {unit}")
-    bars = {"sum": F.sum, "mean": F.avg, "median": F.median}[bar]
+    bars = {"sum": F.sum, "mean": F.avg, "median": None}[bar]
     lines = {"mean": F.avg, "max": F.max, "min": F.min, "median": lambda c: F.percentile(c, F.lit(0.5))}[line]
     day = F.to_date(date_col)
     bucket = day if unit == "day" else F.trunc(date_col, unit).cast("date")
-    out = df.where(F.col(date_col).isNotNull()).groupBy(bucket.alias("bucket")).agg(bars(value_col).alias("bar"))
+    known = df.where(F.col(date_col).isNotNull()).withColumn("bucket", bucket)
+    if bar == "median":
+        out = quantiles(known, [value_col], (0.5,), ["bucket"]).select("bucket", F.get("q", F.lit(0)).alias("bar"))
+    else:
+        out = known.groupBy("bucket").agg(bars(value_col).alias("bar"))
     order = Window.orderBy("bucket")  # over buckets, not rows
     return out.withColumn("line", F.when(F.row_number().over(order) >= window, lines("bar").over(order.rowsBetween(1 - window, 0))))
 
@@ -46,48 +51,96 @@ def adstock_weights(lag: int, decay: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
+def _adstock(value: str, lag: int, decay: float, order, position: Column, pad: bool) -> Column:
+    w = adstock_weights(lag, decay)
+    total = sum((F.coalesce(F.lag(value, lag - 1 - i).over(order), F.lit(0.0)) * w[i] for i in range(1, lag)), F.coalesce(F.lag(value, lag - 1).over(order), F.lit(0.0)) * w[0])
+    return total if pad else F.when(position >= lag, total)
+
+
 def adstock(df: DataFrame, time_col: str, value_col: str, lag: int, decay: float, series: Sequence[str] = (), pad: bool = False) -> DataFrame:
     """``adstock``: the weighted sum of the last ``lag`` values, the largest weight on the oldest.
 
     The first ``lag`` - 1 rows of a series are null, or are summed as if zeros came before them (``pad``).
+    One long series is worked on in blocks of its order, each with the rows before it that it needs.
     """
-    order = Window.partitionBy(*series).orderBy(time_col)
-    w = adstock_weights(lag, decay)
-    terms = [F.coalesce(F.lag(value_col, lag - 1 - i).over(order), F.lit(0.0)) * w[i] for i in range(lag)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return df.withColumn("adstock", total if pad else F.when(F.row_number().over(order) >= lag, total))
+    if series:
+        order = Window.partitionBy(*series).orderBy(time_col)
+        return df.withColumn("adstock", _adstock(value_col, lag, decay, order, F.row_number().over(order), pad))
+    d = in_blocks(numbered(df, [time_col]), back=lag - 1)
+    order = Window.partitionBy("__block").orderBy("__rn")
+    return d.withColumn("adstock", _adstock(value_col, lag, decay, order, F.col("__rn"), pad)).where("__own").drop("__rn", "__block", "__own")
 
 
 def trend_forecast_error(df: DataFrame, time_col: str, value_col: str, lag: int, decay: float, folds: int = 10) -> DataFrame:
-    """Mean over contiguous folds of the squared error of a linear trend, fitted to the other rows' adstock.
+    """Mean over contiguous folds of the squared error of a linear trend, fitted to the adstock of the rows outside the fold.
 
-    Row numbers of the training rows run on without the fold; the fold is forecast after them. Rows
-    beyond folds x (n // folds) are left out of every fold, and train.
+    Each fold is cut out of the series first; the rest is numbered on without it and its adstock taken
+    anew, as if zeros came before it, so nothing of the fold reaches the rows behind it. The fold is forecast after
+    the rest. Rows beyond folds x (n // folds) are in no fold and train in all. Fewer rows than folds give null.
     """
-    order = Window.orderBy(time_col)
-    d = adstock(df, time_col, value_col, lag, decay).withColumn("rn", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
-    d = d.withColumn("fold", F.floor((F.col("rn") - 1) / F.floor(F.col("n") / folds)).cast("int"))
-    d = d.select("rn", "n", "fold", F.col(value_col).alias("x"), "adstock")
-    k = d.sparkSession.range(folds).select(F.col("id").cast("int").alias("k"))
-    size = F.floor(F.col("n") / folds)
-    crossed = d.crossJoin(F.broadcast(k))  # a few folds
-    train = crossed.where("fold != k").withColumn("t", F.when(F.col("fold") > F.col("k"), F.col("rn") - size).otherwise(F.col("rn")))
-    line = train.groupBy("k").agg(F.regr_slope("adstock", "t").alias("b"), F.regr_intercept("adstock", "t").alias("a"), F.first(F.col("n") - size).alias("m"))
-    test = d.where(F.col("fold") < folds).join(F.broadcast(line), d["fold"] == line["k"])
-    error = F.col("x") - (F.col("a") + F.col("b") * (F.col("m") + F.col("rn") - F.col("fold") * size))
+    d = stored(numbered(df.select(time_col, F.col(value_col).cast("double").alias("x")), [time_col]))
+    n = d.count()
+    size = n // folds
+    if not size:
+        return d.agg(F.lit(None).cast("double").alias("error"))
+    k = d.sparkSession.range(folds).select(F.col("id").cast("int").alias("k"))  # a few folds
+    fold = F.floor((F.col("__rn") - 1) / size).cast("int")
+    train = d.withColumn("fold", fold).crossJoin(F.broadcast(k)).where("fold != k").withColumn("t", F.when(F.col("fold") > F.col("k"), F.col("__rn") - size).otherwise(F.col("__rn")))
+    blocks = in_blocks(train, back=lag - 1, number="t")
+    order = Window.partitionBy("k", "__block").orderBy("t")
+    train = blocks.withColumn("adstock", _adstock("x", lag, decay, order, F.col("t"), True)).where("__own")
+    line = train.groupBy("k").agg(F.regr_slope("adstock", "t").alias("b"), F.regr_intercept("adstock", "t").alias("a"))
+    test = d.withColumn("fold", fold).where(F.col("fold") < folds).join(F.broadcast(line), F.col("fold") == F.col("k"))
+    error = F.col("x") - (F.col("a") + F.col("b") * (n - size + F.col("__rn") - F.col("fold") * size))
     return test.groupBy("fold").agg(F.sum(error * error).alias("sse")).agg(F.avg("sse").alias("error"))
 
 
 def walk_forward_error(df: DataFrame, time_col: str, value_col: str, lag: int, decay: float, step: int = 1) -> DataFrame:
-    """From the middle of the series on, in steps: the mean absolute difference of values and adstock, averaged over steps."""
-    d = adstock(df, time_col, value_col, lag, decay, pad=True).withColumn("rn", F.row_number().over(Window.orderBy(time_col)))
-    d = d.withColumn("start", F.round(F.count(F.lit(1)).over(Window.partitionBy()) * 0.5))
-    steps = d.where("rn > start").groupBy(F.floor((F.col("rn") - F.col("start") - 1) / step).alias("s")).agg(F.avg(F.abs(F.col(value_col) - F.col("adstock"))).alias("mae"))
+    """From the middle of the series on, in whole steps: the mean absolute difference of values and adstock, averaged over steps."""
+    d = in_blocks(numbered(df, [time_col]), back=lag - 1)
+    n = df.count()
+    start = round(n * 0.5)
+    d = d.withColumn("adstock", _adstock(value_col, lag, decay, Window.partitionBy("__block").orderBy("__rn"), F.col("__rn"), True)).where("__own")
+    last = start + (n - start) // step * step
+    steps = d.where((F.col("__rn") > start) & (F.col("__rn") <= last)).groupBy(F.floor((F.col("__rn") - start - 1) / step).alias("s")).agg(F.avg(F.abs(F.col(value_col) - F.col("adstock"))).alias("mae"))
     return steps.agg(F.avg("mae").alias("error"))
 
 
+def grid_search(df: DataFrame, time_col: str, value_col: str, lags: Sequence[int], decays: Sequence[float], method: str = "folds", folds: int = 10, step: int = 1) -> DataFrame:
+    """(lag, decay, error, best) for each pair: the error of ``trend_forecast_error`` (folds) or ``walk_forward_error`` (walk).
+
+    All pairs are computed in one job over the series, numbered once; the least error is best, of equal ones
+    the least lag, then decay.
+    """
+    if method not in ("folds", "walk"):
+        raise ValueError(f"no such method: {method}")
+    d = stored(numbered(df.select(time_col, F.col(value_col).cast("double").alias("x")), [time_col]))
+    n = d.count()
+    size, start = n // folds, round(n * 0.5)
+    grid = [(lag, float(decay)) for lag in lags for decay in decays]
+    longest = max(lags)
+    if method == "folds":
+        k = d.sparkSession.range(folds).select(F.col("id").cast("int").alias("k"))  # a few folds
+        fold = F.floor((F.col("__rn") - 1) / max(size, 1)).cast("int")
+        t = d.withColumn("fold", fold).crossJoin(F.broadcast(k)).where("fold != k").withColumn("t", F.when(F.col("fold") > F.col("k"), F.col("__rn") - size).otherwise(F.col("__rn")))
+    else:
+        t = d.withColumn("k", F.lit(0)).withColumn("t", F.col("__rn"))
+    blocks = in_blocks(t, back=longest - 1, number="t")
+    order = Window.partitionBy("k", "__block").orderBy("t")
+    both = [F.struct(F.lit(lag).alias("lag"), F.lit(decay).alias("decay"), _adstock("x", lag, decay, order, F.col("t"), True).alias("adstock")) for lag, decay in grid]
+    long = blocks.withColumn("__all", F.array(*both)).where("__own").select("k", "t", "x", F.inline("__all"))
+    if method == "folds":
+        line = long.groupBy("lag", "decay", "k").agg(F.regr_slope("adstock", "t").alias("b"), F.regr_intercept("adstock", "t").alias("a"))
+        test = d.withColumn("fold", fold).where(F.col("fold") < folds).join(F.broadcast(line), F.col("fold") == F.col("k"))  # a line per pair and fold
+        error = F.col("x") - (F.col("a") + F.col("b") * (n - size + F.col("__rn") - F.col("fold") * size))
+        found = test.groupBy("lag", "decay", "fold").agg(F.sum(error * error).alias("e"))
+    else:
+        last = start + (n - start) // step * step
+        found = long.where((F.col("t") > start) & (F.col("t") <= last)).groupBy("lag", "decay", F.floor((F.col("t") - start - 1) / step).alias("s")).agg(F.avg(F.abs(F.col("x") - F.col("adstock"))).alias("e"))
+    out = found.groupBy("lag", "decay").agg(F.avg("e").alias("error"))
+    return out.withColumn("best", F.row_number().over(Window.orderBy("error", "lag", "decay")) == 1)  # a row per pair
+
+
 def brown_smoothing(df: DataFrame, time_col: str, value_col: str, alphas: Sequence[float], k: int = 5, ahead: int = 1, series: Sequence[str] = ()) -> DataFrame:
     """Double exponential smoothing for each alpha: series, alpha, sse, rmse, level and trend at the end, best.
 
@@ -122,9 +175,13 @@ def brown_smoothing(df: DataFrame, time_col: str, value_col: str, alphas: Sequen
 
 def hampel(df: DataFrame, time_col: str, value_col: str, k: int = 3, limit: float = 3.0, series: Sequence[str] = ()) -> DataFrame:
     """``repaired``: values further than ``limit`` scaled median deviations from the median of the 2k + 1 around them become that median."""
-    around = Window.partitionBy(*series).orderBy(time_col).rowsBetween(-k, k)
-    d = df.withColumn("__near", F.collect_list(F.col(value_col).cast("double")).over(around))
+    if series:
+        d, around = df, Window.partitionBy(*series).orderBy(time_col).rowsBetween(-k, k)
+    else:  # one long series, in blocks with the rows around them
+        d, around = in_blocks(numbered(df, [time_col]), back=k, ahead=k), Window.partitionBy("__block").orderBy("__rn").rowsBetween(-k, k)
+    d = d.withColumn("__near", F.collect_list(F.col(value_col).cast("double")).over(around))
     middle = lambda a: (F.element_at(F.array_sort(a), (F.floor((F.size(a) + 1) / 2)).cast("int")) + F.element_at(F.array_sort(a), (F.floor(F.size(a) / 2) + 1).cast("int"))) / 2
+    d = d if series else d.where("__own").drop("__rn", "__block", "__own")
     d = d.withColumn("__med", middle(F.col("__near")))
     d = d.withColumn("__dev", F.transform("__near", lambda v: F.abs(v - F.col("__med"))))
     spike = F.abs(F.col(value_col) - F.col("__med")) > limit * 1.4826 * middle(F.col("__dev"))
