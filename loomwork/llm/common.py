@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.functions.core import shared_dir
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of at most so many rows may be broadcast; larger ones are joined by a salted shuffle.
@@ -16,21 +16,16 @@ BROADCAST_ROWS = 10_000
 SALTS = 32
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return base.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/loomwork/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder (``spark.checkpoint.dir``), below one of this application's own."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: the lineage is cut, and lost executors cost nothing."""
+    """Write ``df`` as Parquet in the shared folder and read it back: the lineage is cut, and lost executors cost nothing.
+
+    ``loomwork.functions.core.drop_stored`` removes what an application has written, once its results are out.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)

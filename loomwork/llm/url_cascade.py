@@ -7,15 +7,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import materialise
+from loomwork.functions.ordered import numbered
+from loomwork.llm.common import join_small, materialise
 
 #: Hashes per key on each level, and bits per key: the first level lets few keys through, later ones half or so.
 FIRST_LEVEL = (7, 12)
 LATER_LEVELS = (2, 4)
-#: A level travels inside the plan up to this many 64-bit words (2 MB); larger lists use a join.
-MOST_WORDS = 1 << 18
-#: Kinds of verdict (allow, block...) that have a cascade each; rules with more kinds are joined.
-MOST_VERDICTS = 16
+#: 64-bit words of one filter (256 KB). One filter a level travels inside the plan; larger lists have several, and keys go to theirs.
+MOST_WORDS = 1 << 15
+#: Up to so many kinds of verdict are named in the plan; more are joined by their numbers.
+MOST_NAMES = 1000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -31,22 +32,25 @@ def _lower(host: Column) -> Column:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and every suffix of it that starts after a dot: what a rule may name."""
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.call_function("substring_index", host, F.lit("."), -i))
+def candidate_keys(host: Column, path: Column, label_counts: list[int], path_lengths: list[int]) -> Column:
+    """All (host, path) rules that could cover a url, as host || path, for rules whose hosts have so many labels and whose paths these lengths.
 
-
-def candidate_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
-    """All (host, path) rules that could cover a url, for rules whose paths have these lengths, as host || path."""
-    prefixes = F.filter(F.transform(F.array(*[F.lit(n) for n in path_lengths]), lambda n: F.when(F.length(path) >= n, path.substr(F.lit(1), n))), lambda p: p.isNotNull())
-    return F.flatten(F.transform(host_suffixes(host), lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
+    Longer suffixes than any rule's aren't formed, so a host of very many labels costs no more than its length.
+    """
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    suffixes = F.array_compact(F.array(*[F.when(labels >= n, F.substring_index(host, ".", -n)) for n in label_counts]))
+    prefixes = F.array_compact(F.array(*[F.when(F.length(path) >= n, path.substr(1, n)) for n in path_lengths]))
+    return F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
 
 
 def _slots(key: Column, level: int, hashes: int, bits: int) -> Column:
     return F.array(*[F.pmod(F.xxhash64(key, F.lit(level * 64 + i)), F.lit(bits)) for i in range(hashes)])
 
 
+def _set_bits(slot: Column) -> tuple[Column, Column]:
+    return F.shiftright(slot, 6).cast("int"), F.pmod(slot, F.lit(64)).cast("int")
+
+
 class BloomCascade:
     """Levels of Bloom filters that answer membership of a key list without error on a given universe of keys.
 
@@ -55,33 +59,44 @@ class BloomCascade:
     and so on until nothing is left. A key belongs if the number of levels it passes in a row is odd.
 
     The list and the universe are DataFrames with a string column ``key``. A level has bits in proportion
-    to its keys, at most about the listed keys: the first filter's false-positive rate is about 1/300 or
-    lower where the universe is large (see ``level_bits``), so the size is bounded by the list, not the
-    corpus. ``fits`` is false where even so a level passes MOST_WORDS; the caller joins then.
+    to its keys, at most about the listed keys: the first filter lets through fewer unlisted keys than there are listed
+    ones, however large the universe (see ``level_bits``), so sizes are bounded by the list, not the corpus. A list
+    whose first filter would exceed MOST_WORDS is dealt by a hash to ``shards``, each with a filter a level.
+    With one shard, filters are literals and ``contains`` is an expression of the row; with more they
+    are a table of a row per shard, and ``with_filters`` brings keys to theirs first.
     """
 
     def __init__(self, listed: DataFrame, universe: DataFrame):
         listed = materialise(listed.select("key").where("key is not null").distinct(), "cascade-listed")
         universe = materialise(universe.select("key").where("key is not null").join(listed, "key", "left_anti").distinct(), "cascade-universe")
-        self.levels: list[tuple[int, int, list[int]]] = []
-        self.fits = True
         n_listed, n_other = listed.count(), universe.count()
-        inside, outside, level, keys = listed, universe, 0, n_listed
+        first = self.level_bits(n_listed, n_other)
+        self.shards = max(1, math.ceil(n_listed * first[1] / 64 / MOST_WORDS))
+        self.levels: list[tuple[int, int]] = []
+        self.words: list[Column] = []
+        self.filters: DataFrame | None = None
+        inside, outside, keys = listed, universe, n_listed
         while keys:
-            hashes, per_key = self.level_bits(n_listed, n_other) if level == 0 else LATER_LEVELS
-            words = max(1, math.ceil(keys * per_key / 64))
-            if words > MOST_WORDS:
-                self.fits = False
-                return
-            bits = 64 * words
-            slots = inside.select(F.explode(_slots(F.col("key"), level, hashes, bits)).alias("slot"))
-            set_bits = slots.groupBy(F.expr("cast(slot div 64 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
-            array = [0] * words  # at most MOST_WORDS
-            for r in set_bits.collect():
-                array[r["word"]] = r["bits"]
-            self.levels.append((hashes, bits, array))
-            passing = materialise(outside.where(self._passes(F.col("key"), level)), "cascade-level")
-            inside, outside, level, keys = passing, inside, level + 1, passing.count()
+            level = len(self.levels)
+            hashes, per_key = first if level == 0 else LATER_LEVELS
+            words = max(1, math.ceil(keys * per_key / 64 / self.shards))
+            self.levels.append((hashes, 64 * words))
+            slots = inside.select(self.shard(F.col("key")).alias("shard"), F.explode(_slots(F.col("key"), level, hashes, 64 * words)).alias("slot"))
+            word, bit = _set_bits(F.col("slot"))
+            set_bits = slots.groupBy("shard", word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+            if self.shards == 1:
+                array = [0] * words  # at most MOST_WORDS
+                for r in set_bits.collect():
+                    array[r["word"]] = r["bits"]
+                self.words.append(F.split(F.lit(",".join(map(str, array))), ",").cast("array<bigint>"))  # folded to one literal
+            else:
+                grid = listed.sparkSession.range(self.shards * words).select((F.col("id") % self.shards).cast("int").alias("shard"), F.floor(F.col("id") / self.shards).cast("int").alias("word"))
+                dense = grid.join(set_bits, ["shard", "word"], "left").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("w"))
+                dense = dense.select("shard", F.transform("w", lambda x: x["bits"]).alias(f"__level{level}"))  # at most MOST_WORDS a row
+                self.filters = materialise(dense if self.filters is None else self.filters.join(dense, "shard"), "cascade-filters")
+                self.words.append(F.col(f"__level{level}"))
+            passing = materialise(self.with_filters(outside).where(self._passes(F.col("key"), level)).select("key"), "cascade-level")
+            inside, outside, keys = passing, inside, passing.count()
 
     @staticmethod
     def level_bits(n_listed: int, n_other: int) -> tuple[int, int]:
@@ -90,15 +105,23 @@ class BloomCascade:
         hashes = max(FIRST_LEVEL[0], math.ceil(need))
         return hashes, max(FIRST_LEVEL[1], math.ceil(hashes / math.log(2)))
 
+    def shard(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.shards)).cast("int")
+
+    def with_filters(self, keys: DataFrame) -> DataFrame:
+        """``keys`` (column ``key``) beside the filters of their shard, where these aren't literals."""
+        if self.filters is None:
+            return keys
+        return keys.withColumn("shard", self.shard(F.col("key"))).join(self.filters.hint("shuffle_hash"), "shard")
+
     def _passes(self, key: Column, level: int) -> Column:
-        hashes, bits, array = self.levels[level]
-        words = F.split(F.lit(",".join(map(str, array))), ",").cast("array<bigint>")  # folded to one literal
-        out = F.lit(True)
-        for i in range(hashes):
-            slot = F.pmod(F.xxhash64(key, F.lit(level * 64 + i)), F.lit(bits))
-            word = F.get(words, F.shiftright(slot, 6).cast("int"))
-            out = out & (F.getbit(word, F.pmod(slot, F.lit(64)).cast("int")) == 1)
-        return out
+        hashes, bits = self.levels[level]
+
+        def is_set(slot: Column) -> Column:
+            word, bit = _set_bits(slot)
+            return F.getbit(F.get(self.words[level], word), bit) == 1
+
+        return F.forall(_slots(key, level, hashes, bits), is_set)
 
     def contains(self, key: Column) -> Column:
         """Whether a key of the universe or the list is listed."""
@@ -108,12 +131,6 @@ class BloomCascade:
         return out
 
 
-def _longest(cascade: BloomCascade, verdict: str) -> Column:
-    """The longest of a row's ``__keys`` that the cascade holds, as (n, key, verdict); null if it holds none."""
-    held = F.filter("__keys", lambda k: cascade.contains(k))
-    return F.array_max(F.transform(held, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), F.lit(verdict).alias("verdict"))))
-
-
 def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
@@ -122,31 +139,53 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     long ones the last by code point) gives the verdict; a url that no rule covers gets ``default`` and a
     null rule.
 
-    The list is kept in one cascade per verdict; the corpus's key universe is every (host suffix, path
-    prefix) key that its urls could be covered by. Each url's keys are then looked up in the row itself.
-    Only where a filter exceeds its size bound, or verdicts are of more than ``MOST_VERDICTS`` kinds, are
-    the keys joined with the rules by shuffle instead.
+    A cascade tells which of the corpus's keys (every host suffix with every path prefix that a rule could name)
+    are rules, and one cascade for each binary digit of the verdicts' numbers tells a rule's verdict, whatever
+    their number. Each url's keys are looked up in the row itself. Lists of several filters (over about
+    170,000 rules) are asked once for every distinct key, which goes to its filter's task, and the answers go to the urls.
 
     Urls that are null or have no ``://`` have empty host and path, and no rule. Rules with null host or
-    verdict are ignored, a null path counts as empty; of rules that repeat a key, the least verdict counts.
-    No rules: all get ``default``. Repeated rows and other columns stay; ``host``, ``path``, ``rule``
+    verdict are ignored, and so are those whose path doesn't start with ``/``, which no url's does; a null path
+    counts as empty; of rules that repeat a key, the least verdict counts. No rules: all get ``default``. Hosts and
+    paths of any length are taken whole. Repeated rows and other columns stay; ``host``, ``path``, ``rule``
     and ``verdict`` of the input are replaced.
     """
     host, path = split_url(F.col(url_col))
     d = pages.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
-    rules = rules.where("host is not null and verdict is not null").select(_lower(F.col("host")).alias("h"), F.coalesce("path", F.lit("")).alias("p"), "verdict")
-    rules = materialise(rules.groupBy(F.concat("h", "p").alias("key")).agg(F.min("verdict").alias("verdict"), F.min(F.length("p")).alias("n")), "url-rules")
-    lengths = sorted(r["n"] for r in rules.select("n").distinct().collect())  # path lengths: a few hundred at most
-    verdicts = sorted(r["verdict"] for r in rules.select("verdict").distinct().limit(MOST_VERDICTS + 1).collect())
+    rules = rules.where("host is not null and verdict is not null").select(_lower(F.col("host")).alias("h"), F.coalesce("path", F.lit("")).alias("p"), "verdict").where("p = '' or startswith(p, '/')")
+    rules = rules.groupBy("h", "p").agg(F.min("verdict").alias("verdict"))
+    labels = F.length("h") - F.length(F.replace(F.col("h"), F.lit("."), F.lit(""))) + 1
+    rules = materialise(rules.select(F.concat("h", "p").alias("key"), "verdict", F.length("p").alias("n"), labels.alias("labels")), "url-rules")
+    lengths, counts = (sorted(r[0] for r in rules.select(c).distinct().collect()) for c in ("n", "labels"))  # distinct lengths: bounded by the longest rule
     if not lengths:
         return d.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    keyed = d.withColumn("__keys", F.when(F.col("host") != "", candidate_keys(F.col("host"), F.col("path"), lengths)).otherwise(F.array().cast("array<string>")))
+    names = materialise(numbered(rules.select("verdict").distinct(), ["verdict"], "number").withColumn("number", F.col("number") - 1), "url-verdicts")
+    kinds = names.count()
+    rules = materialise(rules.join(names, "verdict").select("key", "number"), "url-rules")
+    keyed = d.withColumn("__keys", F.when(F.col("host") != "", candidate_keys(F.col("host"), F.col("path"), counts, lengths)).otherwise(F.array().cast("array<string>")))
     universe = materialise(keyed.select(F.explode("__keys").alias("key")).distinct(), "url-universe")
-    cascades = {v: BloomCascade(rules.where(F.col("verdict") == v), universe) for v in verdicts} if len(verdicts) <= MOST_VERDICTS else {}
-    if cascades and all(c.fits for c in cascades.values()):
-        best = F.greatest(*[_longest(c, v) for v, c in cascades.items()]) if len(cascades) > 1 else _longest(cascades[verdicts[0]], verdicts[0])
-        return keyed.withColumn("__best", best).withColumn("rule", F.col("__best.key")).withColumn("verdict", F.coalesce("__best.verdict", F.lit(default))).drop("__keys", "__best")
-    found = universe.join(rules.drop("n"), "key")
-    per_url = keyed.select("host", "path", F.explode("__keys").alias("key")).distinct().join(found, "key").groupBy("host", "path").agg(F.max(F.struct(F.length("key"), "key", "verdict")).alias("__best"))
-    per_url = materialise(per_url.select("host", "path", F.col("__best.key").alias("rule"), F.col("__best.verdict").alias("__v")), "url-joined")
-    return keyed.drop("__keys").join(per_url, ["host", "path"], "left").withColumn("verdict", F.coalesce("__v", F.lit(default))).drop("__v")
+    listed = BloomCascade(rules, universe)
+    digits = [BloomCascade(rules.where(F.getbit("number", F.lit(i)) == 1), rules) for i in range((kinds - 1).bit_length())]
+
+    def number(key: Column) -> Column:
+        return sum((F.when(c.contains(key), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(digits)), F.lit(0)).cast("long")
+
+    if listed.shards == 1 and all(c.shards == 1 for c in digits):
+        held = F.transform(F.filter("__keys", listed.contains), lambda k: F.struct(F.length(k).alias("n"), k.alias("key")))
+        judged = keyed.withColumn("rule", F.array_max(held)["key"]).drop("__keys").withColumn("__number", F.when(F.col("rule").isNotNull(), number(F.col("rule"))))
+    else:
+        found = listed.with_filters(universe).where(listed.contains(F.col("key"))).select("key", F.lit(0).cast("long").alias("number"))
+        for i, c in enumerate(digits):
+            found = c.with_filters(materialise(found, "url-found")).select("key", (F.col("number") + F.when(c.contains(F.col("key")), 1 << i).otherwise(0)).alias("number"))
+        found = materialise(found, "url-found")
+        urls = keyed.select("host", "path", F.explode("__keys").alias("key")).distinct()
+        best = join_small(urls, found, ["key"], salt=F.xxhash64("host", "path")).groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), "key", "number")).alias("b"))
+        best = materialise(best.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("b.key").alias("rule"), F.col("b.number").alias("__number")), "url-best")
+        on = (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path"))
+        judged = keyed.drop("__keys").join(best, on, "left").drop("__host", "__path")
+    if kinds <= MOST_NAMES:
+        known = [r["verdict"] for r in names.orderBy("number").collect()]
+        verdict = F.get(F.array(*[F.lit(v) for v in known]), F.col("__number").cast("int"))
+        return judged.withColumn("verdict", F.coalesce(verdict, F.lit(default))).drop("__number")
+    judged = join_small(judged, names.select(F.col("number").alias("__number"), F.col("verdict")), ["__number"], "left", salt=F.xxhash64("host", "path"))
+    return judged.withColumn("verdict", F.coalesce("verdict", F.lit(default))).drop("__number")

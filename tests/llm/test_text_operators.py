@@ -364,29 +364,59 @@ def test_url_rules_equal_plain(spark):
     assert [got[i] for i in range(len(urls))] == [plain_judge(u) for u in urls]
 
 
-def test_cascade_is_exact_on_its_universe_and_falls_back(spark, monkeypatch):
-    keys = [hashlib.md5(str(i).encode()).hexdigest() for i in range(6000)]
-    frame = lambda x: spark.createDataFrame([(k,) for k in x], "key string")
-    monkeypatch.setattr(url_cascade, "FIRST_LEVEL", (1, 2))
-    monkeypatch.setattr(url_cascade.BloomCascade, "level_bits", staticmethod(lambda a, b: (1, 2)))
-    c = url_cascade.BloomCascade(frame(keys[:500]), frame(keys))
-    assert len(c.levels) >= 3
+def keys_frame(spark, x):
+    return spark.createDataFrame([(k,) for k in x], "key string")
+
+
+@pytest.mark.parametrize("most_words", [1 << 15, 4])
+def test_cascade_is_exact_on_its_universe(spark, monkeypatch, most_words):
     from pyspark.sql import functions as F
 
-    got = {r["key"] for r in frame(keys).where(c.contains(F.col("key"))).collect()}
+    keys = [hashlib.md5(str(i).encode()).hexdigest() for i in range(6000)]
+    monkeypatch.setattr(url_cascade, "MOST_WORDS", most_words)
+    monkeypatch.setattr(url_cascade.BloomCascade, "level_bits", staticmethod(lambda a, b: (1, 2)))
+    c = url_cascade.BloomCascade(keys_frame(spark, keys[:500]), keys_frame(spark, keys))
+    assert len(c.levels) >= 3 and (c.shards > 1) == (most_words == 4)
+    got = {r["key"] for r in c.with_filters(keys_frame(spark, keys)).where(c.contains(F.col("key"))).collect()}
     assert got == set(keys[:500])
-    monkeypatch.setattr(url_cascade, "MOST_WORDS", 0)
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    d = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
-    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_cascade.judge_urls(d, rules).collect()}
-    assert [got[i] for i in range(len(URLS))] == [plain_judge(u)[2:] for u in URLS]
 
 
-def test_many_kinds_of_verdict_are_joined(spark):
+def test_large_lists_are_asked_through_their_filters(spark, monkeypatch):
+    monkeypatch.setattr(url_cascade, "MOST_WORDS", 1)
+    rng = random.Random(9)
+    hosts = [f"{rng.choice(['a', 'b', 'www'])}.h{i % 40}.{rng.choice(['com', 'net', 'org'])}" for i in range(300)]
+    rules = [(h, rng.choice(["/", "/en/", "", None]), rng.choice(["allow", "block", "hold"])) for h in hosts[:120]] + [("com", "/", "allow")]
+    urls = [f"http://{h}/{rng.choice(['en/', 'es/', ''])}{i}" for i, h in enumerate(hosts)] + [None, "x", "http://com"]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    frame = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_cascade.judge_urls(d, frame).collect()}
+    verdicts = {}
+    for h, p, v in rules:
+        verdicts[h, p or ""] = min(v, verdicts.get((h, p or ""), v))
+    for i, u in enumerate(urls):
+        host, path, *_ = plain_judge(u)
+        best = max(((len(h + p), h + p, v) for (h, p), v in verdicts.items() if (host == h or host.endswith("." + h)) and path.startswith(p)), default=(0, None, "allow"))
+        assert got[i] == best[1:]
+
+
+def test_any_number_of_verdicts(spark, monkeypatch):
     rules = spark.createDataFrame([(f"h{i}.com", "/", f"v{i}") for i in range(20)] + [("com", "/", "rest")], "host string, path string, verdict string")
     d = spark.createDataFrame([(i, f"http://www.h{i}.com/x") for i in range(22)] + [(99, "http://a.net/")], "page_id long, url string")
-    got = {r["page_id"]: r["verdict"] for r in url_cascade.judge_urls(d, rules).collect()}
-    assert got == {**{i: f"v{i}" for i in range(20)}, 20: "rest", 21: "rest", 99: "allow"}
+    want = {**{i: f"v{i}" for i in range(20)}, 20: "rest", 21: "rest", 99: "allow"}
+    for most in (1000, 2):
+        monkeypatch.setattr(url_cascade, "MOST_NAMES", most)
+        assert {r["page_id"]: r["verdict"] for r in url_cascade.judge_urls(d, rules).collect()} == want
+
+
+def test_very_long_urls(spark):
+    import time
+
+    rules = spark.createDataFrame([*URL_RULES, ("com", "nowhere", "block")], "host string, path string, verdict string")
+    d = spark.createDataFrame([(1, f"http://{'a.' * 200_000}com/x"), (2, f"http://www.example.com/en/{'y' * 500_000}?{'z' * 10_000}"), (3, "http://comnowhere")], "page_id long, url string")
+    began = time.time()
+    got = {r["page_id"]: (len(r["host"]), len(r["path"]), r["rule"], r["verdict"]) for r in url_cascade.judge_urls(d, rules).collect()}
+    assert got == {1: (400_003, 2, "com/", "allow"), 2: (15, 500_004, "www.example.com/en/", "allow"), 3: (10, 0, None, "allow")}
+    assert time.time() - began < 60
 
 
 def test_url_edges(spark):
