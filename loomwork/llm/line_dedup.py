@@ -59,29 +59,25 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = materialise(lines.groupBy("__h").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or __h = 0").select("__h"), "lines-again")
     kept = lines.join(again.hint("shuffle_hash"), "__h", "left_semi")
     doc = Window.partitionBy("__id", "__th")
-    # equal rows (same id and text) are one document: their lines share a rank, and each line stays once
-    kept = kept.withColumns({"__island": F.col("__pos") - F.dense_rank().over(doc.orderBy("__pos")), "__prior": F.lag("__pos").over(doc.orderBy("__pos"))})
-    kept = kept.where("__w > 0 and (__prior is null or __prior < __pos)").drop("__prior")
-    part = Window.partitionBy("__id", "__th", "__island")
-    kept = kept.withColumn("__c", F.sum("__w").over(part.orderBy("__pos")) - F.col("__w"))
-    span = part.orderBy("__c").rangeBetween(0, min_words - 1)
-    windows = kept.select(
-        "__id", "__th", "__pos",
-        F.min(F.struct("__h", "__pos")).over(span).alias("__least"),
-        F.max("__pos").over(span).alias("__end"),
-        F.xxhash64(F.collect_list("__h").over(span)).alias("__window"),
-        F.sum("__w").over(span).alias("__words"),
-    ).where(F.col("__words") >= min_words)
-    upto = part.orderBy("__e").rangeBetween(1 - min_words, 0)
-    ends = kept.withColumn("__e", F.col("__c") + F.col("__w")).select(
-        "__id", "__th", "__w",
-        F.min("__pos").over(upto).alias("__start"),
-        F.min(F.struct("__h", "__pos")).over(upto).alias("__least"),
-        F.col("__pos").alias("__end"),
-        F.xxhash64(F.collect_list("__h").over(upto)).alias("__window"),
-        F.sum("__w").over(upto).alias("__words"),
-    ).where(F.col("__words") - F.col("__w") >= min_words)  # others are windows from a line on as well
-    windows = windows.unionByName(ends.withColumnRenamed("__start", "__pos").drop("__w"))
+    by_pos = doc.orderBy("__pos")
+    # equal rows (same id and text) are one document: of a line's copies the first counts
+    kept = kept.withColumn("__prior", F.lag("__pos").over(by_pos))
+    fresh = F.col("__prior").isNull() | (F.col("__prior") < F.col("__pos"))
+    gap = F.when(F.col("__prior").isNull() | (F.col("__pos") - F.col("__prior") > 1), min_words).otherwise(0)
+    # words up to each line's end, with a jump wherever lines are missing that is too long for a window
+    upto = F.sum(F.when(fresh, F.col("__w") + gap).otherwise(0)).over(by_pos.rowsBetween(Window.unboundedPreceding, 0))
+    kept = kept.withColumn("__e", upto).where(fresh & (F.col("__w") > 0)).withColumn("__c", F.col("__e") - F.col("__w"))
+    kept = kept.withColumn("__at", F.struct("__h", "__pos", "__c", "__e")).withColumn("__next", F.lead("__at").over(by_pos))
+    # a line and those after it that end within min_words - 1 words of its end, and the one after these if it follows at once
+    span = doc.orderBy("__e").rangeBetween(0, min_words - 1)
+    runs = kept.select("__id", "__th", "__pos", "__c", "__e", F.collect_list("__at").over(span).alias("__a"), F.last("__next").over(span).alias("__next"))
+    runs = runs.withColumn("__a", F.when(F.col("__next.__c") == F.element_at("__a", -1)["__e"], F.concat("__a", F.array("__next"))).otherwise(F.col("__a"))).drop("__next")
+    # windows from the line on: the shortest, and longer ones that would be too short without the line
+    enough = lambda x: (x["__e"] - F.col("__c") >= min_words) & ((x["__e"] - F.col("__e") < min_words) | (x["__c"] - F.col("__c") < min_words))
+    ends = F.filter(F.transform("__a", lambda x, i: F.when(enough(x), F.struct((i + 1).alias("n"), x["__pos"].alias("end")))), lambda x: x.isNotNull())
+    runs = runs.select("__id", "__th", "__pos", "__a", F.explode(ends).alias("__x"))
+    inside = F.slice("__a", F.lit(1), F.col("__x.n"))
+    windows = runs.select("__id", "__th", "__pos", F.col("__x.end").alias("__end"), F.xxhash64(inside["__h"]).alias("__window"), F.array_min(inside).alias("__least"))
     windows = windows.select("__id", "__th", "__pos", "__end", "__window", F.col("__least.__h").alias("__f"), F.xxhash64("__id", "__th", "__least.__pos").alias("__at"))
     windows = materialise(windows, "lines-windows")
     twice = materialise(windows.groupBy("__f").agg(F.min("__at").alias("lo"), F.max("__at").alias("hi")).where("lo != hi").select("__f"), "lines-fingerprints")
