@@ -133,3 +133,37 @@ def group_lines(df: DataFrame, x: str, y: str, group: str, per_panel: int = 25)
     g = df.groupBy(group).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.min(x).alias("x0"), F.max(x).alias("x1"))
     g = g.withColumn("y0", F.col("intercept") + F.col("slope") * F.col("x0")).withColumn("y1", F.col("intercept") + F.col("slope") * F.col("x1"))
     return g.withColumn("panel", F.ceil(F.dense_rank().over(Window.orderBy(group)) / per_panel).cast("int"))  # over groups
+
+
+def title_case(text: Column) -> Column:
+    """Underscores as blanks and a capital at the start of each word; the rest of a word stays."""
+    words = F.split(F.replace(text, F.lit("_"), F.lit(" ")), " ")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w)))), " ")
+
+
+def rename_items(df: DataFrame, texts: Mapping[str, str]) -> DataFrame:
+    """``item`` by its text, with ``position``, the place of the item in the order given; items without a text stay as they are, last."""
+    names, places = (F.create_map(*[F.lit(x) for i, (k, v) in enumerate(texts.items()) for x in (k, v if which else i + 1)]) for which in (True, False))
+    return df.withColumn("position", F.coalesce(F.try_element_at(places, F.col("item")), F.lit(len(texts) + 1))).withColumn("item", F.coalesce(F.try_element_at(names, F.col("item")), F.col("item")))
+
+
+def sort_items(df: DataFrame) -> DataFrame:
+    """Rows from the last item to the first, as bars are drawn from below."""
+    return df.orderBy(F.desc("position"), "item")
+
+
+def filled_series(df: DataFrame, time_col: str, first: str, second: str) -> DataFrame:
+    """(time, first, second, low, high, top): the span between two series and the name of the upper one, the second where they are equal."""
+    top = F.when(F.col(first) <= F.col(second), F.lit(second)).when(F.col(first) > F.col(second), F.lit(first))
+    return df.select(time_col, first, second, F.least(first, second).alias("low"), F.greatest(first, second).alias("high"), top.alias("top"))
+
+
+def smooth_bins(df: DataFrame, x: str, y: str, color: str | None = None, bins: int = 20) -> DataFrame:
+    """(color, bin, n, x, y, low, high): mean of y over bins of equal numbers of rows in the order of x, with the 95 % band of the mean.
+
+    What a smooth curve through a scatter shows, at any number of rows; cuts are the exact quantiles of x over all groups.
+    """
+    cuts = quantile_values(df.where(F.col(y).isNotNull()), [x], [i / bins for i in range(1, bins)])[x]
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("bin", sum(((F.col(x) > F.lit(c)).cast("int") for c in cuts), F.lit(1)))
+    half = 1.96 * F.stddev_samp(y) / F.sqrt(F.count(F.lit(1)))
+    return d.groupBy(*([color] if color else []), "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("x"), F.avg(y).alias("y"), (F.avg(y) - half).alias("low"), (F.avg(y) + half).alias("high"))

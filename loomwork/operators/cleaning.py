@@ -9,8 +9,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.core import numeric_columns, require_columns
+from loomwork.functions.core import numeric_columns, require_columns, stored
 from loomwork.functions.ordered import quantile_values
+from loomwork.operators.neighbours import nearest_rows
 from loomwork.operators.profiling import correlations
 
 
@@ -168,27 +169,37 @@ def shared_columns(frames: Mapping[str, DataFrame]) -> list[tuple[str, str, str]
     return [(a, b, c) for a, b in combinations(frames, 2) for c in frames[a].columns if c in frames[b].columns]
 
 
-def balanced_sample(df: DataFrame, target: str, features: Sequence[str], percent: int = 100, k: int = 5, id_col: str = "id", seed: int = 0, cell: float | None = None) -> DataFrame:
+def balanced_sample(df: DataFrame, target: str, features: Sequence[str], percent: int = 100, k: int = 5, id_col: str = "id", seed: int = 0) -> DataFrame:
     """``df`` (id, features, target) with synthetic rows of the rarest class, between a row and one of its k nearest of that class.
 
-    Each row gives percent // 100 synthetic ones, and a share of the rows one more. Neighbours are exact
-    where ``cell`` is None; with a cell width they are sought in adjoining cells of the first feature, for large classes.
+    Each row gives percent // 100 synthetic ones, and a share of the rows one more; which neighbour, how far towards
+    it and which rows is decided by hashes of id, number and seed. Neighbours are exact, see ``nearest_rows``; ids
+    must be unique. Rows with unknown features give none; synthetic rows have a null id.
     """
-    rare = df.where(F.col(target).isNotNull()).groupBy(target).count().orderBy("count", target).limit(1).first()[0]
-    x = df.where(F.col(target) == rare).select(F.col(id_col).alias("id"), F.array(*[F.col(f).cast("double") for f in features]).alias("v"))
-    width = cell if cell is not None else float("inf")
-    at = F.floor(F.get("v", 0) / width).cast("long") if cell is not None else F.lit(0).cast("long")
-    left = x.withColumn("cell", at).withColumn("near", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1) if cell is not None else F.array("cell")))
-    right = x.select(F.col("id").alias("o"), F.col("v").alias("w"), at.alias("near"))
-    distance = F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
-    near = left.join(right, "near").where("id != o").withColumn("d", distance)
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "o"))).where(F.col("r") <= k)
-    listed = near.groupBy("id").agg(F.first("v").alias("v"), F.collect_list("w").alias("ws"))
-    extra = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(100)) < percent % 100).cast("int")
+    top = df.where(F.col(target).isNotNull()).groupBy(target).count().orderBy("count", target).limit(1).collect()
+    own = df.select(id_col, *[F.col(f).cast("double").alias(f) for f in features], target)
+    if not top:
+        return own
+    rare = top[0][target]
+    x = stored(df.where(F.col(target) == rare).dropna(subset=list(features)).select(F.col(id_col).alias("id"), *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]))
+    names = [f"f{i}" for i in range(len(features))]
+    near = nearest_rows(x, "id", names, k)
+    place = F.row_number().over(Window.partitionBy("id").orderBy("d", "o"))
+    near = near.withColumn("r", place).join(x.select(F.col("id").alias("o"), F.array(*names).alias("w")), "o")
+    listed = near.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda s: s["w"]).alias("ws")).join(x.select("id", F.array(*names).alias("v")), "id")
+
+    def hashed(*parts: Column) -> Column:
+        return F.conv(F.substring(F.md5(F.concat_ws("/", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long")
+
+    extra = (hashed(F.col("id"), F.lit("extra"), F.lit(seed)) % 100 < percent % 100).cast("int")
     made = listed.withColumn("n", F.lit(percent // 100) + extra).where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    pick = F.get("ws", F.pmod(F.xxhash64("id", "i", F.lit(seed + 1)), F.size("ws")).cast("int"))
-    u = F.pmod(F.xxhash64("id", "i", F.lit(seed + 2)), F.lit(1 << 20)) / float(1 << 20)
+    pick = F.get("ws", (hashed(F.col("id"), F.col("i"), F.lit("pick"), F.lit(seed)) % F.size("ws")).cast("int"))
+    u = hashed(F.col("id"), F.col("i"), F.lit("gap"), F.lit(seed)) / float(1 << 32)
     made = made.withColumn("s", F.zip_with("v", pick, lambda a, b: a + u * (b - a)))
-    synthetic = made.select(F.lit(None).cast(df.schema[id_col].dataType).alias(id_col), *[F.get("s", i).alias(f) for i, f in enumerate(features)], F.lit(rare).alias(target))
-    own = df.select(id_col, *[F.col(f).cast("double").alias(f) for f in features], target)
+    synthetic = made.select(F.lit(None).cast(df.schema[id_col].dataType).alias(id_col), *[F.get("s", F.lit(i)).alias(f) for i, f in enumerate(features)], F.lit(rare).alias(target))
     return own.unionByName(synthetic)
+
+
+def remove_duplicates(df: DataFrame) -> DataFrame:
+    """Each distinct row once."""
+    return df.distinct()

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.core import stored
+
 #: Each method's default threshold (a distance, for jaro a similarity) .
 THRESHOLDS = {"jaro": 0.85, "levenshtein": 2, "damerau": 2, "hamming": 2, "lcs": 2, "cosine": 0.2}
 
@@ -98,14 +100,59 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - total(lambda c: count(a, c) * count(b, c)) / F.sqrt(total(lambda c: count(a, c) * count(a, c)) * total(lambda c: count(b, c) * count(b, c)))
 
 
+def _letters(texts: DataFrame) -> DataFrame:
+    """(t, ch, n): how often each text has each character."""
+    ch = F.explode(F.filter(_characters(F.col("t")), lambda c: c != ""))
+    return texts.select("t", ch.alias("ch")).groupBy("t", "ch").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _rare_first(q: DataFrame, c: DataFrame, method: str, t: float) -> DataFrame:
+    """(query, candidate) of every pair that can be within the threshold, by a prefix filter over characters, the rarest first.
+
+    Jaro at least t needs m common characters (with repeats) with m / a + m / b >= 3 t - 1 and lengths in a
+    ratio of at least 3 t - 2; so two texts share one of the rarest a - m + 1 characters of each, m the least that any allowed partner
+    needs. For the cosine, characters behind the prefix have a norm below the similarity asked for, so they alone
+    can't reach it. Pairs that pass are held against the bound itself before any distance is computed.
+    """
+    texts = q.select(F.col("query").alias("t")).union(c.select(F.col("candidate").alias("t"))).distinct()
+    counts = stored(_letters(texts))
+    seen = counts.groupBy("ch").agg(F.sum("n").alias("f"))
+    if method == "jaro":
+        units = counts.select("t", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"), "ch").withColumn("size", F.length("t"))
+        freq = units.groupBy("ch", "k").agg(F.count(F.lit(1)).alias("f"))
+        ranked = units.join(freq, ["ch", "k"]).withColumn("place", F.row_number().over(Window.partitionBy("t").orderBy("f", "ch", "k")))
+        # the least share of its own characters that a text must have in common with an allowed partner
+        least = F.ceil((3 * t - 1) * F.col("size") * max(3 * t - 2, 0.0) / (1 + max(3 * t - 2, 0.0)) - 1e-9)
+        prefix = ranked.where(F.col("place") <= F.col("size") - F.greatest(least, F.lit(1)) + 1).select("t", F.concat_ws("#", "k", "ch").alias("token"))
+    else:
+        by_rarity = Window.partitionBy("t").orderBy("f", "ch")
+        square = F.col("n").cast("double") * F.col("n")
+        ranked = counts.join(seen, "ch").withColumn("before", F.coalesce(F.sum(square).over(by_rarity.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("all", F.sum(square).over(Window.partitionBy("t")))
+        # a character belongs to the prefix while what follows from it on can still reach the similarity alone
+        prefix = ranked.where(F.col("all") - F.col("before") >= (1 - t) * (1 - t) * F.col("all") * (1 - 1e-9)).select("t", F.col("ch").alias("token"))
+    prefix = stored(prefix)
+    left, right = prefix.withColumnRenamed("t", "query").join(q, "query", "left_semi"), prefix.withColumnRenamed("t", "candidate").join(c, "candidate", "left_semi")
+    la, lb = F.length("query"), F.length("candidate")
+    pairs = left.join(right, "token")
+    if method == "jaro":
+        pairs = pairs.where(F.least(la, lb) / F.greatest(la, lb) >= 3 * t - 2 - 1e-12)
+    pairs = pairs.select("query", "candidate").distinct()
+    if method == "jaro":
+        numbered = lambda x: F.transform(F.array_sort(_characters(F.col(x))), lambda ch, i: F.concat_ws("#", i - F.array_position(F.array_sort(_characters(F.col(x))), ch), ch))
+        common = F.size(F.array_intersect(numbered("query"), numbered("candidate")))
+        pairs = pairs.where(common / la + common / lb >= 3 * t - 1 - 1e-9)
+    return pairs
+
+
 def fuzzy_match(
     queries: DataFrame, candidates: DataFrame, query_col: str, candidate_col: str, methods: Sequence[str] = tuple(THRESHOLDS), thresholds: Mapping[str, float] | None = None, top: int | None = None
 ) -> DataFrame:
     """(query, candidate, method, distance, similarity, match_rank) of pairs within the method's threshold.
 
     Each side's distinct texts are compared once. Edit distances pair texts whose lengths differ by no more
-    than the threshold, joined by length, so not all pairs are formed; jaro and cosine pair texts that share
-    a character (a pair without one has similarity 0), through a join by character. Similarity is a
+    than the threshold, joined by length, and of these only pairs whose character counts allow the distance (each
+    edit changes at most two of them) are compared; jaro and cosine pairs come from a prefix filter over rare
+    characters, see ``_rare_first``. Texts without characters match by edit distances only. Similarity is a
     percentage; equal ones share the least rank; ``top`` keeps ranks up to it.
     """
     limits = {**THRESHOLDS, **(thresholds or {})}
@@ -119,10 +166,9 @@ def fuzzy_match(
     for m in methods:
         t = limits[m]
         if m in ("jaro", "cosine"):
-            shared = q.withColumn("ch", F.explode(F.array_distinct(_characters(F.col("query"))))).join(c.withColumn("ch", F.explode(F.array_distinct(_characters(F.col("candidate"))))), "ch")
-            pairs = shared.select("query", "candidate").distinct()
+            pairs = _rare_first(q, c, m, t)
             if m == "jaro":
-                pairs = pairs.where(F.least(la, lb) / longest >= 3 * t - 2).withColumn("distance", 1 - _by_pair(_jaro, "double")("query", "candidate"))
+                pairs = pairs.withColumn("distance", 1 - _by_pair(_jaro, "double")("query", "candidate"))
                 pairs = pairs.where(F.col("distance") <= 1 - t + 1e-12).withColumn("s", 1 - F.col("distance"))
             else:
                 pairs = pairs.withColumn("distance", cosine_distance(F.col("query"), F.col("candidate"))).where(F.col("distance") <= t + 1e-12).withColumn("s", 1 - F.col("distance"))
@@ -130,13 +176,15 @@ def fuzzy_match(
             band = 0 if m == "hamming" else int(t)
             pairs = q.withColumn("len", F.explode(F.sequence(la - band, la + band))).join(c.withColumn("len", lb), "len").drop("len")
             if m == "levenshtein":
-                d = F.levenshtein("query", "candidate")
+                d = F.levenshtein("query", "candidate", int(t))
+                pairs = pairs.where(d >= 0)
             elif m == "hamming":
                 d = F.aggregate(F.zip_with(_characters(F.col("query")), _characters(F.col("candidate")), lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
-            elif m == "damerau":
-                d = _by_pair(_damerau, "int")("query", "candidate")
             else:
-                d = la + lb - 2 * _by_pair(_common_subsequence, "int")("query", "candidate")
+                # an edit adds, drops or exchanges a character: texts with more than t characters of their own differ by more
+                own = F.greatest(F.size(F.array_except(_characters(F.col("query")), _characters(F.col("candidate")))), F.size(F.array_except(_characters(F.col("candidate")), _characters(F.col("query")))))
+                pairs = pairs.where(own <= t)
+                d = _by_pair(_damerau, "int")("query", "candidate") if m == "damerau" else la + lb - 2 * _by_pair(_common_subsequence, "int")("query", "candidate")
             pairs = pairs.withColumn("distance", d.cast("double")).where(F.col("distance") <= t)
             pairs = pairs.withColumn("s", 1 - F.col("distance") / (F.greatest(la + lb, F.lit(1)) if m == "lcs" else longest))
         pairs = pairs.select("query", "candidate", F.lit(m).alias("method"), "distance", (100 * F.col("s")).alias("similarity"))

@@ -98,3 +98,50 @@ def shrunken_rates(df: DataFrame, group: str, hits: str, trials: str) -> DataFra
     p = p.withColumn("k", F.greatest(F.col("m") * (1 - F.col("m")) / F.nullif("v", F.lit(0.0)) - 1, F.lit(1e-6)))
     d = g.crossJoin(F.broadcast(p))  # one row
     return d.select(group, "hits", "trials", "observed", F.coalesce((F.col("hits") + F.col("m") * F.col("k")) / (F.col("trials") + F.col("k")), F.col("m")).alias("shrunken"))
+
+
+def inverse_error_weights(df: DataFrame, columns: Sequence[str], target: str) -> dict[str, float]:
+    """A weight per column of predictions: one over its root mean squared error, scaled to sum 1; columns without predictions weigh 0."""
+    rmse = df.agg(*[F.sqrt(F.avg((F.col(c) - F.col(target)) * (F.col(c) - F.col(target)))).alias(f"e{i}") for i, c in enumerate(columns)]).first()
+    perfect = [c for i, c in enumerate(columns) if rmse[f"e{i}"] == 0]
+    if perfect:
+        return {c: (1 / len(perfect) if c in perfect else 0.0) for c in columns}
+    inverse = {c: 0.0 if rmse[f"e{i}"] is None else 1 / rmse[f"e{i}"] for i, c in enumerate(columns)}
+    return {c: w / (sum(inverse.values()) or 1.0) for c, w in inverse.items()}
+
+
+def stacked(df: DataFrame, target: str, features: Sequence[str], id_col: str, kinds: Sequence[str] = tuple(MIXTURES), folds: int = 3, seed: int = 0) -> tuple[dict[str, PipelineModel], PipelineModel]:
+    """(base models, combiner): a linear model of the base models' predictions, each made for a fold by models that haven't seen it."""
+    fold = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(folds))
+    out = None
+    for k in range(folds):
+        held = predictions(df.where(fold == k), fit_models(df.where(fold != k), target, features, kinds), [target])
+        out = held if out is None else out.unionByName(held)
+    return fit_models(df, target, features, kinds), linear_model("ridge", target, [f"p_{k}" for k in kinds]).fit(out)
+
+
+def stacked_predictions(df: DataFrame, models: tuple[dict[str, PipelineModel], PipelineModel], keep: Sequence[str]) -> DataFrame:
+    """``keep``, the base models' predictions and the combiner's, ``p_stacked``."""
+    base, top = models
+    return top.transform(predictions(df, base, keep)).withColumnRenamed("prediction", "p_stacked").drop("features")
+
+
+def tweedie_error(df: DataFrame, target: str, features: Sequence[str], id_col: str, folds: int = 5, variances: Sequence[float] = (1.2, 1.5, 1.8), seed: int = 0) -> float:
+    """The mean squared error of Tweedie models over folds, mean of the folds; each fold's variance power is chosen on its training rows."""
+    x = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
+    fold, errors = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(folds)), []
+    for k in range(folds):
+        power = tweedie_grid(df.where(fold != k), target, features, variances)[0][0]
+        m = GeneralizedLinearRegression(family="tweedie", variancePower=power, linkPower=0.0, labelCol=target, featuresCol="features", maxIter=25).fit(x.where(fold != k))
+        e = F.col("prediction") - F.col(target)
+        errors.append(m.transform(x.where(fold == k)).agg(F.avg(e * e)).first()[0])
+    known = [e for e in errors if e is not None]
+    return sum(known) / len(known)
+
+
+def forest_selection(df: DataFrame, target: str, features: Sequence[str], kind: str = "regress", keep: int | None = None, trees: int = 50, seed: int = 0) -> DataFrame:
+    """(feature, importance, selected) from a random forest, most important first: the first ``keep``, or those above the mean importance."""
+    weights = random_forest(df, target, features, kind, trees, seed).stages[-1].featureImportances
+    rows = sorted(((f, float(weights[i])) for i, f in enumerate(features)), key=lambda r: (-r[1], r[0]))
+    mean = sum(w for _, w in rows) / max(len(rows), 1)
+    return df.sparkSession.createDataFrame([(f, w, i < keep if keep is not None else w >= mean) for i, (f, w) in enumerate(rows)], "feature string, importance double, selected boolean")

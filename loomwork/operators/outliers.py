@@ -9,8 +9,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.core import stored
 from loomwork.functions.ordered import quantile_values
 from loomwork.functions.special import chi2_quantile, t_quantile
+from loomwork.operators.inference import isolation_scores
+from loomwork.operators.neighbours import nearest_rows
 
 
 def _with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
@@ -110,35 +113,74 @@ def noise_flags(df: DataFrame, id_col: str, columns: Sequence[str], eps: float =
     return flags.select(id_col, *columns, out).unionByName(df.join(known.select(id_col), id_col, "left_anti").select(id_col, *columns, F.lit(None).cast("int").alias(out)))
 
 
-def lof_flags(df: DataFrame, id_col: str, columns: Sequence[str], min_points: int = 5, limit: float = 1.5, cell: float | None = None, out: str = "outlier") -> DataFrame:
+def lof_flags(df: DataFrame, id_col: str, columns: Sequence[str], min_points: int = 5, limit: float = 1.5, out: str = "outlier") -> DataFrame:
     """``lof``, the local outlier factor with k = ``min_points`` - 1 neighbours (ties at the k-th are kept), and its flag.
 
-    ``cell`` bounds the search to cells of that width around the point in the first column; without it all
-    points of one partition of the data meet, which suits small tables only.
+    Neighbours are exact, see ``nearest_rows``. Incomplete rows have null figures; ids must be unique.
     """
-    k = min_points - 1
-    x = df.dropna(subset=list(columns)).select(F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    c = F.floor(F.col("x0") / cell).cast("long") if cell else F.lit(0).cast("long")
-    a = x.withColumn("c", F.explode(F.array(c - 1, c, c + 1) if cell else F.array(c)))
-    b = x.select(F.col("id").alias("o"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(len(columns))], c.alias("c"))
-    d = a.join(b, "c").where("id != o").withColumn("d", F.sqrt(_squared([F.col(f"x{i}") for i in range(len(columns))], [F.col(f"y{i}") for i in range(len(columns))])))
-    near = d.withColumn("r", F.rank().over(Window.partitionBy("id").orderBy("d"))).where(F.col("r") <= k).select("id", "o", "d")
+    near = stored(nearest_rows(df, id_col, columns, min_points - 1, ties=True))
     reach = near.groupBy("id").agg(F.max("d").alias("kd"))
-    lrd = near.join(reach.withColumnRenamed("id", "o"), "o").groupBy("id").agg((F.count(F.lit(1)) / F.sum(F.greatest("d", "kd"))).alias("lrd"))
+    lrd = stored(near.join(reach.withColumnRenamed("id", "o"), "o").groupBy("id").agg(F.try_divide(F.count(F.lit(1)), F.sum(F.greatest("d", "kd"))).alias("lrd")))
     other = lrd.select(F.col("id").alias("o"), F.col("lrd").alias("ol"))
-    lof = near.join(other, "o").join(lrd, "id").groupBy("id").agg((F.avg("ol") / F.first("lrd")).alias("lof"))
-    return df.join(lof.withColumnRenamed("id", id_col), id_col, "left").withColumn(out, (F.col("lof") > limit).cast("int"))
+    lof = near.join(other, "o").join(lrd, "id").groupBy(F.col("id").alias("__id")).agg(F.try_divide(F.avg("ol"), F.first("lrd")).alias("lof"))
+    return df.join(lof, df[id_col] == F.col("__id"), "left").drop("__id").withColumn(out, (F.col("lof") > limit).cast("int"))
 
 
 METHODS = {"z": z_flags, "tukey": tukey_flags, "mad": mad_flags, "modified_z": modified_z_flags, "grubbs": grubbs_flags}
+UNIVARIATE = ("z", "tukey", "grubbs", "mad", "iglewicz_hoaglin")
+MULTIVARIATE = ("mahalanobis", "isolation_forest", "dbscan", "lof")
 
 
-def all_flags(df: DataFrame, columns: Sequence[str], methods: Sequence[str] = tuple(METHODS)) -> DataFrame:
-    """A column ``<column>_<method>_outlier`` for each column and method."""
-    for m in methods:
-        for c in columns:
-            df = METHODS[m](df, c, out=f"{c}_{m}_outlier")
-    return df
+def detect_outliers(
+    df: DataFrame, id_col: str, columns: Sequence[str], methods: Sequence[str] = (*UNIVARIATE, *MULTIVARIATE), z_limit: float = 1.96, multiplier: float = 1.5, alpha: float = 0.05, mad_multiplier: float = 3.0,
+    score_limit: float = 3.5, level: float = 0.95, contamination: float = 0.1, eps: float = 0.5, min_points: int = 5, lof_limit: float = 1.5,
+) -> DataFrame:
+    """``df`` with ``<column>_<method>_outlier`` for each column and one-column method and ``multivariate_<method>_outlier`` for the others.
+
+    All columns' figures come from one aggregate, one pass of quantiles and one of distances from the medians; the flags
+    are then plain expressions of the row. Flags are 1, 0 or null where unknown. Isolation scores flag the
+    ``contamination`` share of highest scores. Ids must be unique for the methods over several columns.
+    """
+    if bad := set(methods) - {*UNIVARIATE, *MULTIVARIATE}:
+        raise ValueError(f"no such methods: {', '.join(sorted(bad))}")
+    s = df.agg(*[a for i, c in enumerate(columns) for a in (F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}"))]).first()
+    q = quantile_values(df, columns, (0.25, 0.5, 0.75)) if {"tukey", "mad", "iglewicz_hoaglin"} & set(methods) else {}
+    away = {c: F.abs(F.col(c) - F.lit(v[1]).cast("double")) for c, v in q.items()}
+    dev = {c: v[0] for c, v in quantile_values(df, away, (0.5,)).items()} if {"mad", "iglewicz_hoaglin"} & set(methods) else {}
+    number = lambda v: F.lit(v).cast("double")
+    flags = {}
+    for i, c in enumerate(columns):
+        x, n, mean, sd = F.col(c).cast("double"), s[f"n{i}"], number(s[f"m{i}"]), number(s[f"s{i}"])
+        beyond = lambda limit, x=x, mean=mean, sd=sd: F.when(x.isNull(), F.lit(None)).when(sd == 0, F.lit(False)).otherwise(F.abs((x - mean) / sd) > limit)
+        for m in (m for m in UNIVARIATE if m in methods):
+            if m == "z":
+                flag = beyond(z_limit)
+            elif m == "grubbs":
+                flag = beyond(grubbs_limit(n, alpha)) if n >= 3 else F.lit(None).cast("boolean")
+            elif m == "tukey":
+                lo, hi = number(q[c][0]), number(q[c][2])
+                flag = (x < lo - multiplier * (hi - lo)) | (x > hi + multiplier * (hi - lo))
+            else:
+                off, d = F.abs(x - number(q[c][1])), number(dev[c])
+                flag = F.when(d == 0, off > 0).otherwise(off > mad_multiplier * d if m == "mad" else 0.6745 * off / (1.4826 * d) > score_limit)
+            flags[f"{c}_{m}_outlier"] = flag.cast("int")
+    out = df.withColumns(flags) if flags else df
+    found = []
+    for m in (m for m in MULTIVARIATE if m in methods):
+        name = f"multivariate_{m}_outlier"
+        if m == "mahalanobis":
+            found.append(mahalanobis_flags(df.select(id_col, *columns), columns, level, name).select(id_col, name))
+        elif m == "isolation_forest":
+            scores = stored(isolation_scores(df.select(id_col, *columns), columns, id_col).select(id_col, "isolation_score"))
+            cut = quantile_values(scores, ["isolation_score"], (1 - contamination,))["isolation_score"][0]
+            found.append(scores.select(id_col, (F.col("isolation_score") > number(cut)).cast("int").alias(name)))
+        elif m == "dbscan":
+            found.append(noise_flags(df.select(id_col, *columns), id_col, columns, eps, min_points, name).select(id_col, name))
+        else:
+            found.append(lof_flags(df.select(id_col, *columns), id_col, columns, min_points, lof_limit, name).select(id_col, name))
+    for f in found:
+        out = out.join(f.withColumnRenamed(id_col, "__id"), F.col(id_col) == F.col("__id"), "left").drop("__id")
+    return out
 
 
 def standard_pair(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -110,6 +111,74 @@ def date_stats(df: DataFrame, column: str) -> DataFrame:
     return s.crossJoin(runs).crossJoin(bad)  # one row each
 
 
+KINDS = ("numeric", "factor", "date", "character", "other")
+
+
+def column_kinds(df: DataFrame, given: Mapping[str, str] | None = None) -> dict[str, str]:
+    """numeric, date, character or other by type; ``given`` overrides it by name and may say factor (or skip)."""
+    numeric, out = set(numeric_columns(df)), {}
+    for c, t in df.dtypes:
+        out[c] = "numeric" if c in numeric else "date" if t.startswith(("date", "timestamp")) else "character" if t == "string" else "other"
+    for c, k in (given or {}).items():
+        if k not in (*KINDS, "skip"):
+            raise ValueError(f"no such kind: {k}")
+        if c in out:
+            out[c] = k
+    return out
+
+
+def character_stats(df: DataFrame, columns: Sequence[str], lengths: bool = True) -> DataFrame:
+    """(variable, nulls, unique, avg_length, max_length, min_length) per column, null a value of its own; one aggregate."""
+    rows = []
+    for c in columns:
+        x, size = F.col(c), F.length(F.col(c).cast("string")) if lengths else F.lit(None).cast("int")
+        unique = F.count_distinct(x) + F.max(x.isNull().cast("int"))
+        rows.append(F.struct(F.lit(c).alias("variable"), F.count_if(x.isNull()).alias("nulls"), unique.alias("unique"), F.avg(size).alias("avg_length"), F.max(size).alias("max_length"), F.min(size).alias("min_length")))
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
+def all_stats(frames: DataFrame | Mapping[str, DataFrame], given: Mapping[str, Mapping[str, str]] | None = None) -> dict[str, dict[str, DataFrame | None]]:
+    """For each table and kind of column the statistics of that kind, None where it has no such column.
+
+    Columns that ``given`` calls numeric or date are read as such first (what doesn't parse is unknown); numeric
+    columns that don't parse at all are skipped. A single table is named ``data``.
+    """
+    named, out = {"data": frames} if isinstance(frames, DataFrame) else dict(frames), {}
+    for name, df in named.items():
+        wish = (given or {}).get(name, {})
+        kinds = column_kinds(df, wish)
+        numeric = set(numeric_columns(df))
+        asked = [c for c, k in kinds.items() if k == "numeric" and c not in numeric]
+        df = df.withColumns({c: F.expr(f"try_cast(`{c}` as double)") for c in asked}) if asked else df
+        if asked:
+            known = df.agg(*[F.count(c).alias(c) for c in asked]).first()
+            kinds |= {c: "skip" for c in asked if not known[c]}
+        of = {k: [c for c in df.columns if kinds[c] == k] for k in KINDS}
+        levels = [factor_stats(df, c).select(F.lit(c).alias("variable"), F.col("level").cast("string").alias("level"), "n", "pct") for c in of["factor"]]
+        days = [date_stats(df, c).select(F.lit(c).alias("variable"), "*") for c in of["date"]]
+        out[name] = {
+            "numeric": numeric_stats(df, of["numeric"]) if of["numeric"] else None, "factor": reduce(DataFrame.unionByName, levels) if levels else None, "date": reduce(DataFrame.unionByName, days) if days else None,
+            "character": character_stats(df, of["character"]) if of["character"] else None, "other": character_stats(df, of["other"], False).select("variable", "nulls", "unique") if of["other"] else None,
+        }
+    return out
+
+
+def group_stats(df: DataFrame, by: Sequence[str]) -> dict[str, DataFrame | None]:
+    """Statistics by group for each kind of column: numeric figures, counts and shares of text values within their group, first and last days."""
+    kinds = column_kinds(df.drop(*by))
+    of = {k: [c for c, x in kinds.items() if x == k] for k in KINDS}
+    shares = None
+    if of["character"]:
+        long = df.select(*by, *of["character"]).unpivot(list(by), of["character"], "variable", "level")
+        counts = long.groupBy(*by, "variable", "level").agg(F.count(F.lit(1)).alias("n"))
+        shares = counts.withColumn("pct", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy(*by, "variable")), 2))
+    days = None
+    if of["date"]:
+        rows = [F.struct(F.lit(c).alias("variable"), F.min(F.to_date(c)).alias("first"), F.max(F.to_date(c)).alias("last"), F.count_distinct(F.to_date(c)).alias("days")) for c in of["date"]]
+        days = df.groupBy(*by).agg(F.array(*rows).alias("__r")).select(*by, F.inline("__r"))
+    return {"numeric": numeric_stats(df, of["numeric"], by) if of["numeric"] else None, "character": shares, "date": days}
+
+
 def correlations(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Pearson's r of each pair of columns (and group), over rows where both are known, from one aggregate."""
     require_columns(df, [*columns, *by])

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.ordered import average_ranks, in_blocks, numbered, quantile_values
@@ -92,6 +92,71 @@ def best_distribution(df: DataFrame, column: str, criterion: str = "aic") -> lis
     return sorted(({"family": f, "log_likelihood": ll, criterion: cost * k - 2 * ll} for f, k, ll in fits), key=lambda r: r[criterion])
 
 
+def _log_density(family: str, p: Sequence[float]) -> Callable[[np.ndarray], np.ndarray]:
+    lg = np.vectorize(math.lgamma, otypes=[float])
+    ok = {
+        "gaussian": (2, lambda: p[1] > 0), "poisson": (1, lambda: p[0] > 0), "binomial": (2, lambda: p[0] >= 0 and 0 <= p[1] <= 1), "exponential": (1, lambda: p[0] > 0),
+        "geometric": (1, lambda: 0 < p[0] <= 1), "gamma": (2, lambda: p[0] > 0 and p[1] > 0), "log_normal": (2, lambda: p[1] > 0),
+    }
+    if family not in ok:
+        raise ValueError(f"no such family: {family}")
+    if len(p) < ok[family][0] or not ok[family][1]():
+        raise ValueError(f"no such parameters of {family}: {list(p)}")
+    whole = lambda x: (x >= 0) & (x == np.floor(x))
+    log = lambda v: math.log(v) if v > 0 else -math.inf
+
+    def f(x: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            if family == "gaussian":
+                return -((x - p[0]) ** 2) / (2 * p[1] ** 2) - math.log(p[1] * math.sqrt(2 * math.pi))
+            if family == "exponential":
+                return np.where(x >= 0, math.log(p[0]) - p[0] * x, -np.inf)
+            if family in ("gamma", "log_normal"):
+                y = np.where(x > 0, x, 1.0)
+                inside = p[0] * math.log(p[1]) - math.lgamma(p[0]) + (p[0] - 1) * np.log(y) - p[1] * y if family == "gamma" else -((np.log(y) - p[0]) ** 2) / (2 * p[1] ** 2) - np.log(y * p[1] * math.sqrt(2 * math.pi))
+                return np.where(x > 0, inside, -np.inf)
+            y = np.where(whole(x), x, 0.0)
+            if family == "poisson":
+                inside = y * math.log(p[0]) - p[0] - lg(y + 1)
+            elif family == "geometric":
+                inside = log(p[0]) + np.where(y > 0, y * log(1 - p[0]), 0.0)
+            else:
+                y = np.minimum(y, p[0])
+                inside = lg(p[0] + 1.0) - lg(y + 1) - lg(p[0] - y + 1) + np.where(y > 0, y * log(p[1]), 0.0) + np.where(p[0] - y > 0, (p[0] - y) * log(1 - p[1]), 0.0)
+                return np.where(whole(x) & (x <= p[0]), inside, -np.inf)
+            return np.where(whole(x), inside, -np.inf)
+
+    return f
+
+
+def density(df: DataFrame, column: str, family: str, parameters: Sequence[float], out: str = "density") -> DataFrame:
+    """Rows with a known value, with a family's density (or probability) there: gaussian (mean, sd), poisson (rate), binomial (size, share), exponential (rate), geometric (share), gamma (shape, rate), log_normal (mean and sd of the logarithm)."""
+    f = _log_density(family, parameters)
+    at = F.pandas_udf(lambda x: pd.Series(np.exp(f(x.to_numpy(dtype=float)))), "double")
+    return df.where(F.col(column).isNotNull()).withColumn(out, at(F.col(column).cast("double")))
+
+
+def random_numbers(spark: SparkSession, family: str, n: int, parameters: Sequence[float], seed: int = 0, block: int = 100_000) -> DataFrame:
+    """(id, value): n numbers of a family, the same on every run: each block of ids has a generator of its own, seeded by the block."""
+    _log_density(family, parameters)
+    if n <= 0:
+        raise ValueError("n must be positive")
+    p = list(parameters)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k in b["id"]:
+                rng, size = np.random.default_rng([seed, int(k)]), min(block, n - int(k) * block)
+                x = {
+                    "gaussian": lambda: rng.normal(p[0], p[1], size), "poisson": lambda: rng.poisson(p[0], size), "binomial": lambda: rng.binomial(int(p[0]), p[1], size), "exponential": lambda: rng.exponential(1 / p[0], size),
+                    "geometric": lambda: rng.geometric(p[0], size) - 1, "gamma": lambda: rng.gamma(p[0], 1 / p[1], size), "log_normal": lambda: rng.lognormal(p[0], p[1], size),
+                }[family]()
+                yield pd.DataFrame({"id": int(k) * block + np.arange(size), "value": x.astype(float)})
+
+    blocks = -(-n // block)
+    return spark.range(0, blocks, 1, min(blocks, 2000)).mapInPandas(draw, "id long, value double")
+
+
 def group_ranks(df: DataFrame, column: str, group: str) -> DataFrame:
     """(group, x, n, ties, rank): how often each group has each distinct value, how often all have it, and its mean rank."""
     known = df.where(F.col(column).isNotNull()).groupBy(group, F.col(column).alias("x")).agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.operators import attribution, charts, cleaning, fuzzy, graph, inference, intervals, models, outliers, places, profiling, sentiment, statistics, timeseries
+from loomwork.operators import attribution, charts, cleaning, fuzzy, graph, hypothesis, inference, intervals, models, outliers, places, preparing, profiling, sentiment, statistics, timeseries
 from loomwork.streaming import journeys
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -370,10 +370,60 @@ def categorical_columns(spark, sf_dir):
     return cleaning.categorical_columns(load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"))
 
 
-@query("""WITH c AS (SELECT count(*) FILTER (quality = 0) AS lo, count(*) FILTER (quality = 1) AS hi FROM labels) SELECT quality, CASE WHEN quality = (CASE WHEN lo <= hi THEN 0 ELSE 1 END) THEN 2 * count(*) ELSE count(*) END AS n FROM labels, c GROUP BY quality, lo, hi""")
+_HASH = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+
+
+@query(f"""WITH d AS (SELECT doc_id, n_chars::DOUBLE AS a, toxic::DOUBLE AS b, quality FROM labels JOIN documents USING (doc_id)), r AS (SELECT quality AS q FROM d WHERE quality IS NOT NULL GROUP BY quality ORDER BY count(*), quality LIMIT 1), x AS (SELECT d.* FROM d, r WHERE quality = q),
+p AS (SELECT x.doc_id AS id, y.doc_id AS o, y.a AS ya, y.b AS yb, sqrt((x.a - y.a) ** 2 + (x.b - y.b) ** 2) AS d FROM x JOIN x y ON x.doc_id != y.doc_id), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, o) AS k FROM p QUALIFY k <= 5), c AS (SELECT id, count(*) AS m FROM n GROUP BY 1),
+h AS (SELECT doc_id AS id, a, b, quality, {_HASH.format("doc_id || '/1/pick/0'")} AS pick, {_HASH.format("doc_id || '/1/gap/0'")} / 4294967296.0 AS u FROM x)
+SELECT NULL::BIGINT AS doc_id, round(h.a + u * (ya - h.a), 6) AS n_chars, round(h.b + u * (yb - h.b), 6) AS toxic, quality FROM h JOIN c USING (id) JOIN n ON n.id = h.id AND n.k = pick % m + 1 UNION ALL SELECT doc_id, a, b, quality FROM d""")
 def balanced_labels(spark, sf_dir):
     d = load(spark, sf_dir, "labels").join(load(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    return cleaning.balanced_sample(d.select("doc_id", "n_chars", "toxic", "quality"), "quality", ["n_chars", "toxic"], 100, 5, "doc_id").groupBy("quality").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(cleaning.balanced_sample(d.select("doc_id", "n_chars", "toxic", "quality"), "quality", ["n_chars", "toxic"], 100, 5, "doc_id"), 6)
+
+
+_CUT = f"u AS (SELECT o_orderkey, o_orderstatus, o_totalprice AS p, o_custkey AS c, o_orderpriority AS f, {_HASH.format("o_orderkey || '/0'")} / 4294967296.0 AS u FROM orders), k AS (SELECT o_orderstatus AS s, quantile_cont(u, 0.7) AS cut FROM u GROUP BY 1), t AS (SELECT *, u <= cut AS train FROM u JOIN k ON o_orderstatus = s)"
+
+
+def _prepared(spark, sf_dir):
+    d = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey", "o_orderpriority")
+    train, test, _ = preparing.prepare(d, "o_orderstatus", "o_orderkey", multiplier=0.3)
+    return train.withColumn("train", F.lit(True)).unionByName(test.withColumn("train", F.lit(False)))
+
+
+@query(f"""WITH {_CUT}, m AS (SELECT avg(p) AS mp, stddev_samp(p) AS sp, avg(c) AS mc, stddev_samp(c) AS sc FROM t WHERE train), z AS (SELECT o_orderkey, train, o_orderstatus, f, (p - mp) / sp AS p, (c - mc) / sc AS c FROM t, m), q AS (SELECT quantile_cont(p, [0.25, 0.75]) AS a, quantile_cont(c, [0.25, 0.75]) AS b FROM z WHERE train),
+w AS (SELECT o_orderkey, train, o_orderstatus, f, CASE WHEN p BETWEEN a[1] - 0.3 * (a[2] - a[1]) AND a[2] + 0.3 * (a[2] - a[1]) THEN p END AS p, CASE WHEN c BETWEEN b[1] - 0.3 * (b[2] - b[1]) AND b[2] + 0.3 * (b[2] - b[1]) THEN c END AS c FROM z, q), v AS (SELECT avg(p) AS ap, avg(c) AS ac FROM w WHERE train)
+SELECT o_orderkey, o_orderstatus, train, round(coalesce(p, ap), 6) AS price, round(coalesce(c, ac), 6) AS customer, (f = '1-URGENT')::INT AS urgent, round(coalesce(p, ap) * coalesce(c, ac), 6) AS crossed FROM w, v""")
+def prepared_orders(spark, sf_dir):
+    d = _prepared(spark, sf_dir)
+    return rounded(d.select("o_orderkey", "o_orderstatus", "train", F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("customer"), F.col("`o_orderpriority.1-URGENT`").alias("urgent"), F.col("o_totalprice_x_o_custkey").alias("crossed")), 6)
+
+
+@query(f"""WITH {_CUT} SELECT o_orderstatus, train, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM t GROUP BY 1, 2""")
+def stratified_rows(spark, sf_dir):
+    train, test = preparing.stratified_split(load(spark, sf_dir, "orders"), "o_orderstatus", "o_orderkey")
+    d = train.withColumn("train", F.lit(True)).unionByName(test.withColumn("train", F.lit(False)))
+    return d.groupBy("o_orderstatus", "train").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+_NZ = " UNION ALL ".join(f"SELECT '{c}' AS variable, max(n) AS a, (list(n ORDER BY n DESC))[2] AS b, count(*) AS v, sum(n) AS r FROM (SELECT {c}, count(*) AS n FROM lineitem GROUP BY 1)" for c in ("l_linenumber", "l_returnflag", "l_tax"))
+
+
+@query(f"SELECT variable, round(a / b, 6) AS freq_ratio, round(100.0 * v / r, 6) AS pct_unique, a / b > 1.2 AND 100.0 * v / r < 10 AS near_zero FROM ({_NZ})")
+def near_zero_columns(spark, sf_dir):
+    return rounded(preparing.near_zero_variance(load(spark, sf_dir, "lineitem"), ["l_linenumber", "l_returnflag", "l_tax"], 1.2), 6)
+
+
+@query("""SELECT variable, nulls, "unique", round(avg_length, 6) AS avg_length, max_length::INT AS max_length, min_length::INT AS min_length FROM (SELECT 'o_orderpriority' AS variable, count(*) FILTER (o_orderpriority IS NULL) AS nulls, count(DISTINCT o_orderpriority) AS "unique", avg(length(o_orderpriority)) AS avg_length, max(length(o_orderpriority)) AS max_length, min(length(o_orderpriority)) AS min_length FROM orders
+UNION ALL SELECT 'o_orderstatus', count(*) FILTER (o_orderstatus IS NULL), count(DISTINCT o_orderstatus), avg(length(o_orderstatus)), max(length(o_orderstatus)), min(length(o_orderstatus)) FROM orders)""")
+def character_profile(spark, sf_dir):
+    d = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    return rounded(profiling.all_stats(d)["data"]["character"], 6)
+
+
+@query("""WITH l AS (UNPIVOT (SELECT o_orderstatus, o_orderpriority FROM orders) ON o_orderpriority INTO NAME variable VALUE level), c AS (SELECT o_orderstatus, variable, level, count(*) AS n FROM l GROUP BY 1, 2, 3) SELECT o_orderstatus, variable, level, n, round(100.0 * n / sum(n) OVER (PARTITION BY o_orderstatus, variable), 2) AS pct FROM c""")
+def text_shares_by_group(spark, sf_dir):
+    return profiling.group_stats(load(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority"), ["o_orderstatus"])["character"]
 
 
 # ---- outliers ----------------------------------------------------------------------------------
@@ -401,11 +451,29 @@ def outlier_modified_z(spark, sf_dir):
     return outliers.modified_z_flags(load(spark, sf_dir, "customer"), "c_acctbal", 0.7).select("c_custkey", "outlier")
 
 
-@query()  # the limit needs a t quantile; tested against the formula
+_GRUBBS = "CASE count(*) OVER () " + " ".join(f"WHEN {n} THEN {outliers.grubbs_limit(n)!r}" for n in (150, 1500, 15000)) + " END"  # at each scale's number of customers
+
+
+@query(f"SELECT c_custkey, (abs((c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER ()) > {_GRUBBS})::INT AS outlier FROM customer")
 def outlier_grubbs(spark, sf_dir):
     return outliers.grubbs_flags(load(spark, sf_dir, "customer"), "c_acctbal").select("c_custkey", "outlier")
 
 
+@query("""WITH s AS (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s, quantile_cont(c_acctbal, [0.25, 0.5, 0.75]) AS q, avg(c_nationkey) AS nm, stddev_samp(c_nationkey) AS ns, quantile_cont(c_nationkey, [0.25, 0.5, 0.75]) AS nq FROM customer), d AS (SELECT median(abs(c_acctbal - q[2])) AS d, median(abs(c_nationkey - nq[2])) AS nd FROM customer, s)
+SELECT c_custkey, (abs((c_acctbal - m) / s) > 1.5)::INT AS c_acctbal_z_outlier, (c_acctbal < q[1] - 0.2 * (q[3] - q[1]) OR c_acctbal > q[3] + 0.2 * (q[3] - q[1]))::INT AS c_acctbal_tukey_outlier, (abs(c_acctbal - q[2]) > 1.5 * d)::INT AS c_acctbal_mad_outlier, (0.6745 * abs(c_acctbal - q[2]) / (1.4826 * d) > 0.7)::INT AS c_acctbal_iglewicz_hoaglin_outlier,
+(abs((c_nationkey - nm) / ns) > 1.5)::INT AS c_nationkey_z_outlier, (c_nationkey < nq[1] - 0.2 * (nq[3] - nq[1]) OR c_nationkey > nq[3] + 0.2 * (nq[3] - nq[1]))::INT AS c_nationkey_tukey_outlier, (abs(c_nationkey - nq[2]) > 1.5 * nd)::INT AS c_nationkey_mad_outlier, (0.6745 * abs(c_nationkey - nq[2]) / (1.4826 * nd) > 0.7)::INT AS c_nationkey_iglewicz_hoaglin_outlier FROM customer, s, d""")
+def detected_outliers(spark, sf_dir):
+    d = load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    out = outliers.detect_outliers(d, "c_custkey", ["c_acctbal", "c_nationkey"], ["z", "tukey", "mad", "iglewicz_hoaglin"], z_limit=1.5, multiplier=0.2, mad_multiplier=1.5, score_limit=0.7)
+    return out.drop("c_acctbal", "c_nationkey")
+
+
+@query()  # isolation scores are random; each method has a query or test of its own
+def detected_multivariate_outliers(spark, sf_dir):
+    p = load(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 100).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    return outliers.detect_outliers(p, "s_suppkey", ["x", "y"], ["mahalanobis", "isolation_forest", "dbscan", "lof"], eps=5.0, min_points=3)
+
+
 @query("""WITH s AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my, var_samp(l_quantity) AS a, var_samp(l_extendedprice) AS b, covar_samp(l_quantity, l_extendedprice) AS c FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_extendedprice, round((b * (l_quantity - mx) ** 2 - 2 * c * (l_quantity - mx) * (l_extendedprice - my) + a * (l_extendedprice - my) ** 2) / (a * b - c * c), 6) AS distance2,
 ((b * (l_quantity - mx) ** 2 - 2 * c * (l_quantity - mx) * (l_extendedprice - my) + a * (l_extendedprice - my) ** 2) / (a * b - c * c) > 5.991464547107979)::INT AS outlier FROM lineitem, s""")
@@ -597,6 +665,41 @@ def linear_model(spark, sf_dir):
     return spark.createDataFrame([("intercept", round(m["coefficients"]["1"], 4)), ("slope", round(m["coefficients"]["l_quantity"], 4)), ("r2", round(m["r2"], 6))], "name string, value double")
 
 
+@query("""WITH g AS (SELECT l_returnflag AS g, count(*)::DOUBLE AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v FROM lineitem GROUP BY 1), s AS (SELECT sum(n / v) AS w, sum(n / v * m) / sum(n / v) AS mean, count(*)::DOUBLE AS k FROM g),
+t AS (SELECT sum(n / v * (m - mean) ** 2) AS b, sum((1 - n / v / w) ** 2 / (n - 1)) AS l, max(k) AS k FROM g, s) SELECT round(b / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1) * l), 6) AS f, k - 1 AS df1, round((k * k - 1) / (3 * l), 3) AS df2 FROM t""")
+def welch_test(spark, sf_dir):
+    d = hypothesis.welch_anova(load(spark, sf_dir, "lineitem"), "l_extendedprice", "l_returnflag").drop("p")
+    return rounded(rounded(d, 6, "f"), 3, "df2")
+
+
+@query("""WITH g AS (SELECT l_returnflag AS g, count(*)::DOUBLE AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v FROM lineitem GROUP BY 1)
+SELECT a.g AS group1, b.g AS group2, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t, round((a.v / a.n + b.v / b.n) ** 2 / ((a.v / a.n) ** 2 / (a.n - 1) + (b.v / b.n) ** 2 / (b.n - 1)), 3) AS df FROM g a JOIN g b ON a.g < b.g""")
+def pairwise_tests(spark, sf_dir):
+    d = hypothesis.pairwise_t(load(spark, sf_dir, "lineitem"), "l_extendedprice", "l_returnflag").drop("p", "p_adjusted")
+    return rounded(rounded(d, 6, "t"), 3, "df")
+
+
+@query("""WITH d AS (SELECT n_chars AS a, doc_id AS b, quality AS y FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL),
+r AS (SELECT y, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 - rank() OVER (PARTITION BY y ORDER BY a) - (count(*) OVER (PARTITION BY y, a) - 1) / 2.0 AS p, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 - rank() OVER (PARTITION BY y ORDER BY b) - (count(*) OVER (PARTITION BY y, b) - 1) / 2.0 AS q FROM d),
+g AS (SELECT y, count(*)::DOUBLE AS n, avg(p) AS ma, avg(q) AS mb, var_samp(p) AS va, var_samp(q) AS vb, covar_samp(p, q) AS c FROM r GROUP BY 1), z AS (SELECT f.n AS n0, t.n AS n1, t.ma / f.n AS auc1, t.mb / f.n AS auc2, t.va / f.n ** 2 / t.n + f.va / t.n ** 2 / f.n AS va, t.vb / f.n ** 2 / t.n + f.vb / t.n ** 2 / f.n AS vb, t.c / f.n ** 2 / t.n + f.c / t.n ** 2 / f.n AS c FROM g f JOIN g t ON f.y = 0 AND t.y = 1)
+SELECT round(auc1, 6) AS auc1, round(auc2, 6) AS auc2, round(sqrt(va), 6) AS se1, round(sqrt(vb), 6) AS se2, round((auc1 - auc2) / sqrt(va + vb - 2 * c), 5) AS z FROM z""")
+def roc_comparison(spark, sf_dir):
+    d = load(spark, sf_dir, "labels").join(load(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    out = hypothesis.compare_roc(d, "n_chars", "doc_id", "quality").drop("p")
+    return rounded(rounded(out, 6, "auc1", "auc2", "se1", "se2"), 5, "z")
+
+
+@query()  # needs the normal distribution; tested against a plain version
+def normality_tests(spark, sf_dir):
+    return rounded(hypothesis.normality(load(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], "l_returnflag"), 4)
+
+
+@query()  # resampled by a hash; tested against a plain version of one replicate
+def resampled_rank_tests(spark, sf_dir):
+    d = load(spark, sf_dir, "labels").join(load(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return hypothesis.bootstrap_figures(hypothesis.bootstrap_rank_tests(d, "n_chars", "quality", "doc_id", 50))
+
+
 # ---- graph -------------------------------------------------------------------------------------
 
 _EDGES = "WITH RECURSIVE e AS (SELECT DISTINCT least(c, s + 100000) AS a, greatest(c, s + 100000) AS b FROM (SELECT o_custkey AS c, l_suppkey AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey )), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e)"
@@ -672,6 +775,18 @@ def graph_cores(spark, sf_dir):
     return graph.core_numbers(_parts(spark, sf_dir))
 
 
+@query()  # counts of paths; tested against a plain version
+def graph_betweenness(spark, sf_dir):
+    e = _graph(spark, sf_dir)
+    sources = e.select(F.explode(F.array("a", "b")).alias("node")).where("node % 50 = 0").distinct()  # a stated set of ends
+    return rounded(graph.betweenness(e, sources), 6)
+
+
+@query()  # an eigenvector; tested against a plain version
+def graph_eigenvector(spark, sf_dir):
+    return rounded(graph.eigenvector_centrality(_parts(spark, sf_dir)), 6)
+
+
 # ---- chart tables ------------------------------------------------------------------------------
 
 @query("""WITH l AS (UNPIVOT (SELECT l_returnflag, l_linenumber AS q1, (l_quantity % 5 + 1)::INT AS q2 FROM lineitem) ON q1, q2 INTO NAME item VALUE a), c AS (SELECT item, l_returnflag, CASE WHEN a <= 2 THEN 'low' WHEN a = 3 THEN 'mid' WHEN a <= 5 THEN 'high' END AS response, count(*) AS n FROM l WHERE a BETWEEN 1 AND 5 GROUP BY 1, 2, 3)
@@ -744,6 +859,38 @@ def group_lines(spark, sf_dir):
     return rounded(rounded(rounded(d, 6, "r2"), 5, "slope"), 4, "intercept", "y0", "y1")
 
 
+_BINS = "q AS (SELECT quantile_cont(l_extendedprice, [" + ", ".join(str(i / 10) for i in range(1, 10)) + "]) AS q FROM lineitem)"
+
+
+@query(f"""WITH {_BINS}, b AS (SELECT l_returnflag, 1 + len([c for c in q if l_extendedprice > c]) AS bin, l_extendedprice AS x, l_quantity AS y FROM lineitem, q)
+SELECT l_returnflag, bin::INT AS bin, count(*) AS n, round(avg(x), 4) AS x, round(avg(y), 6) AS y, round(avg(y) - 1.96 * stddev_samp(y) / sqrt(count(*)), 6) AS low, round(avg(y) + 1.96 * stddev_samp(y) / sqrt(count(*)), 6) AS high FROM b GROUP BY 1, 2""")
+def smoothed_scatter(spark, sf_dir):
+    d = charts.smooth_bins(load(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", "l_returnflag", 10)
+    return rounded(rounded(d, 4, "x"), 6, "y", "low", "high")
+
+
+@query("SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice / 50 AS b, least(p_size, p_retailprice / 50) AS low, greatest(p_size, p_retailprice / 50) AS high, CASE WHEN p_size <= p_retailprice / 50 THEN 'b' ELSE 'a' END AS top FROM part")
+def filled_series(spark, sf_dir):
+    d = load(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 50).alias("b"))
+    return charts.filled_series(d, "p_partkey", "a", "b")
+
+
+@query("SELECT DISTINCT event_type, array_to_string([upper(x[1]) || x[2:] for x in string_split(replace(event_type, '_', ' '), ' ')], ' ') AS title FROM events")
+def titled_events(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_type").distinct().withColumn("title", charts.title_case(F.col("event_type")))
+
+
+@query("SELECT CASE item WHEN 'l_quantity' THEN 'Pieces' WHEN 'l_tax' THEN 'Tax paid' ELSE item END AS item, CASE item WHEN 'l_quantity' THEN 1 WHEN 'l_tax' THEN 2 ELSE 3 END AS position, n FROM (SELECT unnest(['l_quantity', 'l_tax', 'l_discount']) AS item, count(*) AS n FROM lineitem GROUP BY 1)")
+def renamed_items(spark, sf_dir):
+    n = load(spark, sf_dir, "lineitem").select(F.explode(F.array(*[F.lit(c) for c in ("l_quantity", "l_tax", "l_discount")])).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    return charts.sort_items(charts.rename_items(n, {"l_quantity": "Pieces", "l_tax": "Tax paid"}))
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+def distinct_rows(spark, sf_dir):
+    return cleaning.remove_duplicates(load(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus"))
+
+
 # ---- models and streams ------------------------------------------------------------------------
 
 
@@ -804,9 +951,10 @@ def isolation_scores(spark, sf_dir):
     return inference.isolation_scores(load(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"], "p_partkey")
 
 
-@query()
+@query("""WITH r AS (SELECT l_returnflag AS g, l_quantity AS x, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS r FROM lineitem), t AS (SELECT sum(k ** 3 - k) AS t, sum(k) AS n FROM (SELECT count(*)::DOUBLE AS k FROM r GROUP BY x)),
+g AS (SELECT g, avg(r) AS m, count(*)::DOUBLE AS n FROM r GROUP BY 1) SELECT a.g AS group1, b.g AS group2, round((a.m - b.m) / sqrt((t.n * (t.n + 1) / 12 - t / (12 * (t.n - 1))) * (1 / a.n + 1 / b.n)), 6) AS z FROM g a JOIN g b ON a.g < b.g, t""")  # p needs the normal distribution; tested against a plain version
 def dunn_pairs(spark, sf_dir):
-    return inference.dunn_table(load(spark, sf_dir, "lineitem"), "l_quantity", "l_returnflag")
+    return rounded(inference.dunn_table(load(spark, sf_dir, "lineitem"), "l_quantity", "l_returnflag").select("group1", "group2", "z"), 6)
 
 
 @query("""WITH f AS (SELECT regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a FROM part), e AS (SELECT p_partkey, p_retailprice - a - b * p_size AS e FROM part, f), s AS (SELECT e, e - lag(e) OVER (ORDER BY p_partkey) AS d FROM e)
