@@ -16,8 +16,9 @@ from loomwork.llm.vectors import common_dimension, deal_pairs, matrix, sample_ma
 #: Vectors that the rotation and the radius are fitted on at most; every vector is indexed.
 SAMPLE = 20_000
 BITS = 64
-#: Substrings of a code, one byte each; each has an index table of its own.
-PARTS = 8
+#: Substrings of a code, two bytes each; each has an index table of its own.
+PARTS = 4
+WIDTH = BITS // PARTS
 #: Share of the sample's true neighbours that the radius is to cover.
 COVER = 0.985
 HOME_BLOCK, QUERY_BLOCK = 4096, 1024
@@ -62,7 +63,7 @@ def fit_radius(codes: RotatedCodes, sample: np.ndarray, k: int, cover: float = C
 def part_radii(radius: int, parts: int = PARTS) -> list[int]:
     """Radii for the substrings such that codes within ``radius`` agree with one of them: sum of (r + 1) is radius + 1."""
     if radius >= BITS:  # everything: one part finds it all
-        return [8] + [-1] * (parts - 1)
+        return [WIDTH] + [-1] * (parts - 1)
     a, rest = divmod(radius, parts)
     return [a if i <= rest else a - 1 for i in range(parts)]
 
@@ -73,11 +74,9 @@ def _search(queries: DataFrame, rows: DataFrame, codes: RotatedCodes, radius: in
     radii = part_radii(radius)
     vec = rows.schema["vec"].dataType.simpleString()
     n = rows.count()
-    # A key is a run of a substring's values: together they hold about a block of rows.
-    shift = 8 - min(8, max(0, int(np.ceil(np.log2(max(1, n / HOME_BLOCK))))))
-    values = np.arange(256, dtype=np.uint8)
-    reached = [np.bitwise_count(values[:, None] ^ values[None]) <= r for r in radii]  # by own value, by value probed
-    runs = [np.add.reduceat(x, np.arange(0, 256, 1 << shift), axis=1) > 0 for x in reached]
+    # A key is a run of a substring's values, those with the same leading bits: together they hold about a block of rows.
+    lead = min(WIDTH, max(0, int(np.ceil(np.log2(max(1, n / HOME_BLOCK))))))
+    runs = np.arange(1 << lead, dtype=np.uint16)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -86,15 +85,15 @@ def _search(queries: DataFrame, rows: DataFrame, codes: RotatedCodes, radius: in
                 if not len(y):
                     continue
                 c = shared.value.encode(matrix(y["vec"]))
-                raw = [r.tobytes() for r in c]
+                raw, own = [r.tobytes() for r in c], c.view("<u2") >> (WIDTH - lead)
                 home = bool(y["home"].iat[0])
                 for p in range(PARTS):
                     if radii[p] < 0:
                         continue
                     if home:
-                        yield y.assign(code=raw, part=p, run=c[:, p] >> shift)
-                    else:
-                        i, run = np.nonzero(runs[p][c[:, p]])
+                        yield y.assign(code=raw, part=p, run=own[:, p].astype(np.int32))
+                    else:  # a run holds a value within the radius only if its leading bits are
+                        i, run = np.nonzero(np.bitwise_count(own[:, p, None] ^ runs[None]) <= radii[p])
                         z = y.iloc[i].assign(part=p, run=run)
                         z["code"] = [raw[a] for a in i]
                         yield z
@@ -117,36 +116,30 @@ def _search(queries: DataFrame, rows: DataFrame, codes: RotatedCodes, radius: in
                 home, ask, p = g[at_home], g[~at_home], int(g["part"].iat[0])
                 if not len(home) or not len(ask):
                     continue
-                x, q = matrix(home["vec"]), matrix(ask["vec"])
-                xid, qid = home["id"].to_numpy("i8"), ask["id"].to_numpy("i8")
-                xc, qc = (np.frombuffer(b"".join(s["code"]), np.uint8).reshape(-1, PARTS) for s in (home, ask))
-                xw, qw = xc.copy().view("<u8").ravel(), qc.copy().view("<u8").ravel()
-                x2, q2 = (x * x).sum(1), (q * q).sum(1)
-                far = np.full((len(q), len(x)), np.inf)
-                for value in np.unique(xc[:, p]):  # the buckets of this run
-                    bucket = np.flatnonzero(xc[:, p] == value)
-                    asked = np.flatnonzero(reached[p][qc[:, p], value])
-                    if not len(asked):
-                        continue
-                    differ = qw[asked][:, None] ^ xw[bucket][None]
-                    hit = (np.bitwise_count(differ) <= radius) & (qid[asked][:, None] != xid[bucket][None])
-                    if p:  # a pair counts in the first part that finds it
-                        each = np.bitwise_count(differ[:, :, None].view(np.uint8).reshape(*differ.shape, PARTS)[:, :, :p])
-                        hit &= ~(each <= np.array(radii[:p], np.int16)).any(2)
-                    near = q2[asked][:, None] + x2[bucket][None] - 2 * q[asked] @ x[bucket].T
-                    far[np.ix_(asked, bucket)] = np.where(hit, near, np.inf)
-                kth = np.partition(far, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(q), np.inf)
-                slack = 1e-11 * (q2 + x2.max())
-                i, j = np.nonzero((far <= (kth + slack)[:, None]) & np.isfinite(far))
-                d = np.empty(len(i))
-                for at in range(0, len(i), 1 << 15):
-                    s = slice(at, at + (1 << 15))
-                    d[s] = np.sqrt(((q[i[s]] - x[j[s]]) ** 2).sum(1))
-                order = np.lexsort((xid[j], d, i))
-                i, j, d = i[order], j[order], d[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                top = place < k
-                yield pd.DataFrame({"query_id": qid[i[top]], "vec_id": xid[j[top]], "score": d[top]})
+                x, every = matrix(home["vec"]), matrix(ask["vec"])
+                xid, ids = home["id"].to_numpy("i8"), ask["id"].to_numpy("i8")
+                xw, words = (np.frombuffer(b"".join(s["code"]), "<u8") for s in (home, ask))
+                x2 = (x * x).sum(1)
+                for first in range(0, len(ask), 256):
+                    q, qid, qw = (v[first : first + 256] for v in (every, ids, words))
+                    q2 = (q * q).sum(1)
+                    differ = qw[:, None] ^ xw[None]
+                    hit = (np.bitwise_count(differ) <= radius) & (qid[:, None] != xid[None])
+                    for part in range(p + 1):  # within this part's radius, and a pair counts in the first part that finds it
+                        apart = np.bitwise_count((differ >> np.uint64(WIDTH * part)).astype(np.uint16))
+                        hit &= apart <= radii[part] if part == p else apart.astype(np.int16) > radii[part]
+                    far = np.where(hit, q2[:, None] + x2[None] - 2 * q @ x.T, np.inf)
+                    kth = np.partition(far, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(q), np.inf)
+                    slack = 1e-11 * (q2 + x2.max())
+                    i, j = np.nonzero((far <= (kth + slack)[:, None]) & np.isfinite(far))
+                    d = np.empty(len(i))
+                    for at in range(0, len(i), 1 << 15):
+                        s = slice(at, at + (1 << 15))
+                        d[s] = np.sqrt(((q[i[s]] - x[j[s]]) ** 2).sum(1))
+                    order = np.lexsort((xid[j], d, i))
+                    i, j, d = i[order], j[order], d[order]
+                    top = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    yield pd.DataFrame({"query_id": qid[i[top]], "vec_id": xid[j[top]], "score": d[top]})
 
     return spread(dealt, "__g").sortWithinPartitions("__g").mapInPandas(probe, "query_id long, vec_id long, score double")
 
@@ -154,7 +147,7 @@ def _search(queries: DataFrame, rows: DataFrame, codes: RotatedCodes, radius: in
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by Euclidean distance that the index finds for each query row.
 
-    Codes are cut into eight substrings, each indexed by its value. A query looks into every bucket
+    Codes are cut into four substrings, each indexed by its value. A query looks into every bucket
     within the substring's radius; by the pigeonhole principle that finds every code within the full
     radius, and no other passes. What passes is ranked by the distance of the original vectors in
     double precision. The radius is fitted to cover 98.5 % of true neighbours. A query that finds fewer

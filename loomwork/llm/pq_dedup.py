@@ -19,7 +19,8 @@ from loomwork.llm.vectors import common_dimension, deal_pairs, kmeans, matrix, n
 SAMPLE = 20_000
 #: Vectors of one label that a cell is to hold; also the block that larger cells are cut into.
 CELL = 2048
-MOST_CELLS = 1024
+#: Centroids of one level; where labels are larger than that many cells, each cell is cut by a second level.
+MOST_CENTROIDS = 1024
 SUBSPACES = 8
 
 
@@ -28,41 +29,62 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def half_spaces(x: np.ndarray, centroids: np.ndarray, reach: float) -> np.ndarray:
+    """Which centroids' cells can hold a vector within ``reach`` of each row: a vector of a cell lies on its
+    side of the plane halfway to the row's own centroid, so the row must be within ``reach`` of that plane."""
+    c = centroids
+    to = np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None])
+    cell = to.argmin(1)
+    apart = np.sqrt(np.maximum(0, (c * c).sum(1)[cell][:, None] - 2 * c[cell] @ c.T + (c * c).sum(1)[None]))
+    near = to - to[np.arange(len(x)), cell][:, None] <= 2 * apart * reach + 1e-9
+    near[np.arange(len(x)), cell] = True
+    return near
+
+
 class ProductQuantiser:
-    """Coarse centroids and, for the residual, a codebook per subspace, fitted on unit vectors."""
+    """Coarse centroids and, for the residual, a codebook per subspace, fitted on unit vectors.
+
+    More than MOST_CENTROIDS cells have two levels: a cell is a coarse centroid and one of the centroids of what is
+    left, so that cells grow with the largest label while both tables stay bounded.
+    """
 
     def __init__(self, sample: np.ndarray, cells: int, subspaces: int = SUBSPACES):
         n, d = sample.shape
-        self.coarse = kmeans(sample, min(cells, n))
-        self.cuts = np.array_split(np.arange(d), min(subspaces, d))
+        self.coarse = kmeans(sample, min(cells, n, MOST_CENTROIDS))
         rest = sample - self.coarse[nearest(sample, self.coarse)]
+        self.fine = kmeans(rest, min(-(-cells // len(self.coarse)), n, MOST_CENTROIDS), seed=9) if cells > len(self.coarse) else np.zeros((1, d))
+        rest = rest - self.fine[nearest(rest, self.fine)]
+        self.cuts = np.array_split(np.arange(d), min(subspaces, d))
         self.books = [kmeans(rest[:, c], min(256, max(1, n // 8)), seed=1 + i) for i, c in enumerate(self.cuts)]
 
+    def centre(self, cell: np.ndarray) -> np.ndarray:
+        return self.coarse[cell // len(self.fine)] + self.fine[cell % len(self.fine)]
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(cell, codes, error): the error is the distance between a vector and what its codes stand for."""
-        cell = nearest(x, self.coarse)
-        rest = x - self.coarse[cell]
+        first = nearest(x, self.coarse)
+        cell = first * len(self.fine) + nearest(x - self.coarse[first], self.fine)
+        rest = x - self.centre(cell)
         codes = np.stack([nearest(rest[:, c], b) for c, b in zip(self.cuts, self.books, strict=True)], 1).astype(np.uint8)
         gap = sum(((rest[:, c] - b[codes[:, m]]) ** 2).sum(1) for m, (c, b) in enumerate(zip(self.cuts, self.books, strict=True)))
         return cell, codes, np.sqrt(gap)
 
-    def probes(self, x: np.ndarray, cell: np.ndarray, reach: float) -> np.ndarray:
-        """Which cells can hold a vector within ``reach`` of x: a boolean per row and cell.
-
-        A vector of cell j lies on j's side of the plane halfway to x's own centroid, so cell j is
-        needed only if x is within ``reach`` of that plane.
-        """
-        c = self.coarse
-        own = c[cell]
-        to = ((x[:, None, :] - c[None]) ** 2).sum(2) if len(c) * x.size < 1 << 24 else np.maximum(0, (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None])
-        apart = np.sqrt(np.maximum(0, (own * own).sum(1)[:, None] - 2 * own @ c.T + (c * c).sum(1)[None]))
-        near = to - to[np.arange(len(x)), cell][:, None] <= 2 * apart * reach + 1e-9
-        near[np.arange(len(x)), cell] = True
-        return near
+    def probes(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) for every cell that can hold a vector within ``reach`` of a row."""
+        i, j = np.nonzero(half_spaces(x, self.coarse, reach))
+        if len(self.fine) == 1:
+            return i, j
+        rows, cells = [], []
+        for at in range(0, len(i), 4096):
+            a, c = i[at : at + 4096], j[at : at + 4096]
+            r, f = np.nonzero(half_spaces(x[a] - self.coarse[c], self.fine, reach))
+            rows.append(a[r])
+            cells.append(c[r] * len(self.fine) + f)
+        return np.concatenate(rows), np.concatenate(cells)
 
     def tables(self, x: np.ndarray, cell: int) -> list[np.ndarray]:
         """For each subspace the squared distances from x's residual to the codewords."""
-        rest = x - self.coarse[cell]
+        rest = x - self.centre(np.array([cell]))
         return [((rest[:, None, c] - b[None]) ** 2).sum(2) for c, b in zip(self.cuts, self.books, strict=True)]
 
 
@@ -82,10 +104,10 @@ def cosine_links(rows: DataFrame, threshold: float = 0.93, sample: int = SAMPLE)
     if not len(x):
         return spark.createDataFrame([], "a long, n long, b long")
     most = rows.groupBy("label").count().agg(F.max("count")).first()[0]
-    pq = ProductQuantiser(_unit(x), min(MOST_CELLS, max(1, math.ceil(most / CELL))))
+    pq = ProductQuantiser(_unit(x), max(1, math.ceil(most / CELL)))
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
     label, vec = rows.schema["label"].dataType.simpleString(), rows.schema["vec"].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(pq)  # at most MOST_CELLS centroids and 256 codewords a subspace
+    shared = spark.sparkContext.broadcast(pq)  # at most MOST_CENTROIDS on each level and 256 codewords a subspace
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pq = shared.value
@@ -96,7 +118,7 @@ def cosine_links(rows: DataFrame, threshold: float = 0.93, sample: int = SAMPLE)
                     continue
                 u = _unit(matrix(y["vec"]))
                 cell, codes, error = pq.encode(u)
-                i, j = np.nonzero(pq.probes(u, cell, reach))
+                i, j = pq.probes(u, reach)
                 home = y.assign(cell=cell, home=True, codes=[c.tobytes() for c in codes], error=error)
                 ask = y.iloc[i].assign(cell=j, home=False, codes=b"", error=0.0)
                 yield pd.concat([home, ask], ignore_index=True)

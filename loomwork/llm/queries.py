@@ -68,11 +68,10 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomwork.llm.warc import read_bundles, write_bundles
+    from loomwork.llm.warc import read_records, write_bundles
 
-    index = write_bundles(table(spark, sf_dir, "pages"))
-    rows = read_bundles(spark, index)
-    return rows.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = read_records(write_bundles(table(spark, sf_dir, "pages")), with_payload=False)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_mih(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +29,25 @@ WARC_DATE = "2024-01-01T00:00:00Z"
 
 
 def open_store(uri: str):
-    """(file system, path) of a path or uri; any store that Arrow knows."""
+    """(file system, path) of a path or uri; any store that Arrow knows, also under Hadoop's names of S3."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    scheme, colon, rest = uri.partition("://")
+    if colon and scheme in ("s3a", "s3n"):
+        uri = f"s3://{rest}"
+    return fs.FileSystem.from_uri(uri if colon or uri.startswith("file:") else f"file://{uri}")
+
+
+#: Record names: an id of any characters, escaped, and the name of a missing one.
+PAGE, NO_PAGE = "urn:page:", "urn:page-without-id"
+
+
+def record_name(page_id: str | None) -> str:
+    return NO_PAGE if page_id is None else PAGE + quote(page_id, safe="", errors="surrogatepass")
+
+
+def page_of(name: str) -> str | None:
+    return unquote(name.removeprefix(PAGE), errors="surrogatepass") if name.startswith(PAGE) else None
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
@@ -56,16 +72,16 @@ def read_seek_table(f, size: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def warc_record(page_id: str, url: str, kind: str, digest: str, payload: bytes, refers_to: str | None, date: str) -> bytes:
+def warc_record(page_id: str | None, url: str, kind: str, digest: str, payload: bytes, refers_to: str | None, date: str) -> bytes:
     """One WARC/1.1 record; a revisit keeps the HTTP head, with the payload's length, and drops the payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if kind == "response" else b"")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {url}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_name(page_id)}>", f"WARC-Date: {date}", f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_name(refers_to)}>"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -89,14 +105,14 @@ def plan_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, mi
     """(id, url, html, kind, refers_to): of records with equal payloads of ``min_bytes`` or more, the largest id is the response.
 
     Equal payloads are found by SHA-1 and length. The payload moves once, salted, so that one payload that
-    a third of the pages share is dealt to many tasks.
+    a third of the pages share is dealt to many tasks, also where whole rows repeat; any salt gives the same row.
     """
     body = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), body.alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.encode("html", "utf-8")))).withColumn("n", F.octet_length("html"))
     shared = rows.groupBy("sha", "n").agg(F.max("id").alias("holder"), F.count(F.lit(1)).alias("k")).where((F.col("k") > 1) & (F.col("n") >= min_bytes) & F.col("holder").isNotNull())
     shared = materialise(shared.select("sha", "n", "holder", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "warc-shared")
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(shared, ["sha", "n", "salt"], "left")
+    rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(shared, ["sha", "n", "salt"], "left")
     revisit = F.col("holder").isNotNull() & ~F.col("id").eqNullSafe(F.col("holder"))
     return rows.select("id", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("holder")).alias("refers_to"))
 
@@ -115,7 +131,8 @@ def write_bundles(
     Each task writes bundles of its own under names that no other attempt uses, and only a task that ends
     well gives index rows, so a retried or doubled task leaves at worst a file that no row names.
 
-    Null html is an empty payload, a null url an empty target. Null ids are written as ``null``; in a
+    Null html is an empty payload, a null url an empty target. Ids of any characters are escaped in the headers; null
+    ids have a name of their own. In a
     group of equal payloads they revisit the largest id, if there is one. Rows that repeat an id are all
     written; those that share the payload too are alike (all response, or all revisit). An empty table writes
     nothing and gives an empty index.
@@ -167,7 +184,7 @@ def write_bundles(
                 payload = html.encode("utf-8", "surrogatepass")
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 refers = refers if isinstance(refers, str) else None
-                record = warc_record(i if isinstance(i, str) else "null", " ".join(url.split()) if isinstance(url, str) else "", kind, digest, payload, refers, date)
+                record = warc_record(i if isinstance(i, str) else None, " ".join(url.split()) if isinstance(url, str) else "", kind, digest, payload, refers, date)
                 waiting.append(((i if isinstance(i, str) else None, digest, kind, refers), record))
                 size += len(record)
                 written += len(record)
@@ -183,8 +200,7 @@ def write_bundles(
 
 
 def _record_row(head: dict[str, str], block: bytes) -> tuple:
-    ident = head["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">")
-    refers = head.get("WARC-Refers-To", "").removeprefix("<urn:page:").removesuffix(">") or None
+    ident, refers = (page_of(head.get(h, "").strip("<>")) for h in ("WARC-Record-ID", "WARC-Refers-To"))
     cut = block.index(b"\r\n\r\n") + 4
     http = dict(line.split(": ", 1) for line in block[: cut - 4].decode("latin-1").split("\r\n")[1:])
     digest, payload = head["WARC-Payload-Digest"].removeprefix("sha1:"), None
@@ -192,7 +208,7 @@ def _record_row(head: dict[str, str], block: bytes) -> tuple:
         payload = block[cut:]
         if len(payload) != int(http["Content-Length"]) or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
             raise ValueError(f"record {ident}: the payload doesn't match its length or digest")
-    return (None if ident == "null" else ident, head["WARC-Target-URI"], int(http["Content-Length"]), digest, head["WARC-Type"], refers, payload)
+    return (ident, head["WARC-Target-URI"], int(http["Content-Length"]), digest, head["WARC-Type"], refers, payload)
 
 
 RECORD = "id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string"
@@ -230,11 +246,16 @@ def read_bundles(spark: SparkSession, bundles: DataFrame, id_type: str = "long",
     return rows.withColumn("id", F.col("id").cast(id_type)).withColumn("refers_to", F.col("refers_to").cast(id_type))
 
 
-def read_records(index: DataFrame) -> DataFrame:
-    """The records of chosen index rows, with ``payload``: each needed frame is read once by its offset, nothing else is."""
+def read_records(index: DataFrame, with_payload: bool = True) -> DataFrame:
+    """The records of chosen index rows: each needed frame is read once by its offset, nothing else is.
+
+    ``with_payload`` gives ``payload`` (null for revisits); lengths and digests are checked either way.
+    """
     key = index.columns[0]
     kind = index.schema[key].dataType.simpleString()
     wanted = index.select("bundle", "frame_at", "frame_bytes", "record_at", "record_bytes")
+    schema = RECORD + (", payload binary" if with_payload else "")
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -246,10 +267,9 @@ def read_records(index: DataFrame) -> DataFrame:
                 with store.open_input_file(name) as f:
                     f.seek(int(at))
                     data = unzip.stream_reader(io.BytesIO(f.read(int(n)))).read()
-                out = [_record_row(*next(parse_records(data[p : p + k]))) for p, k in zip(rows["record_at"], rows["record_bytes"], strict=True)]
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in (RECORD + ", payload binary").split(", ")])
+                out = [_record_row(*next(parse_records(data[p : p + k])))[: len(columns)] for p, k in zip(rows["record_at"], rows["record_bytes"], strict=True)]
+                yield pd.DataFrame(out, columns=columns)
 
-    rows = wanted.repartition(_tasks(wanted.select("bundle").distinct()), "bundle", "frame_at").mapInPandas(read, RECORD + ", payload binary")
+    dealt = wanted.repartition(_tasks(wanted.select("bundle").distinct()), "bundle", "frame_at").sortWithinPartitions("bundle", "frame_at")
+    rows = dealt.mapInPandas(read, schema)
     return rows.withColumn("id", F.col("id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind)).withColumnRenamed("id", key)
-
-

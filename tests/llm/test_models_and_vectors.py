@@ -134,9 +134,10 @@ def test_mih_edges(spark):
     assert mih.nearest_neighbours(few.where("vec_id = 0"), F.col("vec_id") % 100 == 0).count() == 0
 
 
-@pytest.mark.parametrize(("cell", "noise"), [(2048, 0.2), (64, 0.2), (64, 0.02)])
-def test_pq_links_equal_brute_force(spark, monkeypatch, cell, noise):
+@pytest.mark.parametrize(("cell", "noise", "centroids"), [(2048, 0.2, 1024), (64, 0.2, 1024), (64, 0.02, 1024), (16, 0.2, 5)])
+def test_pq_links_equal_brute_force(spark, monkeypatch, cell, noise, centroids):
     monkeypatch.setattr(pq_dedup, "CELL", cell)
+    monkeypatch.setattr(pq_dedup, "MOST_CENTROIDS", centroids)
     rng = np.random.default_rng(6)
     x, labels = clusters(rng, 600, 16, 60, noise), rng.integers(2, size=600)
     x[:120] = x[0] + 1e-4 * rng.standard_normal((120, 16)).astype(np.float32)
@@ -210,6 +211,32 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
     assert index.selectExpr("max(frame)").first()[0] > 1
 
 
+def test_warc_ids_of_any_characters(spark):
+    ids = ["a\nb", "null", "", "é %41>", "x: y\r\n\r\n", None, "urn:page-without-id"]
+    pages = spark.createDataFrame([(i, "u", "same" if k % 2 else str(k), "w") for k, i in enumerate(ids)], "page_id string, url string, html string, id string")
+    index = warc.write_bundles(pages)
+    want = {}
+    largest = max(i for k, i in enumerate(ids) if k % 2 and i is not None)
+    for k, i in enumerate(ids):
+        want[i] = ("revisit", largest) if k % 2 and i != largest else ("response", None)
+    for rows in (warc.read_records(index), warc.read_bundles(spark, index, "string").withColumnRenamed("id", "page_id")):
+        assert {r["page_id"]: (r["record_type"], r["refers_to"]) for r in rows.collect()} == want
+
+
+def test_warc_of_many_equal_rows(spark):
+    pages = spark.createDataFrame([(7, "u", "a" * 100)] * 3000 + [(3, "u", "a" * 100)], "page_id long, url string, html string")
+    out = warc.read_records(warc.write_bundles(pages), with_payload=False).groupBy("page_id", "record_type", "refers_to").count().collect()
+    assert sorted(map(tuple, out), key=str) == [(3, "revisit", 7, 1), (7, "response", None, 3000)]
+
+
+def test_store_names():
+    from pyarrow import fs
+
+    assert warc.open_store("/tmp/x")[1] == "/tmp/x" and isinstance(warc.open_store("file:///tmp/x")[0], fs.LocalFileSystem)
+    store, path = warc.open_store("s3a://bucket/x?region=us-east-1")  # named, so that nothing is looked up
+    assert isinstance(store, fs.S3FileSystem) and path == "bucket/x"
+
+
 def test_warc_edges(spark):
     schema = "page_id long, url string, html string"
     assert warc.write_bundles(spark.createDataFrame([], schema)).count() == 0
