@@ -7,7 +7,8 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
-from test_text_operators import plain_dedup, plain_print, plain_targets
+from test_near_texts import plain_components
+from test_text_operators import plain_dedup, plain_targets
 
 import __spark_entry__
 import corpus_pipeline
@@ -71,16 +72,9 @@ def test_lines_equal_plain(stages):
 
 def test_near_duplicates_equal_plain(stages):
     before, after = by_id(stages[2][0]), by_id(stages[2][1])
-    prints = {i: plain_print(r["text"]) for i, r in before.items()}
-    least = {i: i for i in prints}
-    changed = True
-    while changed:
-        changed = False
-        for i in prints:
-            m = min(least[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 3)
-            if m < least[i]:
-                least[i], changed = m, True
-    assert sorted(after) == sorted(set(least.values()))
+    ids = sorted(before)
+    least = plain_components([before[i]["text"] for i in ids])
+    assert sorted(after) == sorted({ids[k] for k in least})
     assert all(after[i] == before[i] for i in after)
 
 
