@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,48 +74,62 @@ def average_ranks(df: DataFrame, column: str) -> DataFrame:
     return running_before(counts, ["x"], "ties").select("x", "ties", (F.col("before") + (F.col("ties") + 1) / 2).alias("rank"))
 
 
+def _rows_and_bounds(df: DataFrame, named: Mapping[str, Column], keys: Sequence[str], by: Sequence[str], ends: Sequence[float], bracket: float) -> tuple[DataFrame, DataFrame]:
+    """The columns as ``x0``, ``x1``... beside the groups, and per group the known values of each and its approximate quantiles at ``ends``."""
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], *[x.cast("double").alias(f"x{i}") for i, x in enumerate(named.values())])
+    probes = F.array(*[F.lit(e) for e in ends])
+    aggs = [a for i in range(len(named)) for a in (F.count(f"x{i}").alias(f"n{i}"), F.percentile_approx(f"x{i}", probes, int(10 / bracket)).alias(f"e{i}"))]
+    return rows, rows.groupBy(*keys).agg(*aggs)
+
+
+def _counted(rows: DataFrame, keys: Sequence[str], columns: int, brackets: int, ends: Mapping[int, Column] | None) -> DataFrame:
+    """(keys, i, v, gap, count): how often each value inside a bracket of its column occurs, and how many lie in each gap, named by the bracket's end before it.
+
+    ``ends`` has the brackets' ends of each column in turn, as arrays; without it every value is counted.
+    """
+
+    def place(i: int) -> Column:
+        x = F.col(f"x{i}")
+        if ends is None:
+            return F.struct(F.lit(i).alias("i"), x.alias("v"), F.lit(0).alias("gap"))
+        end = lambda j: F.get(ends[i], F.lit(j))
+        inside = F.lit(False)
+        passed = [F.lit(float("-inf"))]
+        for j in range(0, 2 * brackets, 2):
+            inside = inside | x.between(end(j), end(j + 1))
+            passed.append(F.when(x > end(j + 1), end(j + 1)))
+        return F.struct(F.lit(i).alias("i"), F.when(inside, x).otherwise(F.greatest(*passed)).alias("v"), (~inside).cast("int").alias("gap"))
+
+    placed = rows.select(*keys, F.explode(F.array(*[F.when(F.col(f"x{i}").isNotNull(), place(i)) for i in range(columns)])).alias("s")).where("s is not null")
+    return placed.groupBy(*keys, F.col("s.i").alias("i"), F.col("s.v").alias("v"), F.col("s.gap").alias("gap")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def _named(columns: Sequence[str] | Mapping[str, Column]) -> dict[str, Column]:
+    return dict(columns) if isinstance(columns, Mapping) else {c: F.col(c) for c in columns}
+
+
 def quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], probabilities: Sequence[float], by: Sequence[str] = (), bracket: float = BRACKET) -> DataFrame:
     """(by, variable, n, q): the number of known values of each column and group, and its exact quantiles, interpolated linearly.
 
     Approximate quantiles, of bounded memory, bracket each rank; a second pass counts the values inside the
     brackets one by one and all others by the gap they lie in; running totals over those few find the order
     statistics. Where a bracket misses its rank, it is widened. Groups without known values have n = 0
-    and no quantiles. One array of the length of ``probabilities`` per row, nulls where n is 0.
+    and no quantiles.
     """
-    named = {c: F.col(c) for c in columns} if not isinstance(columns, Mapping) else dict(columns)
+    named = _named(columns)
+    if not by:
+        found = _whole_quantiles(df, named, probabilities, bracket)
+        return df.sparkSession.createDataFrame([(c, n, q) for c, (n, q) in found.items()], "variable string, n long, q array<double>")
     ps = sorted(set(probabilities))
     names, keys = list(named), [f"__by{i}" for i in range(len(by))]
-    x = {i: F.col(f"x{i}") for i in range(len(names))}
-    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], *[named[c].cast("double").alias(f"x{i}") for i, c in enumerate(names)])
     ends = [e for p in ps for e in (max(0.0, p - bracket), min(1.0, p + bracket))]
-    probes = F.array(*[F.lit(e) for e in ends])
-    aggs = [a for i in x for a in (F.count(x[i]).alias(f"n{i}"), F.percentile_approx(x[i], probes, int(10 / bracket)).alias(f"e{i}"))]
-    bounds = rows.groupBy(*keys).agg(*aggs)
-    if by:
-        bounds = stored(bounds)
-        other = bounds.withColumnsRenamed({k: f"__o{k}" for k in keys})
-        with_ends = rows.join(other, _same(rows, other, keys, [f"__o{k}" for k in keys])).drop(*[f"__o{k}" for k in keys])
-    else:
-        one = bounds.first()  # two numbers per column and probability
-        bounds = df.sparkSession.createDataFrame([one], bounds.schema)
-        literal = lambda v: F.array(*[F.lit(float(a)) for a in v]) if v is not None else F.lit(None).cast("array<double>")
-        with_ends = rows.select("*", *[literal(one[f"e{i}"]).alias(f"e{i}") for i in x])
-
-    def place(i: int) -> Column:
-        end = lambda j: F.get(F.col(f"e{i}"), F.lit(j))
-        if bracket >= 1:
-            return F.struct(F.lit(i).alias("i"), x[i].alias("v"), F.lit(0).alias("gap"))
-        inside = F.lit(False)
-        passed = [F.lit(float("-inf"))]
-        for j in range(0, len(ends), 2):
-            inside = inside | x[i].between(end(j), end(j + 1))
-            passed.append(F.when(x[i] > end(j + 1), end(j + 1)))
-        return F.struct(F.lit(i).alias("i"), F.when(inside, x[i]).otherwise(F.greatest(*passed)).alias("v"), (~inside).cast("int").alias("gap"))
-
-    placed = with_ends.select(*keys, F.explode(F.array(*[F.when(x[i].isNotNull(), place(i)) for i in x])).alias("s")).where("s is not null")
-    counts = placed.groupBy(*keys, F.col("s.i").alias("i"), F.col("s.v").alias("v"), F.col("s.gap").alias("gap")).agg(F.count(F.lit(1)).alias("count"))
+    rows, bounds = _rows_and_bounds(df, named, keys, by, ends, bracket)
+    bounds = stored(bounds)
+    other = bounds.withColumnsRenamed({k: f"__o{k}" for k in keys})
+    with_ends = rows.join(other, _same(rows, other, keys, [f"__o{k}" for k in keys])).drop(*[f"__o{k}" for k in keys])
+    counts = _counted(with_ends, keys, len(names), len(ps), {i: F.col(f"e{i}") for i in range(len(names))} if bracket < 1 else None)
     counts = running_before(counts, ["v", "gap"], "count", [*keys, "i"])
-    long = bounds.select(*keys, F.posexplode(F.array(*[F.col(f"n{i}") for i in x])).alias("i", "n"))
+    long = bounds.select(*keys, F.posexplode(F.array(*[F.col(f"n{i}") for i in range(len(names))])).alias("i", "n"))
     long_keys = [f"__l{k}" for k in [*keys, "i"]]
     totals = long.withColumnsRenamed(dict(zip([*keys, "i"], long_keys, strict=True)))
     found = counts.join(totals, _same(counts, totals, [*keys, "i"], long_keys), "inner")
@@ -122,8 +138,7 @@ def quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], prob
         h = (F.col("n") - 1) * F.lit(float(p))
         for name, k in (("a", F.floor(h)), ("b", F.ceil(h))):
             got.append(F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("count")), F.struct("gap", "v"))).alias(f"{name}{j}"))
-    found = found.groupBy(*keys, "i", "n").agg(*got)
-    found = stored(found) if by else df.sparkSession.createDataFrame(found.collect(), found.schema)  # without groups, a row per column
+    found = stored(found.groupBy(*keys, "i", "n").agg(*got))
     missed = F.lit(False)
     for j in range(len(ps)):
         for name in "ab":
@@ -141,7 +156,38 @@ def quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], prob
     return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], variable.alias("variable"), "n", "q")
 
 
+def _whole_quantiles(df: DataFrame, named: Mapping[str, Column], probabilities: Sequence[float], bracket: float = BRACKET) -> dict[str, tuple[int, list[float] | None]]:
+    """(n, quantiles) of whole columns by the same two passes; at most FEW_ROWS counts come to the driver, more are added up by ``quantiles`` over one group."""
+    ps = sorted(set(probabilities))
+    ends = [e for p in ps for e in (max(0.0, p - bracket), min(1.0, p + bracket))]
+    rows, bounds = _rows_and_bounds(df, named, [], [], ends, bracket)
+    one = bounds.first()  # a few numbers per column and probability
+    arrays = {i: F.array(*[F.lit(float(a)) for a in one[f"e{i}"]]) if one[f"e{i}"] is not None else F.lit(None).cast("array<double>") for i in range(len(named))}
+    table = _counted(rows, [], len(named), len(ps), arrays if bracket < 1 else None).limit(FEW_ROWS + 1).toArrow()
+    if table.num_rows > FEW_ROWS:
+        grouped = quantiles(df.withColumn("__all", F.lit(0)), dict(named), probabilities, ["__all"], bracket).collect()
+        return {r["variable"]: (r["n"], r["q"]) for r in grouped}
+    column, value, gap, count = (table[c].to_numpy(zero_copy_only=False) for c in ("i", "v", "gap", "count"))
+    out: dict[str, tuple[int, list[float] | None]] = {}
+    for i, c in enumerate(named):
+        n, own = one[f"n{i}"], np.flatnonzero(column == i)
+        if not n:
+            out[c] = (0, None)
+            continue
+        own = own[np.lexsort((gap[own], value[own]))]
+        upto, got = np.cumsum(count[own]), {}
+        for p in ps:
+            h = (n - 1) * float(p)
+            at = [own[int(np.searchsorted(upto, k, side="right"))] for k in (math.floor(h), math.ceil(h))]
+            if gap[at].any():
+                return _whole_quantiles(df, named, probabilities, min(1.0, bracket * 50))
+            lo, hi = (float(value[a]) for a in at)
+            got[p] = lo if lo == hi else lo + (h - math.floor(h)) * (hi - lo)
+        out[c] = (n, [got[p] for p in probabilities])
+    return out
+
+
 def quantile_values(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
     """The exact quantiles of whole columns as plain numbers, None for a column without known values."""
-    none = [None] * len(probabilities)
-    return {r["variable"]: list(r["q"]) if r["q"] is not None else none for r in quantiles(df, columns, probabilities).collect()}
+    found = _whole_quantiles(df, _named(columns), probabilities)
+    return {c: q if q is not None else [None] * len(probabilities) for c, (_, q) in found.items()}
