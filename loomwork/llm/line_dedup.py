@@ -67,18 +67,27 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # words up to each line's end, with a jump wherever lines are missing that is too long for a window
     upto = F.sum(F.when(fresh, F.col("__w") + gap).otherwise(0)).over(by_pos.rowsBetween(Window.unboundedPreceding, 0))
     kept = kept.withColumn("__e", upto).where(fresh & (F.col("__w") > 0)).withColumn("__c", F.col("__e") - F.col("__w"))
-    kept = kept.withColumn("__at", F.struct("__h", "__pos", "__c", "__e")).withColumn("__next", F.lead("__at").over(by_pos))
-    # a line and those after it that end within min_words - 1 words of its end, and the one after these if it follows at once
-    span = doc.orderBy("__e").rangeBetween(0, min_words - 1)
-    runs = kept.select("__id", "__th", "__pos", "__c", "__e", F.collect_list("__at").over(span).alias("__a"), F.last("__next").over(span).alias("__next"))
-    runs = runs.withColumn("__a", F.when(F.col("__next.__c") == F.element_at("__a", -1)["__e"], F.concat("__a", F.array("__next"))).otherwise(F.col("__a"))).drop("__next")
-    # windows from the line on: the shortest, and longer ones that would be too short without the line
-    enough = lambda x: (x["__e"] - F.col("__c") >= min_words) & ((x["__e"] - F.col("__e") < min_words) | (x["__c"] - F.col("__c") < min_words))
-    ends = F.filter(F.transform("__a", lambda x, i: F.when(enough(x), F.struct((i + 1).alias("n"), x["__pos"].alias("end")))), lambda x: x.isNotNull())
-    runs = runs.select("__id", "__th", "__pos", "__a", F.explode(ends).alias("__x"))
-    inside = F.slice("__a", F.lit(1), F.col("__x.n"))
-    windows = runs.select("__id", "__th", "__pos", F.col("__x.end").alias("__end"), F.xxhash64(inside["__h"]).alias("__window"), F.array_min(inside).alias("__least"))
-    windows = windows.select("__id", "__th", "__pos", "__end", "__window", F.col("__least.__h").alias("__f"), F.xxhash64("__id", "__th", "__least.__pos").alias("__at"))
+    # the lines that begin within min_words words of a line's begin, itself the first: the shortest window from it on, if they are enough
+    by_words = doc.orderBy("__c")
+    span = by_words.rangeBetween(0, min_words - 1)
+    runs = kept.select("__id", "__th", "__h", "__pos", "__c", "__e", F.collect_list("__h").over(span).alias("__hs"), F.collect_list("__pos").over(span).alias("__ps"), F.max("__e").over(span).alias("__far"))
+    # beside them the line right before: windows start at it and go on with the first of them
+    before = F.lag(F.struct("__h", "__pos", "__c", "__e", "__far", F.size("__hs").alias("__n"))).over(by_words)
+    runs = runs.select("__id", "__th", "__hs", "__ps", "__c", "__far", before.alias("__s")).where("__s.__e = __c")
+    c0, e0, size = F.col("__s.__c"), F.col("__s.__e"), F.size("__hs")
+    # how many of them are too few with the first line, and how many without it: the shortest window and the longer ones that need the line
+    few = F.when(F.col("__s.__far") - c0 >= min_words, F.greatest(F.col("__s.__n") - 2, F.lit(0))).otherwise(F.col("__s.__n") - 1)
+    without = size - F.when(F.col("__far") - e0 >= min_words, 1).otherwise(0)
+    runs = runs.withColumn("__few", few).withColumn("__most", F.greatest(without, F.when(e0 - c0 < min_words, F.least(F.col("__few") + 1, size)).otherwise(0)))
+    runs = runs.where("__most > __few").withColumn("__n", F.explode(F.sequence(F.col("__few") + 1, F.col("__most"))))
+    h = F.slice("__hs", F.lit(1), F.col("__n"))
+    windows = runs.select("__id", "__th", F.col("__s.__pos").alias("__pos"), F.element_at("__ps", F.col("__n")).alias("__end"), F.col("__s.__h").alias("__h0"), "__ps", h.alias("__hs"))
+    windows = windows.withColumn("__f", F.least("__h0", F.array_min("__hs")))
+    place = F.when(F.col("__f") == F.col("__h0"), F.col("__pos")).otherwise(F.element_at("__ps", F.greatest(F.array_position("__hs", F.col("__f")), F.lit(1)).cast("int")))
+    windows = windows.select("__id", "__th", "__pos", "__end", F.xxhash64("__h0", "__hs").alias("__window"), "__f", F.xxhash64("__id", "__th", place).alias("__at"))
+    # a line that is long enough by itself
+    alone = lines.where(F.col("__w") >= min_words).select("__id", "__th", "__pos", F.col("__pos").alias("__end"), F.xxhash64("__h").alias("__window"), F.col("__h").alias("__f"), F.xxhash64("__id", "__th", "__pos").alias("__at"))
+    windows = windows.unionByName(alone)
     windows = materialise(windows, "lines-windows")
     twice = materialise(windows.groupBy("__f").agg(F.min("__at").alias("lo"), F.max("__at").alias("hi")).where("lo != hi").select("__f"), "lines-fingerprints")
     near = materialise(windows.join(twice.hint("shuffle_hash"), "__f", "left_semi").drop("__f", "__at"), "lines-near")
