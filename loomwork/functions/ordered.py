@@ -17,6 +17,8 @@ BRACKET = 1 / 1000
 BLOCK = 1 << 20
 #: A counted table of at most so many rows is ordered by one task (per group); beyond, ranges of it are.
 FEW_ROWS = 200_000
+#: Columns of at most about so many distinct values are counted value by value in one aggregate, whose buffers that bounds.
+FEW_VALUES = 10_000
 
 
 def _same(a: DataFrame, b: DataFrame, left: Sequence[str], right: Sequence[str]) -> Column:
@@ -113,13 +115,17 @@ def quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], prob
 
     Approximate quantiles, of bounded memory, bracket each rank; a second pass counts the values inside the
     brackets one by one and all others by the gap they lie in; running totals over those few find the order
-    statistics. Where a bracket misses its rank, it is widened. Groups without known values have n = 0
-    and no quantiles.
+    statistics. Where a bracket misses its rank, it is widened. Where all columns have few distinct values, one aggregate per
+    group counts them all. Groups without known values have n = 0 and no quantiles.
     """
     named = _named(columns)
     if not by:
         found = _whole_quantiles(df, named, probabilities, bracket)
         return df.sparkSession.createDataFrame([(c, n, q) for c, (n, q) in found.items()], "variable string, n long, q array<double>")
+    if max(df.agg(*[F.approx_count_distinct(x) for x in named.values()]).first()) <= FEW_VALUES:
+        which = F.array(*[F.lit(float(p)) for p in probabilities])
+        each = [F.struct(F.lit(c).alias("variable"), F.count(x).alias("n"), F.percentile(x.cast("double"), which).alias("q")) for c, x in named.items()]
+        return df.groupBy(*by).agg(F.array(*each).alias("__rows")).select(*by, F.inline("__rows"))
     ps = sorted(set(probabilities))
     names, keys = list(named), [f"__by{i}" for i in range(len(by))]
     ends = [e for p in ps for e in (max(0.0, p - bracket), min(1.0, p + bracket))]

@@ -15,9 +15,10 @@ def table(spark, rows):
     return spark.createDataFrame(rows, "g string, x double")
 
 
-@pytest.mark.parametrize(("few", "bracket"), [(200_000, 1 / 1000), (0, 1 / 1000), (0, 0.05), (200_000, 1.0)])
-def test_quantiles_equal_numpy(spark, monkeypatch, few, bracket):
+@pytest.mark.parametrize(("few", "bracket", "values"), [(200_000, 1 / 1000, 0), (0, 1 / 1000, 0), (0, 0.05, 0), (200_000, 1.0, 0), (200_000, 1 / 1000, 10_000)])
+def test_quantiles_equal_numpy(spark, monkeypatch, few, bracket, values):
     monkeypatch.setattr(ordered, "FEW_ROWS", few)
+    monkeypatch.setattr(ordered, "FEW_VALUES", values)
     rng = random.Random(3)
     rows = [(rng.choice(["a", "b", None]), rng.choice([None, 5.0, rng.gauss(0, 1), rng.paretovariate(0.3), -1e300])) for _ in range(4000)] + [("one", 2.0), ("none", None)]
     ps = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
