@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -162,8 +162,18 @@ def quantiles(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], prob
     return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by, strict=True)], variable.alias("variable"), "n", "q")
 
 
-def _whole_quantiles(df: DataFrame, named: Mapping[str, Column], probabilities: Sequence[float], bracket: float = BRACKET) -> dict[str, tuple[int, list[float] | None]]:
-    """(n, quantiles) of whole columns by the same two passes; at most FEW_ROWS counts come to the driver, more are added up by ``quantiles`` over one group."""
+def _whole_quantiles(df: DataFrame, named: Mapping[str, Column], probabilities: Sequence[float], bracket: float = BRACKET, few: Collection[str] = ()) -> dict[str, tuple[int, list[float] | None]]:
+    """(n, quantiles) of whole columns by the same two passes; at most FEW_ROWS counts come to the driver, more are added up by ``quantiles`` over one group.
+
+    ``few`` names columns that are known to have at most about FEW_VALUES distinct values: one aggregate counts them all.
+    """
+    counted = {c: x for c, x in named.items() if c in few}
+    if counted:
+        which = F.array(*[F.lit(float(p)) for p in probabilities])
+        s = df.agg(*[a for i, x in enumerate(counted.values()) for a in (F.count(x).alias(f"n{i}"), F.percentile(x.cast("double"), which).alias(f"q{i}"))]).first()
+        known = {c: (s[f"n{i}"], s[f"q{i}"]) for i, c in enumerate(counted)}
+        rest = _whole_quantiles(df, {c: x for c, x in named.items() if c not in few}, probabilities, bracket) if len(counted) < len(named) else {}
+        return {c: (known | rest)[c] for c in named}
     ps = sorted(set(probabilities))
     ends = [e for p in ps for e in (max(0.0, p - bracket), min(1.0, p + bracket))]
     rows, bounds = _rows_and_bounds(df, named, [], [], ends, bracket)
@@ -193,7 +203,7 @@ def _whole_quantiles(df: DataFrame, named: Mapping[str, Column], probabilities:
     return out
 
 
-def quantile_values(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
-    """The exact quantiles of whole columns as plain numbers, None for a column without known values."""
-    found = _whole_quantiles(df, _named(columns), probabilities)
+def quantile_values(df: DataFrame, columns: Sequence[str] | Mapping[str, Column], probabilities: Sequence[float], few: Collection[str] = ()) -> dict[str, list[float | None]]:
+    """The exact quantiles of whole columns as plain numbers, None for a column without known values; ``few`` names columns known to have few distinct values."""
+    found = _whole_quantiles(df, _named(columns), probabilities, few=few)
     return {c: q if q is not None else [None] * len(probabilities) for c, (_, q) in found.items()}

@@ -8,9 +8,10 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwork.functions.core import numeric_columns, require_columns
-from loomwork.functions.ordered import average_ranks, quantiles
+from loomwork.functions.ordered import FEW_VALUES, average_ranks, quantile_values, quantiles
 
 
 def modes(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -30,17 +31,6 @@ def numeric_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
     """
     require_columns(df, [*columns, *by])
     d = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
-    q = quantiles(d, columns, (0.25, 0.5, 0.75), by)
-    middle = F.get("q", F.lit(1))
-    if by:
-        names = [f"__g{i}" for i in range(len(by))]
-        centre = q.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)]).agg(*[F.max(F.when(F.col("variable") == c, middle)).alias(f"__m{i}") for i, c in enumerate(columns)])
-        near = d.join(centre, _same_keys(d, by, centre, names)).drop(*names)
-        medians = [F.col(f"__m{i}") for i in range(len(columns))]
-    else:
-        found = {r["variable"]: r["m"] for r in q.select("variable", middle.alias("m")).collect()}  # a number per column
-        near, medians = d, [F.lit(found[c]).cast("double") for c in columns]
-    mad = quantiles(near, {c: F.abs(F.col(c) - m) for c, m in zip(columns, medians, strict=True)}, (0.5,), by)
     rows = []
     for c in columns:
         x = F.col(c)
@@ -49,11 +39,27 @@ def numeric_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ())
             F.sum(x).alias("sum"), F.sum(F.abs(x)).alias("abs_sum"), F.min(x).alias("min"), F.max(x).alias("max"),
         ))
     moments = d.groupBy(*by).agg(F.array(*rows).alias("__rows")).select(*by, F.inline("__rows"))
-    keys = [*by, "variable"]
-    order = q.select(*[F.col(c).alias(f"__q{i}") for i, c in enumerate(keys)], middle.alias("median"), F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(2)).alias("q3"))
-    spread = mad.select(*[F.col(c).alias(f"__d{i}") for i, c in enumerate(keys)], (1.4826 * F.get("q", F.lit(0))).alias("mad"))
-    out = moments.join(order, _same_keys(moments, keys, order, [f"__q{i}" for i in range(len(keys))]))
-    out = out.join(spread, _same_keys(out, keys, spread, [f"__d{i}" for i in range(len(keys))]))
+    if by:
+        q = quantiles(d, columns, (0.25, 0.5, 0.75), by)
+        middle = F.get("q", F.lit(1))
+        names = [f"__g{i}" for i in range(len(by))]
+        centre = q.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)]).agg(*[F.max(F.when(F.col("variable") == c, middle)).alias(f"__m{i}") for i, c in enumerate(columns)])
+        near = d.join(centre, _same_keys(d, by, centre, names)).drop(*names)
+        mad = quantiles(near, {c: F.abs(F.col(c) - F.col(f"__m{i}")) for i, c in enumerate(columns)}, (0.5,), by)
+        keys = [*by, "variable"]
+        order = q.select(*[F.col(c).alias(f"__q{i}") for i, c in enumerate(keys)], middle.alias("median"), F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(2)).alias("q3"))
+        spread = mad.select(*[F.col(c).alias(f"__d{i}") for i, c in enumerate(keys)], (1.4826 * F.get("q", F.lit(0))).alias("mad"))
+        out = moments.join(order, _same_keys(moments, keys, order, [f"__q{i}" for i in range(len(keys))]))
+        out = out.join(spread, _same_keys(out, keys, spread, [f"__d{i}" for i in range(len(keys))]))
+    else:  # a row per column: put together here
+        found = {r["variable"]: r for r in moments.collect()}
+        few = [c for c, n in zip(columns, d.agg(*[F.approx_count_distinct(c) for c in columns]).first(), strict=True) if n <= FEW_VALUES]
+        q = quantile_values(d, columns, (0.25, 0.5, 0.75), few)
+        known = [c for c in columns if q[c][1] is not None]
+        away = quantile_values(d, {c: F.abs(F.col(c) - F.lit(q[c][1])) for c in known}, (0.5,), few) if known else {}
+        figures = [(*[found[c][f] for f in moments.columns], q[c][1], q[c][0], q[c][2], 1.4826 * away[c][0] if c in away else None) for c in columns]
+        schema = T.StructType([*moments.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("median", "q1", "q3", "mad")]])
+        keys, out = ["variable"], df.sparkSession.createDataFrame(figures, schema)
     return out.select(*keys, "mean", "median", "sample_sd", "pop_sd", "kurtosis", "skewness", "sum", "abs_sum", "min", "max", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), "mad")
 
 

@@ -28,7 +28,9 @@ def test_quantiles_equal_numpy(spark, monkeypatch, few, bracket, values):
         x = np.array([v for k, v in rows if k == g and v is not None])
         assert got[g]["n"] == len(x) and got[g]["q"] == pytest.approx(np.quantile(x, ps).tolist(), rel=1e-12)
     whole = np.array([v for _, v in rows if v is not None])
-    assert ordered.quantile_values(table(spark, rows), {"y": F.col("x") * 2}, [0.5, 0.2])["y"] == pytest.approx((2 * np.quantile(whole, [0.5, 0.2])).tolist())
+    for known in ((), ("y",)):
+        both = ordered.quantile_values(table(spark, rows), {"y": F.col("x") * 2, "z": -F.col("x")}, [0.5, 0.2], known)
+        assert both["y"] == pytest.approx((2 * np.quantile(whole, [0.5, 0.2])).tolist()) and both["z"] == pytest.approx(np.quantile(-whole, [0.5, 0.2]).tolist())
 
 
 def test_quantiles_widen_brackets_that_miss(spark, monkeypatch):
