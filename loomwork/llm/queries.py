@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import table
+from loomwork.llm.common import materialise, table
 
 
 def tokenizer_file() -> str:
@@ -86,8 +86,15 @@ def op10_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.prefix_trie import conversation_trie, turn_sequences, with_shared_openings
+
+    own = materialise(turn_sequences(table(spark, sf_dir, "conversations")), "trie-own-turns")
+    return conversation_trie(with_shared_openings(own))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_url_filter, op3_toxicity, op4_line_dedup, op5_mix_sources, op6_simhash, op7_pack, op8_warc, op9_mih, op10_pq_dedup)
+    f.__name__: f for f in (op1_quality, op2_url_filter, op3_toxicity, op4_line_dedup, op5_mix_sources, op6_simhash, op7_pack, op8_warc, op9_mih, op10_pq_dedup, op11_prefix_trie)
 }
 
 _LINES = """
@@ -148,5 +155,21 @@ l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label
 r AS (SELECT vec_id AS n, vec_id AS o FROM embeddings UNION SELECT r.n, l.y FROM r JOIN l ON l.x = r.o),
 c AS (SELECT n, min(o) AS c FROM r GROUP BY n), k AS (SELECT x, count(*) AS k FROM l GROUP BY x)
 SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept FROM embeddings JOIN c ON n = vec_id LEFT JOIN k ON x = vec_id
+""",
+    "op11_prefix_trie": """
+WITH RECURSIVE
+bits AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n::BIGINT], repeat([0::BIGINT], 8)), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tab),
+t AS (SELECT conv_id, turn, concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')) AS x, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'d': md5(x), 'w': w} ORDER BY turn NULLS FIRST, md5(x)) AS turns FROM t GROUP BY conv_id),
+c AS (SELECT o.*, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda y: ascii(y)::BIGINT)), lambda r, y: xor(r >> 8, tab[(xor(r, y) & 255) + 1])), 4294967295) % 4 AS h FROM o, bits),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.turns, [])[1:c.h], c.turns[c.h + 1:]) AS s FROM c LEFT JOIN o b ON b.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, len(s) AS total, d, s[d].w AS w, md5(array_to_string(list_transform(s[1:d], lambda y: y.d), ',')) AS k, CASE WHEN d > 0 THEN md5(array_to_string(list_transform(s[1:d - 1], lambda y: y.d), ',')) END AS up
+  FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM r)),
+n AS (SELECT k, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, any_value(w) AS w, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (total = d), '') AS ends FROM p GROUP BY k, d),
+kids AS (SELECT up AS k, count(*) AS kids FROM n WHERE up IS NOT NULL GROUP BY up),
+m AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN kids USING (k)),
+under AS (SELECT a.k, sum((m.kids = 0)::INT)::BIGINT AS leaves, sum(CASE WHEN m.d > 0 THEN (m.n - 1) * m.w ELSE 0 END)::BIGINT AS saved FROM m JOIN p a ON a.conv_id = m.conv_id AND a.d <= m.d GROUP BY a.k)
+SELECT m.conv_id, m.d::BIGINT AS depth, q.conv_id AS parent_conv_id, m.n AS n_convs, m.kids AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN under ON under.k = m.k LEFT JOIN n q ON q.k = m.up
 """,
 }
