@@ -93,8 +93,24 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(with_shared_openings(own))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.decision_list import keep_by_rules
+
+    out = keep_by_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwork.llm.hard_negatives import hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("int")
+    vec = F.transform("embedding", lambda x: F.when(F.isnan(x) | (F.abs(x) == float("inf")), x.cast("double")).otherwise(F.floor(256 * x.cast("double")).cast("double")))
+    return hard_negatives(rows.select("vec_id", label.alias("label"), vec.alias("embedding")), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality, op2_url_filter, op3_toxicity, op4_line_dedup, op5_mix_sources, op6_simhash, op7_pack, op8_warc, op9_mih, op10_pq_dedup, op11_prefix_trie)
+    f.__name__: f for f in (op1_quality, op2_url_filter, op3_toxicity, op4_line_dedup, op5_mix_sources, op6_simhash, op7_pack, op8_warc, op9_mih, op10_pq_dedup, op11_prefix_trie, op12_quality_rules, op13_hard_negatives)
 }
 
 _LINES = """
@@ -171,5 +187,14 @@ m AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN kids USING (k)),
 under AS (SELECT a.k, sum((m.kids = 0)::INT)::BIGINT AS leaves, sum(CASE WHEN m.d > 0 THEN (m.n - 1) * m.w ELSE 0 END)::BIGINT AS saved FROM m JOIN p a ON a.conv_id = m.conv_id AND a.d <= m.d GROUP BY a.k)
 SELECT m.conv_id, m.d::BIGINT AS depth, q.conv_id AS parent_conv_id, m.n AS n_convs, m.kids AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(m.ends) AS ends_sha256
 FROM m JOIN under ON under.k = m.k LEFT JOIN n q ON q.k = m.up
+""",
+    "op13_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS s FROM v a JOIN v b ON a.vec_id != b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+n AS (SELECT p.a, p.b AS p, p.s AS ps, s.b AS n, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS rank
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s)
+SELECT a AS anchor_id, p AS positive_id, rank::INT AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE rank <= 3
 """,
 }
