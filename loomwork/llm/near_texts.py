@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -180,88 +180,196 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts with equal sets are one node. Codes of 512 bits are cut into partitions of correlated bits; dynamic
     programming allots each partition its own threshold, by estimated candidate counts, so that a pair at the similarity asked for is missed
-    by all of them with a chance of 1 %; more similar pairs less. What shares a key is sifted by 128 bits; of what is left each block of compared codes gives
-    its shortest spanning forest, and the links in it are verified on the shingles themselves, so no link is wrong. A component's
+    by all of them with a chance of 1 %; more similar pairs less. What shares a key is sifted by 128 bits. Candidates are verified on the shingles themselves, so
+    no link is wrong: first each block's shortest spanning forest, then what still lies between different components, the nearest of each text first and
+    eight times as many in each round, until every candidate is verified or inside a component. A component's
     id is the least id in it; components as in ``simhash_components``: null ids never name one, empty texts are one node, an empty table gives an empty one.
     """
+    rows, named = _components(docs, id_col, text_col, shingle_words, similarity)
+    return rows.select("__id", "node").join(named, "node").select(F.col("__id").alias(id_col), "node", "component_id")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(``__id``, ``__k``, ``node`` of each row; ``node``, ``component_id`` and ``label``, one of each component's own, of each node)."""
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     rows = text_codes(rows.withColumn("__k", F.xxhash64("__id", "__text")), "__text", shingle_words)
     rows = materialise(rows.select("__id", "__k", "node", "code"), "near-codes")
     nodes = materialise(rows.groupBy("node").agg(F.min("__id").alias("__least"), F.min("__k").alias("__k"), F.first("code").alias("code")), "near-nodes")
     live = nodes.where("node != 0")
     n = live.count()
-    edges = _verified(docs, id_col, text_col, nodes, _candidates(live, n, similarity), shingle_words, similarity) if n > 1 else live.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    linked = connected_components(edges)
-    named = nodes.join(linked.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("node", "__least", F.coalesce("component", F.xxhash64("node", F.lit("alone"))).alias("__c"), F.col("component").isNull().alias("__alone"))
-    named = materialise(named, "near-named")
-    least = materialise(named.groupBy("__c", "__alone").agg(F.min("__least").alias("component_id")), "near-least")
-    named = materialise(named.join(least, ["__c", "__alone"]).select("node", "component_id"), "near-components")
-    return rows.select("__id", "node").join(named, "node").select(F.col("__id").alias(id_col), "node", "component_id")
+    linked = _linked(docs, id_col, text_col, nodes, live, n, shingle_words, similarity) if n > 1 else live.select("node", F.col("node").alias("component")).limit(0)
+    label = F.when(F.col("component").isNull(), F.xxhash64("node", F.lit("alone"))).otherwise(F.xxhash64("component", F.lit("linked")))
+    named = materialise(nodes.join(linked.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("node", "__least", label.alias("label")), "near-named")
+    least = materialise(named.groupBy("label").agg(F.min("__least").alias("component_id")), "near-least")
+    return rows, materialise(named.join(least, "label").select("node", "component_id", "label"), "near-components")
 
 
-def _candidates(live: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(a, b): nodes whose codes are near, a forest of each block that was compared."""
+def _linked(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, live: DataFrame, n: int, shingle_words: int, similarity: float) -> DataFrame:
+    """``node`` and ``component`` of the nodes that have verified links."""
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi  # of the bits, for sets of equal size
+    found = _candidates(live, n, differ)
+    pairs = materialise(found.where("b is not null").select("a", "b").distinct(), "near-candidates")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "__k", "code"), "node")
+    sets = _shingle_sets(docs, id_col, text_col, wanted, shingle_words)
+    edges = _verified(pairs, sets, similarity, differ)
+    component, members, most = connected_components(edges), found.where("b is null").select("g", "a", "f0", "f1"), 8
+    while not members.isEmpty():
+        known = members.join(component.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+        left = materialise(_between_components(known, differ, most), "near-left")
+        more = materialise(left.where("b is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "near-candidates")
+        pairs, members, most = pairs.union(more), left.where("b is null").select("g", "a", "f0", "f1"), most * 8
+        links = _verified(more, sets, similarity, differ)
+        if not links.isEmpty():
+            edges = edges.union(links)
+            component = connected_components(edges)
+    return component
+
+
+def _reach(bits: int, differ: float) -> int:
+    """How many of ``bits`` bits may differ for a pair to be looked at further: next to no pair at the similarity asked for has more."""
+    return int(bits * differ + 3.5 * math.sqrt(bits * differ * (1 - differ)))
+
+
+def _near_in_groups(x: pd.DataFrame, reach: int, fold: Callable[[list], list]) -> list:
+    """(row, row, bits that differ) for all rows of one ``__g`` whose sift bits are within ``reach``; ``fold`` shortens the list when it is long."""
+    g, node = x["__g"].to_numpy("i8"), x["node"].to_numpy("i8")
+    f = [x[f"f{k}"].to_numpy("i8") for k in range(SIFT)]
+    at, lag, ends = np.arange(len(g)), 0, []
+    while len(at):
+        lag += 1
+        at = at[at + lag < len(g)]
+        at = at[g[at] == g[at + lag]]
+        apart = sum(np.bitwise_count(np.bitwise_xor(v[at], v[at + lag]).view(np.uint64)).astype(np.int16) for v in f)
+        hit = np.flatnonzero((apart <= reach) & (node[at] != node[at + lag]))
+        if len(hit):
+            ends.append((at[hit], at[hit] + lag, apart[hit]))
+        if sum(len(e[0]) for e in ends) > 1 << 20:
+            ends = fold(ends)
+    return ends
+
+
+_FOUND = "g long, a long, b long, f0 long, f1 long"
+
+
+def _candidates(live: DataFrame, n: int, differ: float) -> DataFrame:
+    """(a, b): nodes whose codes are near, a forest of each block that was compared; and, with ``b`` null, the members of blocks that have more near pairs than that."""
     both = bit_counts(live, n)
     p = np.diag(both) / n
     plans = [(*thresholds_for_recall(n, p, groups, differ), groups) for groups in (group_bits(n, both, g) for g in PARTS)]
     _, thresholds, groups = min((x for x in plans if math.isfinite(x[0])), key=lambda x: x[0])
-    size = 64 * SIFT
-    reach = int(size * differ + 3.5 * math.sqrt(size * differ * (1 - differ)))
+    reach = _reach(64 * SIFT, differ)
     keyed = live.select("node", *[F.get("code", F.lit(k)).alias(f"f{k}") for k in range(SIFT)], F.explode(_keys(groups, thresholds)).alias("key"))
     dealt = dealt_blocks(keyed, ["key"], F.col("node"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in group_batches(batches):
             g, node = x["__g"].to_numpy("i8"), x["node"].to_numpy("i8")
-            f = [x[f"f{k}"].to_numpy("i8") for k in range(SIFT)]
-            at, lag, ends = np.arange(len(g)), 0, []
-            while len(at):
-                lag += 1
-                at = at[at + lag < len(g)]
-                at = at[g[at] == g[at + lag]]
-                apart = sum(np.bitwise_count(np.bitwise_xor(v[at], v[at + lag]).view(np.uint64)).astype(np.int16) for v in f)
-                hit = np.flatnonzero((apart <= reach) & (node[at] != node[at + lag]))
-                if len(hit):
-                    ends.append((at[hit], at[hit] + lag, apart[hit]))
-                if sum(len(e[0]) for e in ends) > 1 << 20:  # a forest of what there is takes less memory, and the forest of both is the same
-                    ends = [_shortest(len(g), ends)]
-            if ends:
-                a, b, apart = _shortest(len(g), ends)
-                yield pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
-
-    def _shortest(size: int, ends: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b, apart = (np.concatenate([e[i] for e in ends]) for i in range(3))
-        kept = shortest_forest(size, a, b, apart)
-        return a[kept], b[kept], apart[kept]
-
-    found = spread(dealt.select("__g", "node", *[f"f{k}" for k in range(SIFT)]), "__g").sortWithinPartitions("__g").mapInPandas(compare, "a long, b long")
-    return materialise(found.distinct(), "near-candidates")
-
-
-def _verified(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, pairs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """Of the candidate pairs those whose shingles are as similar as asked for; only their texts are read again, one for each node."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "__k"), "node")
+            cut = []  # rows of pairs that aren't in the forest
+
+            def fold(ends: list, size: int = len(g), cut: list = cut) -> list:
+                a, b, apart = (np.concatenate([e[i] for e in ends]) for i in range(3))
+                kept = shortest_forest(size, a, b, apart)
+                if len(kept) < len(a):
+                    rest = np.ones(len(a), bool)
+                    rest[kept] = False
+                    cut[:] = [np.unique(np.concatenate([*cut, a[rest], b[rest]]))]
+                return [(a[kept], b[kept], apart[kept])]
+
+            if ends := _near_in_groups(x, reach, fold):
+                a, b, _ = fold(ends)[0]
+                yield pd.DataFrame({"g": None, "a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "f0": None, "f1": None}).astype("Int64")
+                if cut:
+                    m = cut[0]
+                    yield pd.DataFrame({"g": g[m], "a": node[m], "b": None, "f0": x["f0"].to_numpy()[m], "f1": x["f1"].to_numpy()[m]}).astype("Int64")
+
+    return materialise(spread(dealt.select("__g", "node", *[f"f{k}" for k in range(SIFT)]), "__g").sortWithinPartitions("__g").mapInPandas(compare, _FOUND), "near-found")
+
+
+def _between_components(members: DataFrame, differ: float, most: int) -> DataFrame:
+    """(a, b): of near pairs of a block in different components the ``most`` nearest of each node; and, with ``b`` null, the nodes that have more."""
+    reach = _reach(64 * SIFT, differ)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in group_batches(batches):
+            g, node, comp = (x[c].to_numpy("i8") for c in ("__g", "node", "component"))
+            cut = []
+
+            def fold(ends: list, node=node, comp=comp, cut: list = cut) -> list:
+                a, b, apart = (np.concatenate([e[i] for e in ends]) for i in range(3))
+                apart_in = comp[a] != comp[b]
+                a, b, apart = a[apart_in], b[apart_in], apart[apart_in]
+                from_, to, d, k = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([apart, apart]), np.tile(np.arange(len(a)), 2)
+                order = np.lexsort((node[to], d, from_))
+                from_, k = from_[order], k[order]
+                start = np.flatnonzero(np.concatenate([[True], from_[1:] != from_[:-1]])) if len(from_) else np.zeros(0, np.int64)
+                rank = np.arange(len(from_)) - np.repeat(start, np.diff(np.append(start, len(from_))))
+                kept = np.unique(k[rank < most])
+                if len(kept) < len(a):
+                    rest = np.ones(len(a), bool)
+                    rest[kept] = False
+                    cut[:] = [np.unique(np.concatenate([*cut, a[rest], b[rest]]))]
+                return [(a[kept], b[kept], apart[kept])]
+
+            if ends := _near_in_groups(x, reach, fold):
+                a, b, _ = fold(ends)[0]
+                yield pd.DataFrame({"g": None, "a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "f0": None, "f1": None}).astype("Int64")
+                if cut:
+                    m = cut[0]
+                    yield pd.DataFrame({"g": g[m], "a": node[m], "b": None, "f0": x["f0"].to_numpy()[m], "f1": x["f1"].to_numpy()[m]}).astype("Int64")
+
+    rows = members.withColumnsRenamed({"g": "__g", "a": "node"})
+    return spread(rows.select("__g", "node", "f0", "f1", "component"), "__g").sortWithinPartitions("__g").mapInPandas(compare, _FOUND)
+
+
+def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, shingle_words: int) -> DataFrame:
+    """``node``, ``code`` and ``shingles`` (sorted hashes as bytes) of the wanted nodes; only their texts are read again, one for each node."""
+
+    @F.pandas_udf("binary")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t, shingle_words).tobytes() for t in texts])
+
     own = docs.select(F.col(text_col).alias("__text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("__k"))
-    texts = materialise(own.join(wanted.hint("shuffle_hash"), "__k").groupBy("node").agg(F.min("__text").alias("__text")), "near-texts")
+    texts = own.join(wanted.hint("shuffle_hash"), "__k").groupBy("node").agg(F.min("__text").alias("__text"), F.first("code").alias("code"))
+    return materialise(texts.select("node", "code", hashes("__text").alias("shingles")), "near-shingles")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, differ: float) -> DataFrame:
+    """Of the candidate pairs those whose shingles are as similar as asked for; pairs whose whole codes are too far apart aren't held against each other."""
 
     @F.pandas_udf("double")
     def jaccard(first: pd.Series, second: pd.Series) -> pd.Series:
         out = []
         for s, t in zip(first, second, strict=True):
-            x, y = shingle_hashes(s, shingle_words), shingle_hashes(t, shingle_words)
+            x, y = np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8")
             common = len(np.intersect1d(x, y, assume_unique=True))
             out.append(common / max(1, len(x) + len(y) - common))
         return pd.Series(out, dtype="float64")
 
-    both = pairs.join(texts.withColumnsRenamed({"node": "a", "__text": "s"}), "a").join(texts.withColumnsRenamed({"node": "b", "__text": "t"}), "b")
+    codes = sets.select("node", "code")
+    apart = sum((F.bit_count(F.get("c", F.lit(k)).bitwiseXOR(F.get("d", F.lit(k)))) for k in range(1, WORDS)), F.bit_count(F.get("c", F.lit(0)).bitwiseXOR(F.get("d", F.lit(0)))))
+    near = pairs.join(codes.withColumnsRenamed({"node": "a", "code": "c"}), "a").join(codes.withColumnsRenamed({"node": "b", "code": "d"}), "b").where(apart <= _reach(BITS, differ)).select("a", "b")
+    shingles = sets.select("node", "shingles")
+    both = near.join(shingles.withColumnsRenamed({"node": "a", "shingles": "s"}), "a").join(shingles.withColumnsRenamed({"node": "b", "shingles": "t"}), "b")
     return materialise(both.where(jaccard("s", "t") >= similarity).select("a", "b"), "near-edges")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component of similar texts the one that gives its id; of rows that repeat this id, one. Rows with a null id stay, unless their component has an id."""
-    comp = similar_texts(docs, id_col, text_col, shingle_words, similarity)
-    keep = materialise(comp.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct(), "near-keep")
-    kept = docs.join(keep, docs[id_col] == keep["__keep"], "left_semi").dropDuplicates([id_col])
-    nameless = comp.where(F.col("component_id").isNull())
-    return kept if nameless.isEmpty() else kept.unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of ``docs`` that stay: one of each component of similar texts, of the least id and then the least hash of id and text.
+
+    Ids may repeat: a text is never lost because another has its id. Of a component whose ids are all null all rows stay.
+    """
+    rows, named = _components(docs, id_col, text_col, shingle_words, similarity)
+    return keep_one_of_each(docs, id_col, text_col, rows.select("__id", "__k", "node").join(named, "node"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``label`` of ``rows`` (``__id``, ``__k``: the hash of id and text); all rows of labels without an id."""
+    best = rows.groupBy("label").agg(F.min(F.when(F.col("__id").isNotNull(), F.struct("__id", "__k"))).alias("x"))
+    keep = materialise(best.where("x is not null").select(F.col("x.__k").alias("__keep")).distinct(), "keep-one")
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    kept = docs.where(F.col(id_col).isNotNull()).withColumn("__k", key).join(keep, F.col("__k") == F.col("__keep"), "left_semi").dropDuplicates(["__k"]).drop("__k")
+    nameless = best.where("x is null")
+    if nameless.isEmpty():
+        return kept
+    all_null = materialise(rows.join(nameless.select("label"), "label").select(F.col("__k").alias("__keep")).distinct(), "keep-all")
+    return kept.unionByName(docs.where(F.col(id_col).isNull()).withColumn("__k", key).join(all_null, F.col("__k") == F.col("__keep"), "left_semi").drop("__k"))

@@ -266,23 +266,28 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fingerprint zero and link like any other; rows with null ids are kept and never name a component
     (its id is null if it has no other); repeated rows are kept; an empty table gives an empty one.
     """
-    rows = materialise(fingerprints(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text", shingle_words).select("__id", "fp"), "simhash-fp")
+    rows, named = _components(docs, id_col, text_col, shingle_words, radius)
+    return rows.join(named, "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(``__id``, ``__k``, a hash of id and text, ``fp`` of each row; ``fp``, ``component_id`` and ``label``, one of each component's own, of each fingerprint)."""
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    rows = materialise(fingerprints(rows.withColumn("__k", F.xxhash64("__id", "__text")), "__text", shingle_words).select("__id", "__k", "fp"), "simhash-fp")
     classes = materialise(rows.groupBy("fp").agg(F.min("__id").alias("__least")), "simhash-classes")
     linked = connected_components(hamming_edges(classes.select("fp"), radius))
-    named = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
-    named = materialise(named.select("fp", "__least", F.coalesce("component", F.xxhash64("fp", F.lit("alone"))).alias("__c"), F.col("component").isNull().alias("__alone")), "simhash-named")
-    least = materialise(named.groupBy("__c", "__alone").agg(F.min("__least").alias("component_id")), "simhash-least")
-    named = materialise(named.join(least, ["__c", "__alone"]).select("fp", "component_id"), "simhash-components")
-    return rows.join(named, "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
+    label = F.when(F.col("component").isNull(), F.xxhash64("fp", F.lit("alone"))).otherwise(F.xxhash64("component", F.lit("linked")))
+    named = materialise(classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "__least", label.alias("label")), "simhash-named")
+    least = materialise(named.groupBy("label").agg(F.min("__least").alias("component_id")), "simhash-least")
+    return rows, materialise(named.join(least, "label").select("fp", "component_id", "label"), "simhash-components")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one that gives its id; of rows that repeat this id, one.
+    """The rows of ``docs`` that stay: one of each component, of the least id and then the least hash of id and text.
 
-    Rows with a null id stay, since no component can be named after them, unless the component has an id.
+    Ids may repeat: a text is never lost because another has its id. Of a component whose ids are all null all rows stay.
     """
-    comp = simhash_components(docs, id_col, text_col, shingle_words, radius)
-    alone = comp.where(F.col("component_id").isNull()).select("fp").isEmpty()
-    keep = materialise(comp.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct(), "simhash-keep")
-    kept = docs.join(keep, docs[id_col] == keep["__keep"], "left_semi").dropDuplicates([id_col])
-    return kept if alone else kept.unionByName(docs.where(F.col(id_col).isNull()))
+    from loomwork.llm.near_texts import keep_one_of_each
+
+    rows, named = _components(docs, id_col, text_col, shingle_words, radius)
+    return keep_one_of_each(docs, id_col, text_col, rows.join(named, "fp"))

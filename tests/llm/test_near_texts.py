@@ -113,3 +113,31 @@ def test_edges(spark):
     alone = docs(spark, ["a b", None], ids=[None, None])
     assert near_texts.drop_similar(alone).count() == 2
     assert [r["component_id"] for r in near_texts.similar_texts(docs(spark, ["one"])).collect()] == [0]
+
+
+def test_families_around_the_threshold_lose_no_links(spark):
+    """Families of near copies, most pairs of which are just above or below 0.8: components as from all pairs, but for what the partitions may miss."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(24):
+        base = words(rng, rng.randint(150, 300))
+        texts += [edited(rng, base, rng.uniform(0.005, 0.02)) for _ in range(25)]
+    sets = [shingles(t) for t in texts]
+    linked = [(i, j) for f in range(0, len(texts), 25) for i in range(f, f + 25) for j in range(i + 1, f + 25) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(linked) > 800
+    got = {r["doc_id"]: r["component_id"] for r in near_texts.similar_texts(docs(spark, texts)).collect()}
+    assert sum(got[i] != got[j] for i, j in linked) <= 0.01 * len(linked)
+    want = plain_components(texts)
+    assert sum(got[i] != want[i] for i in range(len(texts))) <= 0.01 * len(texts)
+
+
+def test_texts_with_one_id_are_kept_apart(spark):
+    """The copy goes, the other text of its id stays; one row of each component."""
+    rng = random.Random(7)
+    x, y = words(rng, 80), words(rng, 80)
+    rows, ids = [x, x, y, y + " end", y, None], [3, 5, 5, 5, None, 5]
+    for drop in (near_texts.drop_similar, simhash.drop_near_duplicates):
+        kept = [(r["doc_id"], r["text"]) for r in drop(docs(spark, rows, ids=ids)).collect()]
+        assert (3, x) in kept and (5, None) in kept and len(kept) == len(set(kept))
+        assert [t for _, t in kept].count(x) == 1 and 1 <= sum((t or "").startswith(y) for _, t in kept)
+    assert len(near_texts.drop_similar(docs(spark, rows, ids=ids)).collect()) == 3
