@@ -129,6 +129,29 @@ def daily_summary_median(spark, sf_dir):
     return rounded(intervals.daily_summary(_spans(spark, sf_dir), "start", "end", "price", "priority", "median"), 4)
 
 
+_FLAGGED = "i AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS part, l_returnflag AS f, l_shipdate::DATE AS a, l_shipdate::DATE + CAST(l_quantity AS INT) AS b FROM lineitem)"
+
+
+def _shipped(spark, sf_dir, flag, prefix):
+    i = load(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag)
+    start = F.to_date("l_shipdate")
+    return i.select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias(f"{prefix}_order"), F.col("l_linenumber").alias(f"{prefix}_line"), start.alias(f"{prefix}_start"), F.date_add(start, F.col("l_quantity").cast("int")).alias(f"{prefix}_end"))
+
+
+@query(f"WITH {_FLAGGED} SELECT x.part, x.k AS r_order, x.n AS r_line, y.k AS a_order, y.n AS a_line FROM i x JOIN i y ON x.part = y.part AND x.f = 'R' AND y.f = 'A' AND x.a <= y.b AND y.a <= x.b")
+def interval_overlaps(spark, sf_dir):
+    out = intervals.overlaps(_shipped(spark, sf_dir, "R", "r"), _shipped(spark, sf_dir, "A", "a"), ("r_start", "r_end"), ("a_start", "a_end"), ["part"])
+    return out.select("part", "r_order", "r_line", "a_order", "a_line")
+
+
+@query(f"WITH {_SPAN}, p AS (SELECT a, b, count(*) AS n FROM o GROUP BY ALL), x AS (SELECT DISTINCT a, b FROM p) SELECT o_orderkey, coalesce((SELECT sum(p.n) FROM p WHERE p.a <= o_orderdate::DATE + CAST(o_orderkey % 40 AS INT) AND p.b >= o_orderdate::DATE), 0)::BIGINT AS overlaps FROM orders")
+def interval_overlap_counts(spark, sf_dir):
+    o = load(spark, sf_dir, "orders")
+    start = F.to_date("o_orderdate")
+    asks = o.select("o_orderkey", start.alias("a"), F.date_add(start, (F.col("o_orderkey") % 40).cast("int")).alias("b"))
+    return intervals.overlap_counts(asks, _spans(spark, sf_dir), ("a", "b"), ("start", "end")).select("o_orderkey", "overlaps")
+
+
 @query("""WITH b AS (SELECT date_trunc('week', o_orderdate)::DATE AS bucket, sum(o_totalprice) AS bar FROM orders GROUP BY 1)
 SELECT bucket, round(bar, 2) AS bar, round(CASE WHEN row_number() OVER (ORDER BY bucket) >= 7 THEN avg(bar) OVER (ORDER BY bucket ROWS 6 PRECEDING) END, 2) AS line FROM b""", dates=('bucket',))
 def weekly_sums_rolling_mean(spark, sf_dir):
