@@ -14,6 +14,7 @@ from loomwork.functions.ordered import quantile_values
 from loomwork.functions.special import chi2_quantile, t_quantile
 from loomwork.operators.inference import isolation_scores
 from loomwork.operators.neighbours import nearest_rows
+from loomwork.operators.robust import elliptic_flags, one_class_flags
 
 
 def _with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
@@ -128,12 +129,12 @@ def lof_flags(df: DataFrame, id_col: str, columns: Sequence[str], min_points: in
 
 METHODS = {"z": z_flags, "tukey": tukey_flags, "mad": mad_flags, "modified_z": modified_z_flags, "grubbs": grubbs_flags}
 UNIVARIATE = ("z", "tukey", "grubbs", "mad", "iglewicz_hoaglin")
-MULTIVARIATE = ("mahalanobis", "isolation_forest", "dbscan", "lof")
+MULTIVARIATE = ("mahalanobis", "isolation_forest", "dbscan", "lof", "one_class_svm", "elliptic_envelope")
 
 
 def detect_outliers(
     df: DataFrame, id_col: str, columns: Sequence[str], methods: Sequence[str] = (*UNIVARIATE, *MULTIVARIATE), z_limit: float = 1.96, multiplier: float = 1.5, alpha: float = 0.05, mad_multiplier: float = 3.0,
-    score_limit: float = 3.5, level: float = 0.95, contamination: float = 0.1, eps: float = 0.5, min_points: int = 5, lof_limit: float = 1.5,
+    score_limit: float = 3.5, level: float = 0.95, contamination: float = 0.1, eps: float = 0.5, min_points: int = 5, lof_limit: float = 1.5, nu: float = 0.05,
 ) -> DataFrame:
     """``df`` with ``<column>_<method>_outlier`` for each column and one-column method and ``multivariate_<method>_outlier`` for the others.
 
@@ -174,6 +175,10 @@ def detect_outliers(
             scores = stored(isolation_scores(df.select(id_col, *columns), columns, id_col).select(id_col, "isolation_score"))
             cut = quantile_values(scores, ["isolation_score"], (1 - contamination,))["isolation_score"][0]
             found.append(scores.select(id_col, (F.col("isolation_score") > number(cut)).cast("int").alias(name)))
+        elif m == "one_class_svm":
+            found.append(one_class_flags(df.select(id_col, *columns), columns, nu, out=name).select(id_col, name))
+        elif m == "elliptic_envelope":
+            found.append(elliptic_flags(df.select(id_col, *columns), columns, contamination, name).select(id_col, name))
         elif m == "dbscan":
             found.append(noise_flags(df.select(id_col, *columns), id_col, columns, eps, min_points, name).select(id_col, name))
         else:

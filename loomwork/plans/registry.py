@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.operators import attribution, charts, cleaning, fuzzy, graph, hypothesis, inference, intervals, models, outliers, places, preparing, profiling, sentiment, statistics, timeseries
+from loomwork.operators import association, attribution, charts, cleaning, fuzzy, graph, hypothesis, imputing, inference, intervals, models, outliers, places, preparing, profiling, robust, sentiment, statistics, timeseries
 from loomwork.streaming import journeys
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -497,6 +497,24 @@ def detected_multivariate_outliers(spark, sf_dir):
     return outliers.detect_outliers(p, "s_suppkey", ["x", "y"], ["mahalanobis", "isolation_forest", "dbscan", "lof"], eps=5.0, min_points=3)
 
 
+def _balances(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("orders"), F.avg("o_totalprice").alias("mean_price"))
+    c = load(spark, sf_dir, "customer")
+    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_acctbal", "orders", "mean_price")
+
+
+@query()  # starts are random; determinants and flags are held against all subsets in the tests
+def outlier_elliptic(spark, sf_dir):
+    out = robust.elliptic_flags(_balances(spark, sf_dir), ["c_acctbal", "orders", "mean_price"])
+    return rounded(out.select("c_custkey", "distance2", "outlier"), 4)
+
+
+@query()  # features are random; flags are held against a dense dual in the tests
+def outlier_one_class(spark, sf_dir):
+    out = robust.one_class_flags(_balances(spark, sf_dir), ["c_acctbal", "orders", "mean_price"])
+    return rounded(out.select("c_custkey", "one_class_score", "outlier"), 6)
+
+
 @query("""WITH s AS (SELECT avg(l_quantity) AS mx, avg(l_extendedprice) AS my, var_samp(l_quantity) AS a, var_samp(l_extendedprice) AS b, covar_samp(l_quantity, l_extendedprice) AS c FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_extendedprice, round((b * (l_quantity - mx) ** 2 - 2 * c * (l_quantity - mx) * (l_extendedprice - my) + a * (l_extendedprice - my) ** 2) / (a * b - c * c), 6) AS distance2,
 ((b * (l_quantity - mx) ** 2 - 2 * c * (l_quantity - mx) * (l_extendedprice - my) + a * (l_extendedprice - my) ** 2) / (a * b - c * c) > 5.991464547107979)::INT AS outlier FROM lineitem, s""")
@@ -526,6 +544,25 @@ def quadrant_shares(spark, sf_dir):
     return outliers.standard_pair(load(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice")
 
 
+_TAUS = [("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount")]
+_TAU_SQL = """SELECT '{a}' AS x, '{b}' AS y, n, (p + s) // 2 AS concordant, (p - s) // 2 AS discordant, round(s / sqrt((n0 - tx)::DOUBLE * (n0 - ty)), 9) AS tau FROM (
+WITH c AS (SELECT {a} AS x, {b} AS y, count(*) AS c FROM d GROUP BY ALL), n AS (SELECT sum(c)::BIGINT AS n FROM c)
+SELECT any_value(n.n) AS n, any_value(n.n * (n.n - 1) // 2) AS n0, (SELECT sum(t * (t - 1) // 2)::BIGINT FROM (SELECT sum(c) AS t FROM c GROUP BY x)) AS tx, (SELECT sum(t * (t - 1) // 2)::BIGINT FROM (SELECT sum(c) AS t FROM c GROUP BY y)) AS ty,
+  (sum(sign(a.y - b.y) * a.c * b.c))::BIGINT AS s, (sum(abs(sign(a.y - b.y)) * a.c * b.c))::BIGINT AS p FROM c a JOIN c b ON a.x > b.x, n)"""
+
+
+@query("WITH d AS (SELECT l_quantity, floor(l_extendedprice / 5000) AS l_extendedprice, l_discount FROM lineitem) " + " UNION ALL ".join(_TAU_SQL.format(a=a, b=b) for a, b in _TAUS))
+def rank_concordance(spark, sf_dir):
+    d = load(spark, sf_dir, "lineitem").select("l_quantity", F.floor(F.col("l_extendedprice") / 5000).cast("double").alias("l_extendedprice"), "l_discount")
+    return rounded(association.kendall_matrix(d, ["l_quantity", "l_extendedprice", "l_discount"]), 9)
+
+
+@query()  # weights and donors are drawn; both are held against plain versions in the tests
+def imputed_by_donors(spark, sf_dir):
+    o = load(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 > 0, F.col("o_totalprice")).alias("price"), F.when(F.col("o_orderkey") % 5 > 0, F.datediff("o_orderdate", F.lit("1992-01-01")).cast("double")).alias("day"), F.col("o_custkey").cast("double").alias("customer"))
+    return imputing.impute_chained(o, "o_orderkey", ["price", "day", "customer"], rounds=2)
+
+
 # ---- fuzzy matching, texts ---------------------------------------------------------------------
 
 _PAIRS = "WITH p AS (SELECT DISTINCT p_name AS t FROM part), m AS (SELECT a.t AS query, b.t AS candidate, {d} AS distance FROM p a CROSS JOIN p b WHERE {w})"
