@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,8 @@ from loomwork.llm.simhash import _mask, dealt_blocks, group_batches, local_compo
 #: 64-bit words of a code, and how many of them travel with a probe to sift what shares a key.
 WORDS, SIFT = 8, 2
 BITS = 64 * WORDS
+#: Texts of a family that are held against each other in one go; larger families are dealt in pairs of blocks.
+FAMILY_BLOCK = 512
 #: Pairs at the similarity asked for that the partitions may miss.
 MISS = 0.01
 #: Numbers of partitions that are weighed against each other.
@@ -180,9 +182,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Texts with equal sets are one node. Codes of 512 bits are cut into partitions of correlated bits; dynamic
     programming allots each partition its own threshold, by estimated candidate counts, so that a pair at the similarity asked for is missed
-    by all of them with a chance of 1 %; more similar pairs less. What shares a key is sifted by 128 bits. Candidates are verified on the shingles themselves, so
-    no link is wrong: first each block's shortest spanning forest, then what still lies between different components, the nearest of each text first and
-    eight times as many in each round, until every candidate is verified or inside a component. A component's
+    by all of them with a chance of 1 %; more similar pairs less. What shares a key is sifted by 128 bits; each block of compared codes gives a
+    spanning forest, so that all candidates lie in one family. Inside a family every two texts are then held against each other on the
+    shingles themselves, in blocks: no link is wrong, and none between candidates is lost. A component's
     id is the least id in it; components as in ``simhash_components``: null ids never name one, empty texts are one node, an empty table gives an empty one.
     """
     rows, named = _components(docs, id_col, text_col, shingle_words, similarity)
@@ -207,22 +209,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle_words: int,
 def _linked(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, live: DataFrame, n: int, shingle_words: int, similarity: float) -> DataFrame:
     """``node`` and ``component`` of the nodes that have verified links."""
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi  # of the bits, for sets of equal size
-    found = _candidates(live, n, differ)
-    pairs = materialise(found.where("b is not null").select("a", "b").distinct(), "near-candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "__k", "code"), "node")
-    sets = _shingle_sets(docs, id_col, text_col, wanted, shingle_words)
-    edges = _verified(pairs, sets, similarity, differ)
-    component, members, most = connected_components(edges), found.where("b is null").select("g", "a", "f0", "f1"), 8
-    while not members.isEmpty():
-        known = members.join(component.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-        left = materialise(_between_components(known, differ, most), "near-left")
-        more = materialise(left.where("b is not null").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "near-candidates")
-        pairs, members, most = pairs.union(more), left.where("b is null").select("g", "a", "f0", "f1"), most * 8
-        links = _verified(more, sets, similarity, differ)
-        if not links.isEmpty():
-            edges = edges.union(links)
-            component = connected_components(edges)
-    return component
+    families = connected_components(_candidates(live, n, differ)).withColumnRenamed("component", "family")
+    sets = _shingle_sets(docs, id_col, text_col, families.join(nodes.select("node", "__k"), "node"), shingle_words)
+    return connected_components(_verified(sets, similarity))
 
 
 def _reach(bits: int, differ: float) -> int:
@@ -230,29 +219,8 @@ def _reach(bits: int, differ: float) -> int:
     return int(bits * differ + 3.5 * math.sqrt(bits * differ * (1 - differ)))
 
 
-def _near_in_groups(x: pd.DataFrame, reach: int, fold: Callable[[list], list]) -> list:
-    """(row, row, bits that differ) for all rows of one ``__g`` whose sift bits are within ``reach``; ``fold`` shortens the list when it is long."""
-    g, node = x["__g"].to_numpy("i8"), x["node"].to_numpy("i8")
-    f = [x[f"f{k}"].to_numpy("i8") for k in range(SIFT)]
-    at, lag, ends = np.arange(len(g)), 0, []
-    while len(at):
-        lag += 1
-        at = at[at + lag < len(g)]
-        at = at[g[at] == g[at + lag]]
-        apart = sum(np.bitwise_count(np.bitwise_xor(v[at], v[at + lag]).view(np.uint64)).astype(np.int16) for v in f)
-        hit = np.flatnonzero((apart <= reach) & (node[at] != node[at + lag]))
-        if len(hit):
-            ends.append((at[hit], at[hit] + lag, apart[hit]))
-        if sum(len(e[0]) for e in ends) > 1 << 20:
-            ends = fold(ends)
-    return ends
-
-
-_FOUND = "g long, a long, b long, f0 long, f1 long"
-
-
 def _candidates(live: DataFrame, n: int, differ: float) -> DataFrame:
-    """(a, b): nodes whose codes are near, a forest of each block that was compared; and, with ``b`` null, the members of blocks that have more near pairs than that."""
+    """(a, b): nodes whose codes are near, a spanning forest of each block that was compared."""
     both = bit_counts(live, n)
     p = np.diag(both) / n
     plans = [(*thresholds_for_recall(n, p, groups, differ), groups) for groups in (group_bits(n, both, g) for g in PARTS)]
@@ -264,93 +232,81 @@ def _candidates(live: DataFrame, n: int, differ: float) -> DataFrame:
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in group_batches(batches):
             g, node = x["__g"].to_numpy("i8"), x["node"].to_numpy("i8")
-            cut = []  # rows of pairs that aren't in the forest
-
-            def fold(ends: list, size: int = len(g), cut: list = cut) -> list:
-                a, b, apart = (np.concatenate([e[i] for e in ends]) for i in range(3))
-                kept = shortest_forest(size, a, b, apart)
-                if len(kept) < len(a):
-                    rest = np.ones(len(a), bool)
-                    rest[kept] = False
-                    cut[:] = [np.unique(np.concatenate([*cut, a[rest], b[rest]]))]
-                return [(a[kept], b[kept], apart[kept])]
-
-            if ends := _near_in_groups(x, reach, fold):
-                a, b, _ = fold(ends)[0]
-                yield pd.DataFrame({"g": None, "a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "f0": None, "f1": None}).astype("Int64")
-                if cut:
-                    m = cut[0]
-                    yield pd.DataFrame({"g": g[m], "a": node[m], "b": None, "f0": x["f0"].to_numpy()[m], "f1": x["f1"].to_numpy()[m]}).astype("Int64")
-
-    return materialise(spread(dealt.select("__g", "node", *[f"f{k}" for k in range(SIFT)]), "__g").sortWithinPartitions("__g").mapInPandas(compare, _FOUND), "near-found")
-
-
-def _between_components(members: DataFrame, differ: float, most: int) -> DataFrame:
-    """(a, b): of near pairs of a block in different components the ``most`` nearest of each node; and, with ``b`` null, the nodes that have more."""
-    reach = _reach(64 * SIFT, differ)
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in group_batches(batches):
-            g, node, comp = (x[c].to_numpy("i8") for c in ("__g", "node", "component"))
-            cut = []
-
-            def fold(ends: list, node=node, comp=comp, cut: list = cut) -> list:
-                a, b, apart = (np.concatenate([e[i] for e in ends]) for i in range(3))
-                apart_in = comp[a] != comp[b]
-                a, b, apart = a[apart_in], b[apart_in], apart[apart_in]
-                from_, to, d, k = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([apart, apart]), np.tile(np.arange(len(a)), 2)
-                order = np.lexsort((node[to], d, from_))
-                from_, k = from_[order], k[order]
-                start = np.flatnonzero(np.concatenate([[True], from_[1:] != from_[:-1]])) if len(from_) else np.zeros(0, np.int64)
-                rank = np.arange(len(from_)) - np.repeat(start, np.diff(np.append(start, len(from_))))
-                kept = np.unique(k[rank < most])
-                if len(kept) < len(a):
-                    rest = np.ones(len(a), bool)
-                    rest[kept] = False
-                    cut[:] = [np.unique(np.concatenate([*cut, a[rest], b[rest]]))]
-                return [(a[kept], b[kept], apart[kept])]
-
-            if ends := _near_in_groups(x, reach, fold):
-                a, b, _ = fold(ends)[0]
-                yield pd.DataFrame({"g": None, "a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "f0": None, "f1": None}).astype("Int64")
-                if cut:
-                    m = cut[0]
-                    yield pd.DataFrame({"g": g[m], "a": node[m], "b": None, "f0": x["f0"].to_numpy()[m], "f1": x["f1"].to_numpy()[m]}).astype("Int64")
-
-    rows = members.withColumnsRenamed({"g": "__g", "a": "node"})
-    return spread(rows.select("__g", "node", "f0", "f1", "component"), "__g").sortWithinPartitions("__g").mapInPandas(compare, _FOUND)
+            f = [x[f"f{k}"].to_numpy("i8") for k in range(SIFT)]
+            at, lag, ends = np.arange(len(g)), 0, []
+            while len(at):
+                lag += 1
+                at = at[at + lag < len(g)]
+                at = at[g[at] == g[at + lag]]
+                apart = sum(np.bitwise_count(np.bitwise_xor(v[at], v[at + lag]).view(np.uint64)).astype(np.int16) for v in f)
+                hit = np.flatnonzero((apart <= reach) & (node[at] != node[at + lag]))
+                if len(hit):
+                    ends.append((at[hit], at[hit] + lag, apart[hit]))
+                if sum(len(e[0]) for e in ends) > 1 << 20:  # a forest of what there is takes less memory, and the forest of both is the same
+                    ends = [_shortest(len(g), ends)]
+            if ends:
+                a, b, apart = _shortest(len(g), ends)
+                yield pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+
+    def _shortest(size: int, ends: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, apart = (np.concatenate([e[i] for e in ends]) for i in range(3))
+        kept = shortest_forest(size, a, b, apart)
+        return a[kept], b[kept], apart[kept]
+
+    found = spread(dealt.select("__g", "node", *[f"f{k}" for k in range(SIFT)]), "__g").sortWithinPartitions("__g").mapInPandas(compare, "a long, b long")
+    return materialise(found.distinct(), "near-candidates")
 
 
 def _shingle_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, shingle_words: int) -> DataFrame:
-    """``node``, ``code`` and ``shingles`` (sorted hashes as bytes) of the wanted nodes; only their texts are read again, one for each node."""
+    """``node``, ``family`` and ``shingles`` (sorted hashes as bytes) of the wanted nodes; only their texts are read again, one for each node."""
 
     @F.pandas_udf("binary")
     def hashes(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_hashes(t, shingle_words).tobytes() for t in texts])
 
     own = docs.select(F.col(text_col).alias("__text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("__k"))
-    texts = own.join(wanted.hint("shuffle_hash"), "__k").groupBy("node").agg(F.min("__text").alias("__text"), F.first("code").alias("code"))
-    return materialise(texts.select("node", "code", hashes("__text").alias("shingles")), "near-shingles")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, differ: float) -> DataFrame:
-    """Of the candidate pairs those whose shingles are as similar as asked for; pairs whose whole codes are too far apart aren't held against each other."""
-
-    @F.pandas_udf("double")
-    def jaccard(first: pd.Series, second: pd.Series) -> pd.Series:
-        out = []
-        for s, t in zip(first, second, strict=True):
-            x, y = np.frombuffer(s, "<u8"), np.frombuffer(t, "<u8")
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(common / max(1, len(x) + len(y) - common))
-        return pd.Series(out, dtype="float64")
-
-    codes = sets.select("node", "code")
-    apart = sum((F.bit_count(F.get("c", F.lit(k)).bitwiseXOR(F.get("d", F.lit(k)))) for k in range(1, WORDS)), F.bit_count(F.get("c", F.lit(0)).bitwiseXOR(F.get("d", F.lit(0)))))
-    near = pairs.join(codes.withColumnsRenamed({"node": "a", "code": "c"}), "a").join(codes.withColumnsRenamed({"node": "b", "code": "d"}), "b").where(apart <= _reach(BITS, differ)).select("a", "b")
-    shingles = sets.select("node", "shingles")
-    both = near.join(shingles.withColumnsRenamed({"node": "a", "shingles": "s"}), "a").join(shingles.withColumnsRenamed({"node": "b", "shingles": "t"}), "b")
-    return materialise(both.where(jaccard("s", "t") >= similarity).select("a", "b"), "near-edges")
+    texts = own.join(wanted.hint("shuffle_hash"), "__k").groupBy("node").agg(F.min("__text").alias("__text"), F.first("family").alias("family"))
+    return materialise(texts.select("node", "family", hashes("__text").alias("shingles")), "near-shingles")
+
+
+def common_shingles(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many hashes each two sets share: products of 0/1 matrices over the hashes that are in several sets, some columns at a time."""
+    n = len(sets)
+    row, all_ = np.repeat(np.arange(n), [len(s) for s in sets]), np.concatenate(sets)
+    _, place, count = np.unique(all_, return_inverse=True, return_counts=True)
+    several = count > 1
+    number = np.cumsum(several) - 1
+    keep = several[place]
+    row, col = row[keep], number[place[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((n, n), np.float32)
+    for at in range(0, int(several.sum()), columns):
+        lo, hi = np.searchsorted(col, [at, at + columns])
+        m = np.zeros((n, columns), np.float32)
+        m[row[lo:hi], col[lo:hi] - at] = 1
+        out += m @ m.T
+    return out.astype(np.float64)
+
+
+def _verified(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) that connect what verified links connect: in each pair of blocks of a family all pairs are held against each other, and a forest of the links comes out."""
+    dealt = dealt_blocks(sets, ["family"], F.col("node"), FAMILY_BLOCK)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in group_batches(batches, 2_000):
+            for _, g in x.groupby("__g", sort=False):
+                if len(g) < 2:
+                    continue
+                node, own = g["node"].to_numpy("i8"), [np.frombuffer(s, "<u8") for s in g["shingles"]]
+                size, common = np.array([len(s) for s in own]), common_shingles(own)
+                i, j = np.nonzero(np.triu(common / np.maximum(1, size[:, None] + size[None] - common) >= similarity, 1))
+                label = local_components(len(g), i, j)
+                moved = np.flatnonzero(label != np.arange(len(g)))
+                if len(moved):
+                    yield pd.DataFrame({"a": node[moved], "b": node[label[moved]]})
+
+    return materialise(spread(dealt.select("__g", "node", "shingles"), "__g").sortWithinPartitions("__g").mapInPandas(compare, "a long, b long").distinct(), "near-edges")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -141,3 +141,10 @@ def test_texts_with_one_id_are_kept_apart(spark):
         assert (3, x) in kept and (5, None) in kept and len(kept) == len(set(kept))
         assert [t for _, t in kept].count(x) == 1 and 1 <= sum((t or "").startswith(y) for _, t in kept)
     assert len(near_texts.drop_similar(docs(spark, rows, ids=ids)).collect()) == 3
+
+
+def test_common_shingles():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 120)).astype("<u8")) for _ in range(40)]
+    got = near_texts.common_shingles(sets, columns=64)
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
