@@ -17,12 +17,15 @@ from loomwork.functions.special import chi2_cdf
 #: Fixed terms of a model, and levels of the second of two crossed factors, at most: a task holds their products.
 MOST_TERMS, MOST_LEVELS = 60, 200
 #: Steps beyond a round's own that are tried in the next pass over the groups.
-STRIDES = (0.0, 3.0, 12.0, 50.0)
+STRIDES = (0.0, 1.0, 3.0, 8.0, 20.0, 60.0, 200.0)
 
 
 @dataclass
 class MixedFit:
-    """Fixed effects with their covariance, variances of the random effects, and the log-likelihood after each round."""
+    """Fixed effects with their covariance, variances of the random effects, and the log-likelihood after each round.
+
+    The fixed effects are the best for the variances given; the last log-likelihood is at most a tolerance below theirs.
+    """
 
     terms: list[str]
     effects: np.ndarray
@@ -104,31 +107,36 @@ def _expectations(batches: Iterator[pd.DataFrame], p: int, z: list[int], points:
             ll = -0.5 * (n * math.log(2 * math.pi * s2) + np.linalg.slogdet(inner)[1] + rr / s2 - np.einsum("gi,gi->g", u, m) / s2)
             bb = m[:, :, None] * m[:, None, :] + c
             xva = np.einsum("gip,gij,gjr->pr", zx, c, zx) / s2**2
-            here.append(np.concatenate([[ll.sum()], bb.sum(0).ravel(), np.einsum("gip,gj->pij", zx, m).ravel(), np.einsum("gik,gjl->ijkl", zz, bb).ravel(), np.einsum("gi,gj->ij", b[:, z], m).ravel(), xva.ravel()]))
+            xvy = np.einsum("gip,gij,gj->p", zx, c, b[:, z]) / s2**2
+            here.append(np.concatenate([[ll.sum()], bb.sum(0).ravel(), np.einsum("gip,gj->pij", zx, m).ravel(), np.einsum("gik,gjl->ijkl", zz, bb).ravel(), np.einsum("gi,gj->ij", b[:, z], m).ravel(), xva.ravel(), xvy]))
         now = np.stack(here)
         total = now if total is None else total + now
     if total is not None:
         yield pd.DataFrame({"i": range(len(points)), "s": list(total)})
 
 
-def _coordinates(psi: np.ndarray, s2: float) -> tuple[np.ndarray, np.ndarray]:
-    """Variances without bounds: logarithms of the triangular root's diagonal, its ratios below, and the log of s2."""
+def _coordinates(psi: np.ndarray, s2: float) -> np.ndarray:
+    """Variances without bounds: the triangular root, its diagonal as logarithms, and the log of s2."""
     size = np.sqrt(np.maximum(np.diag(psi), 1e-300))
-    root = np.linalg.cholesky(psi / np.outer(size, size) + 1e-12 * np.eye(len(psi)))
-    return np.concatenate([np.log(size), [math.log(s2)]]), root
+    root = size[:, None] * np.linalg.cholesky(psi / np.outer(size, size) + 1e-13 * np.eye(len(psi)))
+    out = np.tril(root, -1) + np.diag(np.log(np.diag(root)))
+    return np.append(out.ravel(), math.log(s2))
 
 
 def _further(old: tuple[np.ndarray, np.ndarray, float], new: tuple[np.ndarray, np.ndarray, float], stride: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """The point ``stride`` steps beyond the step from ``old`` to ``new``; sizes in logarithms, correlations stay."""
+    """The point ``stride`` steps beyond the step from ``old`` to ``new``."""
     if not stride:
         return new
-    (a, _), (b, root) = _coordinates(old[1], old[2]), _coordinates(new[1], new[2])
-    c = b + np.clip(stride * (b - a), -8, 8)
-    size = np.exp(np.clip(c[:-1], -200, 200))
-    return new[0] + stride * (new[0] - old[0]), (root @ root.T) * np.outer(size, size), float(np.exp(c[-1]))
+    a, b, q = _coordinates(old[1], old[2]), _coordinates(new[1], new[2]), len(new[1])
+    c = b + stride * (b - a)
+    on = np.append(np.eye(q, dtype=bool).ravel(), True)
+    c[on] = np.clip(c[on], np.maximum(b[on] - 8, -200), np.minimum(b[on] + 8, 200))
+    root = c[:-1].reshape(q, q)
+    root = np.tril(root, -1) + np.diag(np.exp(np.diag(root)))
+    return new[0] + stride * (new[0] - old[0]), root @ root.T, float(np.exp(c[-1]))
 
 
-def mixed_model(df: DataFrame, y: str, fixed: Sequence[str] | Mapping[str, Column], group: str, slopes: Sequence[str] = (), tolerance: float = 1e-7, most_rounds: int = 200) -> MixedFit:
+def mixed_model(df: DataFrame, y: str, fixed: Sequence[str] | Mapping[str, Column], group: str, slopes: Sequence[str] = (), tolerance: float = 1e-5, most_rounds: int = 200) -> MixedFit:
     """``y`` on the ``fixed`` terms and an intercept, with a random intercept and random ``slopes`` (some of the fixed terms) per ``group``, by maximum likelihood.
 
     One aggregate gives each group's products; rounds run over those, a row per group, however many rows or how large a hot group is. A round is
@@ -140,7 +148,7 @@ def mixed_model(df: DataFrame, y: str, fixed: Sequence[str] | Mapping[str, Colum
     rows, terms = _design(df, y, fixed, [group])
     p, z = len(terms), [0, *[terms.index(s) for s in slopes]]
     q = len(z)
-    table = stored(group_products(rows, p))
+    table = stored(group_products(rows, p).coalesce(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     s = table.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), F.sum("yy").alias("yy"), *[F.sum(F.col("xy")[i]).alias(f"b{i}") for i in range(p)], *[F.sum(F.col("xx")[i]).alias(f"a{i}") for i in range(p * (p + 1) // 2)]).first()
     n, groups = int(s["n"] or 0), s["groups"]
     if n <= p:
@@ -155,17 +163,18 @@ def mixed_model(df: DataFrame, y: str, fixed: Sequence[str] | Mapping[str, Colum
         raise ValueError("the fixed terms leave no residual")
     point = (beta, np.diag([s2 / 2 / (xx[i, i] / n) for i in z]), s2 / 2)
     points, fit = [point], MixedFit(terms, beta, xx, point[1], s2, n, groups, random_terms=[terms[i] for i in z])
-    cuts = np.cumsum([1, q * q, p * q * q, q**4, q * q])
+    cuts = np.cumsum([1, q * q, p * q * q, q**4, q * q, p * p])
     for _ in range(most_rounds):
         tried = points
-        got = table.mapInPandas(lambda it, t=tried: _expectations(it, p, z, t), "i int, s array<double>").groupBy("i").agg(F.array(*[F.sum(F.col("s")[j]) for j in range(int(cuts[-1]) + p * p)]).alias("s")).collect()  # a row per point
+        got = table.mapInPandas(lambda it, t=tried: _expectations(it, p, z, t), "i int, s array<double>").groupBy("i").agg(F.array(*[F.sum(F.col("s")[j]) for j in range(int(cuts[-1]) + p)]).alias("s")).collect()  # a row per point
         sums = {r["i"]: np.array(r["s"]) for r in got}
         best = max((i for i in sums if np.isfinite(sums[i]).all()), key=lambda i: sums[i][0])
-        point, (ll, bb, xa, aa, ay, drop) = tried[best], np.split(sums[best], cuts)
+        point, (ll, bb, xa, aa, ay, drop, drop_y) = tried[best], np.split(sums[best], cuts)
         rise = float(ll[0]) - fit.rounds[-1] if fit.rounds else math.inf
-        fit.effects, fit.random, fit.residual = point
+        _, fit.random, fit.residual = point
         fit.rounds.append(float(ll[0]))
         fit.covariance = np.linalg.inv(xx / point[2] - drop.reshape(p, p))
+        fit.effects = fit.covariance @ (xy / point[2] - drop_y)  # the best for these variances
         if rise < tolerance:
             return fit
         both = np.block([[xx, xa.reshape(p, q * q)], [xa.reshape(p, q * q).T, aa.reshape(q * q, q * q)]])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.operators import association, attribution, charts, cleaning, fuzzy, graph, hypothesis, imputing, inference, intervals, models, outliers, paths, places, preparing, profiling, robust, sentiment, statistics, timeseries
+from loomwork.operators import association, attribution, charts, cleaning, fuzzy, graph, hypothesis, imputing, inference, intervals, mixed, models, outliers, paths, places, preparing, profiling, responses, robust, sentiment, spectral, statistics, timeseries
 from loomwork.streaming import journeys
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1065,3 +1065,77 @@ def nearest_points(spark, sf_dir):
 @query("WITH p AS (SELECT DISTINCT c_acctbal / 10 AS x, c_nationkey * 40.0 AS y FROM customer) SELECT round(max(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) AS distance FROM p a CROSS JOIN p b")
 def greatest_distance(spark, sf_dir):
     return spark.createDataFrame([(round(places.greatest_distance(_points(spark, sf_dir), "x", "y"), 6),)], "distance double")
+
+
+# ---- mixed models, item responses, closed walks --------------------------------------------------
+
+
+def _prices(spark, sf_dir):
+    li = load(spark, sf_dir, "lineitem")
+    return li.select("l_suppkey", "l_orderkey", "l_returnflag", F.col("l_quantity").cast("double").alias("quantity"), F.col("l_tax").cast("double").alias("tax"), (F.col("l_extendedprice") / 1000).cast("double").alias("price"))
+
+
+@query()  # maximum likelihood; tested against dense likelihoods
+def mixed_model_tests(spark, sf_dir):
+    d = _prices(spark, sf_dir)
+    fits = [mixed.mixed_model(d, "price", [], "l_suppkey"), mixed.mixed_model(d, "price", ["quantity"], "l_suppkey"), mixed.mixed_model(d, "price", ["quantity"], "l_suppkey", ["quantity"]), mixed.mixed_model(d, "price", ["quantity", "tax"], "l_suppkey", ["quantity"])]
+    rows = []
+    for i, fit in enumerate(fits):
+        tests = mixed.likelihood_ratio(fits[i - 1], fit) if i else (None, None, None)
+        rows.append((i + 1, fit.parameters, fit.n, fit.groups, fit.log_likelihood, *mixed.criteria(fit), fit.residual, float(fit.random[0, 0]), *tests))
+    return rounded(spark.createDataFrame(rows, "model int, parameters int, n long, n_groups long, log_likelihood double, aic double, bic double, residual double, intercept_variance double, chi2 double, df int, p double"), 3)
+
+
+@query()
+def mixed_model_effects(spark, sf_dir):
+    d = _prices(spark, sf_dir)
+    fit = mixed.mixed_model(d, "price", ["quantity"], "l_suppkey", ["quantity"])
+    out = mixed.random_effects(d, fit, "price", ["quantity"], "l_suppkey")
+    return rounded(out.select("l_suppkey", "n", F.col("effects")[0].alias("intercept"), F.col("effects")[1].alias("slope")), 3)
+
+
+@query()
+def crossed_item_effects(spark, sf_dir):
+    d = _prices(spark, sf_dir)
+    flags = [r[0] for r in d.select("l_returnflag").distinct().orderBy("l_returnflag").collect()][1:]  # three flags
+    fit = mixed.crossed_model(d.join(load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey"), "price", {f"flag {v}": (F.col("l_returnflag") == v).cast("double") for v in flags}, "l_suppkey", "o_orderpriority")
+    return rounded(spark.createDataFrame(fit.table(), "term string, estimate double, se double, t double"), 3)
+
+
+def _graded(spark, sf_dir):
+    li = load(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", F.ceil(F.col("l_quantity") / 20).cast("int").alias("grade"))
+
+
+@query()
+def item_parameters(spark, sf_dir):
+    fit = responses.graded_responses(_graded(spark, sf_dir), "l_orderkey", "l_linenumber", "grade", 5e-3, 60)
+    return rounded(spark.createDataFrame(fit.table(), "item int, level int, discrimination double, intercept double, difficulty double").select("item", "level", "discrimination", "intercept"), 2)
+
+
+@query()
+def order_abilities(spark, sf_dir):
+    d = _graded(spark, sf_dir)
+    return rounded(responses.abilities(d, responses.graded_responses(d, "l_orderkey", "l_linenumber", "grade", 5e-3, 60), "l_orderkey", "l_linenumber", "grade"), 2)
+
+
+# parts that are in two orders or more together are neighbours
+_PAIRED = "e AS (SELECT x.l_partkey AS a, y.l_partkey AS b FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) x JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey GROUP BY 1, 2 HAVING count(*) >= 2), b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)"
+
+
+def _paired(spark, sf_dir):
+    x = load(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("x")).distinct()
+    pairs = x.join(x.withColumnRenamed("x", "y"), "l_orderkey").where("x < y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))  # few parts an order
+    return graph.simple_edges(pairs.where("n >= 2"), "x", "y")
+
+
+@query(f"""WITH RECURSIVE {_PAIRED}, w(k, s, n, x) AS (SELECT 0, p_partkey, p_partkey, 1.0::DOUBLE FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT w.k + 1, w.s, b.b, sum(w.x) / (w.k + 1) FROM w JOIN b ON b.a = w.n WHERE w.k < 80 GROUP BY w.k, w.s, b.b)
+SELECT s AS node, round(sum(x), 5) AS centrality FROM w WHERE n = s GROUP BY 1""")
+def graph_subgraph_centrality(spark, sf_dir):
+    sources = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")).where("node % 50 = 0")  # a stated query set
+    return rounded(spectral.subgraph_centrality(_paired(spark, sf_dir), sources), 5)
+
+
+@query()  # random vectors; tested against a dense eigendecomposition
+def graph_subgraph_estimates(spark, sf_dir):
+    return rounded(spectral.estimated_subgraph_centrality(_paired(spark, sf_dir)), 4)

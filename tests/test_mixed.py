@@ -51,7 +51,7 @@ def test_one_factor_equals_dense(spark, slope):
     assert simple.log_likelihood == pytest.approx(best, abs=1e-4) and simple.n == 90
     assert all(b >= a - 1e-9 for a, b in zip(simple.rounds, simple.rounds[1:]))
     _, beta, cov = dense(one, y, [simple.random[0, 0] * z], simple.residual)
-    assert simple.effects == pytest.approx(beta, abs=2e-3) and simple.covariance == pytest.approx(cov, rel=1e-3, abs=1e-6)
+    assert simple.effects == pytest.approx(beta, abs=1e-6) and simple.covariance == pytest.approx(cov, rel=1e-6, abs=1e-9)
     both = mixed.mixed_model(d, "y", ["x"], "g", ["x"])
 
     def g3(t):
