@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.operators import association, attribution, charts, cleaning, fuzzy, graph, hypothesis, imputing, inference, intervals, mixed, models, outliers, paths, places, preparing, profiling, responses, robust, sentiment, spectral, statistics, timeseries
+from loomwork.operators import association, attribution, charts, cleaning, fuzzy, graph, hypothesis, imputing, inference, intervals, mixed, models, outliers, paths, places, preparing, profiling, responses, robust, sentiment, smoothing, spectral, statistics, timeseries
 from loomwork.streaming import journeys
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -942,6 +942,39 @@ def smoothed_scatter(spark, sf_dir):
     return rounded(rounded(d, 4, "x"), 6, "y", "low", "high")
 
 
+_CURVE = """WITH e AS (SELECT l_returnflag AS f, count(*) AS n, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1),
+g AS (SELECT f, n, i, lo + (hi - lo) * i / 11 AS place FROM e, (SELECT range AS i FROM range(12))),
+a AS (SELECT g.f, g.i, g.place, floor(0.5 * g.n) AS q, l_quantity::DOUBLE AS y, l_extendedprice - g.place AS d, row_number() OVER (PARTITION BY g.f, g.i ORDER BY abs(l_extendedprice - g.place)) AS r FROM g JOIN lineitem ON l_returnflag = g.f),
+h AS (SELECT f, i, any_value(abs(d)) AS h FROM a WHERE r = q GROUP BY 1, 2),
+w AS (SELECT a.f, a.i, a.place, h.h, y, d / h.h AS u, pow(1 - pow(abs(d / h.h), 3), 3) AS w FROM a JOIN h ON a.f = h.f AND a.i = h.i WHERE abs(d) <= h.h),
+m AS (SELECT f, i, place, h, count(*) AS n, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * u * u * u) AS s3, sum(w * u * u * u * u) AS s4, sum(w * y) AS t0, sum(w * u * y) AS t1, sum(w * u * u * y) AS t2 FROM w GROUP BY 1, 2, 3, 4)
+SELECT f AS l_returnflag, i::INT AS point, round(place, 4) AS x, round(h, 4) AS width, n,
+round((t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)), 5) AS fit FROM m"""
+
+
+@query(_CURVE)
+def local_curves(spark, sf_dir):
+    d = smoothing.local_curve(load(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", 12, 0.5, by=["l_returnflag"])
+    return rounded(rounded(d.select("l_returnflag", "point", "x", "width", "n", "fit"), 4, "x", "width"), 5, "fit")
+
+
+@query(dates=("day",))
+def decomposed_orders(spark, sf_dir):
+    return rounded(smoothing.decompose(_daily(spark, sf_dir), "day", "x", 7, 13, outer=1), 6, "seasonal", "trend", "remainder", "weight")
+
+
+@query(dates=("day",))
+def periodic_orders(spark, sf_dir):
+    seasonal, parts = smoothing.detect_seasonality(_daily(spark, sf_dir), "day", "x", 7)
+    return rounded(parts, 6, "x", "seasonal", "trend", "remainder").drop("weight").withColumn("is_seasonal", F.lit(seasonal))
+
+
+@query()
+def decomposed_events(spark, sf_dir):
+    d = load(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(smoothing.strengths(smoothing.decompose(d, "hour", "n", 24, series=["event_type"]), ["event_type"]), 6, "seasonal_strength", "trend_strength")
+
+
 @query("SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice / 50 AS b, least(p_size, p_retailprice / 50) AS low, greatest(p_size, p_retailprice / 50) AS high, CASE WHEN p_size <= p_retailprice / 50 THEN 'b' ELSE 'a' END AS top FROM part")
 def filled_series(spark, sf_dir):
     d = load(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 50).alias("b"))
