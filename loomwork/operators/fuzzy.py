@@ -12,6 +12,9 @@ from loomwork.functions.core import stored
 
 #: Each method's default threshold (a distance, for jaro a similarity) .
 THRESHOLDS = {"jaro": 0.85, "levenshtein": 2, "damerau": 2, "hamming": 2, "lcs": 2, "cosine": 0.2}
+#: About so many characters are a segment of a text in edit distances, and about so many candidates of a segment go to one task.
+SEGMENT = 3
+HOT = 5_000
 
 
 def normalise(text: Column, remove: Sequence[str] = (), prefix: str | None = None, suffix: str | None = None, lower: bool = True, punctuation: bool = True, spaces: bool = True) -> Column:
@@ -144,14 +147,59 @@ def _rare_first(q: DataFrame, c: DataFrame, method: str, t: float) -> DataFrame:
     return pairs
 
 
+def _segment_pairs(q: DataFrame, c: DataFrame, method: str, t: int) -> DataFrame:
+    """(query, candidate) of every pair that can be within ``t`` edits: they share a segment of the candidate, at nearly the same place.
+
+    A candidate is cut into even segments, of ``SEGMENT`` characters or more, up to four times as many as the edits can touch and
+    always more than those: one each, two for an exchange of neighbours. So a partner keeps all but those few, moved by ``t`` places at most, and has one of
+    *any* so many plus one: the rarest of the candidate's segments are its keys. Candidates too short for as many segments go by a common character
+    (edits touch one each), those of no more than ``t`` by length alone. Segments of more than ``HOT`` candidates are dealt to several
+    tasks, queries to each of them; segments that no candidate has as a key are dropped from the queries.
+    """
+    lost = 0 if t < 1 else 2 * t if method == "damerau" else t
+    shift = 0 if method == "hamming" else t
+    size = F.col("size")
+    parts = F.when(size > lost, F.greatest(F.lit(lost + 1), F.least(F.floor(size / SEGMENT), F.lit(4 * (lost + 1))))).otherwise(F.lit(0)).cast("int")
+    start = lambda i, n, k: F.floor(i * n / k).cast("int")
+
+    def cut(i):
+        lo, hi = start(i, size, F.col("parts")), start(i + 1, size, F.col("parts"))
+        return F.struct(i.alias("i"), F.substr("candidate", lo + 1, hi - lo).alias("key"))
+
+    d = c.withColumn("size", F.length("candidate")).withColumn("parts", parts)
+    whole = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), cut)
+    letters = F.transform(F.array_distinct(F.filter(_characters(F.col("candidate")), lambda ch: ch != "")), lambda ch: F.struct(F.lit(-1).alias("i"), ch.alias("key")))
+    none = F.array(F.struct(F.lit(-2).alias("i"), F.lit("").alias("key")))
+    keys = stored(d.select("candidate", "size", F.explode(F.when(F.col("parts") > 0, whole).when(size > t, letters).otherwise(none)).alias("s")).select("candidate", "size", "s.i", "s.key"))
+    seen = keys.groupBy("size", "i", "key").agg(F.count(F.lit(1)).alias("n"))
+    ranked = keys.join(seen, ["size", "i", "key"]).withColumn("place", F.row_number().over(Window.partitionBy("candidate").orderBy("n", "i", "key")))
+    keys = stored(ranked.where((F.col("i") < 0) | (F.col("place") <= lost + 1)).drop("place", "n"))
+    tasks = stored(keys.groupBy("size", "i", "key").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("tasks")))
+    # where each size's segments lie, and what the query has there or up to the shift beside
+    own = F.length("query")
+    asked = q.withColumn("size", F.explode(F.sequence(F.greatest(own - shift, F.lit(0)), own + shift))).withColumn("parts", parts)
+
+    def pieces(i):
+        lo, hi = start(i, size, F.col("parts")), start(i + 1, size, F.col("parts"))
+        first, last = F.greatest(lo - shift, F.lit(0)), F.least(lo + shift, own - (hi - lo))
+        at = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda p: F.struct(i.alias("i"), F.substr("query", p + 1, hi - lo).alias("key")))
+
+    there = F.flatten(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), pieces))
+    single = F.transform(F.array_distinct(F.filter(_characters(F.col("query")), lambda ch: ch != "")), lambda ch: F.struct(F.lit(-1).alias("i"), ch.alias("key")))
+    asked = asked.select("query", "size", F.explode(F.array_distinct(F.when(F.col("parts") > 0, there).when(size > t, single).otherwise(none))).alias("s")).select("query", "size", "s.i", "s.key")
+    asked = asked.join(tasks, ["size", "i", "key"]).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    dealt = keys.join(tasks, ["size", "i", "key"]).withColumn("task", F.pmod(F.xxhash64("candidate"), F.col("tasks")).cast("int")).drop("tasks")
+    return asked.join(dealt, ["size", "i", "key", "task"]).select("query", "candidate").distinct()
+
+
 def fuzzy_match(
     queries: DataFrame, candidates: DataFrame, query_col: str, candidate_col: str, methods: Sequence[str] = tuple(THRESHOLDS), thresholds: Mapping[str, float] | None = None, top: int | None = None
 ) -> DataFrame:
     """(query, candidate, method, distance, similarity, match_rank) of pairs within the method's threshold.
 
     Each side's distinct texts are compared once. Edit distances pair texts whose lengths differ by no more
-    than the threshold, joined by length, and of these only pairs whose character counts allow the distance (each
-    edit changes at most two of them) are compared; jaro and cosine pairs come from a prefix filter over rare
+    than the threshold and that share a rare segment, see ``_segment_pairs``; jaro and cosine pairs come from a prefix filter over rare
     characters, see ``_rare_first``. Texts without characters match by edit distances only. Similarity is a
     percentage; equal ones share the least rank; ``top`` keeps ranks up to it.
     """
@@ -173,8 +221,7 @@ def fuzzy_match(
             else:
                 pairs = pairs.withColumn("distance", cosine_distance(F.col("query"), F.col("candidate"))).where(F.col("distance") <= t + 1e-12).withColumn("s", 1 - F.col("distance"))
         else:
-            band = 0 if m == "hamming" else int(t)
-            pairs = q.withColumn("len", F.explode(F.sequence(la - band, la + band))).join(c.withColumn("len", lb), "len").drop("len")
+            pairs = _segment_pairs(q, c, m, int(t))
             if m == "levenshtein":
                 d = F.levenshtein("query", "candidate", int(t))
                 pairs = pairs.where(d >= 0)
