@@ -212,10 +212,10 @@ def compare_correlations(df: DataFrame, group: str, columns: Sequence[str]) -> D
 
 
 def histogram(df: DataFrame, column: str, width: float | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Counts by bin, centred on multiples of the width; the default width is a thirtieth of the range."""
+    """Counts by bin, centred on multiples of the width; the default width is a thirtieth of the range, 1 where that is empty or a point."""
     if width is None:
         lo, hi = df.agg(F.min(column), F.max(column)).first()
-        width = (hi - lo) / 30 or 1.0
+        width = 1.0 if lo is None else float(hi - lo) / 30 or 1.0
     bin_ = F.floor(F.col(column).cast("double") / width + 0.5) * width
     return df.where(F.col(column).isNotNull()).groupBy(*by, bin_.alias("bin")).count()
 

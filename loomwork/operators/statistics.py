@@ -10,40 +10,68 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.core import stored
 from loomwork.functions.ordered import average_ranks, in_blocks, numbered, quantile_values
 from loomwork.functions.special import chi2_cdf, f_cdf, t_cdf, t_quantile
 
 
-def goodness_of_fit(df: DataFrame, column: str, family: str = "gaussian") -> dict[str, float]:
-    """Chi-square of category counts against the family's density there, parameters by moments, expected shares scaled to 1."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).count()
-    rows = counts.orderBy("x").limit(100_001).collect()  # categories
-    if len(rows) > 100_000:
-        raise ValueError("more than 100000 categories")
-    x, o = np.array([r["x"] for r in rows]), np.array([r["count"] for r in rows], dtype=float)
-    n = o.sum()
-    m, v = (x * o).sum() / n, ((x - (x * o).sum() / n) ** 2 * o).sum() / max(n - 1, 1)
-    lg = np.vectorize(math.lgamma)
-    if family == "gaussian":
-        e = np.exp(-((x - m) ** 2) / (2 * v))
-    elif family == "poisson":
-        e = np.exp(x * math.log(m) - m - lg(x + 1))
-    elif family == "exponential":
-        e = np.exp(-x / m)
-    elif family == "geometric":
-        e = (1 - 1 / (1 + m)) ** x
-    elif family == "binomial":
-        size = max(x.max(), 1.0)
-        p = min(max(m / size, 1e-12), 1 - 1e-12)
-        e = np.exp(lg(size + 1) - lg(x + 1) - lg(size - x + 1) + x * math.log(p) + (size - x) * math.log1p(-p))
-    elif family == "negative_binomial":
-        r = m * m / max(v - m, 1e-12)
-        e = np.exp(lg(x + r) - lg(x + 1) - math.lgamma(r) + r * math.log(r / (r + m)) + x * math.log(m / (r + m)))
-    else:
+def _log_shares(family: str, m: float, v: float, most: float) -> Callable[[np.ndarray], np.ndarray]:
+    """The logarithm of a family's density by moments (mean, variance, greatest value), but for a constant; minus infinity where it has none."""
+    lg = np.vectorize(math.lgamma, otypes=[float])
+    if family not in ("gaussian", "poisson", "exponential", "geometric", "binomial", "negative_binomial"):
         raise ValueError(f"no such family: {family}")
-    e = e / e.sum() * n
-    chi2 = float(((o - e) ** 2 / e).sum())
-    return {"chi2": chi2, "df": len(x) - 1, "p": 1 - chi2_cdf(chi2, len(x) - 1)}
+
+    def f(x: np.ndarray) -> np.ndarray:
+        if family == "gaussian":
+            return -((x - m) ** 2) / (2 * v) if v > 0 else np.zeros(len(x))
+        if m <= 0:  # all of it at 0
+            return np.where(x == 0, 0.0, -np.inf)
+        ok = x >= 0
+        y = np.where(ok, x, 0.0)
+        if family == "poisson":
+            e = y * math.log(m) - lg(y + 1)
+        elif family == "exponential":
+            e = -y / m
+        elif family == "geometric":
+            e = y * math.log(1 - 1 / (1 + m))
+        elif family == "binomial":
+            size = max(most, 1.0)
+            p = min(max(m / size, 1e-12), 1 - 1e-12)
+            e = -lg(y + 1) - lg(size - y + 1) + y * math.log(p) + (size - y) * math.log1p(-p)
+        else:
+            r = m * m / max(v - m, 1e-12)
+            e = lg(y + r) - lg(y + 1) + y * math.log(m / (r + m))
+        return np.where(ok, e, -np.inf)
+
+    return f
+
+
+def goodness_of_fit(df: DataFrame, column: str, family: str = "gaussian") -> dict[str, float | None]:
+    """Chi-square of category counts against the family's density there, parameters by moments, expected shares scaled to 1.
+
+    Categories are counted, weighed and added up by the tasks, any number of them. A category that the family gives no share makes chi2
+    infinite and p 0; a single category fits (p is 1); a column without values has no figures (None).
+    """
+    _log_shares(family, 1.0, 1.0, 1.0)
+    x = F.col(column).cast("double")
+    counts = stored(df.where(x.isNotNull()).groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("o")))
+    s = counts.agg(F.count(F.lit(1)).alias("k"), F.sum("o").alias("n"), F.sum(F.col("x") * F.col("o")).alias("s"), F.max("x").alias("most")).first()
+    k, n = s["k"], s["n"]
+    if not k:
+        return {"chi2": None, "df": None, "p": None}
+    m = s["s"] / n
+    v = counts.agg(F.sum((F.col("x") - F.lit(m)) * (F.col("x") - F.lit(m)) * F.col("o"))).first()[0] / max(n - 1, 1)
+    f = _log_shares(family, m, v, s["most"])
+    log_share = F.pandas_udf(lambda x: pd.Series(f(x.to_numpy(dtype=float))), "double")
+    weighed = stored(counts.select("o", log_share("x").alias("e")))
+    top = weighed.agg(F.max("e")).first()[0]
+    if top == -math.inf:
+        return {"chi2": math.inf, "df": k - 1, "p": 0.0}
+    shares = weighed.select("o", F.exp(F.col("e") - F.lit(top)).alias("e"))
+    scale = n / shares.agg(F.sum("e")).first()[0]
+    e = F.col("e") * F.lit(scale)
+    chi2 = shares.agg(F.sum(F.when(e > 0, (F.col("o") - e) * (F.col("o") - e) / e).otherwise(math.inf))).first()[0]
+    return {"chi2": chi2, "df": k - 1, "p": 1.0 if k == 1 else 0.0 if chi2 == math.inf else 1 - chi2_cdf(chi2, k - 1)}
 
 
 def _per_value(f: Callable[[float], float]) -> Callable[..., Column]:
@@ -59,7 +87,8 @@ def _per_value(f: Callable[[float], float]) -> Callable[..., Column]:
 def best_distribution(df: DataFrame, column: str, criterion: str = "aic") -> list[dict[str, float | str]]:
     """Families by AIC (or BIC), best first, fitted by maximum likelihood from one aggregate.
 
-    Negative values leave only the gaussian; poisson needs integers, gamma and log-normal positive values.
+    Negative values leave only the gaussian; poisson needs integers, gamma and log-normal positive values; where all values are
+    equal, those with a variance (whose likelihood has no bound) are left out. A column without values has no fits.
     """
     x = F.col(column).cast("double")
     s = df.where(x.isNotNull()).agg(
@@ -67,7 +96,9 @@ def best_distribution(df: DataFrame, column: str, criterion: str = "aic") -> lis
         F.avg(F.when(x > 0, F.log(x))).alias("ml"), F.var_pop(F.when(x > 0, F.log(x))).alias("vl"),
     ).first()
     n, m = s["n"], s["m"]
-    fits = [("gaussian", 2, -n / 2 * (math.log(2 * math.pi * s["v"]) + 1))]
+    if not n:
+        return []
+    fits = [("gaussian", 2, -n / 2 * (math.log(2 * math.pi * s["v"]) + 1))] if s["v"] > 0 else []
     if s["lo"] >= 0 and m > 0:
         if s["whole"]:
             counts = df.where(x.isNotNull()).groupBy(x.alias("x")).count()
@@ -75,9 +106,10 @@ def best_distribution(df: DataFrame, column: str, criterion: str = "aic") -> lis
             fits.append(("poisson", 1, s["s"] * math.log(m) - n * m - factorials))
         fits.append(("exponential", 1, -n * math.log(m) - n))
     if s["lo"] > 0:
-        fits.append(("log_normal", 2, -n / 2 * (math.log(2 * math.pi * s["vl"]) + 1) - n * s["ml"]))
+        if s["vl"] > 0:
+            fits.append(("log_normal", 2, -n / 2 * (math.log(2 * math.pi * s["vl"]) + 1) - n * s["ml"]))
         gap = math.log(m) - s["ml"]
-        if gap > 0:
+        if gap > 0 and s["v"] > 0:
             a = (3 - gap + math.sqrt((gap - 3) ** 2 + 24 * gap)) / (12 * gap)
             for _ in range(50):  # Newton on log a - digamma(a) = gap, derivatives by differences of lgamma
                 h = 1e-5 * a
@@ -223,24 +255,32 @@ def mediation(df: DataFrame, x: str, m: str, y: str) -> DataFrame:
 
 
 def least_squares(df: DataFrame, y: str, x: Sequence[str]) -> dict[str, object]:
-    """Coefficients (intercept first), standard errors and fit figures of a linear model, from one aggregate of products."""
+    """Coefficients (intercept first), standard errors and fit figures of a linear model, from one aggregate of products.
+
+    Figures that aren't defined (no spare rows, an exact fit, a constant ``y``) are None; without a complete row it raises ValueError.
+    """
     names = ["1", *x]
     cols = [F.lit(1.0), *[F.col(c).cast("double") for c in x], F.col(y).cast("double")]
     k = len(cols)
     d = df.dropna(subset=[y, *x])
     s = d.agg(*[F.sum(cols[i] * cols[j]).alias(f"{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+    if s["0_0"] is None:
+        raise ValueError("no complete rows")
     g = np.array([[s[f"{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-    n, p = g[0, 0], k - 1
+    n, p = int(g[0, 0]), k - 1
     inv = np.linalg.pinv(g[:p, :p])
     beta = inv @ g[:p, p]
-    rss = float(g[p, p] - beta @ g[:p, p])
+    rss = max(0.0, float(g[p, p] - beta @ g[:p, p]))
     tss = float(g[p, p] - g[0, p] ** 2 / n)
-    se = np.sqrt(np.maximum(0, np.diag(inv)) * rss / (n - p))
-    ll = -n / 2 * (math.log(2 * math.pi * rss / n) + 1)
-    fstat = (tss - rss) / max(p - 1, 1) / (rss / (n - p))
+    s2 = rss / (n - p) if n > p else None
+    se = [None] * p if s2 is None else np.sqrt(np.maximum(0, np.diag(inv)) * s2).tolist()
+    ll = -n / 2 * (math.log(2 * math.pi * rss / n) + 1) if rss > 0 else None
+    fstat = (tss - rss) / max(p - 1, 1) / s2 if s2 else None
     return {
-        "coefficients": dict(zip(names, beta.tolist(), strict=True)), "standard_errors": dict(zip(names, se.tolist(), strict=True)), "n": int(n), "mse": rss / n, "rmse": math.sqrt(rss / n),
-        "r2": 1 - rss / tss, "adjusted_r2": 1 - (rss / (n - p)) / (tss / (n - 1)), "aic": 2 * (p + 1) - 2 * ll, "bic": math.log(n) * (p + 1) - 2 * ll, "f": fstat, "p": 1 - f_cdf(fstat, p - 1, n - p) if p > 1 else None,
+        "coefficients": dict(zip(names, beta.tolist(), strict=True)), "standard_errors": dict(zip(names, se, strict=True)), "n": n, "mse": rss / n, "rmse": math.sqrt(rss / n),
+        "r2": 1 - rss / tss if tss > 0 else None, "adjusted_r2": 1 - s2 / (tss / (n - 1)) if s2 is not None and tss > 0 else None,
+        "aic": None if ll is None else 2 * (p + 1) - 2 * ll, "bic": None if ll is None else math.log(n) * (p + 1) - 2 * ll,
+        "f": fstat, "p": 1 - f_cdf(fstat, p - 1, n - p) if p > 1 and fstat is not None else None,
     }
 
 

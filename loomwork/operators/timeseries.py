@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.core import require_columns, stored
-from loomwork.functions.ordered import in_blocks, numbered, quantiles
+from loomwork.functions.ordered import in_blocks, numbered, quantiles, running_before
 
 UNITS = ("day", "week", "month", "quarter", "year")
+#: Exponential smoothing: rows of a series that one task works on, and how far back the start of a block lies (0.99 ** 8192 is under 1e-35).
+SMOOTHED_ROWS = 1 << 16
+MEMORY = 1 << 13
 
 
 def bucketed_series(df: DataFrame, date_col: str, value_col: str, unit: str = "day", window: int = 7, bar: str = "sum", line: str = "mean") -> DataFrame:
@@ -141,34 +144,44 @@ def grid_search(df: DataFrame, time_col: str, value_col: str, lags: Sequence[int
     return out.withColumn("best", F.row_number().over(Window.orderBy("error", "lag", "decay")) == 1)  # a row per pair
 
 
-def brown_smoothing(df: DataFrame, time_col: str, value_col: str, alphas: Sequence[float], k: int = 5, ahead: int = 1, series: Sequence[str] = ()) -> DataFrame:
-    """Double exponential smoothing for each alpha: series, alpha, sse, rmse, level and trend at the end, best.
+def brown_smoothing(df: DataFrame, time_col: str, value_col: str, alphas: Sequence[float], k: int = 5, ahead: int = 1, series: Sequence[str] = (), block: int = SMOOTHED_ROWS) -> DataFrame:
+    """Double exponential smoothing for each alpha (from 0.01 to 0.99): series, alpha, sse, rmse, level and trend at the end, best.
 
     The first ``k`` values' trend line starts both averages; from the second value on each is smoothed.
-    Errors are of forecasts ``ahead`` steps on, from step ``k`` to the end. A series is one array in a row:
-    meant for many series, each of bounded length.
+    Errors are of forecasts ``ahead`` steps on, from step ``k`` to the end. A series may be of any length: rows are numbered and dealt to
+    tasks in blocks. What lies more than ``MEMORY`` rows back weighs less than 1e-31, so a block starts that far before its own rows and a task
+    holds a block and no more. Rows without a time or value are left out, and series of no more than ``k + ahead`` rows.
     """
+    if k < 2 or ahead < 1:
+        raise ValueError("k must be at least 2, ahead at least 1")
     alphas = [min(0.99, max(0.01, a)) for a in alphas]
-    d = df.groupBy(*series).agg(F.transform(F.array_sort(F.collect_list(F.struct(time_col, F.col(value_col).cast("double").alias("v")))), lambda s: s["v"]).alias("x"))
-    d = d.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
+    d = df.select(*series, F.col(time_col).alias("__t"), F.col(value_col).cast("double").alias("__v")).where("__t is not null and __v is not null")
+    d = running_before(d.withColumn("__one", F.lit(1).cast("long")), ["__t"], "__one", series, "__rn").withColumn("__rn", F.col("__rn") + 1)
+    block = max(block, MEMORY, k + ahead)
+    d = in_blocks(d, MEMORY, ahead, block).groupBy(*series, "__block").agg(F.array_sort(F.collect_list(F.struct("__rn", "__v"))).alias("__rows"), F.max("__own").alias("__any"))
+    d = d.where("__any").select(*series, "__block", F.transform("__rows", lambda r: r["__v"]).alias("x"), (F.col("__rows")[0]["__rn"] - 1).cast("int").alias("__skip"))
+    d = d.where((F.col("__block") > 0) | (F.size("x") > k + ahead)).withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
     head, i = F.slice("x", 1, k), F.transform(F.sequence(F.lit(1), F.lit(k)), lambda t: t.cast("double"))
     mean = F.aggregate(head, F.lit(0.0), lambda s, v: s + v) / k
     slope = F.aggregate(F.zip_with(head, i, lambda v, t: v * (t - (k + 1) / 2)), F.lit(0.0), lambda s, v: s + v) / (k * (k * k - 1) / 12)
     d = d.withColumn("b", slope).withColumn("a", mean - slope * (k + 1) / 2)
-    q = (1 - F.col("alpha")) / F.col("alpha")
-    start = F.struct((F.col("a") - q * F.col("b")).alias("s1"), (F.col("a") - 2 * q * F.col("b")).alias("s2"), F.lit(0.0).alias("sse"), F.lit(0).alias("n"))
+    q, far = (1 - F.col("alpha")) / F.col("alpha"), F.col("__block") > 0
+    s1, s2 = (F.when(far, F.get("x", F.lit(0))).otherwise(F.col("a") - times * q * F.col("b")) for times in (1, 2))
+    start = F.struct(s1.alias("s1"), s2.alias("s2"), F.lit(0.0).alias("sse"), F.lit(0).alias("n"))
 
     def step(s: Column, t: Column) -> Column:
         v = F.element_at("x", t)
         s1 = F.col("alpha") * v + (1 - F.col("alpha")) * s["s1"]
         s2 = F.col("alpha") * s1 + (1 - F.col("alpha")) * s["s2"]
         forecast = 2 * s1 - s2 + F.col("alpha") / (1 - F.col("alpha")) * (s1 - s2) * ahead
-        counts = (t >= k) & (t <= F.size("x") - ahead)
+        at = t + F.col("__skip")  # its number in the series
+        counts = (at >= k) & (t <= F.size("x") - ahead) & (F.floor((at - 1) / block) == F.col("__block"))
         e = F.get("x", t + ahead - 1) - forecast
         return F.struct(s1.alias("s1"), s2.alias("s2"), F.when(counts, s["sse"] + e * e).otherwise(s["sse"]).alias("sse"), (s["n"] + counts.cast("int")).alias("n"))
 
-    d = d.where(F.size("x") > k + ahead).withColumn("end", F.aggregate(F.sequence(F.lit(2), F.size("x")), start, step))
-    rows = d.select(*series, "alpha", F.col("end.sse").alias("sse"), F.sqrt(F.col("end.sse") / F.col("end.n")).alias("rmse"), (2 * F.col("end.s1") - F.col("end.s2")).alias("level"), (F.col("alpha") / (1 - F.col("alpha")) * (F.col("end.s1") - F.col("end.s2"))).alias("trend"))
+    d = d.withColumn("end", F.aggregate(F.sequence(F.lit(2), F.size("x")), start, step))
+    level, trend = 2 * F.col("end.s1") - F.col("end.s2"), F.col("alpha") / (1 - F.col("alpha")) * (F.col("end.s1") - F.col("end.s2"))
+    rows = d.groupBy(*series, "alpha").agg(F.sum("end.sse").alias("sse"), F.sqrt(F.sum("end.sse") / F.sum("end.n")).alias("rmse"), F.max_by(level, "__block").alias("level"), F.max_by(trend, "__block").alias("trend"))
     best = Window.partitionBy(*series).orderBy("sse", "alpha")
     return rows.withColumn("best", F.row_number().over(best) == 1)
 
