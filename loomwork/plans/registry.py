@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.operators import association, attribution, charts, cleaning, fuzzy, graph, hypothesis, imputing, inference, intervals, mixed, models, outliers, paths, places, preparing, profiling, responses, robust, sentiment, smoothing, spectral, statistics, timeseries
+from loomwork.operators import association, attribution, charts, cleaning, fuzzy, graph, hypothesis, imputing, inference, intervals, mixed, models, outliers, paths, places, preparing, profiling, responses, robust, selecting, sentiment, smoothing, spectral, statistics, timeseries
 from loomwork.streaming import journeys
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -975,6 +975,22 @@ def decomposed_events(spark, sf_dir):
     return rounded(smoothing.strengths(smoothing.decompose(d, "hour", "n", 24, series=["event_type"]), ["event_type"]), 6, "seasonal_strength", "trend_strength")
 
 
+def _order_predictors(spark, sf_dir):
+    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"), F.sum("l_extendedprice").alias("price"))
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", F.month("o_orderdate").alias("month"), F.dayofweek("o_orderdate").alias("weekday"))
+    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+
+
+@query()
+def shadow_predictors(spark, sf_dir):
+    return selecting.shadow_selection(_order_predictors(spark, sf_dir), "o_orderkey", "price", ["lines", "quantity", "discount", "month", "weekday"], rounds=12, trees=10)
+
+
+@query()
+def sparse_predictors(spark, sf_dir):
+    return rounded(selecting.sparse_linear(_order_predictors(spark, sf_dir), "o_orderkey", "price", ["lines", "quantity", "discount", "month", "weekday"], folds=5), 4, "coefficient", "penalty")
+
+
 @query("SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice / 50 AS b, least(p_size, p_retailprice / 50) AS low, greatest(p_size, p_retailprice / 50) AS high, CASE WHEN p_size <= p_retailprice / 50 THEN 'b' ELSE 'a' END AS top FROM part")
 def filled_series(spark, sf_dir):
     d = load(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), (F.col("p_retailprice") / 50).alias("b"))
