@@ -16,6 +16,9 @@ from loomwork.operators.inference import isolation_scores
 from loomwork.operators.neighbours import nearest_rows
 from loomwork.operators.robust import elliptic_flags, one_class_flags
 
+#: About so many points of a cell are compared in one task.
+CELL_ROWS = 4096
+
 
 def _with_stats(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats))  # one row
@@ -97,19 +100,32 @@ def _squared(a: Sequence[Column], b: Sequence[Column]) -> Column:
 def noise_flags(df: DataFrame, id_col: str, columns: Sequence[str], eps: float = 0.5, min_points: int = 5, out: str = "outlier") -> DataFrame:
     """Points without a dense point within ``eps`` (a dense one has ``min_points`` or more there, itself included).
 
-    Neighbours are sought in a point's own and adjoining cells of side ``eps``. Equal points are one
-    row with a count, so repeats cost nothing.
+    Equal points are one row with a count. All points of a cell with a diagonal of ``eps`` are neighbours; so in one that holds
+    ``min_points`` all are dense, and none is compared. Only the others ask, in their own and adjoining cells of side ``eps``: of them
+    a cell has a bounded number, whatever its density, so the work is linear. Cells of many points are dealt to tasks in blocks.
+    Rows with a null or NaN have a null flag.
     """
     known = df.dropna(subset=list(columns))
+    side = eps / math.sqrt(len(columns)) * (1 - 1e-9)
     points = known.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
-    near = _cells(points, columns, eps)
+    points = stored(_cells(points, columns, eps).withColumn("__small", F.array(*[F.floor(F.col(c) / side).cast("long") for c in columns])))
+    full = points.groupBy("__small").agg(F.sum("__n").alias("__t")).where(F.col("__t") >= min_points).select("__small", F.lit(True).alias("__full"))
+    points = stored(points.join(full, "__small", "left").withColumn("__full", F.coalesce("__full", F.lit(False))).drop("__small"))
+    crowded = stored(points.groupBy("__cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("__blocks")).where("__blocks > 1"))
+    blocks = F.coalesce("__blocks", F.lit(1))
+    others = {c: f"__o_{c}" for c in columns}
+    home = points.join(crowded, "__cell", "left").withColumn("__block", F.pmod(F.xxhash64(*columns), blocks).cast("int"))
+    home = home.select("__cell", "__block", *[F.col(c).alias(o) for c, o in others.items()], F.col("__n").alias("__on"), F.col("__full").alias("__ofull"))
+    near = points.where("not __full").select(*columns, F.col("__cell").alias("__own"))
     for i in range(len(columns)):
-        near = near.withColumn(f"__k{i}", F.explode(F.array(*[F.get("__cell", i) + s for s in (-1, 0, 1)])))
-    keys = [f"__k{i}" for i in range(len(columns))]
-    home = _cells(points, columns, eps).select(*[F.get("__cell", i).alias(k) for i, k in enumerate(keys)], *[F.col(c).alias(f"__o_{c}") for c in columns], F.col("__n").alias("__on"))
-    pairs = near.join(home, keys).where(_squared([F.col(c) for c in columns], [F.col(f"__o_{c}") for c in columns]) <= eps * eps)
-    dense = pairs.groupBy(*columns).agg(F.sum("__on").alias("__m")).where(F.col("__m") >= min_points).select(*[F.col(c).alias(f"__o_{c}") for c in columns])
-    reached = pairs.join(dense, [f"__o_{c}" for c in columns]).select(*columns).distinct().withColumn(out, F.lit(0))
+        near = near.withColumn(f"__k{i}", F.explode(F.array(*[F.get("__own", i) + s for s in (-1, 0, 1)])))
+    near = near.select(*columns, F.array(*[F.col(f"__k{i}") for i in range(len(columns))]).alias("__cell")).join(crowded, "__cell", "left")
+    near = near.withColumn("__block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("__blocks")
+    pairs = near.join(home, ["__cell", "__block"]).where(_squared([F.col(c) for c in columns], [F.col(o) for o in others.values()]) <= eps * eps)
+    counts = stored(pairs.groupBy(*columns).agg(F.sum("__on").alias("__m"), F.max("__ofull").alias("__touched")))
+    dense = counts.where(F.col("__m") >= min_points).select(*[F.col(c).alias(o) for c, o in others.items()])
+    sparse = pairs.where("not __ofull").join(dense, list(others.values())).select(*columns)
+    reached = points.where("__full").select(*columns).union(counts.where("__touched").select(*columns)).union(sparse).distinct().withColumn(out, F.lit(0))
     flags = known.join(reached, list(columns), "left").withColumn(out, F.coalesce(out, F.lit(1)))
     return flags.select(id_col, *columns, out).unionByName(df.join(known.select(id_col), id_col, "left_anti").select(id_col, *columns, F.lit(None).cast("int").alias(out)))
 

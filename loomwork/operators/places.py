@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.core import stored
+from loomwork.operators.neighbours import nearest_rows
+
 
 def centroid(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.avg(x).alias("x"), F.avg(y).alias("y"))
@@ -17,17 +20,12 @@ def centroid(df: DataFrame, x: str, y: str) -> DataFrame:
 def nearest_points(df: DataFrame, id_col: str, x: str, y: str, cell: float) -> DataFrame:
     """(id, neighbour, distance): the nearest other point within ``cell`` of each point, ties to the smaller id; null beyond.
 
-    Points meet through a grid of that width, so only points of adjoining cells are compared.
+    Found by ``neighbours.nearest_rows``, whose leaves follow the density of the points: a crowded place costs no more than another.
+    Points without x or y are left out; ids must be unique.
     """
-    p = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    i, j = F.floor(F.col("x") / cell), F.floor(F.col("y") / cell)
-    near = F.array(*[F.struct((i + a).alias("i"), (j + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    left = p.withColumn("c", F.explode(near)).select("id", "x", "y", F.col("c.i").alias("i"), F.col("c.j").alias("j"))
-    right = p.select(F.col("id").alias("neighbour"), F.col("x").alias("u"), F.col("y").alias("v"), i.alias("i"), j.alias("j"))
-    d = F.sqrt((F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) + (F.col("y") - F.col("v")) * (F.col("y") - F.col("v")))
-    pairs = left.join(right, ["i", "j"]).where("id != neighbour").withColumn("distance", d).where(F.col("distance") <= cell)
-    best = pairs.groupBy("id").agg(F.min(F.struct("distance", "neighbour")).alias("b"))
-    return p.select("id").join(best, "id", "left").select(F.col("id").alias(id_col), F.col("b.neighbour").alias("neighbour"), F.col("b.distance").alias("distance"))
+    p = stored(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(id_col).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    best = nearest_rows(p, "id", ["x", "y"], 1).where(F.col("d") <= cell).withColumnRenamed("id", "asked")
+    return p.select("id").join(best, F.col("id") == F.col("asked"), "left").select(F.col("id").alias(id_col), F.col("o").alias("neighbour"), F.col("d").alias("distance"))
 
 
 def _hull(points: np.ndarray) -> np.ndarray:
