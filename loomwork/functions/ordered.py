@@ -70,10 +70,14 @@ def in_blocks(df: DataFrame, back: int = 0, ahead: int = 0, block: int = BLOCK,
     return df.withColumn("__block", F.explode(F.array_compact(blocks))).withColumn("__own", F.col("__block") == at)
 
 
+def ranks_of_counts(counts: DataFrame) -> DataFrame:
+    """(x, ties, rank) of a table with a row per value ``x`` and how often it occurs, ``ties``: ties share their mean rank."""
+    return running_before(counts, ["x"], "ties").select("x", "ties", (F.col("before") + (F.col("ties") + 1) / 2).alias("rank"))
+
+
 def average_ranks(df: DataFrame, column: str) -> DataFrame:
     """(x, ties, rank) of distinct known values: ties share their mean rank."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count(F.lit(1)).alias("ties"))
-    return running_before(counts, ["x"], "ties").select("x", "ties", (F.col("before") + (F.col("ties") + 1) / 2).alias("rank"))
+    return ranks_of_counts(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count(F.lit(1)).alias("ties")))
 
 
 def _rows_and_bounds(df: DataFrame, named: Mapping[str, Column], keys: Sequence[str], by: Sequence[str], ends: Sequence[float], bracket: float) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.core import stored
-from loomwork.functions.ordered import average_ranks, in_blocks, numbered, quantile_values
+from loomwork.functions.ordered import in_blocks, numbered, quantile_values, ranks_of_counts
 from loomwork.functions.special import chi2_cdf, f_cdf, t_cdf, t_quantile
 
 
@@ -191,8 +191,8 @@ def random_numbers(spark: SparkSession, family: str, n: int, parameters: Sequenc
 
 def group_ranks(df: DataFrame, column: str, group: str) -> DataFrame:
     """(group, x, n, ties, rank): how often each group has each distinct value, how often all have it, and its mean rank."""
-    known = df.where(F.col(column).isNotNull()).groupBy(group, F.col(column).alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    return known.join(average_ranks(df, column), "x")
+    known = stored(df.where(F.col(column).isNotNull()).groupBy(group, F.col(column).alias("x")).agg(F.count(F.lit(1)).alias("n")))
+    return known.join(ranks_of_counts(known.groupBy("x").agg(F.sum("n").alias("ties"))), "x")
 
 
 def kruskal_wallis(df: DataFrame, column: str, group: str) -> DataFrame:
