@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,15 +33,20 @@ def _lower(host: Column) -> Column:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def candidate_keys(host: Column, path: Column, label_counts: list[int], path_lengths: list[int]) -> Column:
-    """All (host, path) rules that could cover a url, as host || path, for rules whose hosts have so many labels and whose paths these lengths.
+def candidate_keys(host: Column, path: Column, shapes: Mapping[int, Sequence[int]]) -> Column:
+    """All (host, path) rules that could cover a url, as host || path; ``shapes`` has the path lengths of the rules by the label count of their hosts.
 
-    Longer suffixes than any rule's aren't formed, so a host of very many labels costs no more than its length.
+    Only label counts and lengths that a rule has together are formed. Longer suffixes than any rule's aren't, so a host of very many
+    labels costs no more than its length.
     """
     labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
-    suffixes = F.array_compact(F.array(*[F.when(labels >= n, F.substring_index(host, ".", -n)) for n in label_counts]))
-    prefixes = F.array_compact(F.array(*[F.when(F.length(path) >= n, path.substr(1, n)) for n in path_lengths]))
-    return F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
+    none = F.array().cast("array<string>")
+
+    def keys(n: int, lengths: Sequence[int]) -> Column:
+        suffix, fit = F.substring_index(host, ".", -n), F.filter(F.array(*[F.lit(m) for m in lengths]), lambda m: m <= F.length(path))
+        return F.when(labels >= n, F.transform(fit, lambda m: F.concat(suffix, F.substr(path, F.lit(1), m)))).otherwise(none)
+
+    return F.concat(*[keys(n, lengths) for n, lengths in sorted(shapes.items())])
 
 
 def _slots(key: Column, level: int, hashes: int, bits: int) -> Column:
@@ -156,13 +162,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     rules = rules.groupBy("h", "p").agg(F.min("verdict").alias("verdict"))
     labels = F.length("h") - F.length(F.replace(F.col("h"), F.lit("."), F.lit(""))) + 1
     rules = materialise(rules.select(F.concat("h", "p").alias("key"), "verdict", F.length("p").alias("n"), labels.alias("labels")), "url-rules")
-    lengths, counts = (sorted(r[0] for r in rules.select(c).distinct().collect()) for c in ("n", "labels"))  # distinct lengths: bounded by the longest rule
-    if not lengths:
+    shapes = {r["labels"]: sorted(r["n"]) for r in rules.groupBy("labels").agg(F.collect_set("n").alias("n")).collect()}  # distinct lengths: bounded by the longest rule
+    if not shapes:
         return d.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
     names = materialise(numbered(rules.select("verdict").distinct(), ["verdict"], "number").withColumn("number", F.col("number") - 1), "url-verdicts")
     kinds = names.count()
     rules = materialise(rules.join(names, "verdict").select("key", "number"), "url-rules")
-    keyed = d.withColumn("__keys", F.when(F.col("host") != "", candidate_keys(F.col("host"), F.col("path"), counts, lengths)).otherwise(F.array().cast("array<string>")))
+    keyed = d.withColumn("__keys", F.when(F.col("host") != "", candidate_keys(F.col("host"), F.col("path"), shapes)).otherwise(F.array().cast("array<string>")))
     universe = materialise(keyed.select(F.explode("__keys").alias("key")).distinct(), "url-universe")
     listed = BloomCascade(rules, universe)
     digits = [BloomCascade(rules.where(F.getbit("number", F.lit(i)) == 1), rules) for i in range((kinds - 1).bit_length())]
