@@ -248,7 +248,7 @@ def test_outlier_dispatch(spark):
     d = spark.createDataFrame([(i, float(i % 10), float(i % 7)) for i in range(60)] + [(60, 500.0, 500.0), (61, None, 1.0)], "id int, x double, y double")
     out = {r["id"]: r.asDict() for r in outliers.detect_outliers(d, "id", ["x", "y"], eps=2.0).collect()}
     flags = [c for c in out[60] if c.endswith("_outlier")]
-    assert len(flags) == 2 * 5 + 4 and len(out) == 62
+    assert len(flags) == 2 * 5 + 6 and len(out) == 62
     assert all(out[60][f] == 1 for f in flags) and all(out[61][f] is None for f in flags if f.startswith(("x_", "multivariate_m")))
     assert sum(out[i]["x_tukey_outlier"] for i in range(60)) == 0
     with pytest.raises(ValueError, match="methods"):
