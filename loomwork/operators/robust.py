@@ -19,6 +19,8 @@ from loomwork.functions.special import chi2_quantile
 SAMPLE = 1500
 #: Random features that stand for the radial kernel, and bins of the scores in which a pass adds them up.
 FEATURES, BINS = 256, 512
+#: Rows from which on one more task scores them, as far as there are cores.
+TASK_ROWS = 5_000
 
 
 @dataclass
@@ -192,16 +194,38 @@ def _bin_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([(k, *v) for k, v in held.items()], columns=["k", "n", "s", "least", "most"])
 
 
+def _least_norm(corners: list[np.ndarray], shares: np.ndarray, corner: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The corners and their shares in the shortest average of ``corners`` (whose own is ``shares``) and one more; no more are kept than needed (Wolfe's corral)."""
+    corners, shares = [*corners, corner], np.append(shares, 0.0)
+    while True:
+        a = np.array(corners)
+        g = a @ a.T
+        m = np.ones((len(a) + 1, len(a) + 1))
+        m[0, 0], m[1:, 1:] = 0.0, g / (np.trace(g) / len(a) or 1.0)
+        to = np.linalg.lstsq(m, np.append(1.0, np.zeros(len(a))), rcond=None)[0][1:]
+        if (to > -1e-12).all():
+            to = np.maximum(to, 0.0)
+            return corners, to / to.sum()
+        down = to <= -1e-12
+        t = (shares[down] / (shares[down] - to[down])).min()  # as far as all shares stay positive; who reaches none goes
+        shares = shares + t * (to - shares)
+        keep = shares > 1e-12
+        keep[down] &= shares[down] > shares[down].min()
+        corners, shares = [c for c, k in zip(corners, keep, strict=True) if k], shares[keep] / shares[keep].sum()
+
+
 def fit_one_class(rows: DataFrame, names: Sequence[str], nu: float, gamma: float, features: int = FEATURES, passes: int = 60, tolerance: float = 1e-3, seed: int = 1) -> OneClass:
     """The one-class machine over scaled ``rows``, by conditional gradients on its dual: least |w| over averages w of features with no row's weight above 1 / (nu n).
 
     Each pass scores all rows where they are and adds up features by bins of the score; the average of the lowest ``nu`` of them (the last
-    bin in part) is the corner of the dual to go to, an exact line search says how far. What a pass sends is a row a task and bin, and the
-    gap to the optimum is known after each.
+    bin in part) is the corner of the dual to go to, and w becomes the shortest average of the corners found so far, which needs about half the
+    passes of going straight to each. What a pass sends is a row a task and bin to no more tasks than it has itself, and the gap to the optimum is known after each.
     """
     rng = np.random.default_rng(seed)
     model = OneClass(rng.normal(0, math.sqrt(2 * gamma), (len(names), features)), rng.uniform(0, 2 * math.pi, features), np.zeros(features))
-    low, high, first = 0.0, 1.0, True
+    low, high, corners, shares = 0.0, 1.0, [], np.ones(1)
+    rows = rows.select(*names)
+    merging = min(rows.rdd.getNumPartitions(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     for _ in range(passes + 1):
         width = (high - low) / BINS or 1.0
 
@@ -211,20 +235,26 @@ def fit_one_class(rows: DataFrame, names: Sequence[str], nu: float, gamma: float
                 phi = model.features(_matrix(b, names))
                 score = phi @ model.weights
                 k = np.clip((score - low) / width, 0, BINS - 1).astype(int)
-                np.add.at(n, k, 1)
-                np.add.at(sums, k, phi)
+                order, count = np.argsort(k, kind="stable"), np.bincount(k, minlength=BINS)
+                at = np.flatnonzero(count)
+                n += count
+                if len(at):
+                    sums[at] += np.add.reduceat(phi[order], (np.cumsum(count) - count)[at])
                 least, most = min(least, score.min(initial=math.inf)), max(most, score.max(initial=-math.inf))
             at = np.flatnonzero(n)
             yield pd.DataFrame({"k": at, "n": n[at], "s": list(sums[at]), "least": least, "most": most})
 
-        got = rows.select(*names).mapInPandas(add, "k int, n double, s array<double>, least double, most double")
-        sums = got.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k").mapInPandas(_bin_sums, "k int, n double, s array<double>, least double, most double").orderBy("k").toPandas()  # a row per bin
+        got = rows.mapInPandas(add, "k int, n double, s array<double>, least double, most double")
+        if merging > 1:
+            got = got.repartition(merging, "k").mapInPandas(_bin_sums, "k int, n double, s array<double>, least double, most double")
+        sums = got.toPandas().sort_values("k")  # a row per bin
         if not len(sums):
             return model
         n, phi = sums["n"].to_numpy(), np.stack(sums["s"].to_list())
         total = n.sum()
-        if first:  # all scores are equal: the average of all rows is a corner of the dual as good as any
-            model.weights, first = phi.sum(0) / total, False
+        if not corners:  # all scores are equal: the average of all rows is a corner of the dual as good as any
+            model.weights = phi.sum(0) / total
+            corners = [model.weights]
             size = float(np.linalg.norm(model.weights)) or 1.0
             low, high = -2 * size, 2 * size
             continue
@@ -232,12 +262,11 @@ def fit_one_class(rows: DataFrame, names: Sequence[str], nu: float, gamma: float
         share = np.clip((room - (np.cumsum(n) - n)) / n, 0, 1)
         corner = (phi * share[:, None]).sum(0) / room
         w = model.weights
-        gap = float(w @ (w - corner))
-        model.gaps.append(gap / max(float(w @ w), 1e-300))
+        model.gaps.append(float(w @ (w - corner)) / max(float(w @ w), 1e-300))
         if model.gaps[-1] <= tolerance:
             break
-        step = min(1.0, max(0.0, gap / max(float((w - corner) @ (w - corner)), 1e-300)))
-        model = OneClass(model.directions, model.phases, w + step * (corner - w), model.gaps)
+        corners, shares = _least_norm(corners, shares, corner)
+        model = OneClass(model.directions, model.phases, shares @ np.array(corners), model.gaps)
         low, high = sums["least"].min(), sums["most"].max()
     return model
 
@@ -257,7 +286,8 @@ def one_class_flags(df: DataFrame, columns: Sequence[str], nu: float = 0.05, gam
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
         d = d.withColumn(names[i], F.when(~F.isnan(x), (x - F.lit(float(s[f"m{i}"]))) / F.lit(float(s[f"s{i}"] or 1.0))))
-    model = fit_one_class(stored(d.dropna(subset=names).select(*names)), names, nu, gamma or 1 / len(columns), features, seed=seed)
+    tasks = max(1, min(df.sparkSession.sparkContext.defaultParallelism, -(-s["n"] // TASK_ROWS)))
+    model = fit_one_class(stored(d.dropna(subset=names).select(*names).repartition(tasks)), names, nu, gamma or 1 / len(columns), features, seed=seed)
 
     @F.pandas_udf("double")
     def score(*x: pd.Series) -> pd.Series:

@@ -80,6 +80,23 @@ def test_one_class_agrees_with_dense_dual(spark):
     assert model.gaps[-1] <= 1e-3 and len(model.gaps) <= 61
 
 
+def test_one_class_settles_where_plain_steps_do_not(spark):
+    z = np.random.default_rng(5).normal(size=(400, 2))
+    z[:20] *= 4
+    fit = robust.fit_one_class(frame(spark, z).repartition(2), ["a", "b"], 0.1, 0.5)
+    assert fit.gaps[-1] <= 1e-3 and len(fit.gaps) <= 35  # straight steps: 0.0027 after 60
+
+
+def test_shortest_average_of_corners():
+    corners, shares = [np.array([2.0, 0.0])], np.ones(1)
+    added = [[0.0, 2.0], [-1.0, 3.0], [1.0, 0.5], [3.0, 3.0]]
+    for c in added:
+        corners, shares = robust._least_norm(corners, shares, np.array(c))
+    ends = [np.array(c) for c in [[2.0, 0.0], *added]]
+    least = min(np.linalg.norm(a * (1 - t) + b * t) for a in ends for b in ends for t in np.linspace(0, 1, 2001))
+    assert np.linalg.norm(shares @ np.array(corners)) == pytest.approx(least, rel=1e-5) and len(corners) <= 3
+
+
 def test_all_methods_together(spark):
     x = np.random.default_rng(6).normal(size=(200, 2))
     x[0] = [40, -40]
