@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.core import require_columns, stored
@@ -15,6 +15,10 @@ from loomwork.operators.models import random_forest
 
 #: Products of more predictors than this don't fit in one row.
 MOST_PREDICTORS = 200
+#: Rows in a range of the shuffled order, about, and ranges at most.
+RANGE_ROWS, MOST_RANGES = 100_000, 1 << 16
+#: Rounds whose copies are made together.
+TOGETHER = 3
 
 
 def _complete(df: DataFrame, id_col: str, target: str, features: Sequence[str]) -> DataFrame:
@@ -31,13 +35,28 @@ def _tail(hits: int, rounds: int) -> float:
     return sum(math.comb(rounds, i) for i in range(hits, rounds + 1)) / 2**rounds
 
 
-def shadow_table(d: DataFrame, columns: Sequence[str], seed: int) -> DataFrame:
-    """A table numbered by ``__rn`` with ``columns`` of another row beside each row's own, as ``s_``: a seeded shuffle of the whole table.
+def shuffled(d: DataFrame, columns: Sequence[str], seed: int, total: int) -> DataFrame:
+    """(__rn, s_...): the ``columns`` of a table of ``total`` rows numbered by ``__rn``, each row's under another number: a seeded shuffle of the whole table.
 
-    The rows are put in the order of a hash of their number and numbered again; the two numberings are joined.
+    The rows are put in the order of a hash of their number and numbered again. A hash is even, so its leading bits deal the order to
+    tasks, and counts by these bits (at most ``MOST_RANGES`` rows) say what lies before a range: rows move twice, and nothing is written.
     """
-    mixed = numbered(d.select("__rn", *columns).withColumn("__h", F.xxhash64("__rn", F.lit(seed))), ["__h", "__rn"], "__to")
-    return d.join(mixed.select(F.col("__to").alias("__rn"), *[F.col(c).alias(f"s_{c}") for c in columns]), "__rn")
+    n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(1, min(MOST_RANGES, max(8 * n, total // RANGE_ROWS)).bit_length() - 1)
+    at = F.xxhash64("__rn", F.lit(seed))  # not sent along: it can be had from the number
+    cell = F.shiftright(at, 64 - bits).alias("__cell")
+    counts = d.groupBy(cell).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = F.coalesce(F.sum("__n").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = counts.select(F.col("__cell").alias("__c"), earlier.alias("__before"))  # a row per range
+    mixed = d.select("__rn", *columns).repartition(n, cell).withColumn("__cell", cell)
+    mixed = mixed.withColumn("__in", F.row_number().over(Window.partitionBy("__cell").orderBy(at, "__rn")))
+    mixed = mixed.join(F.broadcast(before), F.col("__cell") == F.col("__c"))
+    return mixed.select((F.col("__before") + F.col("__in")).alias("__rn"), *[F.col(c).alias(f"s_{c}") for c in columns]).repartition(n, "__rn")
+
+
+def shadow_table(d: DataFrame, columns: Sequence[str], seed: int) -> DataFrame:
+    """A table numbered by ``__rn`` with ``columns`` of another row beside each row's own, as ``s_``; see ``shuffled``."""
+    return d.join(shuffled(d, columns, seed, d.count()), "__rn")
 
 
 def shadow_selection(df: DataFrame, id_col: str, target: str, features: Sequence[str], kind: str = "regress", rounds: int = 20, trees: int = 50, level: float = 0.01, seed: int = 0) -> DataFrame:
@@ -55,13 +74,18 @@ def shadow_selection(df: DataFrame, id_col: str, target: str, features: Sequence
     d = stored(numbered(_complete(df, id_col, target, features).withColumn("__v", F.xxhash64("__y", *names)), ["__id", "__v"]).select("__rn", "__y", *names))
     hits, done, decision = dict.fromkeys(names, 0), dict.fromkeys(names, 0), dict.fromkeys(names, "tentative")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for r in range(rounds if d.limit(1).count() else 0):
+    total = d.count()
+    for r in range(rounds if total else 0):
         live = [c for c in names if decision[c] != "rejected"]
         if all(decision[c] == "confirmed" for c in live):
             break
-        both = [*live, *[f"s_{c}" for c in live]]
-        rows = shadow_table(d, live, seed * 1_000_003 + r)
-        rows = stored(rows.repartition(n, "__rn").sortWithinPartitions("__rn"))
+        if r % TOGETHER == 0:  # one row holds the copies of some rounds, so that its own values move and are written once
+            rows = d.select("__rn", "__y", *live).repartition(n, "__rn")
+            for i in range(r, min(r + TOGETHER, rounds)):
+                copies = shuffled(d, live, seed * 1_000_003 + i, total).withColumnsRenamed({f"s_{c}": f"s{i}_{c}" for c in live})
+                rows = rows.join(copies.hint("merge"), "__rn")
+            rows = stored(rows.repartition(n, "__rn").sortWithinPartitions("__rn"))
+        both = [*live, *[f"s{r}_{c}" for c in live]]
         weight = random_forest(rows, "__y", both, kind, trees, seed + r).stages[-1].featureImportances.toArray()
         best = max(weight[len(live) :])
         for c, w in zip(live, weight, strict=False):

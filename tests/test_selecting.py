@@ -70,3 +70,14 @@ def test_sparse_fit(planted):
     assert got[0]["selected"] and b[0] == pytest.approx(3, abs=0.2)
     none = selecting.sparse_linear(planted.limit(0), "id", "y", NAMES).collect()
     assert [(r["coefficient"], r["selected"]) for r in none] == [(0.0, False)] * 5
+
+
+def test_a_shuffle_moves_rows_twice_and_writes_nothing(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(selecting, "stored", lambda df: written.append(df))
+    for rows in (1, 37, 5000):
+        d = spark.range(1, rows + 1).selectExpr("id AS __rn", "id * 1.5D AS x0")
+        order = [r[0] for r in d.select("__rn", F.xxhash64("__rn", F.lit(7)).alias("h")).orderBy("h", "__rn").collect()]
+        made = selecting.shuffled(d, ["x0"], 7, rows)
+        assert {r["__rn"]: r["s_x0"] for r in made.collect()} == {i: 1.5 * x for i, x in enumerate(order, 1)}
+    assert made.count() == 5000 and not written
