@@ -17,7 +17,8 @@ LEFT_OUT, LEFT_OUT_OF_ESTIMATES = 1e-10, 1e-4
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
-    return stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    """Every edge in both directions; the edges, which may be costly, are worked out once."""
+    return stored(edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))))
 
 
 def radius_bound(edges: DataFrame, rounds: int = 6) -> float:
@@ -25,7 +26,10 @@ def radius_bound(edges: DataFrame, rounds: int = 6) -> float:
 
     The vector starts as ones and takes ``rounds`` of power iteration (a node keeps its own value too, so that it stays positive).
     """
-    both = _both_ways(edges)
+    return _radius(_both_ways(edges), rounds)
+
+
+def _radius(both: DataFrame, rounds: int = 6) -> float:
     x = stored(both.select(F.col("a").alias("node")).distinct().withColumn("x", F.lit(1.0)))
     least = math.inf
     for _ in range(rounds):
@@ -59,7 +63,8 @@ def subgraph_centrality(edges: DataFrame, sources: DataFrame) -> DataFrame:
     It is the squared length of half the exponential applied to the node's own vector; a round for each term of the series (from the last one inwards), all
     sources at once, as rows (source, node). Rounds grow with ``radius_bound``. A source without edges has centrality 1; null sources are left out.
     """
-    both, terms = _both_ways(edges), _terms(radius_bound(edges))
+    both = _both_ways(edges)
+    terms = _terms(_radius(both))
     own = stored(sources.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("x")).where("node is not null").distinct())
     total = own
     for m in range(terms, 0, -1):  # from the last term inwards: own + A (own + A (...) / 4) / 2
@@ -77,7 +82,8 @@ def estimated_subgraph_centrality(edges: DataFrame, probes: int = 64, confidence
     """
     if probes < 1:
         raise ValueError("at least one probe")
-    both, terms = _both_ways(edges), _terms(radius_bound(edges), LEFT_OUT_OF_ESTIMATES)
+    both = _both_ways(edges)
+    terms = _terms(_radius(both), LEFT_OUT_OF_ESTIMATES)
     nodes = stored(both.select(F.col("a").alias("node")).distinct())
     squares = None
     unit = lambda *key: (F.pmod(F.xxhash64(*key), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)

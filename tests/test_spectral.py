@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomwork.operators import graph, spectral
 
@@ -39,3 +40,18 @@ def test_empty_and_too_large(spark):
     assert [tuple(r) for r in spectral.subgraph_centrality(none, spark.createDataFrame([(1,)], "node int")).collect()] == [(1, 1.0)]
     with pytest.raises(ValueError, match="too large"):
         spectral._terms(1000.0)
+
+
+def test_edges_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(b):
+        seen.add(1)
+        return b
+
+    pairs = [(1, 2), (2, 3), (3, 4), (1, 3), (5, 6)]
+    e = spark.createDataFrame(pairs, "a int, b int").withColumn("b", F.udf(noted, "int").asNondeterministic()("b"))
+    assert spectral.subgraph_centrality(e, spark.createDataFrame([(1,)], "node int")).count() == 1
+    assert seen.value == len(pairs)
+    assert spectral.estimated_subgraph_centrality(e, 4).count() == 6
+    assert seen.value == 2 * len(pairs)
