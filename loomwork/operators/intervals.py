@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from loomwork.functions.core import require_columns, stored
 from loomwork.functions.ordered import quantiles
 
+#: Groups of which one side has at most so many intervals are joined without blocks.
+FEW_OF_A_SIDE = 64
 _ENDS = "start dates must be less than or equal to end dates"
 
 
@@ -57,7 +59,8 @@ def overlaps(left: DataFrame, right: DataFrame, left_span: Sequence[str], right_
     one, or the left one starts inside the right one and later: both are joins of points with intervals. An interval is cut into
     dyadic blocks, at most two for each doubling of its length, and a point looks into the one block of each size that is
     in use; a point inside an interval is in exactly one of its blocks. So rows grow with the logarithm of the lengths, not
-    with the lengths, and no pair is formed that isn't a result. Rows with null ends, a start after its end, or a
+    with the lengths. Groups ``by`` of which one side has at most ``FEW_OF_A_SIDE`` rows are joined as they are: that forms fewer pairs
+    a row than that, and needs no row per block. In all others no pair is formed that isn't a result. Rows with null ends, a start after its end, or a
     null in ``by`` meet none. Column names beyond ``by`` must differ.
     """
     require_columns(left, [*left_span, *by])
@@ -71,6 +74,19 @@ def overlaps(left: DataFrame, right: DataFrame, left_span: Sequence[str], right_
         return d.where("__s <= __e")
 
     a, b = placed(left, left_span), placed(right, right_span)
+    out = [*by, *[c for c in left.columns if c not in by], *[c for c in right.columns if c not in by]]
+    small = None
+    if by:
+        ends = {"__s": "__t", "__e": "__f"}
+        sides = a.select(*by, F.lit(1).alias("__a"), F.lit(0).alias("__b")).union(b.select(*by, F.lit(0), F.lit(1)))
+        sides = sides.groupBy(*by).agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"))
+        large = stored(sides.where(F.least("__a", "__b") > FEW_OF_A_SIDE).select(*by))
+        none = large.isEmpty()
+        c, d = (a, b) if none else (x.join(large, list(by), "left_anti") for x in (a, b))
+        small = c.join(d.withColumnsRenamed(ends), list(by)).where("__s <= __f AND __t <= __e").select(out)
+        if none:
+            return small
+        a, b = (x.join(large, list(by), "left_semi") for x in (a, b))
     longest = [d.agg(F.max(F.col("__e") - F.col("__s") + 1)).first()[0] or 1 for d in (a, b)]
 
     def inside(points: DataFrame, spans: DataFrame, length: int, strictly: bool) -> DataFrame:
@@ -82,8 +98,8 @@ def overlaps(left: DataFrame, right: DataFrame, left_span: Sequence[str], right_
         s = spans.select(*[c for c in spans.columns if c not in ("__s", "__e")], F.inline(dyadic_blocks(f"({first})", "__e", levels)))
         return p.join(s, [*by, "level", "block"])
 
-    out = [*by, *[c for c in left.columns if c not in by], *[c for c in right.columns if c not in by]]
-    return inside(b, a, longest[0], False).select(out).unionByName(inside(a, b, longest[1], True).select(out))
+    met = inside(b, a, longest[0], False).select(out).unionByName(inside(a, b, longest[1], True).select(out))
+    return met if small is None else small.unionByName(met)
 
 
 # ---- calendars -----------------------------------------------------------------------------------

@@ -98,3 +98,16 @@ def test_calendars_equal_plain(spark):
     assert intervals.daily_summary(odd, "s", "e", "v").first()["value"] == float("inf")
     with pytest.raises(Exception, match="start dates must be"):
         intervals.daily_counts(spark.createDataFrame([("x", last, first, 1.0)], d.schema), "s", "e").collect()
+
+
+def test_small_groups_meet_without_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    a, b = spans(rng, 150, 100, 30), [(i, 3 if i % 9 == 0 else k, s, e) for i, k, s, e in spans(rng, 130, 100, 60)]
+    a += [(900, 3, 0, 50), (901, 3, -5, 5)]  # a group with few on one side only
+    x, y = spark.createDataFrame(a, "i int, k int, s long, e long"), spark.createDataFrame(b, "j int, k int, t int, u int")
+    want = sorted((p[0], q[0]) for p in a for q in b if meets(p, q, True))
+    for few, generates in ((1000, False), (8, True), (0, True)):
+        monkeypatch.setattr(intervals, "FEW_OF_A_SIDE", few)
+        got = intervals.overlaps(x, y, ("s", "e"), ("t", "u"), ["k"])
+        assert sorted((r["i"], r["j"]) for r in got.collect()) == want
+        assert ("Generate" in got._jdf.queryExecution().executedPlan().toString()) == generates
