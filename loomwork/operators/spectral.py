@@ -12,6 +12,8 @@ from loomwork.functions.special import chi2_quantile
 
 #: Random vectors that go through the rounds together.
 TOGETHER = 64
+#: Nodes that one task holds with their random vectors, about.
+TASK_NODES = 25_000
 #: What ending the series leaves out at most, beside values of one or more: of the exact centralities, and of the estimates.
 LEFT_OUT, LEFT_OUT_OF_ESTIMATES = 1e-10, 1e-4
 
@@ -78,23 +80,28 @@ def estimated_subgraph_centrality(edges: DataFrame, probes: int = 64, confidence
 
     Half the exponential is applied to ``probes`` vectors of independent normal numbers (a hash of node and probe, so that reruns agree). At a node
     each result is normal with the node's centrality as its variance; so the mean of the squares, divided by the centrality, is chi-squared over
-    ``probes``, on any graph: its quantiles are the bounds, and the relative deviation is sqrt(2 / probes). A row per node with 64 numbers goes through the rounds.
+    ``probes``, on any graph: its quantiles are the bounds, and the relative deviation is sqrt(2 / probes). A row per node with 64 numbers goes through the rounds,
+    in tasks whose number grows with the nodes.
     """
     if probes < 1:
         raise ValueError("at least one probe")
     both = _both_ways(edges)
     terms = _terms(_radius(both), LEFT_OUT_OF_ESTIMATES)
     nodes = stored(both.select(F.col("a").alias("node")).distinct())
+    tasks = max(1, -(-nodes.count() // TASK_NODES))
+    many = tasks > int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fewer are dealt by Spark itself
+    dealt = lambda d, end: d.repartition(tasks, end) if many else d
     squares = None
     unit = lambda *key: (F.pmod(F.xxhash64(*key), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     for start in range(0, probes, TOGETHER):
         names = [f"x{i}" for i in range(min(TOGETHER, probes - start))]
         draw = [(F.sqrt(-2 * F.log(unit(F.col("node"), F.lit(start + i), F.lit(2 * seed)))) * F.cos(2 * math.pi * unit(F.col("node"), F.lit(start + i), F.lit(2 * seed + 1)))) for i in range(len(names))]
-        own = stored(nodes.select("node", *[z.alias(x) for x, z in zip(names, draw, strict=True)]))
+        own = stored(nodes.repartition(tasks, "node").select("node", *[z.alias(x) for x, z in zip(names, draw, strict=True)]))
         total = own.withColumn("m", F.lit(float(terms)))
         for _ in range(terms):  # as above; m is a column, so that all rounds run the same generated code
-            near = both.join(total.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.first("m").alias("m"), *[F.sum(x).alias(f"y{x}") for x in names])
-            total = stored(own.join(near, own["node"] == near["a"]).select("node", *[(F.col(x) + F.col(f"y{x}") / (2 * F.col("m"))).alias(x) for x in names], (F.col("m") - 1).alias("m")))
+            walked = dealt(both, "b").join(dealt(total.withColumnRenamed("node", "b"), "b"), "b")
+            near = dealt(walked, "a").groupBy("a").agg(F.first("m").alias("m"), *[F.sum(x).alias(f"y{x}") for x in names])
+            total = stored(dealt(own, "node").join(near, own["node"] == near["a"]).select("node", *[(F.col(x) + F.col(f"y{x}") / (2 * F.col("m"))).alias(x) for x in names], (F.col("m") - 1).alias("m")))
         here = total.select("node", sum((F.col(x) * F.col(x) for x in names), F.lit(0.0)).alias("s"))
         squares = here if squares is None else stored(squares.unionByName(here).groupBy("node").agg(F.sum("s").alias("s")))
     low, high = (chi2_quantile(p, probes) for p in ((1 + confidence) / 2, (1 - confidence) / 2))

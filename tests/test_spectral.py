@@ -55,3 +55,15 @@ def test_edges_are_worked_out_once(spark):
     assert seen.value == len(pairs)
     assert spectral.estimated_subgraph_centrality(e, 4).count() == 6
     assert seen.value == 2 * len(pairs)
+
+
+def test_rounds_of_many_nodes_are_dealt_by_their_number(spark, monkeypatch):
+    e = spark.createDataFrame([(i, i + 1) for i in range(100)], "a int, b int")
+    want = {r["node"]: tuple(r)[1:] for r in spectral.estimated_subgraph_centrality(e, 2).collect()}
+    plans = []
+    monkeypatch.setattr(spectral, "stored", lambda d, f=spectral.stored: plans.append(d._jdf.queryExecution().executedPlan().toString()) or f(d))
+    monkeypatch.setattr(spectral, "TASK_NODES", 20)
+    got = {r["node"]: tuple(r)[1:] for r in spectral.estimated_subgraph_centrality(e, 2).collect()}
+    rounds = [p for p in plans if "sum(x0#" in p]
+    assert len(rounds) >= 3 and all(f"hashpartitioning({end}#" in p and ", 6)" in p and ", 3)" not in p for p in rounds for end in ("a", "b", "node"))
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], rel=1e-9) for x in want)
